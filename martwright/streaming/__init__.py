@@ -1,0 +1 @@
+"""Every computation of this library is a batch job; no streaming operator is provided."""
