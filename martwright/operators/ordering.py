@@ -124,7 +124,8 @@ def exact_quantiles(
     """Exact quantiles with linear interpolation, one row per column.
 
     Values are counted first, so only distinct values are ordered. Output:
-    ``column_name`` and ``quantiles`` (array in the order of ``probabilities``).
+    ``column_name``, ``distinct_values`` and ``quantiles`` (array in the order of
+    ``probabilities``).
     """
     values = (
         df.select(
@@ -157,10 +158,12 @@ def exact_quantiles(
             picks.append(
                 F.max(F.when((first <= at) & (at <= last), F.col("value"))).alias(f"_{side}{i}")
             )
-    picked = placed.groupBy("column_name", "_rows").agg(*picks)
+    picked = placed.groupBy("column_name", "_rows").agg(
+        F.count("*").alias("distinct_values"), *picks
+    )
     results = []
     for i, p in enumerate(probabilities):
         position = (F.col("_rows") - 1) * F.lit(float(p))
         share = position - F.floor(position)
         results.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share)
-    return picked.select("column_name", F.array(*results).alias("quantiles"))
+    return picked.select("column_name", "distinct_values", F.array(*results).alias("quantiles"))

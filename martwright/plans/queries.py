@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martwright.functions import (
+    ascii_clean,
+    clean_datetime_string,
+    lead_channel,
+    lead_tier,
+    standardize_to_datetime,
+)
+from martwright.operators import charts, documents, profiling, quality, questions, vectors
+from martwright.operators.durable import durable, scratch_path
+from martwright.plans import checks
 from martwright.plans.catalog import MODELS, Warehouse
+from martwright.schemas import RAW_SCHEMAS
+from martwright.sources import docs, files, tables
+from martwright.sources.naming import schema_name_column
 from martwright.sources.sample import SampleTables
 
 AS_OF = "2018-12-31 00:00:00"
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 
 
 def plain_types(df: DataFrame) -> DataFrame:
@@ -30,14 +44,573 @@ def plain_types(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def warehouse(spark: SparkSession, folder: str) -> Warehouse:
-    return Warehouse(SampleTables(spark, folder).raw, as_of=AS_OF)
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Columns of floating sums, cut to the digits that do not depend on the order of adding."""
+    return df.withColumns(
+        {c: F.round(F.col(c).cast("decimal(38,10)"), digits) for c in columns}
+    )
+
+
+class Inputs:
+    """What a query reads: sample tables, canonical raw tables and models."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.sample = SampleTables(spark, folder)
+        self.warehouse = Warehouse(self.sample.raw, as_of=AS_OF)
+
+    def table(self, name: str) -> DataFrame:
+        return self.sample.read(name)
+
+    def model(self, name: str) -> DataFrame:
+        return self.warehouse.get(name)
+
+    def with_stored_facts(self) -> Warehouse:
+        """The warehouse with both facts written once, for queries over many models."""
+        for name in ("fact_orders", "fact_order_lines"):
+            self.warehouse.put(name, durable(self.warehouse.get(name)))
+        return self.warehouse
+
+
+def query(run: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+    """Register under the function's name; a trailing underscore avoids a name already taken."""
+
+    def call(spark: SparkSession, folder: str) -> DataFrame:
+        return plain_types(run(Inputs(spark, folder)))
+
+    _QUERIES[run.__name__.rstrip("_")] = call
+    return run
 
 
 def _model(name: str, spark: SparkSession, folder: str) -> DataFrame:
-    return plain_types(warehouse(spark, folder).get(name))
+    return plain_types(Inputs(spark, folder).model(name))
 
 
 def all_queries() -> dict[str, Query]:
-    registered: dict[str, Query] = {name: partial(_model, name) for name in MODELS}
-    return registered
+    return {**{name: partial(_model, name) for name in MODELS}, **_QUERIES}
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+# Sources and sinks
+
+
+@query
+def src_raw_tables(inputs: Inputs) -> DataFrame:
+    """Rows and key range of each raw table after a round trip through parquet files."""
+    spark, folder = inputs.spark, scratch_path(inputs.spark, "raw")
+    parts = []
+    for name, schema in RAW_SCHEMAS.items():
+        raw = inputs.sample.raw(name)
+        raw.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(
+            f"{folder}/{name}.parquet"
+        )
+        read = tables.RawTables(spark, folder, "parquet").get(name)
+        key = F.col(schema[0].name).cast("string")
+        parts.append(
+            read.agg(
+                F.lit(name).alias("table_name"),
+                F.count("*").alias("row_count"),
+                F.count_distinct(key).alias("distinct_keys"),
+                F.min(key).alias("first_key"),
+                F.max(key).alias("last_key"),
+            )
+        )
+    return _union(parts)
+
+
+def _csv_texts(inputs: Inputs) -> DataFrame:
+    return inputs.table("documents").select("doc_id", "lang", "source", "text")
+
+
+@query
+def src_csv_encoded(inputs: Inputs) -> DataFrame:
+    """Documents written as Latin-1 CSV in one folder and read back without being told."""
+    path = scratch_path(inputs.spark, "latin")
+    files.sink_csv(_csv_texts(inputs), path, encoding="ISO-8859-1")
+    return files.read_csv_encoded(
+        inputs.spark, path, "doc_id bigint, lang string, source string, text string"
+    )
+
+
+@query
+def sink_csv(inputs: Inputs) -> DataFrame:
+    """Daily sales written as CSV and read back."""
+    sales = inputs.model("agg_daily_sales")
+    path = files.sink_csv(sales, scratch_path(inputs.spark, "csv"))
+    return inputs.spark.read.schema(sales.schema).option("header", True).csv(path)
+
+
+@query
+def sink_table(inputs: Inputs) -> DataFrame:
+    """The customer performance mart built on stored, bucketed order facts."""
+    spark = inputs.spark
+    database = tables.schema_name_for_env("martwright_check", "dev")
+    path = scratch_path(spark, "warehouse")
+    spark.sql(f"drop database if exists {database} cascade")
+    spark.sql(f"create database {database} location '{path}'")
+    stored = tables.sink_table(
+        inputs.model("fact_orders"), "fact_orders", database, "table", "order_id"
+    )
+    inputs.warehouse.put("fact_orders", stored)
+    return tables.sink_table(
+        inputs.model("agg_customer_performance"), "customers", database, "view"
+    )
+
+
+@query
+def src_sql_adhoc(inputs: Inputs) -> DataFrame:
+    """A SELECT without a limit on a registered mart: the first twenty rows."""
+    inputs.model("agg_daily_sales").createOrReplaceTempView("agg_daily_sales")
+    text = """
+      select order_date, total_order_count, total_order_value from agg_daily_sales
+      order by total_order_value desc, order_date ;
+    """
+    return tables.run_sql(inputs.spark, text)
+
+
+def _doc_rows(inputs: Inputs) -> DataFrame:
+    """Conversations as documentation: one model per conversation, one column per turn."""
+    turns = inputs.table("conversations")
+    return turns.select(
+        F.lit("conversations").alias("file_path"),
+        F.col("conv_id").cast("string").alias("model_name"),
+        F.lit("conversation").alias("description"),
+        F.col("turn").cast("int").alias("column_pos"),
+        F.col("role").alias("column_name"),
+        F.col("text").alias("column_description"),
+    )
+
+
+@query
+def src_doc_catalog(inputs: Inputs) -> DataFrame:
+    """Conversations written as one description file each, then read back as column rows."""
+    path = scratch_path(inputs.spark, "docs")
+    column = F.struct(
+        F.col("column_pos"),
+        F.struct(F.col("column_name").alias("name"), F.col("column_description").alias("description")).alias("c"),
+    )
+    described = (
+        _doc_rows(inputs)
+        .groupBy("model_name", "description")
+        .agg(F.sort_array(F.collect_list(column)).alias("columns"))
+        .select(
+            "model_name",
+            F.to_json(
+                F.struct(
+                    F.array(
+                        F.struct(
+                            F.col("model_name").alias("name"),
+                            "description",
+                            F.col("columns.c").alias("columns"),
+                        )
+                    ).alias("models")
+                )
+            ).alias("value"),
+        )
+    )
+    described.write.partitionBy("model_name").text(path)
+    return docs.read_doc_catalog(inputs.spark, path, "*.txt").drop("file_path")
+
+
+def _vectors(inputs: Inputs) -> DataFrame:
+    return inputs.table("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+@query
+def sink_vector_upsert(inputs: Inputs) -> DataFrame:
+    """Vectors of the even labels stored first, then all: the second run adds the others only."""
+    path = scratch_path(inputs.spark, "vectors")
+    rows = _vectors(inputs).withColumnRenamed("id", "doc_id")
+    docs.vector_upsert(rows.where(F.col("label") % 2 == 0).withColumn("run", F.lit(1)), path)
+    stored = docs.vector_upsert(rows.withColumn("run", F.lit(2)), path)
+    return stored.select("doc_id", "label", "run", F.size("embedding").alias("dimensions"))
+
+
+# Macros
+
+
+def _date_texts(inputs: Inputs) -> DataFrame:
+    """Every event time written in one of ten styles."""
+    styles: list[Column] = [
+        F.date_format("ts", pattern)
+        for pattern in (
+            "yyyy-MM-dd HH:mm:ss",
+            "M/d/yyyy H:mm",
+            "yyyy-MM-dd",
+            "MM-dd-yyyy HH:mm:ss",
+            "yyyy/MM/dd H:",
+            "M/d/yyyy",
+            "yyyy-MM-dd'T'HH:mm:ss",
+            "yyyy-M-d H:m:s",
+        )
+    ] + [F.lit("  "), F.lit(None).cast("string")]
+    style = (F.col("event_id") % len(styles)).cast("int")
+    return inputs.table("events").select("event_id", F.get(F.array(*styles), style).alias("date_text"))
+
+
+@query
+def clean_datetime_string_(inputs: Inputs) -> DataFrame:
+    return _date_texts(inputs).select(
+        "event_id", clean_datetime_string("date_text").alias("clean_text")
+    )
+
+
+@query
+def standardize_to_datetime_(inputs: Inputs) -> DataFrame:
+    return _date_texts(inputs).select(
+        "event_id", standardize_to_datetime("date_text").alias("standard_datetime")
+    )
+
+
+@query
+def classify_lead_type(inputs: Inputs) -> DataFrame:
+    kind = F.col("lead_type")
+    return inputs.sample.raw("raw_closed_deals").select(
+        "mql_id", kind, lead_channel(kind).alias("channel"), lead_tier(kind).alias("tier")
+    )
+
+
+@query
+def schema_name_for_env(inputs: Inputs) -> DataFrame:
+    """Documents filed under a schema per source, with the language standing for the environment."""
+    env = F.when(F.col("lang") == "en", "dev").when(F.col("lang") == "fr", "uat").otherwise("prod")
+    return inputs.table("documents").select("doc_id", schema_name_column(F.col("source"), env).alias("schema_name"))
+
+
+# Data quality
+
+
+def _checked(df: DataFrame, model: str) -> DataFrame:
+    return df.select(F.lit(model).alias("model"), "column_name", "value", "failures")
+
+
+@query
+def dq_not_null(inputs: Inputs) -> DataFrame:
+    """All declared not-null checks, with the number of failing rows."""
+    return checks.check_not_null(inputs.with_stored_facts())
+
+
+@query
+def dq_unique(inputs: Inputs) -> DataFrame:
+    """All declared uniqueness checks, and the line key that is known to repeat."""
+    line = inputs.model("stg_order_items").select(
+        F.concat_ws("-", "order_id", "order_item_id").alias("line_key")
+    )
+    return checks.check_unique(inputs.with_stored_facts()).unionByName(
+        _checked(quality.unique(line, ["line_key"]), "stg_order_items")
+    )
+
+
+@query
+def dq_relationships(inputs: Inputs) -> DataFrame:
+    """All declared relations, and documents checked against their labels."""
+    unlabelled = quality.relationships(
+        inputs.table("documents"), "doc_id", inputs.table("labels"), "doc_id"
+    )
+    return checks.check_relationships(inputs.with_stored_facts()).unionByName(
+        _checked(unlabelled, "documents")
+    )
+
+
+@query
+def dq_accepted_values(inputs: Inputs) -> DataFrame:
+    """The declared check, and order states other than open or finished."""
+    open_or_done = quality.accepted_values(inputs.table("orders"), "o_orderstatus", ["O", "F"])
+    return checks.check_accepted_values(inputs.warehouse).unionByName(
+        _checked(open_or_done, "orders")
+    )
+
+
+@query
+def dq_in_set(inputs: Inputs) -> DataFrame:
+    """The declared check, and the deals without a lead."""
+    linked = quality.in_set(inputs.model("fact_closed_deals"), "mql_link_status", ["linked"])
+    return checks.check_in_set(inputs.warehouse).unionByName(_checked(linked, "linked_deals"))
+
+
+@query
+def dq_between(inputs: Inputs) -> DataFrame:
+    """All declared ranges, and lines outside narrower ones."""
+    narrow = {"l_linenumber": (2, 6), "l_partkey": (10, None)}
+    return checks.check_between(inputs.with_stored_facts()).unionByName(
+        _checked(quality.between(inputs.table("lineitem"), narrow), "lineitem")
+    )
+
+
+@query
+def dq_schema_contract(inputs: Inputs) -> DataFrame:
+    """Two lists of names held against each other: labelled documents and documents."""
+
+    def listed(table: str) -> DataFrame:
+        return inputs.table(table).select(
+            F.lit("documents").alias("model"), F.concat(F.lit("Doc_"), "doc_id").alias("column_name")
+        )
+
+    return quality.schema_contract(listed("labels"), listed("documents"))
+
+
+@query
+def dq_csv_shape(inputs: Inputs) -> DataFrame:
+    """The first records of a CSV of documents that break its shape.
+
+    Each document is written as one raw line block: a quoted text, and for some sources a
+    field too many or too few.
+    """
+    path = scratch_path(inputs.spark, "shape")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    source = F.col("source")
+    line = (
+        F.when(source == "src7", F.concat_ws(",", "doc_id", quoted))
+        .when(source == "src11", F.concat_ws(",", "doc_id", "lang", quoted, F.lit("extra")))
+        .otherwise(F.concat_ws(",", "doc_id", "lang", quoted))
+    )
+    lines = inputs.table("documents").select("doc_id", line.alias("value"))
+    header = inputs.spark.range(1).select(
+        F.lit(-1).cast("long").alias("doc_id"), F.lit("doc_id,lang,text").alias("value")
+    )
+    # One file, so that the header leads it and record numbers are those of the document order.
+    header.unionByName(lines).repartitionByRange(1, "doc_id").sortWithinPartitions(
+        "doc_id"
+    ).select("value").write.text(path)
+    return files.csv_shape(inputs.spark, path).drop("file")
+
+
+# Profiling
+
+
+def _joined_names(df: DataFrame) -> DataFrame:
+    """Name lists as text, for comparison."""
+    return df.select(
+        *[
+            F.array_join(f.name, ",").alias(f.name)
+            if isinstance(f.dataType, T.ArrayType)
+            else F.col(f.name)
+            for f in df.schema
+        ]
+    )
+
+
+@query
+def profile_columns(inputs: Inputs) -> DataFrame:
+    return _joined_names(profiling.profile_columns(inputs.table("orders"))).withColumn(
+        "null_percentage", F.round("null_percentage", 4)
+    )
+
+
+@query
+def profile_numeric(inputs: Inputs) -> DataFrame:
+    profile = profiling.profile_numeric(inputs.table("lineitem"))
+    return _rounded(profile, 4, "mean", "median", "std")
+
+
+@query
+def profile_top_values(inputs: Inputs) -> DataFrame:
+    return profiling.profile_top_values(inputs.table("lineitem"))
+
+
+def _roles(df: DataFrame) -> DataFrame:
+    return profiling.profile_roles(profiling.profile_columns(df, samples=0))
+
+
+@query
+def profile_roles(inputs: Inputs) -> DataFrame:
+    return _roles(inputs.table("events"))
+
+
+def _dataset(df: DataFrame) -> DataFrame:
+    return profiling.profile_dataset(_roles(df))
+
+
+@query
+def profile_dataset(inputs: Inputs) -> DataFrame:
+    return _joined_names(_dataset(inputs.table("events")))
+
+
+@query
+def insight_summary(inputs: Inputs) -> DataFrame:
+    events = inputs.table("events")
+    return profiling.insight_summary(
+        _dataset(events), profiling.profile_numeric(events), intent="trend"
+    )
+
+
+# Chart data
+
+
+@query
+def chart_recommend(inputs: Inputs) -> DataFrame:
+    return charts.recommend(_dataset(inputs.table("orders")))
+
+
+@query
+def chart_fallback(inputs: Inputs) -> DataFrame:
+    return charts.fallback(_dataset(inputs.table("events").drop("event_type", "props")))
+
+
+@query
+def chart_top10(inputs: Inputs) -> DataFrame:
+    return charts.top_n(inputs.model("fact_order_lines"), "product_id", "item_price")
+
+
+@query
+def chart_group_agg(inputs: Inputs) -> DataFrame:
+    """A summed, an averaged and a counted metric over the same two keys."""
+    orders = inputs.model("fact_orders")
+    keys = ["order_status", "review_count"]
+    summed = charts.group_agg(orders, keys, "order_total").withColumnRenamed("order_total", "y")
+    averaged = charts.group_agg(orders, keys, "order_item_count").withColumnRenamed(
+        "order_item_count", "y"
+    )
+    counted = charts.group_agg(orders, keys, "review_count").withColumnRenamed("count", "y")
+    parts = {"sum": summed, "mean": averaged, "count": counted}
+    return _union(
+        [
+            df.select(
+                F.lit(kind).alias("rule"),
+                *keys,
+                F.round(F.col("y").cast("decimal(38,10)"), 4).alias("y"),
+            )
+            for kind, df in parts.items()
+        ]
+    )
+
+
+@query
+def chart_pie_top8(inputs: Inputs) -> DataFrame:
+    lines = inputs.model("fact_order_lines")
+    return charts.pie_top(lines, "seller_id", "item_price")
+
+
+@query
+def chart_time_series(inputs: Inputs) -> DataFrame:
+    return charts.time_series(
+        inputs.table("events").select("event_id", "ts", "event_type", "value"), "ts", "event_id"
+    )
+
+
+@query
+def trend_pct_change(inputs: Inputs) -> DataFrame:
+    trend = charts.trend_pct_change(inputs.table("events"), "ts", "value", "event_id")
+    return _rounded(trend, 4, "pct_change")
+
+
+@query
+def chart_histogram(inputs: Inputs) -> DataFrame:
+    bars = charts.histogram(inputs.table("lineitem"), "l_quantity")
+    return _rounded(bars, 4, "bin_start", "bin_end", "mean")
+
+
+@query
+def chart_box(inputs: Inputs) -> DataFrame:
+    boxes = charts.box_summary(
+        inputs.table("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]
+    )
+    return _rounded(boxes, 4, *boxes.columns[1:])
+
+
+@query
+def correlation_matrix(inputs: Inputs) -> DataFrame:
+    lines = inputs.table("lineitem")
+    matrix = charts.correlation_matrix(lines, profiling.numeric_columns(lines))
+    return _rounded(matrix, 6, "correlation")
+
+
+@query
+def chart_scatter(inputs: Inputs) -> DataFrame:
+    return charts.scatter(
+        inputs.table("lineitem"), "l_quantity", "l_extendedprice", "l_returnflag"
+    )
+
+
+# Texts and vectors
+
+
+@query
+def doc_build(inputs: Inputs) -> DataFrame:
+    return documents.doc_build(_doc_rows(inputs)).select("model_name", "text")
+
+
+@query
+def doc_truncate(inputs: Inputs) -> DataFrame:
+    return inputs.table("documents").select(
+        "doc_id", documents.doc_truncate(F.col("text")).alias("text")
+    )
+
+
+@query
+def doc_id_md5(inputs: Inputs) -> DataFrame:
+    return inputs.table("documents").select(
+        "doc_id", documents.doc_id_md5(F.col("source"), F.col("doc_id").cast("string")).alias("uid")
+    )
+
+
+@query
+def doc_incremental_dedupe(inputs: Inputs) -> DataFrame:
+    """Documents not labelled yet, counted as new."""
+    incoming = inputs.table("documents").select("doc_id", "source", "n_chars")
+    return documents.incremental_dedupe(incoming, inputs.table("labels").select("doc_id"))
+
+
+@query
+def embed_stats(inputs: Inputs) -> DataFrame:
+    """Documents by fate: labelled ones are stored already, empty vectors are errors."""
+    found = inputs.table("documents").join(inputs.table("labels"), "doc_id", "left")
+    status = (
+        F.when(F.col("quality").isNull(), "embedded")
+        .when(F.col("toxic") == 1, "error")
+        .otherwise("skipped")
+    )
+    return documents.embed_stats(found.select(F.col("source").alias("file_path"), status.alias("status")))
+
+
+@query
+def vector_topk(inputs: Inputs) -> DataFrame:
+    """Every vector asked against all vectors."""
+    vecs = _vectors(inputs)
+    return vectors.vector_topk(vecs, vecs, k=3)
+
+
+@query
+def context_assemble(inputs: Inputs) -> DataFrame:
+    """The documents with the ids of the nearest vectors, put together per query."""
+    vecs = _vectors(inputs)
+    texts = inputs.table("documents").select(
+        "doc_id", F.col("source").alias("model_name"), documents.doc_truncate(F.col("text")).alias("text")
+    )
+    return vectors.context_assemble(vectors.vector_topk(vecs, vecs, k=3), texts)
+
+
+@query
+def classify_sql_request(inputs: Inputs) -> DataFrame:
+    return inputs.table("conversations").select(
+        "conv_id", "turn", questions.classify_sql_request(F.col("text")).alias("is_sql_request")
+    )
+
+
+@query
+def classify_intents(inputs: Inputs) -> DataFrame:
+    intents = questions.classify_intents(F.col("text"))
+    return inputs.table("conversations").select(
+        "conv_id",
+        "turn",
+        F.array_join(intents, ",").alias("intents"),
+        questions.primary_intent(intents).alias("primary_intent"),
+    )
+
+
+@query
+def extract_fenced_sql(inputs: Inputs) -> DataFrame:
+    """Answers with their last line fenced for user turns, plain otherwise."""
+    fenced = F.concat(F.lit("Answer:\n```sql\n"), "text", F.lit("\n```\nend"))
+    answer = F.when(F.col("role") == "user", fenced).otherwise(F.concat(F.lit(" \n"), "text", F.lit(" ")))
+    return inputs.table("conversations").select(
+        "conv_id", "turn", questions.extract_fenced_sql(answer).alias("sql_text")
+    )
+
+
+@query
+def text_ascii_clean(inputs: Inputs) -> DataFrame:
+    return inputs.table("documents").select("doc_id", ascii_clean("text").alias("text"))

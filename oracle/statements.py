@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from oracle.analysis import analysis_statements
 from oracle.models import model_statements
 
 
 def all_statements() -> dict[str, str]:
-    return model_statements()
+    return {**model_statements(), **analysis_statements()}
