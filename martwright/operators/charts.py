@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,32 +123,50 @@ def box_summary(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns, in one pass.
+    """Pearson correlation of every pair of numeric columns.
 
-    Rows missing either value are left out for that pair only. A constant column has no
-    correlation.
+    Rows missing either value are left out for that pair only; a constant column has no
+    correlation. Every task reduces its rows, centred on the column means, to one small table
+    of sums per pair, so nothing but those sums is shuffled.
     """
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one_row = numbers.agg(
-        *[
-            F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
-            .alias(f"{a}|{b}")
-            for a, b in pairs
-        ]
-    )
-
-    def cell(x: str, y: str, name: str) -> Column:
-        value = F.col(f"`{name}`")
-        return F.struct(
-            F.lit(x).alias("column_x"),
-            F.lit(y).alias("column_y"),
-            F.when(~F.isnan(value), value).alias("correlation"),
+    names = list(columns)
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    means = numbers.agg(
+        F.array(*[F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)) for c in names])
+    ).scalar()
+    cells = numbers.select(F.array(*names).alias("x"), means.alias("mean"))
+    sums = ["n", "sum_x", "sum_y", "sum_xx", "sum_yy", "sum_xy"]
+
+    def pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(sums), len(names), len(names)))
+        for batch in batches:
+            if batch.empty:
+                continue
+            x = np.array(batch["x"].tolist(), dtype=np.float64) - np.array(batch["mean"].iloc[0])
+            known = ~np.isnan(x)
+            z, mask = np.where(known, x, 0.0), known.astype(np.float64)
+            by_x, squares = z.T @ mask, (z * z).T @ mask
+            total += np.stack([mask.T @ mask, by_x, by_x.T, squares, squares.T, z.T @ z])
+        rows, cols = np.indices(total.shape[1:])
+        yield pd.DataFrame(
+            {"i": rows.ravel(), "j": cols.ravel(), **{s: t.ravel() for s, t in zip(sums, total)}}
         )
 
-    cells = [cell(a, b, f"{a}|{b}") for a, b in pairs]
-    cells += [cell(b, a, f"{a}|{b}") for a, b in pairs if a != b]
-    return one_row.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+    parts = cells.mapInPandas(pair_sums, "i long, j long, " + ", ".join(f"{s} double" for s in sums))
+    n, sx, sy, sxx, syy, sxy = (F.col(s) for s in sums)
+    spread = (sxx - sx * sx / n) * (syy - sy * sy / n)
+    label = F.array(*[F.lit(c) for c in names])
+    return (
+        parts.groupBy("i", "j")
+        .agg(*[F.sum(s).alias(s) for s in sums])
+        .select(
+            F.get(label, F.col("i").cast("int")).alias("column_x"),
+            F.get(label, F.col("j").cast("int")).alias("column_y"),
+            F.when((n > 1) & (spread > 0), (sxy - sx * sy / n) / F.sqrt(spread)).alias(
+                "correlation"
+            ),
+        )
+    )
 
 
 def scatter(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:

@@ -13,15 +13,27 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Rows of one cell of the grid that is used beyond it.
 QUERY_CELL_ROWS = 4096
-CORPUS_CELL_ROWS = 65536
+CORPUS_CELL_ROWS = 16384
 
 
-def _distances(query: np.ndarray, matrix: np.ndarray, metric: str) -> np.ndarray:
+def _exact(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    """Distances worked out row by row, so that they do not depend on the block."""
     if metric == "l2":
-        gaps = matrix - query
+        gaps = rows - query
         return np.einsum("ij,ij->i", gaps, gaps)
-    norms = np.linalg.norm(matrix, axis=1) * np.linalg.norm(query)
-    return 1.0 - (matrix @ query) / np.where(norms == 0, 1.0, norms)
+    scale = np.sqrt(np.einsum("ij,ij->i", rows, rows)) * np.sqrt(np.dot(query, query))
+    return 1.0 - np.einsum("ij,j->i", rows, query) / np.where(scale == 0, 1.0, scale)
+
+
+def _rough(queries: np.ndarray, rows: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """All distances by one matrix product, and by how much each query's may be off."""
+    products = queries @ rows.T
+    q_norms, r_norms = (np.einsum("ij,ij->i", m, m) for m in (queries, rows))
+    if metric == "l2":
+        rough = q_norms[:, None] + r_norms[None, :] - 2.0 * products
+        return rough, 1e-9 * (q_norms + r_norms.max())
+    scale = np.sqrt(q_norms)[:, None] * np.sqrt(r_norms)[None, :]
+    return 1.0 - products / np.where(scale == 0, 1.0, scale), np.full(len(queries), 1e-9)
 
 
 def _nearest(
@@ -32,22 +44,39 @@ def _nearest(
     k: int,
     metric: str,
 ) -> pd.DataFrame:
-    """The k nearest rows of the block for each query, ties by id."""
+    """The k nearest rows of the block for each query, ties by id.
+
+    Candidates come from the rough distances with room for their error; the exact ones decide.
+    """
+    if len(query_ids) == 0 or len(ids) == 0:
+        return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
     order = np.argsort(ids, kind="stable")
     ids, matrix = ids[order], matrix[order]
-    hits = []
-    for query_id, query in zip(query_ids, queries):
-        distance = _distances(query, matrix, metric)
-        if len(distance) > k:
-            bound = np.partition(distance, k - 1)[k - 1]
-            near = np.flatnonzero(distance <= bound)
+    rough, error = _rough(queries, matrix, metric)
+    picked_q, picked_d, distances = [], [], []
+    for i, query in enumerate(queries):
+        if len(ids) > k:
+            bound = np.partition(rough[i], k - 1)[k - 1] + 2 * error[i]
+            near = np.flatnonzero(rough[i] <= bound)
         else:
-            near = np.arange(len(distance))
-        near = near[np.argsort(distance[near], kind="stable")][:k]
-        hits.append(pd.DataFrame({"query_id": query_id, "doc_id": ids[near], "distance": distance[near]}))
-    if not hits:
-        return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
-    return pd.concat(hits, ignore_index=True)
+            near = np.arange(len(ids))
+        distance = _exact(query, matrix[near], metric)
+        best = np.argsort(distance, kind="stable")[:k]
+        picked_q.append(np.repeat(query_ids[i], len(best)))
+        picked_d.append(ids[near[best]])
+        distances.append(distance[best])
+    return pd.DataFrame(
+        {
+            "query_id": np.concatenate(picked_q),
+            "doc_id": np.concatenate(picked_d),
+            "distance": np.concatenate(distances),
+        }
+    )
+
+
+def _best(hits: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    merged = pd.concat(hits, ignore_index=True).sort_values(["query_id", "distance", "doc_id"])
+    return merged.groupby("query_id", sort=False).head(k)
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -64,7 +93,7 @@ def vector_topk(
     """``query_id``, ``rank`` and ``doc_id`` of the k nearest documents; exact, ties by id.
 
     Both inputs have ``id`` and ``embedding``. ``metric`` is ``l2`` (squared Euclidean) or
-    ``cosine``. Each task keeps k hits per query of the rows it sees, and only those are
+    ``cosine``. Each task keeps k hits per query of all the rows it sees, and only those are
     shuffled. A query set of checked size goes to all tasks, so the corpus is
     read once and never moved. A larger one is laid out as a grid: blocks of queries against
     blocks of corpus, each of bounded size.
@@ -100,10 +129,22 @@ def _against_all(
 
     def search(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, matrix = sent.value
+        found: list[pd.DataFrame] = []
         for block in blocks:
-            yield _nearest(
-                query_ids, matrix, block["id"].to_numpy(), _matrix(block["embedding"]), k, metric
-            )
+            for at in range(0, len(query_ids), QUERY_CELL_ROWS):
+                part = slice(at, at + QUERY_CELL_ROWS)
+                found.append(
+                    _nearest(
+                        query_ids[part],
+                        matrix[part],
+                        block["id"].to_numpy(),
+                        _matrix(block["embedding"]),
+                        k,
+                        metric,
+                    )
+                )
+            found = [_best(found, k)]
+        yield from found
 
     return corpus.select("id", "embedding").mapInPandas(search, schema)
 
@@ -127,8 +168,6 @@ def _grid(
     right = cells(corpus, "cb", c_blocks, "qb", q_blocks).groupBy("qb", "cb")
 
     def search(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or block.empty:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
         return _nearest(
             asked["id"].to_numpy(),
             _matrix(asked["embedding"]),

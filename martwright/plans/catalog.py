@@ -12,13 +12,18 @@ from martwright.plans import core, marts, staging
 
 @dataclass(frozen=True)
 class Model:
-    """``stored`` is ``view`` or ``table``; ``bucket_by`` co-locates tables joined on it."""
+    """``stored`` is ``view`` or ``table``.
+
+    ``bucket_by`` co-locates tables joined on it; ``keyed_inputs`` are the inputs that set
+    how many rows a key has.
+    """
 
     build: Callable[..., DataFrame]
     inputs: tuple[str, ...]
     layer: str
     stored: str
     bucket_by: str | None = None
+    keyed_inputs: tuple[str, ...] = ()
     dated: bool = False
 
 
@@ -26,8 +31,15 @@ def _staging(name: str, raw: str) -> Model:
     return Model(getattr(staging, name), (raw,), "staging", "view")
 
 
-def _core(name: str, *inputs: str, bucket_by: str | None = None, dated: bool = False) -> Model:
-    return Model(getattr(core, name), inputs, "intermediate", "table", bucket_by, dated)
+def _core(
+    name: str,
+    *inputs: str,
+    bucket_by: str | None = None,
+    keyed_inputs: tuple[str, ...] = (),
+    dated: bool = False,
+) -> Model:
+    build = getattr(core, name)
+    return Model(build, inputs, "intermediate", "table", bucket_by, keyed_inputs, dated)
 
 
 def _mart(name: str, *inputs: str, stored: str = "view") -> Model:
@@ -63,6 +75,7 @@ MODELS: dict[str, Model] = {
         "stg_reviews",
         "dim_customers",
         bucket_by="order_id",
+        keyed_inputs=("stg_orders",),
     ),
     "fact_order_lines": _core(
         "fact_order_lines",
@@ -70,6 +83,7 @@ MODELS: dict[str, Model] = {
         "stg_orders",
         "stg_reviews",
         bucket_by="order_id",
+        keyed_inputs=("stg_order_items", "stg_reviews"),
     ),
     "fact_payments": _core("fact_payments", "stg_order_payments", "stg_orders", dated=True),
     "fact_reviews": _core("fact_reviews", "stg_reviews", "stg_orders", dated=True),

@@ -254,23 +254,29 @@ def fact_orders(
 def fact_order_lines(items: DataFrame, orders: DataFrame, reviews: DataFrame) -> DataFrame:
     """Order lines with order status and review score; a second review repeats the lines.
 
-    Reviews hang on the order, not on the line, so they are joined to the orders first
-    and both joins share the order id partitioning.
+    Reviews count only where the order is known. They are matched on the line's own order
+    id all the same, so that both joins share one partitioning and either can be split at
+    run time when an order has very many lines.
     """
-    context = orders.select("order_id", "order_customer_id", "order_status").join(
-        reviews.select("order_id", "review_score"), "order_id", "left"
+    context = orders.select(
+        "order_id", "order_customer_id", "order_status", F.lit(True).alias("_known")
     )
-    return items.join(context, "order_id", "left").select(
-        "order_id",
-        "order_item_id",
-        "order_customer_id",
-        "order_status",
-        "product_id",
-        "seller_id",
-        "shipping_limit_datetime",
-        "item_price",
-        "item_freight_value",
-        "review_score",
+    scores = reviews.select(F.col("order_id").alias("_reviewed"), "review_score")
+    return (
+        items.join(context, "order_id", "left")
+        .join(scores, (F.col("order_id") == F.col("_reviewed")) & F.col("_known"), "left")
+        .select(
+            "order_id",
+            "order_item_id",
+            "order_customer_id",
+            "order_status",
+            "product_id",
+            "seller_id",
+            "shipping_limit_datetime",
+            "item_price",
+            "item_freight_value",
+            "review_score",
+        )
     )
 
 

@@ -601,5 +601,6 @@ def mql_details_wide(deals: DataFrame, sellers: DataFrame) -> DataFrame:
                 "Severely Underperforming",
             ).alias("revenue_performance_category"),
         )
-        .orderBy(F.col("mql_first_contact_date").desc_nulls_first())
+        # The lead id only splits days with very many deals.
+        .orderBy(F.col("mql_first_contact_date").desc_nulls_first(), "mql_id")
     )

@@ -21,6 +21,7 @@ from martwright.operators.durable import durable, scratch_path
 from martwright.plans import checks
 from martwright.plans.catalog import MODELS, Warehouse
 from martwright.schemas import RAW_SCHEMAS
+from martwright.session import configure
 from martwright.sources import docs, files, tables
 from martwright.sources.naming import schema_name_column
 from martwright.sources.sample import SampleTables
@@ -55,7 +56,7 @@ class Inputs:
     """What a query reads: sample tables, canonical raw tables and models."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = configure(spark)
         self.sample = SampleTables(spark, folder)
         self.warehouse = Warehouse(self.sample.raw, as_of=AS_OF)
 
@@ -186,32 +187,28 @@ def _doc_rows(inputs: Inputs) -> DataFrame:
 
 @query
 def src_doc_catalog(inputs: Inputs) -> DataFrame:
-    """Conversations written as one description file each, then read back as column rows."""
+    """Conversations written as description files, then read back as column rows.
+
+    A file describes up to 32 turns, so that no conversation is too long for one.
+    """
     path = scratch_path(inputs.spark, "docs")
+    chunk = F.floor(F.col("column_pos") / 32).cast("string")
     column = F.struct(
         F.col("column_pos"),
-        F.struct(F.col("column_name").alias("name"), F.col("column_description").alias("description")).alias("c"),
+        F.struct(
+            F.col("column_name").alias("name"), F.col("column_description").alias("description")
+        ).alias("c"),
+    )
+    model = F.struct(
+        F.col("model").alias("name"), "description", F.col("columns.c").alias("columns")
     )
     described = (
         _doc_rows(inputs)
-        .groupBy("model_name", "description")
+        .groupBy(F.concat_ws(".", "model_name", chunk).alias("model"), "description")
         .agg(F.sort_array(F.collect_list(column)).alias("columns"))
-        .select(
-            "model_name",
-            F.to_json(
-                F.struct(
-                    F.array(
-                        F.struct(
-                            F.col("model_name").alias("name"),
-                            "description",
-                            F.col("columns.c").alias("columns"),
-                        )
-                    ).alias("models")
-                )
-            ).alias("value"),
-        )
+        .select("model", F.to_json(F.struct(F.array(model).alias("models"))).alias("value"))
     )
-    described.write.partitionBy("model_name").text(path)
+    described.write.partitionBy("model").text(path)
     return docs.read_doc_catalog(inputs.spark, path, "*.txt").drop("file_path")
 
 
@@ -354,28 +351,34 @@ def dq_schema_contract(inputs: Inputs) -> DataFrame:
 
 @query
 def dq_csv_shape(inputs: Inputs) -> DataFrame:
-    """The first records of a CSV of documents that break its shape.
+    """The first records of CSV files of documents that break the shape of their header.
 
-    Each document is written as one raw line block: a quoted text, and for some sources a
-    field too many or too few.
+    Every file has a header and the next 250 documents, each with its whole text quoted;
+    documents of some sources have a field too many or too few.
     """
     path = scratch_path(inputs.spark, "shape")
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
-    source = F.col("source")
+    source, part = F.col("source"), F.floor(F.col("doc_id") / 250).alias("part")
     line = (
         F.when(source == "src7", F.concat_ws(",", "doc_id", quoted))
         .when(source == "src11", F.concat_ws(",", "doc_id", "lang", quoted, F.lit("extra")))
         .otherwise(F.concat_ws(",", "doc_id", "lang", quoted))
     )
-    lines = inputs.table("documents").select("doc_id", line.alias("value"))
-    header = inputs.spark.range(1).select(
-        F.lit(-1).cast("long").alias("doc_id"), F.lit("doc_id,lang,text").alias("value")
-    )
-    # One file, so that the header leads it and record numbers are those of the document order.
-    header.unionByName(lines).repartitionByRange(1, "doc_id").sortWithinPartitions(
-        "doc_id"
-    ).select("value").write.text(path)
-    return files.csv_shape(inputs.spark, path).drop("file")
+    rows = inputs.table("documents")
+    lines = rows.select(part, "doc_id", line.alias("value"))
+    headers = rows.select(part).distinct().select(
+        "part", F.lit(-1).cast("long").alias("doc_id"), F.lit("doc_id,lang,text").alias("value")
+    )
+    (
+        headers.unionByName(lines)
+        .repartition("part")
+        .sortWithinPartitions("part", "doc_id")
+        .select("part", "value")
+        .write.partitionBy("part")
+        .text(path)
+    )
+    found = files.csv_shape(inputs.spark, path)
+    return found.withColumn("part", F.regexp_extract("file", r"part=(\d+)", 1)).drop("file")
 
 
 # Profiling

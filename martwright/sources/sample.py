@@ -169,30 +169,24 @@ class SampleTables:
         digit = key * 7 % 10
         first = F.struct(
             (key * 10).alias("review_id"),
+            key.alias("doc_id"),
             F.when(digit < 5, 5)
             .when(digit == 5, 4)
             .otherwise(digit - 5)
             .cast("int")
             .alias("review_score"),
-            F.col("text").alias("review_comment_message"),
             F.lit(25).alias("wait_days"),
         )
         second = F.struct(
             (key * 10 + 1).alias("review_id"),
+            F.lit(None).cast("long").alias("doc_id"),
             (1 + key % 5).cast("int").alias("review_score"),
-            F.lit(None).cast("string").alias("review_comment_message"),
             F.lit(30).alias("wait_days"),
         )
-        created = _after(F.col("o_orderdate"), days=F.col("r.wait_days"))
-        return (
+        reviews = (
             self.read("orders")
-            .join(
-                self.read("documents").select(F.col("doc_id").alias("o_orderkey"), "text"),
-                "o_orderkey",
-                "left",
-            )
             .select(
-                "o_orderkey",
+                key.alias("order_id"),
                 "o_orderdate",
                 F.explode(
                     F.array_compact(
@@ -200,15 +194,18 @@ class SampleTables:
                     )
                 ).alias("r"),
             )
-            .select(
-                "r.review_id",
-                F.col("o_orderkey").alias("order_id"),
-                "r.review_score",
-                F.lit(None).cast("string").alias("review_comment_title"),
-                "r.review_comment_message",
-                created.alias("review_creation_date"),
-                _after(created, days=2).alias("review_answer_timestamp"),
-            )
+            .select("order_id", "o_orderdate", "r.*")
+        )
+        messages = self.read("documents").select("doc_id", "text")
+        created = _after(F.col("o_orderdate"), days=F.col("wait_days"))
+        return reviews.join(messages, "doc_id", "left").select(
+            "review_id",
+            "order_id",
+            "review_score",
+            F.lit(None).cast("string").alias("review_comment_title"),
+            F.col("text").alias("review_comment_message"),
+            created.alias("review_creation_date"),
+            _after(created, days=2).alias("review_answer_timestamp"),
         )
 
     def _nations(self) -> DataFrame:

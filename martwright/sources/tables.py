@@ -78,6 +78,13 @@ def sink_table(
     return spark.table(f"`{database}`.`{name}`")
 
 
+def evenly_spread(df: DataFrame, key: str, buckets: int) -> bool:
+    """Whether no single key outweighs a bucket; two numbers reach the driver."""
+    sizes = df.groupBy(key).count().agg(F.max("count").alias("top"), F.sum("count").alias("all"))
+    top, rows = sizes.first()
+    return top is None or top * buckets <= rows
+
+
 def build_warehouse(
     spark: SparkSession,
     raw: Callable[[str], DataFrame],
@@ -89,18 +96,26 @@ def build_warehouse(
     """Build models layer by layer, each from the stored copy of the ones before.
 
     Staging and most marts become views, dimensions, facts and segments tables, in one
-    database per layer and environment.
+    database per layer and environment. Facts joined on the order id are bucketed on it, unless
+    one order outweighs a bucket: then the join has to stay a shuffle, which can be split.
     """
     warehouse = Warehouse(raw, as_of=as_of)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in models or list(MODELS):
         model = MODELS[name]
+        key = model.bucket_by
+        if key and not all(
+            evenly_spread(warehouse.get(source), key, buckets) for source in model.keyed_inputs
+        ):
+            key = None
         stored = sink_table(
             warehouse.get(name),
             name,
             schema_name_for_env(model.layer, env),
             model.stored,
-            model.bucket_by,
-            comments=(comments or {}).get(name),
+            key,
+            buckets,
+            (comments or {}).get(name),
         )
         warehouse.put(name, stored)
     return warehouse

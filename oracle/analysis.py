@@ -41,8 +41,8 @@ select order_date, cast(total_order_count as bigint) as total_order_count,
 from agg_daily_sales order by 3 desc, 1 limit 20
 """
 SQL["src_doc_catalog"] = """
-select cast(conv_id as varchar) as model_name, 'conversation' as description,
-  row_number() over (partition by conv_id order by turn) - 1 as column_pos, role as column_name,
+select conv_id || '.' || turn // 32 as model_name, 'conversation' as description,
+  row_number() over (partition by conv_id, turn // 32 order by turn) - 1 as column_pos, role as column_name,
   text as column_description
 from conversations
 """
@@ -162,9 +162,11 @@ where a.doc_id is null or b.doc_id is null
 """
 SQL["dq_csv_shape"] = """
 select record, cast(if(source = 'src7', 2, 4) as bigint) as fields, cast(3 as bigint) as expected,
-  count(*) over () as total_errors
-from (select source, row_number() over (order by doc_id) + 1 as record from documents)
-where source in ('src7', 'src11') order by record limit 20
+  count(*) over () as total_errors, part
+from (select source, cast(doc_id // 250 as varchar) as part,
+    row_number() over (partition by doc_id // 250 order by doc_id) + 1 as record
+  from documents)
+where source in ('src7', 'src11') order by part, record limit 20
 """
 
 # Profiling
