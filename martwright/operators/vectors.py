@@ -143,7 +143,7 @@ def _against_all(
                         metric,
                     )
                 )
-            found = [_best(found, k)]
+            found = [_best(found, k)] if found else []
         yield from found
 
     return corpus.select("id", "embedding").mapInPandas(search, schema)

@@ -128,7 +128,7 @@ def run_sql(spark: SparkSession, text: str, default_limit: int = 20) -> DataFram
     named ``credit_limit`` does not lift the cap.
     """
     text = text.strip().removesuffix(";").strip()
-    if text.split(None, 1)[0].lower() not in ("select", "with"):
+    if not text.lower().startswith(("select", "with")):
         raise ValueError("only SELECT statements are accepted")
     result = spark.sql(text)
     words = text.lower().replace("(", " ").replace(")", " ").split()

@@ -179,6 +179,13 @@ _ORDERS = [
     ("o_orderdate", "timestamp_ntz", "datetime"),
     ("o_orderpriority", "string", "other"),
 ]
+_LINES = [
+    *[(f"l_{c}", "bigint", "numeric") for c in ("orderkey", "partkey", "suppkey")],
+    ("l_linenumber", "int", "numeric"),
+    *[(f"l_{c}", "double", "numeric") for c in ("quantity", "extendedprice", "discount", "tax")],
+    *[(f"l_{c}", "string", "other") for c in ("returnflag", "linestatus")],
+    ("l_shipdate", "timestamp_ntz", "datetime"),
+]
 _EVENTS = [
     ("event_id", "bigint", "numeric"),
     ("ts", "timestamp_ntz", "datetime"),
@@ -242,6 +249,8 @@ from {roles}
 PARTS["orders_profile"] = _profile("orders", _ORDERS)
 PARTS["orders_roles"] = _roles("orders_profile")
 PARTS["orders_dataset"] = _dataset("orders_roles")
+PARTS["lines_profile"] = _profile("lineitem", _LINES)
+PARTS["lines_roles"] = _roles("lines_profile")
 PARTS["events_profile"] = _profile("events", _EVENTS)
 PARTS["events_roles"] = _roles("events_profile")
 PARTS["events_dataset"] = _dataset("events_roles")
@@ -270,9 +279,13 @@ SQL["profile_top_values"] = _union(
   select cast({c} as varchar) as value, count(*) as occurrences,
     row_number() over (order by count(*) desc, cast({c} as varchar)) as rank
   from lineitem where {c} is not null group by {c}) where rank <= 10"""
-        for c in "l_linenumber l_discount l_tax l_returnflag l_linestatus".split()
+        for c, _, _ in _LINES
     ]
 )
+SQL["profile_top_values"] = f"""
+select * from ({SQL["profile_top_values"]})
+where column_name in (select column_name from lines_roles where is_categorical)
+"""
 SQL["profile_roles"] = "select * exclude (kind) from events_roles"
 SQL["profile_dataset"] = "select * from events_dataset"
 SQL["insight_summary"] = """
@@ -308,10 +321,11 @@ from (
 where title is not null order by place limit 4
 """
 SQL["chart_fallback"] = """
-select cast(1 as bigint) as rank, 'line' as chart_type,
-  string_split(datetime_columns, ',')[1] as x, string_split(primary_metrics, ',')[1] as y,
-  cast(null as varchar) as color, string_split(primary_metrics, ',')[1] || ' Over Time' as title
-from event_numbers_dataset where primary_dimensions = ''
+select cast(1 as bigint) as rank, if(dim = '', 'line', 'bar') as chart_type, if(dim = '', time, dim) as x,
+  metric as y, cast(null as varchar) as color, if(dim = '', metric || ' Over Time', metric || ' by ' || dim) as title
+from (select string_split(primary_dimensions, ',')[1] as dim, string_split(datetime_columns, ',')[1] as time,
+    string_split(primary_metrics, ',')[1] as metric
+  from event_numbers_dataset)
 """
 SQL["chart_top10"] = """
 select product_id, cast(sum(item_price) as double) as item_price from fact_order_lines
