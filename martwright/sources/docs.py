@@ -69,6 +69,17 @@ def read_doc_catalog(
     )
 
 
+def column_comments(catalog: DataFrame) -> dict[str, dict[str, str]]:
+    """Column descriptions by model, as the table builder takes them.
+
+    This is metadata of the size of the description files.
+    """
+    comments: dict[str, dict[str, str]] = {}
+    for row in catalog.where("column_name is not null").collect():
+        comments.setdefault(row["model_name"], {})[row["column_name"]] = row["column_description"]
+    return comments
+
+
 def vector_upsert(docs: DataFrame, store: str, key: str = "doc_id") -> DataFrame:
     """Append the documents whose id the store lacks, and return the store.
 

@@ -108,6 +108,8 @@ def test_doc_catalog(spark, tmp_path):
         ("m2", "", 0, None, None),
         ("m3", "", 0, "x", "é"),
     ]
+    comments = docs.column_comments(docs.read_doc_catalog(spark, str(tmp_path)))
+    assert comments == {"m1": {"c1": "one", "c2": ""}, "m3": {"x": "é"}}
 
 
 def test_vector_upsert_keeps_what_is_stored(spark, tmp_path):
