@@ -175,9 +175,9 @@ def fact_orders(
 ) -> DataFrame:
     """One row per order with line, payment and review totals.
 
-    The three detail tables are reduced to order grain before they are joined, and all
-    of them share the order id partitioning, so the joins add no further shuffle; the
-    customer lookup by per-order id is the only other one.
+    The customer lookup by per-order id comes first, while the rows are narrow. The three
+    detail tables are reduced to order grain before they are joined; they share the order id
+    partitioning, and so does the result.
     """
     price, freight = F.sum("item_price"), F.sum("item_freight_value")
     per_items = items.groupBy("order_id").agg(
@@ -212,10 +212,10 @@ def fact_orders(
         return F.coalesce(column, money(F.lit(0))).alias(column)
 
     return (
-        orders.join(per_items, "order_id", "left")
+        orders.join(people, "order_customer_id", "left")
+        .join(per_items, "order_id", "left")
         .join(per_payments, "order_id", "left")
         .join(per_reviews, "order_id", "left")
-        .join(people, "order_customer_id", "left")
         .select(
             "order_id",
             "customer_id",
@@ -355,8 +355,9 @@ def fact_product_daily_metrics(
     """Sales of a product per purchase day, without canceled and unavailable orders.
 
     ``units_refunded`` is always 0 because the filter has already removed what it counts.
-    Lines are first reduced per order, which needs no shuffle after the join. The first row of
-    an order there stands for the order, so orders are counted without a distinct count.
+    Lines are reduced per order before and after they meet it, which takes no further shuffle.
+    The first row of an order there stands for the order, so orders are counted without a
+    distinct count.
     """
     context = orders.where(~F.col("order_status").isin(LOST_STATUSES)).select(
         "order_id",
@@ -365,18 +366,27 @@ def fact_product_daily_metrics(
         day_of("order_purchase_datetime").alias("order_date"),
     )
     price, score = F.col("item_price"), F.col("review_score")
+    reduced = lines.groupBy("product_id", "order_id", "seller_id").agg(
+        F.count("*").alias("n"),
+        F.sum(price).alias("price"),
+        F.count(price).alias("priced"),
+        F.min(price).alias("lowest"),
+        F.max(price).alias("highest"),
+        F.sum("item_freight_value").alias("freight"),
+        F.sum(score).alias("score"),
+        F.count(score).alias("scored"),
+    )
+    totals = ["price", "priced", "freight", "score", "scored"]
     per_order = (
-        lines.join(context, "order_id")
+        reduced.join(context, "order_id")
         .groupBy("product_id", "order_date", "order_id", "customer_id", "seller_id")
         .agg(
-            count_when(F.col("_status") == "Canceled").alias("refunded"),
-            F.sum(price).alias("price"),
-            F.count(price).alias("priced"),
-            F.min(price).alias("lowest"),
-            F.max(price).alias("highest"),
-            F.sum("item_freight_value").alias("freight"),
-            F.sum(score).alias("score"),
-            F.count(score).alias("scored"),
+            F.sum(F.when(F.col("_status") == "Canceled", F.col("n")).otherwise(0)).alias(
+                "refunded"
+            ),
+            F.min("lowest").alias("lowest"),
+            F.max("highest").alias("highest"),
+            *[F.sum(c).alias(c) for c in totals],
         )
     )
     same_order = Window.partitionBy("order_id", "product_id", "order_date").orderBy(
@@ -416,18 +426,22 @@ def last_order_day(orders: DataFrame) -> Column:
 def bridge_product_seller(lines: DataFrame, orders: DataFrame) -> DataFrame:
     context = orders.select("order_id", day_of("order_purchase_datetime").alias("sale_date"))
     price, score = F.col("item_price"), F.col("review_score")
+    reduced = lines.groupBy("product_id", "seller_id", "order_id").agg(
+        F.count("*").alias("line_items"),
+        F.sum(price).alias("price"),
+        F.count(price).alias("priced"),
+        F.sum("item_freight_value").alias("freight"),
+        F.sum(score).alias("score"),
+        F.count(score).alias("scored"),
+    )
+    totals = ["line_items", "price", "priced", "freight", "score", "scored"]
     per_order = (
-        lines.join(context, "order_id", "left")
+        reduced.join(context, "order_id", "left")
         .groupBy("product_id", "seller_id", "order_id")
         .agg(
             F.min("sale_date").alias("first_sale"),
             F.max("sale_date").alias("last_sale"),
-            F.count("*").alias("line_items"),
-            F.sum(price).alias("price"),
-            F.count(price).alias("priced"),
-            F.sum("item_freight_value").alias("freight"),
-            F.sum(score).alias("score"),
-            F.count(score).alias("scored"),
+            *[F.sum(c).alias(c) for c in totals],
         )
     )
     price_sum, freight_sum = F.sum("price"), F.sum("freight")

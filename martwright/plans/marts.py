@@ -1,9 +1,9 @@
 """Marts over the facts.
 
-Seller and product marts reduce the lines per (entity, order) right after the join on the
-order id, where that takes no shuffle. Distinct orders then become plain counts, and only
-pre-aggregated rows travel to the entity, so an entity owning a third of all lines
-costs no more than any other.
+Seller and product marts reduce the lines per (entity, order) before they meet the orders, so
+an order with very many lines is small by then, and once more right after, where that takes no
+shuffle. Distinct orders then become plain counts, and only reduced rows travel to the
+entity, so an entity owning a third of all lines costs no more than any other.
 """
 
 from __future__ import annotations
@@ -30,6 +30,11 @@ def _avg(total: Column, count: Column) -> Column:
     return money(r2(quotient(total, count)))
 
 
+def _lines(condition: Column) -> Column:
+    """Lines, held as ``n`` per reduced row, that meet the condition."""
+    return F.sum(F.when(condition, F.col("n")).otherwise(0))
+
+
 def _percent(part: Column | str, whole: Column | str) -> Column:
     return money(r2(quotient(part, whole) * 100))
 
@@ -255,22 +260,25 @@ def agg_seller_performance(lines: DataFrame, orders: DataFrame) -> DataFrame:
         "payment_total",
         day_of("order_purchase_datetime").alias("sale_date"),
     )
-    status, score = F.col("order_status"), F.col("review_score")
+    status, score, n = F.col("order_status"), F.col("review_score"), F.col("n")
+    reduced = lines.groupBy("seller_id", "order_id").agg(
+        F.count("*").alias("n"), F.sum(score).alias("score"), F.count(score).alias("scored")
+    )
+    paid = F.col("payment_total") * n
     per_order = (
-        lines.select("order_id", "seller_id", "review_score")
-        .join(context, "order_id")
+        reduced.join(context, "order_id")
         .groupBy("seller_id", "order_id")
         .agg(
             F.min("sale_date").alias("first_sale"),
             F.max("sale_date").alias("last_sale"),
-            F.sum("order_total").alias("total"),
-            F.count("order_total").alias("valued"),
-            count_when(status == "Canceled").alias("canceled"),
-            count_when(status == "Unavailable").alias("unavailable"),
-            sum_when(status == "Canceled", "payment_total").alias("lost_canceled"),
-            sum_when(status == "Unavailable", "payment_total").alias("lost_unavailable"),
-            F.sum(score).alias("score"),
-            F.count(score).alias("scored"),
+            F.sum(F.col("order_total") * n).alias("total"),
+            _lines(F.col("order_total").isNotNull()).alias("valued"),
+            _lines(status == "Canceled").alias("canceled"),
+            _lines(status == "Unavailable").alias("unavailable"),
+            sum_when(status == "Canceled", paid).alias("lost_canceled"),
+            sum_when(status == "Unavailable", paid).alias("lost_unavailable"),
+            F.sum("score").alias("score"),
+            F.sum("scored").alias("scored"),
         )
     )
     grouped = per_order.groupBy("seller_id").agg(
@@ -325,24 +333,30 @@ def agg_seller_health_scorecard(lines: DataFrame, orders: DataFrame) -> DataFram
         (delivered <= F.col("order_estimated_delivery_datetime")).alias("on_time"),
         seconds_between(delivered, "order_purchase_datetime").alias("seconds"),
     )
-    status, score = F.col("order_status"), F.col("review_score")
+    status, score, n = F.col("order_status"), F.col("review_score"), F.col("n")
+    reduced = lines.groupBy("seller_id", "order_id").agg(
+        F.count("*").alias("n"),
+        F.sum("item_price").alias("price"),
+        F.sum(score).alias("score"),
+        F.count(score).alias("scored"),
+        F.max(score).alias("best"),
+    )
     per_order = (
-        lines.select("order_id", "seller_id", "item_price", "review_score")
-        .join(context, "order_id", "left")
+        reduced.join(context, "order_id", "left")
         .groupBy("seller_id", "order_id")
         .agg(
-            F.count("*").alias("n"),
-            count_when(~status.isin(LOST_STATUSES)).alias("completed"),
-            count_when(status == "Canceled").alias("canceled"),
-            F.sum("item_price").alias("price"),
-            F.sum("payment_total").alias("paid"),
-            F.count("payment_total").alias("paid_lines"),
-            count_when(F.col("on_time")).alias("on_time"),
-            F.sum("seconds").alias("seconds"),
-            F.count("seconds").alias("timed_lines"),
-            F.sum(score).alias("score"),
-            F.count(score).alias("scored"),
-            F.max(score).alias("best"),
+            F.sum(n).alias("n"),
+            _lines(~status.isin(LOST_STATUSES)).alias("completed"),
+            _lines(status == "Canceled").alias("canceled"),
+            F.sum("price").alias("price"),
+            F.sum(F.col("payment_total") * n).alias("paid"),
+            _lines(F.col("payment_total").isNotNull()).alias("paid_lines"),
+            _lines(F.col("on_time")).alias("on_time"),
+            F.sum(F.col("seconds") * n).alias("seconds"),
+            _lines(F.col("seconds").isNotNull()).alias("timed_lines"),
+            F.sum("score").alias("score"),
+            F.sum("scored").alias("scored"),
+            F.max("best").alias("best"),
             F.min("sale_date").alias("first_sale"),
             F.max("sale_date").alias("last_sale"),
         )
@@ -435,16 +449,18 @@ def agg_product_quality_metrics(lines: DataFrame, orders: DataFrame) -> DataFram
     )
     score = F.col("review_score")
     stars = [5, 4, 3, 2, 1]
+    reduced = lines.groupBy("product_id", "order_id").agg(
+        F.sum(score).alias("score"),
+        F.count(score).alias("scored"),
+        *[count_when(score == s).alias(f"star_{s}") for s in stars],
+        count_when(score >= 4).alias("satisfied"),
+    )
+    totals = [c for c in reduced.columns if c not in ("product_id", "order_id")]
     per_order = (
-        lines.select("order_id", "product_id", "review_score")
-        .join(context, "order_id", "left")
+        reduced.join(context, "order_id", "left")
         .groupBy("product_id", "order_id")
         .agg(
-            F.max("is_canceled").alias("is_canceled"),
-            F.sum(score).alias("score"),
-            F.count(score).alias("scored"),
-            *[count_when(score == s).alias(f"star_{s}") for s in stars],
-            count_when(score >= 4).alias("satisfied"),
+            F.max("is_canceled").alias("is_canceled"), *[F.sum(c).alias(c) for c in totals]
         )
     )
     reviewed, returned = count_when(F.col("scored") > 0), count_when(F.col("is_canceled"))
