@@ -2,7 +2,10 @@
 
 import contextlib
 import io
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from martwright.plans.queries import Inputs, all_queries
 
 from conftest import SAMPLE
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def plan_of(df, mode=None):
     out = io.StringIO()
@@ -107,3 +111,21 @@ def test_vector_search_does_not_move_the_corpus(spark):
     vecs = Inputs(spark, SAMPLE).table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
     plan = plan_of(vectors.vector_topk(vecs, vecs))
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """A driver started elsewhere, whose workers cannot import the package."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+from __spark_entry__ import queries
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("vector_topk", "correlation_matrix", "src_doc_catalog"):
+    assert queries()[name](spark, {SAMPLE!r}).count() > 0
+print("all ran")
+"""
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300
+    )
+    assert "all ran" in done.stdout, done.stderr[-2000:]
