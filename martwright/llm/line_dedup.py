@@ -1,4 +1,4 @@
-"""Exact line deduplication that returns run-length compressed keep bitmaps.
+"""Exact line deduplication that returns compressed keep bitmaps.
 
 Method: every line is reduced to the md5 of its key. The (hash, document, position) rows are
 range-partitioned on (hash, document) and sorted by (hash, document, position). The document is
@@ -14,15 +14,30 @@ count as one document. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
+WORD = 64  # lines in a word of a bitmap
+# What lower() may change beyond ASCII: capitals, and code points that the regex library does not
+# know; a test goes through all of them.
+OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^\x00-\x7F]]"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+    """The line without blanks at its ends, A to Z lower-cased.
+
+    ``translate`` looks up every character, at forty times the price of ``lower``, so it is left to
+    lines in which ``lower`` would change more than A to Z; blanks are cut where there are any.
+    """
+    blank_end = reduce(or_, [line.startswith(b) | line.endswith(b) for b in BLANKS])
+    text = F.when(blank_end, F.btrim(line, F.lit(BLANKS))).otherwise(line)
+    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(OTHER_UPPER)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def _prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -41,8 +56,8 @@ def keep_bitmaps(
 ) -> DataFrame:
     """Bitmaps of the documents that lose lines; a document not listed keeps all its lines.
 
-    Output: ``_doc``, ``_version`` (xxhash64 of the text), ``n_dropped`` and ``dropped`` (the
-    sorted positions, from which ``keep_runs`` makes the runs of kept lines).
+    Output: ``_doc``, ``_version`` (xxhash64 of the text), ``n_dropped`` and ``keep``: bit
+    i % 64 of word i // 64 says whether line i is kept; words after the last lost line are left out.
     """
     lines = _prepared(docs, doc_id, text).select(
         "_doc", "_version", F.posexplode(F.split("_text", "\n")).alias("_position", "_line")
@@ -62,32 +77,53 @@ def keep_bitmaps(
     frequent = first.groupBy("_hash").agg(F.count("*").alias("_docs"))
     frequent = frequent.where(F.col("_docs") >= min_docs).select("_hash")
     places = first.join(frequent, "_hash").select("_doc", F.explode("_places").alias("_place"))
-    return (
-        places.groupBy("_doc", F.col("_place._version").alias("_version"))
-        .agg(F.array_sort(F.collect_set("_place._position")).alias("dropped"))
-        .withColumn("n_dropped", F.size("dropped").cast("long"))
+    position = F.col("_place._position")
+    words = places.groupBy(
+        "_doc",
+        F.col("_place._version").alias("_version"),
+        F.floor(position / WORD).cast("int").alias("word"),
+    ).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), position % WORD)).alias("lost"))
+    listed = words.groupBy("_doc", "_version").agg(
+        F.sum(F.bit_count("lost")).alias("n_dropped"),
+        F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("lost").alias("kept")))).alias(
+            "_words"
+        ),
+    )
+    return listed.select("_doc", "_version", "n_dropped", _filled(F.col("_words")).alias("keep"))
+
+
+def _filled(words: Column) -> Column:
+    """All words of a bitmap from its sorted (word, kept) that lose a line."""
+    numbers = F.transform(words, lambda w: w["word"])
+    before = F.concat(F.array(F.lit(-1)), F.slice(numbers, 1, F.size(words) - 1))
+    every = F.lit(-1).cast("long")
+    return F.flatten(
+        F.transform(
+            F.arrays_zip(words.alias("own"), before.alias("before")),
+            lambda w: F.concat(
+                F.array_repeat(every, w["own"]["word"] - w["before"] - 1), F.array(w["own"]["kept"])
+            ),
+        )
     )
 
 
-def keep_runs(dropped: Column, n_lines: Column) -> Column:
-    """Run-length form of the keep bitmap: (start, length) of each run of kept lines."""
-    edges = F.concat(F.array(F.lit(-1)), dropped, F.array(n_lines.cast("int")))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(dropped) + 1),
-        lambda i: F.struct(
-            (F.element_at(edges, i) + 1).alias("start"),
-            (F.element_at(edges, i + 1) - F.element_at(edges, i) - 1).alias("length"),
-        ),
-    )
-    return F.filter(runs, lambda run: run["length"] > 0)
+def kept_lines(lines: Column, keep: Column) -> Column:
+    """The lines whose bit is set, or that lie beyond the bitmap; one pass."""
+
+    def is_kept(_: Column, i: Column) -> Column:
+        word = F.get(keep, F.floor(i / WORD).cast("int"))
+        bit = F.call_function("shiftrightunsigned", word, i % WORD).bitwiseAND(F.lit(1))
+        return F.coalesce(bit, F.lit(1)) == 1
+
+    return F.filter(lines, is_kept)
 
 
 def apply_bitmaps(
     docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``row`` (all columns of a document), ``n_lines``, ``n_dropped``, ``keep_runs``, ``kept_text``.
+    """``row`` (all columns of a document), ``n_lines``, ``n_dropped``, ``keep``, ``kept_text``.
 
-    ``keep_runs`` is NULL where all lines are kept.
+    ``keep`` is NULL where all lines are kept.
     """
     rows = docs.select(
         F.struct("*").alias("row"),
@@ -95,27 +131,16 @@ def apply_bitmaps(
         F.coalesce(F.col(text), F.lit("")).alias("_whole"),
     ).withColumn("_row_version", F.xxhash64("_whole"))
     joined = rows.join(
-        bitmaps.select("_doc", "_version", "n_dropped", "dropped"),
+        bitmaps.select("_doc", "_version", "n_dropped", "keep"),
         F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_row_version") == F.col("_version")),
         "left",
     )
-    touched = F.col("dropped").isNotNull()
-    n_lines = F.length("_whole") - F.length(F.translate("_whole", "\n", "")) + 1
-    # Lines are split only in documents that lose some.
     lines = F.split("_whole", "\n")
-    kept = F.flatten(
-        F.transform("keep_runs", lambda run: F.slice(lines, run["start"] + 1, run["length"]))
-    )
-    return joined.withColumns(
-        {
-            "n_lines": n_lines.cast("long"),
-            "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"),
-            "keep_runs": F.when(touched, keep_runs(F.col("dropped"), n_lines)),
-        }
-    ).select(
+    kept = F.array_join(kept_lines(lines, F.col("keep")), "\n")
+    return joined.select(
         "row",
-        "n_lines",
-        "n_dropped",
-        "keep_runs",
-        F.when(touched, F.array_join(kept, "\n")).otherwise(F.col("_whole")).alias("kept_text"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        "keep",
+        F.when(F.col("keep").isNotNull(), kept).otherwise(F.col("_whole")).alias("kept_text"),
     )
