@@ -4,8 +4,8 @@ Writing uses DataFrame functions only: a record is one string, and Spark's text
 two line breaks after each. Of records with equal payloads of at least ``min_bytes`` bytes, the
 one with the smallest id is a ``response``; the others are ``revisit`` records without payload.
 
-Reading: every file is walked record by record. A record must have a version line, a header block,
-a content length that ends at two line breaks, and, where it states a payload digest, a payload
+Reading: every file is walked record by record. A record must have a version line, a header block
+with the mandatory fields, a content length that ends at two line breaks, and, where it states a payload digest, a payload
 with that digest. After a failed check the reader searches for the next valid version line (in a
 gzip file: the next valid member), recovers what follows, and logs the bytes between as a gap.
 Files are read whole, one at a time in a task, so the writer bounds the records in a file.
@@ -32,6 +32,7 @@ from martwright.llm.common import stored
 RECORD_END = "\r\n\r\n"
 HEADER_LIMIT = 1 << 16
 RECORDS_PER_FILE = 2000
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 # Digits of base 32 as Spark's conv writes them, and the alphabet of RFC 4648.
 CONV_DIGITS, RFC_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -147,7 +148,9 @@ def parse_record(data: bytes, start: int) -> tuple[int, dict] | str:
         if not colon:
             return "bad header line"
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    length = fields.get("content-length", "")
+    if not MANDATORY <= fields.keys():
+        return "mandatory header missing"
+    length = fields["content-length"]
     if not re.fullmatch(r"\d{1,18}", length):
         return "bad content length"
     block_start = head_end + 4
