@@ -20,6 +20,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martwright.llm.common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = 64  # lines in a word of a bitmap
@@ -74,6 +76,8 @@ def keep_bitmaps(
     first = ranged.groupBy("_hash", "_doc").agg(
         F.collect_list(F.struct("_version", "_position")).alias("_places")
     )
+    # Stored, as it is counted first and then joined with the counts: the texts are split once.
+    first = stored(first, "line-hashes")
     frequent = first.groupBy("_hash").agg(F.count("*").alias("_docs"))
     frequent = frequent.where(F.col("_docs") >= min_docs).select("_hash")
     places = first.join(frequent, "_hash").select("_doc", F.explode("_places").alias("_place"))

@@ -18,11 +18,11 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martwright.llm.tagger import Tagger
@@ -31,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 TRIGGER = "[0-9@]"
 WIDTH, STRIDE = 96, 48
 TRAINING_WINDOWS = 1200
-TRAINING_STEPS, TRAINING_BATCH, TRAINING_RATE = 260, 32, 0.02
+TRAINING_STEPS, TRAINING_BATCH, TRAINING_RATE = 400, 32, 0.02
 CONFIDENCE = 0.9
 WINDOWS_AT_ONCE = 1024
 
@@ -311,30 +311,30 @@ def find(docs: DataFrame, tagger: Tagger | None, text: str = "text") -> DataFram
     )
 
 
-def digest_columns(found: DataFrame) -> DataFrame:
-    """``row``, the counts of base spans, their SHA-256, and all spans as text."""
-    listed: Callable = lambda spans: F.array_join(
-        F.transform(
-            spans,
-            lambda s: F.concat_ws(
-                ":", F.element_at(F.array(*map(F.lit, KINDS)), s[2] + 1), s[0], s[1]
-            ),
-        ),
+def _listed(spans: Column) -> Column:
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s[2] + 1), s[0], s[1])),
         ",",
     )
-    ordered = F.array_sort(
-        F.transform(F.concat("base", "added"), lambda s: F.array(s[0], s[2], s[1]))
-    )
-    ordered = F.transform(ordered, lambda s: F.array(s[0], s[2], s[1]))
-    counts = [
-        F.size(F.filter("base", lambda s, kind=kind: s[2] == kind)).cast("long").alias(f"n_{name}")
-        for kind, name in enumerate(KINDS)
-    ]
+
+
+def _count(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s[2] == kind)).cast("long")
+
+
+def digest_columns(found: DataFrame) -> DataFrame:
+    """``row``, the counts of base spans, their SHA-256, and all spans as text."""
+
+    def swapped(spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.array(s[0], s[2], s[1]))
+
+    ordered = swapped(F.array_sort(swapped(F.concat("base", "added"))))
     return found.select(
         "row",
-        *counts,
-        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
-        listed(ordered).alias("spans"),
+        *[_count("base", kind).alias(f"n_{name}") for kind, name in enumerate(KINDS)],
+        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
+        _listed(ordered).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
     )
 

@@ -13,64 +13,81 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray):
-    """States (time, batch, hidden) and what the backward pass needs; x: (time, batch, in)."""
-    steps, batch, _ = x.shape
-    hidden = wh.shape[0]
-    pre = x @ wx + b
-    h, c = np.zeros((batch, hidden)), np.zeros((batch, hidden))
-    states, cells, gates = [], [], []
+    """States of both directions and what the backward pass needs.
+
+    ``x`` is (time, direction, batch, in), the second direction reversed in time; parameters have
+    the direction first. The result is (time, direction, batch, hidden).
+    """
+    steps, _, batch, _ = x.shape
+    hidden = wh.shape[1]
+    pre = x @ wx + b[:, None]
+    h, c = np.zeros((2, batch, hidden)), np.zeros((2, batch, hidden))
+    states, cells = np.empty((2, steps, 2, batch, hidden))
+    gates = np.empty((steps, 2, batch, 4 * hidden))
     for t in range(steps):
         z = pre[t] + h @ wh
-        i, f, o = (_sigmoid(z[:, k * hidden : (k + 1) * hidden]) for k in range(3))
-        g = np.tanh(z[:, 3 * hidden :])
+        gate = gates[t]
+        gate[..., : 3 * hidden] = _sigmoid(z[..., : 3 * hidden])
+        np.tanh(z[..., 3 * hidden :], out=gate[..., 3 * hidden :])
+        i, f, o, g = np.split(gate, 4, axis=2)
         c = f * c + i * g
         h = o * np.tanh(c)
-        states.append(h)
-        cells.append(c)
-        gates.append((i, f, o, g))
-    return np.stack(states), (cells, gates)
+        states[t], cells[t] = h, c
+    return states, cells, gates
 
 
-def _lstm_gradients(x, wx, wh, kept, states, d_states):
-    cells, gates = kept
-    steps, batch, hidden = states.shape
-    dz_all = np.empty((steps, batch, 4 * hidden))
-    dh_next, dc_next = np.zeros((batch, hidden)), np.zeros((batch, hidden))
+def _lstm_gradients(x, wx, wh, states, cells, gates, d_states):
+    steps, _, batch, hidden = states.shape
+    d_pre = np.empty_like(gates)
+    dh_next, dc_next = np.zeros((2, batch, hidden)), np.zeros((2, batch, hidden))
+    squashed = np.tanh(cells)
+    back = wh.transpose(0, 2, 1)
+    first = np.zeros((2, batch, hidden))
     for t in reversed(range(steps)):
-        i, f, o, g = gates[t]
-        squashed = np.tanh(cells[t])
+        i, f, o, g = np.split(gates[t], 4, axis=2)
         dh = d_states[t] + dh_next
-        dc = dc_next + dh * o * (1 - squashed**2)
-        before = cells[t - 1] if t else np.zeros_like(dc)
-        dz = dz_all[t]
-        dz[:, :hidden] = dc * g * i * (1 - i)
-        dz[:, hidden : 2 * hidden] = dc * before * f * (1 - f)
-        dz[:, 2 * hidden : 3 * hidden] = dh * squashed * o * (1 - o)
-        dz[:, 3 * hidden :] = dc * i * (1 - g**2)
-        dh_next, dc_next = dz @ wh.T, dc * f
-    h_before = np.concatenate([np.zeros((1, batch, hidden)), states[:-1]])
-    d_wx = np.einsum("tbi,tbj->ij", x, dz_all)
-    d_wh = np.einsum("tbi,tbj->ij", h_before, dz_all)
-    return dz_all @ wx.T, d_wx, d_wh, dz_all.sum(axis=(0, 1))
+        dc = dc_next + dh * o * (1 - squashed[t] ** 2)
+        before = cells[t - 1] if t else first
+        dz = d_pre[t]
+        dz[..., :hidden] = dc * g * i * (1 - i)
+        dz[..., hidden : 2 * hidden] = dc * before * f * (1 - f)
+        dz[..., 2 * hidden : 3 * hidden] = dh * squashed[t] * o * (1 - o)
+        dz[..., 3 * hidden :] = dc * i * (1 - g**2)
+        dh_next, dc_next = dz @ back, dc * f
+    h_before = np.concatenate([first[None], states[:-1]])
+
+    def summed(left: np.ndarray) -> np.ndarray:
+        """Over time and batch: (direction, left's width, 4 * hidden)."""
+        flat = left.transpose(1, 0, 2, 3).reshape(2, steps * batch, -1)
+        return flat.transpose(0, 2, 1) @ d_pre.transpose(1, 0, 2, 3).reshape(2, steps * batch, -1)
+
+    return d_pre @ wx.transpose(0, 2, 1), summed(x), summed(h_before), d_pre.sum(axis=(0, 2))
 
 
 def _lattice(emissions: np.ndarray, p: Parameters):
-    """Log forward and backward sums over tag paths."""
+    """Tag probabilities, transition weights of neighbours and log sums over all tag paths.
+
+    Forward and backward sums are scaled to one at every step, so they need no logarithms.
+    """
     steps = len(emissions)
-    forward, backward = np.empty_like(emissions), np.zeros_like(emissions)
-    forward[0] = emissions[0] + p["start"]
-    for t in range(1, steps):
-        forward[t] = emissions[t] + _logsumexp(forward[t - 1][:, :, None] + p["move"], 1)
+    tops = emissions.max(axis=2, keepdims=True)
+    weight, move = np.exp(emissions - tops), np.exp(p["move"])
+    forward, backward = np.empty_like(weight), np.ones_like(weight)
+    scales = np.empty(weight.shape[:2])
+    step = weight[0] * np.exp(p["start"])
+    for t in range(steps):
+        if t:
+            step = (forward[t - 1] @ move) * weight[t]
+        scales[t] = step.sum(axis=1)
+        forward[t] = step / scales[t][:, None]
+    turned = move.T
     for t in reversed(range(steps - 1)):
-        ahead = (emissions[t + 1] + backward[t + 1])[:, None, :] + p["move"]
-        backward[t] = _logsumexp(ahead, 2)
-    return forward, backward, _logsumexp(forward[-1], 1)
+        backward[t] = ((weight[t + 1] * backward[t + 1]) @ turned) / scales[t + 1][:, None]
+    total = np.log(scales).sum(axis=0) + tops[..., 0].sum(axis=0)
+    ahead = weight[1:] * backward[1:] / scales[1:][..., None]
+    moves = move * np.einsum("tbi,tbj->ij", forward[:-1], ahead)
+    return forward * backward, moves, total
 
 
 @dataclass
@@ -87,57 +104,44 @@ class Tagger:
             return rng.normal(0, 1 / np.sqrt(shape[0]), shape)
 
         p = {"embed": rng.normal(0, 0.5, (n_classes, size))}
-        for way in ("f", "b"):
-            p[f"wx_{way}"], p[f"wh_{way}"] = normal(size, 4 * hidden), normal(hidden, 4 * hidden)
-            p[f"bias_{way}"] = np.zeros(4 * hidden)
-            p[f"bias_{way}"][hidden : 2 * hidden] = 1.0
+        p["wx"] = np.stack([normal(size, 4 * hidden) for _ in range(2)])
+        p["wh"] = np.stack([normal(hidden, 4 * hidden) for _ in range(2)])
+        p["bias"] = np.zeros((2, 4 * hidden))
+        p["bias"][:, hidden : 2 * hidden] = 1.0
         p["out"], p["out_bias"] = normal(2 * hidden, n_tags), np.zeros(n_tags)
         p["move"], p["start"] = np.zeros((n_tags, n_tags)), np.zeros(n_tags)
         return Tagger(p)
 
     def _emissions(self, ids: np.ndarray):
         p = self.parameters
-        x = p["embed"][ids.T]
-        ahead, kept_f = _lstm(x, p["wx_f"], p["wh_f"], p["bias_f"])
-        back, kept_b = _lstm(x[::-1], p["wx_b"], p["wh_b"], p["bias_b"])
-        both = np.concatenate([ahead, back[::-1]], axis=2)
-        return both @ p["out"] + p["out_bias"], (x, ahead, kept_f, back, kept_b, both)
+        plain = p["embed"][ids.T]
+        x = np.stack([plain, plain[::-1]], axis=1)
+        states, cells, gates = _lstm(x, p["wx"], p["wh"], p["bias"])
+        both = np.concatenate([states[:, 0], states[::-1, 1]], axis=2)
+        return both @ p["out"] + p["out_bias"], (x, states, cells, gates, both)
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, Parameters]:
         """Mean negative log-likelihood of the tag paths, and its gradients."""
         p, batch = self.parameters, len(ids)
-        emissions, (x, ahead, kept_f, back, kept_b, both) = self._emissions(ids)
-        steps, _, n_tags = emissions.shape
+        emissions, (x, states, cells, gates, both) = self._emissions(ids)
         path = tags.T
-        forward, backward, total = _lattice(emissions, p)
-        rows = np.arange(batch)
-        gold = p["start"][path[0]] + emissions[0][rows, path[0]]
-        for t in range(1, steps):
-            gold = gold + emissions[t][rows, path[t]] + p["move"][path[t - 1], path[t]]
-        d_emit = np.exp(forward + backward - total[:, None])
-        d_emit[np.arange(steps)[:, None], rows, path] -= 1
-        d_move = np.zeros((n_tags, n_tags))
-        pairs = (
-            forward[:-1][..., None]
-            + p["move"]
-            + (emissions[1:] + backward[1:])[:, :, None, :]
-            - total[None, :, None, None]
-        )
-        d_move += np.exp(pairs).sum(axis=(0, 1))
+        steps, hidden = len(path), states.shape[3]
+        d_emit, d_move, total = _lattice(emissions, p)
+        at = (np.arange(steps)[:, None], np.arange(batch), path)
+        gold = p["start"][path[0]] + emissions[at].sum(axis=0)
+        gold = gold + p["move"][path[:-1], path[1:]].sum(axis=0)
+        d_emit[at] -= 1
         np.add.at(d_move, (path[:-1].ravel(), path[1:].ravel()), -1)
         d = {"move": d_move, "start": d_emit[0].sum(axis=0)}
-        d["out"] = np.einsum("tbi,tbj->ij", both, d_emit)
+        d["out"] = both.reshape(steps * batch, -1).T @ d_emit.reshape(steps * batch, -1)
         d["out_bias"] = d_emit.sum(axis=(0, 1))
         d_both = d_emit @ p["out"].T
-        hidden = ahead.shape[2]
-        dx_f, d["wx_f"], d["wh_f"], d["bias_f"] = _lstm_gradients(
-            x, p["wx_f"], p["wh_f"], kept_f, ahead, d_both[:, :, :hidden]
-        )
-        dx_b, d["wx_b"], d["wh_b"], d["bias_b"] = _lstm_gradients(
-            x[::-1], p["wx_b"], p["wh_b"], kept_b, back, d_both[::-1, :, hidden:]
+        d_states = np.stack([d_both[..., :hidden], d_both[::-1, :, hidden:]], axis=1)
+        dx, d["wx"], d["wh"], d["bias"] = _lstm_gradients(
+            x, p["wx"], p["wh"], states, cells, gates, d_states
         )
         d["embed"] = np.zeros_like(p["embed"])
-        np.add.at(d["embed"], ids.T, dx_f + dx_b[::-1])
+        np.add.at(d["embed"], ids.T, dx[:, 0] + dx[::-1, 1])
         return float((total - gold).mean()), {k: v / batch for k, v in d.items()}
 
     def fit(
@@ -181,7 +185,6 @@ class Tagger:
         rows = np.arange(batch)
         for t in reversed(range(1, steps)):
             path[t - 1] = came_from[t][rows, path[t]]
-        forward, backward, total = _lattice(emissions, p)
-        marginal = np.exp(forward + backward - total[:, None])
+        marginal, _, _ = _lattice(emissions, p)
         at = marginal[np.arange(steps)[:, None], rows, path]
         return path.T, at.T

@@ -49,7 +49,7 @@ def test_small_tables_are_exact(spark, monkeypatch):
     rows += [(200 + i, rows[40][1]) for i in range(70)]  # equal vectors, ties by id
     rows += [(None, rows[0][1]), (400, None), (420, [0.0] * 8), (440, [float("nan")] + [1.0] * 7)]
     rows += [(460, [None] + [1.0] * 7), (480, [1.0, 2.0]), (500, [float("inf")] * 8), (520, [])]
-    rows += [rows[20], (540, [0.0, -0.0, 1.0, 0, 0, 0, 0, 0]), (541, [-0.0, 0.0, 1.0, 0, 0, 0, 0, 0])]
+    rows += [rows[20], (540, [0.0, -0.0, 1.0] + [0.0] * 5), (541, [-0.0, 0.0, 1.0] + [0.0] * 5)]
     got = answers(nearest.search(table(spark, rows), F.col("id") % 20 == 0).collect())
     expected = brute_force(rows)
     assert set(got) == set(expected)

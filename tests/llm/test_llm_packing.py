@@ -114,6 +114,7 @@ def test_fill_equals_enumeration():
 def test_windows_use_up_all_lengths():
     rng = random.Random(1)
     counts = {rng.randint(1, 2048): rng.randint(1, 1000) for _ in range(1500)}
+    counts |= {rng.randint(1, 500): rng.randint(500, 4000) for _ in range(400)}
     windows = packing.plan_windows(counts, 2048)
     used = {}
     for times, picked in windows:
