@@ -105,17 +105,24 @@ def train(
         F.xxhash64(F.col(doc_id)).alias("_hash"),
         F.col(text).alias("_text"),
     )
+    # Of a frequent language, only hashes that can be among the smallest are ranked: twice as many
+    # as wanted are expected to pass.
+    sizes = rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()
+    if not sizes:
+        return Model([], np.zeros((BUCKETS, 0)))
+    shares = {r["_lang"]: min(1.0, 2 * per_language / r["n"]) for r in sizes}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("_lang")]
+    near = F.col("_hash") / 2.0**64 + 0.5 <= share
     order = Window.partitionBy("_lang").orderBy("_hash")
     cuts = (
         rows.select("_lang", "_hash")
+        .where(near)
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= per_language)
         .groupBy("_lang")
         .agg(F.max("_hash").alias("_cut"))
         .collect()  # one row a language, as many as the model has columns
     )
-    if not cuts:
-        return Model([], np.zeros((BUCKETS, 0)))
     cut = F.create_map(*[F.lit(x) for row in cuts for x in (row["_lang"], row["_cut"])])
     sample = rows.where(F.col("_hash") <= cut[F.col("_lang")]).select("_lang", "_text")
 
