@@ -15,6 +15,15 @@ from martwright.llm.common import stored, table
 LEAST_SCORE = 0.5
 
 
+def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in the only column of ``ids``."""
+    # Stored, so that its size is known and a small one spares the texts a shuffle.
+    dropped = stored(ids.toDF("id").distinct(), label)
+    rows = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id"))
+    return rows.join(dropped, same, "left_anti").select("row.*")
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those whose language stays in doubt."""
     judged = langid.predict(docs, langid.train(docs))
@@ -42,18 +51,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of every component of near copies."""
     linked = neardup.link(docs.select("doc_id", "text"))
-    dropped = stored(
-        linked.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(),
-        "pipeline-copies",
-    )
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    return _without(docs, linked.where(~F.col("kept")).select("doc_id"), "pipeline-copies")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    found = stored(leaks.select(F.col("doc_id").alias("_leaking")).distinct(), "pipeline-leaks")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti")
+    return _without(docs, leaks.select("doc_id"), "pipeline-leaks")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
