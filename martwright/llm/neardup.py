@@ -10,12 +10,12 @@ All chunks with one lane masked are enumerated as keys, so every such pair meets
 candidates hold all pairs under the distance threshold. Eight bit planes of the signature give the
 distance of a pair inside the join condition, so pairs above the threshold are never produced.
 
-Skew: documents with equal sets become one class first. Then members of a key are linked with one
-hub of the key (the smallest of a seeded hash of the class), confirmed on full sets, and joined to
-components; only keys that still hold several components take part in further rounds, and in the
-end all remaining pairs of different components are compared. A family of thousands of close copies
-so takes one comparison a member and key hub, not one a pair, and no link between
-components is lost.
+Skew: documents with equal sets become one class first. Members of a key are then linked with one
+hub of the key, confirmed on full sets, so a family of close copies becomes one component at
+the price of one comparison a member. Keys that still hold several components are worked off in
+blocks of bounded size: a task compares the members of two blocks by sizes, signatures and full
+sets, skips pairs of one component, and returns only links that join two components, never
+pairs. No link between components is lost.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; fewer words than
 a shingle make one shingle; rows with equal sets are one class, whatever their ids; a null id is
@@ -41,7 +41,7 @@ LANES = 48
 MAX_DIFFERENT = 19
 CHUNKS = 10
 PLANES = 8
-STAR_ROUNDS = 3
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1 << 20
 WORDS_KEPT = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -253,20 +253,129 @@ def _hub_pairs(members: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def _all_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs within the signature distance that share a key but no component."""
+def _block_rows(members: DataFrame) -> DataFrame:
+    """The members of every open key, dealt out to the pairs of blocks they are compared in.
+
+    ``members`` has key, node, component and size. The members of a key are cut into blocks of at
+    most BLOCK_ROWS nodes and BLOCK_SHINGLES shingles on average; a component that fills a block
+    has blocks of its own. All pairs of blocks are formed but those of one such component, whose
+    members are linked already. Output: key, pair, node, component, and side (0, 1, or 2 where a
+    block meets itself).
+    """
     open_keys = _split_keys(members, 0).select("key")
-    sides = members.join(open_keys, "key").join(nodes.select("node", "planes"), "node")
-    sides = stored(sides.select("key", "node", "component", "planes"), "neardup-open")
-    left = sides.toDF("key", "a", "_ca", "_pa")
-    right = sides.toDF("_key", "b", "_cb", "_pb")
-    near = (
+    members = members.join(open_keys, "key")
+    sizes = members.groupBy("key", "component").agg(
+        F.count("*").alias("n"), F.sum("size").alias("shingles")
+    )
+    own = F.when(F.col("n") >= BLOCK_ROWS, F.col("component"))
+    sizes = sizes.withColumn("own", own)
+    groups = sizes.groupBy("key", "own").agg(F.sum("n").alias("n"), F.sum("shingles").alias("s"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES))
+    groups = groups.withColumn("parts", parts.cast("int"))
+    # An array holds the blocks of a key: one for some thousand members.
+    block = F.struct("own", "part")
+    blocks = (
+        groups.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        .groupBy("key")
+        .agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    )
+    first = blocks.select("key", "blocks", F.posexplode("blocks").alias("i", "x"))
+    second = first.select(
+        "key", "i", "x", F.posexplode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("d", "y")
+    )
+    same = F.col("d") == 0
+    paired = second.where(F.col("x.own").isNull() | ~F.col("x.own").eqNullSafe(F.col("y.own")))
+    pair = F.concat_ws("-", "i", F.col("i") + F.col("d")).alias("pair")
+    sides = F.when(same, F.array(F.struct(F.lit(2).alias("side"), F.col("x").alias("b")))).otherwise(
+        F.array(
+            F.struct(F.lit(0).alias("side"), F.col("x").alias("b")),
+            F.struct(F.lit(1).alias("side"), F.col("y").alias("b")),
+        )
+    )
+    dealt = paired.select("key", pair, F.explode(sides).alias("s")).select(
+        F.col("key").alias("_key"),
+        "pair",
+        "s.side",
+        F.col("s.b.own").alias("_own"),
+        F.col("s.b.part").alias("_part"),
+    )
+    placed = (
+        members.join(sizes.select("key", "component", "own"), ["key", "component"])
+        .join(
+            groups.select(F.col("key").alias("_k"), F.col("own").alias("_o"), "parts"),
+            (F.col("key") == F.col("_k")) & F.col("own").eqNullSafe(F.col("_o")),
+        )
+        .withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
+    )
+    here = (
         (F.col("key") == F.col("_key"))
-        & (F.col("a") < F.col("b"))
-        & (F.col("_ca") != F.col("_cb"))
-        & (different_lanes("_pa", "_pb") <= MAX_DIFFERENT)
+        & F.col("own").eqNullSafe(F.col("_own"))
+        & (F.col("part") == F.col("_part"))
     )
-    return left.join(right, near).select("a", "b").distinct()
+    return placed.join(dealt, here).select("key", "pair", "node", "component", "side")
+
+
+def linking_pairs(
+    nodes: np.ndarray,
+    labels: np.ndarray,
+    sides: np.ndarray,
+    planes: np.ndarray,
+    sets: list[np.ndarray],
+    percent: int,
+) -> list[tuple[int, int]]:
+    """Confirmed links between components; each joins two that were apart.
+
+    Pairs of one component, or above the signature distance, are not looked at. Both kinds of
+    sides meet each other only; side 2 meets itself.
+    """
+    lengths = np.array([len(s) for s in sets])
+    _, shingles = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(lengths) - lengths
+    _, group = np.unique(labels, return_inverse=True)
+    marked = np.zeros(int(shingles.max()) + 1, dtype=bool)
+    links = []
+    for i in range(len(nodes) - 1):
+        apart = group[i + 1 :] != group[i]
+        if sides[i] != 2:
+            apart &= sides[i + 1 :] != sides[i]
+        others = np.flatnonzero(apart) + i + 1
+        # A link needs sizes that are not too different, and few different lanes.
+        n = lengths[others]
+        others = others[100 * np.minimum(n, lengths[i]) >= percent * np.maximum(n, lengths[i])]
+        differ = np.bitwise_or.reduce(planes[others] ^ planes[i], axis=1)
+        others = others[np.bitwise_count(differ) <= MAX_DIFFERENT]
+        if not len(others):
+            continue
+        own = shingles[starts[i] : starts[i] + lengths[i]]
+        marked[own] = True
+        n = lengths[others]
+        ends = np.cumsum(n)
+        at = np.repeat(starts[others] - (ends - n), n) + np.arange(ends[-1])
+        both = np.add.reduceat(marked[shingles[at]], ends - n, dtype=np.int64)
+        marked[own] = False
+        for j in others[100 * both >= percent * (n + lengths[i] - both)].tolist():
+            if group[j] != group[i]:
+                links.append((int(nodes[i]), int(nodes[j])))
+                group[group == group[j]] = group[i]
+    return links
+
+
+def _cross_links(members: DataFrame, sets: DataFrame, few: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a key."""
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        links = linking_pairs(
+            frame["node"].to_numpy(),
+            frame["component"].to_numpy(),
+            frame["side"].to_numpy(),
+            np.stack(frame["planes"].to_numpy()).astype(np.int64).view(np.uint64),
+            [np.frombuffer(s, np.uint64) for s in frame["set"]],
+            percent,
+        )
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    rows = _block_rows(members).join(few.select("node", "planes").join(sets, "node"), "node")
+    return rows.groupBy("key", "pair").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -301,6 +410,7 @@ def link(
         .agg(
             F.min("id").alias("source"),
             F.count("*").alias("copies"),
+            F.first("n_shingles").alias("size"),
             *[F.first(c).alias(c) for c in ("class", "lanes", "planes")],
         ),
         "neardup-nodes",
@@ -310,22 +420,17 @@ def link(
     sets = stored(
         _sets_of(docs, nodes.join(involved, "node"), doc_id, text), "neardup-sets"
     )
-    few = stored(nodes.join(involved, "node").select("node", "planes"), "neardup-planes")
+    few = stored(nodes.join(involved, "node").select("node", "planes", "size"), "neardup-planes")
     labels = stored(involved.select("node", F.col("node").alias("component")), "neardup-labels")
-    tested = None
-    for step in range(STAR_ROUNDS + 1):
-        placed = members.join(labels, "node")
-        if step < STAR_ROUNDS:
-            pairs = _close(_hub_pairs(placed, step), few)
-        else:
-            pairs = _all_pairs(placed, few)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "neardup-pairs")
-        edges = stored(_confirmed(pairs, sets, percent), "neardup-edges")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not edges.isEmpty():
-            labels = stored(_merged(labels, edges), "neardup-labels")
+
+    def join_along(edges: DataFrame) -> DataFrame:
+        edges = stored(edges, "neardup-edges")
+        return labels if edges.isEmpty() else stored(_merged(labels, edges), "neardup-labels")
+
+    pairs = stored(_close(_hub_pairs(members.join(labels, "node"), 0), few), "neardup-pairs")
+    labels = join_along(_confirmed(pairs, sets, percent))
+    placed = members.join(labels, "node").join(few.select("node", "size"), "node")
+    labels = join_along(_cross_links(placed, sets, few, percent))
     return _resolved(sketch, nodes, labels)
 
 
