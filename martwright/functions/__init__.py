@@ -16,11 +16,17 @@ from martwright.functions.numbers import (
     r2,
     sum_when,
 )
-from martwright.functions.texts import ascii_clean, clean_label, initcap_words
+from martwright.functions.texts import (
+    ascii_clean,
+    ascii_clean_columns,
+    clean_label,
+    initcap_words,
+)
 from martwright.functions.labels import lead_channel, lead_tier, recency_status
 
 __all__ = [
     "ascii_clean",
+    "ascii_clean_columns",
     "clean_datetime_string",
     "clean_label",
     "count_when",

@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DATE = r"\d{1,4}[/\\-]\d{1,2}[/\\-]\d{1,4}"
+# Three numbers, then perhaps an hour with a colon, a minute and a second.
+_LOOSE = (
+    r"^(\d{1,4})[/\\-](\d{1,2})[/\\-](\d{1,4})"
+    r"(?:\s+(\d{1,2}):(?:(\d{1,2})(?::(\d{1,2}))?)?)?$"
+)
+_BETWEEN = "\u0001"
 
 
 def _col(value: Column | str) -> Column:
@@ -20,37 +25,29 @@ def _is_blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "")
 
 
+def _two_digits(part: Column) -> Column:
+    return F.lpad(part, F.greatest(F.length(part), F.lit(2)), "0")
+
+
 def clean_datetime_string(text: Column | str) -> Column:
     """Bring loose date text to ``<date> HH:MM:SS`` with dashes and padded parts.
 
-    A single digit is padded when it leads the text or stands between two
-    separators, so the day of ``2018-2-6`` stays as it is. Missing time parts are
-    filled with zeros. Blank text gives NULL. (The SQL this rule comes from escapes
-    its patterns twice, which makes it reject nearly every full timestamp; the rule
-    here is the one it was meant to be.)
+    The first two numbers of the date are padded to two digits; the last one is not, so the day of
+    ``2018-2-6`` stays as it is. Missing time parts are zeros. Text of any other form gets
+    zeros for a time and is otherwise left alone; blank text gives NULL. (The SQL this rule
+    comes from escapes its patterns twice, which makes it reject nearly every full timestamp; the
+    rule here is the one it was meant to be.)
     """
     text = _col(text)
-    dated = text
-    for pattern, replacement in (
-        (r"^(\d)([/\\-])", "0$1$2"),
-        (r"[/\\-](\d)[/\\-]", "-0$1-"),
-        (r"[/\\]", "-"),
-    ):
-        dated = F.regexp_replace(dated, pattern, replacement)
-    missing = (
-        F.when(~text.rlike(_DATE + r"\s+\d{1,2}:"), F.lit(" 00:00:00"))
-        .when(text.rlike(_DATE + r"\s+\d{1,2}:$"), F.lit("00:00"))
-        .when(text.rlike(_DATE + r"\s+\d{1,2}:\d{1,2}$"), F.lit(":00"))
-        .otherwise(F.lit(""))
+    found = F.regexp_replace(text, _LOOSE, _BETWEEN.join(f"${i}" for i in range(1, 7)))
+    parts = F.split(found, _BETWEEN, -1)
+    first, second, third, hour, minute, second_of = (parts[i] for i in range(6))
+    date = F.concat_ws("-", _two_digits(first), _two_digits(second), third)
+    time = F.concat_ws(":", *map(_two_digits, (hour, minute, second_of)))
+    clean = F.when(F.size(parts) == 6, F.concat_ws(" ", date, time)).otherwise(
+        F.concat(text, F.lit(" 00:00:00"))
     )
-    full = F.concat(dated, missing)
-    for pattern, replacement in (
-        (r"(\s)(\d)(:)", "$10$2$3"),
-        (r":(\d)($|:)", ":0$1$2"),
-        (r":(\d)$", ":0$1"),
-    ):
-        full = F.regexp_replace(full, pattern, replacement)
-    return F.when(_is_blank(text), F.lit(None).cast("string")).otherwise(full)
+    return F.when(_is_blank(text), F.lit(None).cast("string")).otherwise(clean)
 
 
 def standardize_to_datetime(text: Column | str) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Marks a place where a capital may follow although no space stands there.
 _MARK = "\ue000 "
@@ -48,6 +49,24 @@ MULTI_CHAR_ASCII = {
     "©": "(c)",
     "®": "(r)",
     "°": "deg",
+    "¢": "C/",
+    "£": "PS",
+    "¤": "$?",
+    "¥": "Y=",
+    "§": "SS",
+    "\u00ad": "",
+    "¼": "1/4",
+    "½": "1/2",
+    "¾": "3/4",
+    "±": "+-",
+    "™": "(tm)",
+    "‰": "%0",
+    "„": ",,",
+    "″": "''",
+    "ﬁ": "fi",
+    "ﬂ": "fl",
+    "ĳ": "ij",
+    "Ĳ": "IJ",
 }
 
 # Single signs and letters without a Unicode decomposition.
@@ -66,11 +85,37 @@ SINGLE_CHAR_ASCII = {
     "“": '"',
     "”": '"',
     "–": "-",
+    "‚": ",",
+    "‹": "<",
+    "›": ">",
+    "•": "*",
+    "·": "*",
+    "−": "-",
+    "‐": "-",
+    "‑": "-",
+    "‒": "-",
+    "―": "-",
+    "′": "'",
     "¡": "!",
+    "¦": "|",
+    "¨": '"',
+    "ª": "a",
+    "¬": "!",
+    "¯": "-",
+    "²": "2",
+    "³": "3",
+    "´": "'",
+    "µ": "u",
+    "¶": "P",
+    "¸": ",",
+    "¹": "1",
+    "º": "o",
     "¿": "?",
     "×": "x",
     "÷": "/",
     "\u00a0": " ",
+    "\u2009": " ",
+    "\u202f": " ",
 }
 
 
@@ -84,6 +129,14 @@ def _single_char_map() -> dict[str, str]:
     return table
 
 
+def ascii_clean_columns(df: DataFrame) -> DataFrame:
+    """:func:`ascii_clean` on every text column of a table."""
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return df.select(
+        *[ascii_clean(F.col(c)).alias(c) if c in texts else F.col(c) for c in df.columns]
+    )
+
+
 def ascii_clean(text: Column | str) -> Column:
     """Transliterate to ASCII, then keep code points 32 to 126 only. NULL stays NULL."""
     out = _col(text)

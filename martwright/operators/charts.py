@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martwright.operators.ordering import exact_quantiles
 
@@ -20,6 +19,14 @@ def _present(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.na.drop(subset=list(keys))
 
 
+def _numbers(df: DataFrame, *metrics: str) -> DataFrame:
+    """NaN taken as missing in the floating columns among ``metrics``."""
+    floating = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.withColumns(
+        {m: F.when(~F.isnan(m), F.col(m)) for m in metrics if m in floating}
+    )
+
+
 def _total(metric: str) -> Column:
     """Sum in which a group without values counts as zero."""
     return F.coalesce(F.sum(metric), F.lit(0))
@@ -27,6 +34,7 @@ def _total(metric: str) -> Column:
 
 def top_n(df: DataFrame, dimension: str, metric: str, n: int = 10) -> DataFrame:
     """The groups with the largest sums, or the largest rows when both columns are one."""
+    df = _numbers(df, metric)
     if dimension == metric:
         rest = [F.col(c) for c in df.columns if c != metric]
         return df.orderBy(F.desc_nulls_last(metric), *rest).limit(n)
@@ -41,7 +49,7 @@ def top_n(df: DataFrame, dimension: str, metric: str, n: int = 10) -> DataFrame:
 
 def group_agg(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
     """Sum, mean or count of the metric per group, chosen by its name."""
-    groups = _present(df, keys).groupBy(*keys)
+    groups = _present(_numbers(df, metric), keys).groupBy(*keys)
     if metric in keys:
         return groups.agg(F.count("*").alias("count"))
     if any(word in metric.lower() for word in ADDITIVE_WORDS):
@@ -63,7 +71,7 @@ def time_series(df: DataFrame, time: str, *ties: str) -> DataFrame:
 def daily_series(df: DataFrame, time: str, metric: str) -> DataFrame:
     """One point per day, for tables with more rows than a line can show."""
     return (
-        _present(df, [time])
+        _present(_numbers(df, metric), [time])
         .groupBy(F.col(time).cast("date").alias("day"))
         .agg(_total(metric).alias(metric))
         .orderBy("day")
@@ -72,6 +80,7 @@ def daily_series(df: DataFrame, time: str, metric: str) -> DataFrame:
 
 def trend_pct_change(df: DataFrame, time: str, metric: str, *ties: str) -> DataFrame:
     """Change from the first to the last row in time, in percent; needs two rows."""
+    df = _numbers(df, metric)
     at = F.struct(F.col(time).isNull().alias("late"), *[F.col(c) for c in (time, *ties)])
     ends = df.agg(
         F.min_by(F.struct(metric), at)[metric].alias("first_value"),
@@ -116,7 +125,7 @@ def histogram(df: DataFrame, metric: str, bins: int = 20) -> DataFrame:
 def box_summary(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Minimum, quartiles and maximum, exact, one row per metric."""
     parts = ["minimum", "lower_quartile", "median", "upper_quartile", "maximum"]
-    quantiles = exact_quantiles(df, metrics, [0, 0.25, 0.5, 0.75, 1])
+    quantiles = exact_quantiles(_numbers(df, *metrics), metrics, [0, 0.25, 0.5, 0.75, 1])
     return quantiles.select(
         "column_name", *[F.get("quantiles", F.lit(i)).alias(p) for i, p in enumerate(parts)]
     )
@@ -125,48 +134,35 @@ def box_summary(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of numeric columns.
 
-    Rows missing either value are left out for that pair only; a constant column has no
-    correlation. Every task reduces its rows, centred on the column means, to one small table
-    of sums per pair, so nothing but those sums is shuffled.
+    Rows missing either value are left out for that pair only; a column that is constant over the
+    rows of a pair has no correlation. All pairs are one aggregation with partial sums, so nothing
+    but those sums is shuffled.
     """
     names = list(columns)
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    means = numbers.agg(
-        F.array(*[F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)) for c in names])
-    ).scalar()
-    cells = numbers.select(F.array(*names).alias("x"), means.alias("mean"))
-    sums = ["n", "sum_x", "sum_y", "sum_xx", "sum_yy", "sum_xy"]
-
-    def pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(sums), len(names), len(names)))
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = np.array(batch["x"].tolist(), dtype=np.float64) - np.array(batch["mean"].iloc[0])
-            known = ~np.isnan(x)
-            z, mask = np.where(known, x, 0.0), known.astype(np.float64)
-            by_x, squares = z.T @ mask, (z * z).T @ mask
-            total += np.stack([mask.T @ mask, by_x, by_x.T, squares, squares.T, z.T @ z])
-        rows, cols = np.indices(total.shape[1:])
-        yield pd.DataFrame(
-            {"i": rows.ravel(), "j": cols.ravel(), **{s: t.ravel() for s, t in zip(sums, total)}}
-        )
-
-    parts = cells.mapInPandas(pair_sums, "i long, j long, " + ", ".join(f"{s} double" for s in sums))
-    n, sx, sy, sxx, syy, sxy = (F.col(s) for s in sums)
-    spread = (sxx - sx * sx / n) * (syy - sy * sy / n)
-    label = F.array(*[F.lit(c) for c in names])
-    return (
-        parts.groupBy("i", "j")
-        .agg(*[F.sum(s).alias(s) for s in sums])
-        .select(
-            F.get(label, F.col("i").cast("int")).alias("column_x"),
-            F.get(label, F.col("j").cast("int")).alias("column_y"),
-            F.when((n > 1) & (spread > 0), (sxy - sx * sy / n) / F.sqrt(spread)).alias(
-                "correlation"
-            ),
-        )
-    )
+    values = _numbers(df.select(*[F.col(c).cast("double").alias(c) for c in names]), *names)
+    cells = []
+    for i, x in enumerate(names):
+        for y in names[i:]:
+            both = F.col(x).isNotNull() & F.col(y).isNotNull()
+            one, other = (F.when(both, F.col(c)) for c in (x, y))
+            # Of a constant column, rounding can leave a correlation that means nothing.
+            varies = (F.min(one) < F.max(one)) & (F.min(other) < F.max(other))
+            spread = F.stddev_pop(one) * F.stddev_pop(other)
+            correlation = F.try_divide(F.covar_pop(x, y), spread)
+            cells.append(F.when(varies, correlation).alias(f"{len(cells)}"))
+    row = values.agg(F.array(*cells).alias("_r"))
+    pairs = [(x, y) for i, x in enumerate(names) for y in names[i:]]
+    listed = []
+    for number, (x, y) in enumerate(pairs):
+        for a, b in {(x, y): 0, (y, x): 0}:
+            listed.append(
+                F.struct(
+                    F.lit(a).alias("column_x"),
+                    F.lit(b).alias("column_y"),
+                    F.get("_r", F.lit(number)).alias("correlation"),
+                )
+            )
+    return row.select(F.explode(F.array(*listed)).alias("_c")).select("_c.*")
 
 
 def scatter(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all nodes see, as named by the session.
 
-    Only a local session without the setting gets a temporary folder.
+    Only a session in one process (``local[...]``) gets a temporary folder where the setting is
+    missing.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if context.master.partition("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all nodes")
             folder = tempfile.mkdtemp(prefix="martwright-")
         context.setCheckpointDir(folder)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martwright.functions import ladder
+from martwright.operators.durable import durable
 from martwright.operators.ordering import exact_quantiles
 
 
@@ -59,9 +60,16 @@ def _names(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_columns(df: DataFrame, approximate: bool = False, samples: int = 5) -> DataFrame:
+def profile_columns(
+    df: DataFrame,
+    approximate: bool = False,
+    samples: int = 5,
+    counts: DataFrame | None = None,
+) -> DataFrame:
     """Type, distinct values, missing values and sample values per column.
 
+    ``counts`` are the :func:`value_counts` of the table, if they are at hand.
+
     The samples are the smallest values in text order, which is repeatable. With
     ``approximate`` the distinct counts are estimated in a single pass without shuffling
     values, and no samples are given.
@@ -92,7 +100,7 @@ def profile_columns(df: DataFrame, approximate: bool = False, samples: int = 5)
     else:
         # The limit of rows per column lets Spark cut each partition before the shuffle.
         first = Window.partitionBy("position").orderBy(F.col("value").asc_nulls_last())
-        counts = value_counts(df)
+        counts = value_counts(df) if counts is None else counts
         sums = counts.groupBy("position").agg(
             F.sum("n").alias("row_count"),
             F.count("value").alias("unique_count"),
@@ -190,23 +198,30 @@ def profile_roles(profile: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
     """The most frequent values of each column, NULL left out, ties by value."""
-    ranked = Window.partitionBy("position").orderBy(F.desc("n"), "value")
     chosen = df.select(*columns)
+    return _most_frequent(value_counts(chosen), n).join(
+        _names(chosen).select("position", "column_name"), "position"
+    ).select("column_name", "rank", "value", F.col("n").alias("occurrences"))
+
+
+def _most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    ranked = Window.partitionBy("position").orderBy(F.desc("n"), "value")
     return (
-        value_counts(chosen)
-        .where(F.col("value").isNotNull())
+        counts.where(F.col("value").isNotNull())
         .withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= n)
-        .join(_names(chosen).select("position", "column_name"), "position")
-        .select("column_name", "rank", "value", F.col("n").alias("occurrences"))
     )
 
 
 def profile_top_values(df: DataFrame, n: int = 10) -> DataFrame:
     """:func:`top_values` of the categorical columns."""
-    roles = profile_roles(profile_columns(df, samples=0)).where("is_categorical")
-    ranked = top_values(df, df.columns, n)
-    return ranked.join(roles.select("column_name"), "column_name", "left_semi")
+    counts = durable(value_counts(df))
+    roles = profile_roles(profile_columns(df, samples=0, counts=counts)).where("is_categorical")
+    return (
+        _most_frequent(counts, n)
+        .join(roles.select("position", "column_name"), "position")
+        .select("column_name", "rank", "value", F.col("n").alias("occurrences"))
+    )
 
 
 def _listed(condition: Column, *order: Column) -> Column:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Queries are sent to every task only up to this many bytes of vectors.
-BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows of one cell of the grid that is used beyond it.
-QUERY_CELL_ROWS = 4096
-CORPUS_CELL_ROWS = 16384
+# Rows of one block of queries and of one block of the corpus, which bound a task's memory.
+QUERY_ROWS = 1024
+CORPUS_ROWS = 4096
+# Cells the corpus is cut into, and rows of it that bound how far a query must look.
+MOST_CELLS = 256
+SAMPLE_ROWS = 2048
 
 
 def _exact(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -30,10 +29,13 @@ def _rough(queries: np.ndarray, rows: np.ndarray, metric: str) -> tuple[np.ndarr
     products = queries @ rows.T
     q_norms, r_norms = (np.einsum("ij,ij->i", m, m) for m in (queries, rows))
     if metric == "l2":
-        rough = q_norms[:, None] + r_norms[None, :] - 2.0 * products
-        return rough, 1e-9 * (q_norms + r_norms.max())
-    scale = np.sqrt(q_norms)[:, None] * np.sqrt(r_norms)[None, :]
-    return 1.0 - products / np.where(scale == 0, 1.0, scale), np.full(len(queries), 1e-9)
+        products *= -2.0
+        products += q_norms[:, None]
+        products += r_norms[None, :]
+        return products, 1e-9 * (q_norms + r_norms.max())
+    for norms, side in ((q_norms[:, None], 0), (r_norms[None, :], 1)):
+        products /= np.sqrt(np.where(norms == 0, 1.0, norms))
+    return np.subtract(1.0, products, out=products), np.full(len(queries), 1e-9)
 
 
 def _nearest(
@@ -74,98 +76,105 @@ def _nearest(
     )
 
 
-def _best(hits: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    merged = pd.concat(hits, ignore_index=True).sort_values(["query_id", "distance", "doc_id"])
-    return merged.groupby("query_id", sort=False).head(k)
-
-
 def _matrix(series: pd.Series) -> np.ndarray:
     return np.array(series.tolist(), dtype=np.float64)
 
 
-def vector_topk(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int = 3,
-    metric: str = "l2",
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
+def _placed(matrix: np.ndarray, metric: str, side: int) -> np.ndarray:
+    """Points whose Euclidean distances are in the order of the metric.
+
+    For cosine these are unit vectors. A zero vector has distance 1 to everything, so it gets an
+    axis of its own, a different one on either ``side``.
+    """
+    if metric == "l2":
+        return matrix
+    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    axes = np.zeros((len(matrix), 2))
+    axes[norms == 0, side] = 1.0
+    return np.hstack([matrix / np.where(norms == 0, 1.0, norms)[:, None], axes])
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    squares = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :]
+    squares -= 2.0 * (a @ b.T)
+    return np.sqrt(np.maximum(squares, 0.0, out=squares), out=squares)
+
+
+def _usable(df: DataFrame) -> DataFrame:
+    """Rows with a vector; one that is NULL or holds a NULL has no distance and is left out."""
+    whole = ~F.exists("embedding", lambda x: x.isNull())
+    return df.where(F.col("embedding").isNotNull() & whole).select("id", "embedding")
+
+
+def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2") -> DataFrame:
     """``query_id``, ``rank`` and ``doc_id`` of the k nearest documents; exact, ties by id.
 
-    Both inputs have ``id`` and ``embedding``. ``metric`` is ``l2`` (squared Euclidean) or
-    ``cosine``. Each task keeps k hits per query of all the rows it sees, and only those are
-    shuffled. A query set of checked size goes to all tasks, so the corpus is
-    read once and never moved. A larger one is laid out as a grid: blocks of queries against
-    blocks of corpus, each of bounded size.
+    Both inputs have ``id`` and ``embedding``; rows without a whole vector take no part.
+    ``metric`` is ``l2`` (squared Euclidean) or ``cosine``.
+
+    The corpus is cut into cells round pivots, at most MOST_CELLS sampled vectors. The k nearest of
+    a bounded sample say how far a query has to look at most, and by the triangle inequality it
+    is sent to those cells only that reach so near. Cells and the queries sent to them are cut into
+    blocks of bounded size; a pair of blocks keeps k hits a query.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     id_type = queries.schema["id"].dataType.simpleString()
     doc_type = corpus.schema["id"].dataType.simpleString()
     schema = f"query_id {id_type}, doc_id {doc_type}, distance double"
-    size = queries.agg(
-        F.coalesce(F.sum(F.size("embedding") * 8 + 64), F.lit(0)).alias("bytes"),
-        F.count("*").alias("rows"),
-    ).first()
-    if size["bytes"] <= broadcast_bytes:
-        found = _against_all(corpus, queries, k, metric, schema)
-    else:
-        found = _grid(corpus, queries, size["rows"], k, metric, schema)
-    best = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "doc_id")
-    )
-
-
-def _against_all(
-    corpus: DataFrame, queries: DataFrame, k: int, metric: str, schema: str
-) -> DataFrame:
-    rows = queries.select("id", "embedding").toPandas()
-    sent = corpus.sparkSession.sparkContext.broadcast(
-        (rows["id"].to_numpy(), _matrix(rows["embedding"]))
-    )
-
-    def search(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, matrix = sent.value
-        found: list[pd.DataFrame] = []
-        for block in blocks:
-            for at in range(0, len(query_ids), QUERY_CELL_ROWS):
-                part = slice(at, at + QUERY_CELL_ROWS)
-                found.append(
-                    _nearest(
-                        query_ids[part],
-                        matrix[part],
-                        block["id"].to_numpy(),
-                        _matrix(block["embedding"]),
-                        k,
-                        metric,
-                    )
-                )
-            found = [_best(found, k)] if found else []
-        yield from found
-
-    return corpus.select("id", "embedding").mapInPandas(search, schema)
-
-
-def _grid(
-    corpus: DataFrame, queries: DataFrame, query_rows: int, k: int, metric: str, schema: str
-) -> DataFrame:
-    corpus_rows = corpus.count()
-    q_blocks = max(1, -(-query_rows // QUERY_CELL_ROWS))
-    c_blocks = max(1, -(-corpus_rows // CORPUS_CELL_ROWS))
-
-    def cells(df: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
-        return df.select(
+    corpus, queries = _usable(corpus), _usable(queries)
+    sample = corpus.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
+    asked = queries.count()
+    if sample.empty or not asked:
+        return corpus.sparkSession.createDataFrame([], schema).select(
+            "query_id", F.lit(1).alias("rank"), "doc_id"
+        )
+    rows = corpus.count()
+    cells = min(MOST_CELLS, -(-rows // CORPUS_ROWS), len(sample))
+    known = _placed(_matrix(sample["embedding"]), metric, 1)
+    sent = corpus.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("cell int, away double")
+    def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
+        away = _distances(_placed(_matrix(vectors), metric, 1), sent.value[:cells])
+        return pd.DataFrame({"cell": away.argmin(axis=1), "away": away.min(axis=1)})
+
+    placed = corpus.withColumn("_p", nearest_pivot("embedding")).select("id", "embedding", "_p.*")
+    facts = placed.groupBy("cell").agg(F.max("away").alias("reach"), F.count("*").alias("n"))
+    reach, blocks = np.full(cells, -np.inf), np.zeros(cells, dtype=int)
+    for row in facts.collect():  # one row a cell
+        reach[row["cell"]] = row["reach"]
+        blocks[row["cell"]] = -(-row["n"] // CORPUS_ROWS)
+    query_blocks = -(-asked // QUERY_ROWS)
+
+    @F.pandas_udf("array<int>")
+    def cells_in_reach(vectors: pd.Series) -> pd.Series:
+        points, known = _placed(_matrix(vectors), metric, 0), sent.value
+        away = _distances(points, known)
+        enough = min(k, len(known)) == k
+        bound = np.partition(away, k - 1, axis=1)[:, k - 1] if enough else np.inf
+        slack = 1e-6 * (1.0 + away.max(axis=1))
+        near = away[:, :cells] - reach[None, :] <= (bound + slack)[:, None]
+        return pd.Series([np.flatnonzero(row) for row in near])
+
+    of_cell = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), F.col("cell") + 1)
+    left = (
+        queries.select(
             "id",
             "embedding",
-            F.pmod(F.xxhash64("id"), F.lit(own_blocks)).alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other),
-        ).withColumn(other, F.col(other).cast("long"))
-
-    left = cells(queries, "qb", q_blocks, "cb", c_blocks).groupBy("qb", "cb")
-    right = cells(corpus, "cb", c_blocks, "qb", q_blocks).groupBy("qb", "cb")
+            F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("part"),
+            F.explode(cells_in_reach("embedding")).alias("cell"),
+        )
+        .where(of_cell > 0)
+        .withColumn("block", F.explode(F.sequence(F.lit(0), of_cell - 1)))
+    )
+    right = placed.select(
+        "id",
+        "embedding",
+        "cell",
+        F.pmod(F.xxhash64("id"), of_cell).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("part"),
+    )
 
     def search(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         return _nearest(
@@ -177,7 +186,14 @@ def _grid(
             metric,
         )
 
-    return left.cogroup(right).applyInPandas(search, schema)
+    key = ["cell", "block", "part"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, schema)
+    best = Window.partitionBy("query_id").orderBy("distance", "doc_id")
+    return (
+        found.withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "doc_id")
+    )
 
 
 def context_assemble(hits: DataFrame, documents: DataFrame) -> DataFrame:

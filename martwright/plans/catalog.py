@@ -14,8 +14,8 @@ from martwright.plans import core, marts, staging
 class Model:
     """``stored`` is ``view`` or ``table``.
 
-    ``bucket_by`` co-locates tables joined on it; ``keyed_inputs`` are the inputs that set
-    how many rows a key has.
+    ``bucket_by`` co-locates tables joined on it; ``month_of`` is the date a stored table can be
+    partitioned by.
     """
 
     build: Callable[..., DataFrame]
@@ -23,7 +23,7 @@ class Model:
     layer: str
     stored: str
     bucket_by: str | None = None
-    keyed_inputs: tuple[str, ...] = ()
+    month_of: str | None = None
     dated: bool = False
 
 
@@ -35,11 +35,11 @@ def _core(
     name: str,
     *inputs: str,
     bucket_by: str | None = None,
-    keyed_inputs: tuple[str, ...] = (),
+    month_of: str | None = None,
     dated: bool = False,
 ) -> Model:
     build = getattr(core, name)
-    return Model(build, inputs, "intermediate", "table", bucket_by, keyed_inputs, dated)
+    return Model(build, inputs, "intermediate", "table", bucket_by, month_of, dated)
 
 
 def _mart(name: str, *inputs: str, stored: str = "view") -> Model:
@@ -75,7 +75,7 @@ MODELS: dict[str, Model] = {
         "stg_reviews",
         "dim_customers",
         bucket_by="order_id",
-        keyed_inputs=("stg_orders",),
+        month_of="order_purchase_datetime",
     ),
     "fact_order_lines": _core(
         "fact_order_lines",
@@ -83,15 +83,22 @@ MODELS: dict[str, Model] = {
         "stg_orders",
         "stg_reviews",
         bucket_by="order_id",
-        keyed_inputs=("stg_order_items", "stg_reviews"),
     ),
-    "fact_payments": _core("fact_payments", "stg_order_payments", "stg_orders", dated=True),
-    "fact_reviews": _core("fact_reviews", "stg_reviews", "stg_orders", dated=True),
+    "fact_payments": _core(
+        "fact_payments", "stg_order_payments", "stg_orders", month_of="payment_date", dated=True
+    ),
+    "fact_reviews": _core(
+        "fact_reviews", "stg_reviews", "stg_orders", month_of="review_date", dated=True
+    ),
     "fact_closed_deals": _core(
         "fact_closed_deals", "stg_closed_deals", "stg_marketing_qualified_leads"
     ),
     "fact_product_daily_metrics": _core(
-        "fact_product_daily_metrics", "fact_order_lines", "fact_orders", dated=True
+        "fact_product_daily_metrics",
+        "fact_order_lines",
+        "fact_orders",
+        month_of="order_date",
+        dated=True,
     ),
     "bridge_product_seller": _core("bridge_product_seller", "fact_order_lines", "fact_orders"),
     "agg_daily_sales": _core("agg_daily_sales", "fact_orders"),

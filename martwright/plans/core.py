@@ -56,7 +56,7 @@ def _first_list_with(value: Column, lists: dict[str, list[str]], otherwise: str)
 
 
 def _as_of(as_of: str | None) -> Column:
-    return F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    return F.localtimestamp() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
 
 
 def _with_geography(df: DataFrame, prefix: str, geolocation: DataFrame) -> DataFrame:
@@ -75,8 +75,12 @@ def _with_geography(df: DataFrame, prefix: str, geolocation: DataFrame) -> DataF
 
 
 def dim_customers(customers: DataFrame, geolocation: DataFrame) -> DataFrame:
-    """One row per person, order and geography; several entries for a zip repeat the customer."""
-    return _with_geography(customers, "customer", geolocation).distinct()
+    """One row per person, order and geography; several places of a zip repeat the customer.
+
+    As equal rows count once in the end, equal places are taken once before the join.
+    """
+    places = geolocation.select("zip_code", "city", "state").distinct()
+    return _with_geography(customers, "customer", places).distinct()
 
 
 def dim_sellers(sellers: DataFrame, geolocation: DataFrame) -> DataFrame:
@@ -393,15 +397,16 @@ def fact_product_daily_metrics(
         "customer_id", "seller_id"
     )
     per_order = per_order.withColumn("is_first", F.row_number().over(same_order) == 1)
+    # Distinct counts of two columns in one aggregation would write every row three times.
+    buyers = _distinct_per_day(per_order, "customer_id", "distinct_buyers")
+    sellers = _distinct_per_day(per_order, "seller_id", "distinct_sellers")
     total_price, total_freight = F.sum("price"), F.sum("freight")
-    return per_order.groupBy("product_id", "order_date").agg(
+    measured = per_order.groupBy("product_id", "order_date").agg(
         count_when(F.col("is_first")).alias("units_sold"),
         F.sum("refunded").alias("units_refunded"),
         money(total_price).alias("gross_revenue"),
         money(total_freight).alias("freight_revenue"),
         money(total_price + total_freight).alias("total_revenue"),
-        F.count_distinct("customer_id").alias("distinct_buyers"),
-        F.count_distinct("seller_id").alias("distinct_sellers"),
         money(r2(quotient(F.sum("score"), F.sum("scored")))).alias("avg_review_score"),
         count_when(F.col("is_first") & (F.col("scored") > 0)).alias("review_count"),
         money(F.min("lowest")).alias("price_min"),
@@ -410,10 +415,40 @@ def fact_product_daily_metrics(
         money(r2(quotient(total_freight, total_price) * 100)).alias(
             "freight_cost_pct_of_revenue"
         ),
+    )
+    for counted in (buyers, sellers):
+        same = F.col("product_id").eqNullSafe(F.col("_product")) & F.col("order_date").eqNullSafe(
+            F.col("_day")
+        )
+        measured = measured.join(counted, same).drop("_product", "_day")
+    return measured.select(
+        "product_id",
+        "order_date",
+        "units_sold",
+        "units_refunded",
+        "gross_revenue",
+        "freight_revenue",
+        "total_revenue",
+        "distinct_buyers",
+        "distinct_sellers",
+        "avg_review_score",
+        "review_count",
+        "price_min",
+        "price_avg",
+        "price_max",
+        "freight_cost_pct_of_revenue",
         _as_of(as_of).alias("created_at"),
     )
 
 
+def _distinct_per_day(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Different values of a column per product and day: ``_product``, ``_day`` and the count."""
+    day = [F.col("product_id").alias("_product"), F.col("order_date").alias("_day")]
+    return (
+        rows.select(*day, column).distinct().groupBy("_product", "_day").agg(F.count(column).alias(name))
+    )
+
+
 def last_order_day(orders: DataFrame) -> Column:
     """The largest order date of all orders: the data's own "today".
 

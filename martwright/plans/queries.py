@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial, reduce
 
@@ -10,14 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martwright.functions import (
-    ascii_clean,
     clean_datetime_string,
     lead_channel,
     lead_tier,
     standardize_to_datetime,
 )
 from martwright.operators import charts, documents, profiling, quality, questions, vectors
-from martwright.operators.durable import durable, scratch_path
+from martwright.operators.durable import scratch_path
 from martwright.plans import checks
 from martwright.plans.catalog import MODELS, Warehouse
 from martwright.schemas import RAW_SCHEMAS
@@ -66,10 +66,13 @@ class Inputs:
     def model(self, name: str) -> DataFrame:
         return self.warehouse.get(name)
 
-    def with_stored_facts(self) -> Warehouse:
-        """The warehouse with both facts written once, for queries over many models."""
-        for name in ("fact_orders", "fact_order_lines"):
-            self.warehouse.put(name, durable(self.warehouse.get(name)))
+    def with_stored(self, *names: str) -> Warehouse:
+        """The warehouse with some models written once as parquet, for queries over many models."""
+        for name in names:
+            path = scratch_path(self.spark, name)
+            df = self.warehouse.get(name)
+            df.write.parquet(path)
+            self.warehouse.put(name, self.spark.read.schema(df.schema).parquet(path))
         return self.warehouse
 
 
@@ -100,12 +103,17 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 @query
 def src_raw_tables(inputs: Inputs) -> DataFrame:
-    """Rows, distinct keys and key range of each raw table, loaded by name."""
+    """Rows, distinct keys and key range of each raw table, written as CSV and loaded by name."""
     parts = []
+    folder = scratch_path(inputs.spark, "raw")
+    loaded = tables.RawTables(inputs.spark, folder, "csv")
     for name, schema in RAW_SCHEMAS.items():
+        table = inputs.sample.raw(name)
+        # The order of the columns in a file does not matter.
+        files.sink_csv(table.select(*reversed(table.columns)), f"{folder}/{name}.csv")
         key = F.col(schema[0].name).cast("string")
         parts.append(
-            inputs.sample.raw(name).agg(
+            loaded.get(name).agg(
                 F.lit(name).alias("table_name"),
                 F.count("*").alias("row_count"),
                 F.count_distinct(key).alias("distinct_keys"),
@@ -142,12 +150,13 @@ def sink_csv(inputs: Inputs) -> DataFrame:
 def sink_table(inputs: Inputs) -> DataFrame:
     """The customer performance mart built on stored, bucketed order facts."""
     spark = inputs.spark
-    database = tables.schema_name_for_env("martwright_check", "dev")
     path = scratch_path(spark, "warehouse")
-    spark.sql(f"drop database if exists {database} cascade")
+    # A name of its own for each run: nothing that exists is touched.
+    database = f"martwright_{uuid.uuid4().hex}"
     spark.sql(f"create database {database} location '{path}'")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = tables.sink_table(
-        inputs.model("fact_orders"), "fact_orders", database, "table", "order_id"
+        inputs.model("fact_orders"), "fact_orders", database, "table", "order_id", buckets
     )
     inputs.warehouse.put("fact_orders", stored)
     return tables.sink_table(
@@ -181,12 +190,14 @@ def _doc_rows(inputs: Inputs) -> DataFrame:
 
 @query
 def src_doc_catalog(inputs: Inputs) -> DataFrame:
-    """Conversations written as description files, then read back as column rows.
+    """Conversations written as description files, one model each, then read back as column rows.
 
-    A file describes up to 32 turns, so that no conversation is too long for one.
+    A file describes some hundred models.
     """
     path = scratch_path(inputs.spark, "docs")
-    chunk = F.floor(F.col("column_pos") / 32).cast("string")
+    described_rows = _doc_rows(inputs)
+    models = described_rows.agg(F.count_distinct("model_name")).first()[0]
+    part = F.pmod(F.xxhash64("model_name"), F.lit(max(1, -(-models // 200)))).alias("part")
     column = F.struct(
         F.col("column_pos"),
         F.struct(
@@ -194,15 +205,16 @@ def src_doc_catalog(inputs: Inputs) -> DataFrame:
         ).alias("c"),
     )
     model = F.struct(
-        F.col("model").alias("name"), "description", F.col("columns.c").alias("columns")
+        F.col("model_name").alias("name"), "description", F.col("columns.c").alias("columns")
     )
     described = (
-        _doc_rows(inputs)
-        .groupBy(F.concat_ws(".", "model_name", chunk).alias("model"), "description")
+        described_rows.groupBy("model_name", "description")
         .agg(F.sort_array(F.collect_list(column)).alias("columns"))
-        .select("model", F.to_json(F.struct(F.array(model).alias("models"))).alias("value"))
+        .groupBy(part)
+        .agg(F.collect_list(model).alias("models"))
+        .select("part", F.to_json(F.struct("models")).alias("value"))
     )
-    described.write.partitionBy("model").text(path)
+    described.write.partitionBy("part").text(path)
     return docs.read_doc_catalog(inputs.spark, path, "*.txt").drop("file_path")
 
 
@@ -274,6 +286,10 @@ def schema_name_for_env(inputs: Inputs) -> DataFrame:
 # Data quality
 
 
+# What many other models are built on.
+STORED = ("fact_orders", "fact_order_lines")
+
+
 def _checked(df: DataFrame, model: str) -> DataFrame:
     return df.select(F.lit(model).alias("model"), "column_name", "value", "failures")
 
@@ -281,7 +297,7 @@ def _checked(df: DataFrame, model: str) -> DataFrame:
 @query
 def dq_not_null(inputs: Inputs) -> DataFrame:
     """All declared not-null checks, with the number of failing rows."""
-    return checks.check_not_null(inputs.with_stored_facts())
+    return checks.check_not_null(inputs.with_stored(*STORED))
 
 
 @query
@@ -290,7 +306,7 @@ def dq_unique(inputs: Inputs) -> DataFrame:
     line = inputs.model("stg_order_items").select(
         F.concat_ws("-", "order_id", "order_item_id").alias("line_key")
     )
-    return checks.check_unique(inputs.with_stored_facts()).unionByName(
+    return checks.check_unique(inputs.with_stored(*STORED)).unionByName(
         _checked(quality.unique(line, ["line_key"]), "stg_order_items")
     )
 
@@ -301,7 +317,7 @@ def dq_relationships(inputs: Inputs) -> DataFrame:
     unlabelled = quality.relationships(
         inputs.table("documents"), "doc_id", inputs.table("labels"), "doc_id"
     )
-    return checks.check_relationships(inputs.with_stored_facts()).unionByName(
+    return checks.check_relationships(inputs.with_stored(*STORED)).unionByName(
         _checked(unlabelled, "documents")
     )
 
@@ -326,33 +342,40 @@ def dq_in_set(inputs: Inputs) -> DataFrame:
 def dq_between(inputs: Inputs) -> DataFrame:
     """All declared ranges, and lines outside narrower ones."""
     narrow = {"l_linenumber": (2, 6), "l_partkey": (10, None)}
-    return checks.check_between(inputs.with_stored_facts()).unionByName(
+    return checks.check_between(inputs.with_stored(*STORED)).unionByName(
         _checked(quality.between(inputs.table("lineitem"), narrow), "lineitem")
     )
 
 
 @query
 def dq_schema_contract(inputs: Inputs) -> DataFrame:
-    """Two lists of names held against each other: labelled documents and documents."""
+    """Documented columns of all models against the models, with some drift on purpose.
 
-    def listed(table: str) -> DataFrame:
-        return inputs.table(table).select(
-            F.lit("documents").alias("model"), F.concat(F.lit("Doc_"), "doc_id").alias("column_name")
-        )
-
-    return quality.schema_contract(listed("labels"), listed("documents"))
+    The documentation is made from the models: one column of each staging model is left out of it,
+    and each fact is said to have a column that it lacks.
+    """
+    documented, actual = [], []
+    for name, model in MODELS.items():
+        columns = inputs.model(name).columns
+        known = columns[:-1] if model.layer == "staging" else list(columns)
+        if name.startswith("fact_"):
+            known.append("Dropped_Column")
+        documented += [(name, c) for c in known]
+        actual.append(quality.columns_as_rows(name, inputs.model(name)))
+    listed = inputs.spark.createDataFrame(documented, "model string, column_name string")
+    return quality.schema_contract(listed, _union(actual))
 
 
 @query
 def dq_csv_shape(inputs: Inputs) -> DataFrame:
     """The first records of CSV files of documents that break the shape of their header.
 
-    Every file has a header and the next 250 documents, each with its whole text quoted;
+    Every file has a header and a 64th of the documents, each with its whole text quoted;
     documents of some sources have a field too many or too few.
     """
     path = scratch_path(inputs.spark, "shape")
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
-    source, part = F.col("source"), F.floor(F.col("doc_id") / 250).alias("part")
+    source, part = F.col("source"), F.pmod("doc_id", F.lit(64)).alias("part")
     line = (
         F.when(source == "src7", F.concat_ws(",", "doc_id", quoted))
         .when(source == "src11", F.concat_ws(",", "doc_id", "lang", quoted, F.lit("extra")))
@@ -444,7 +467,7 @@ def chart_recommend(inputs: Inputs) -> DataFrame:
 
 @query
 def chart_fallback(inputs: Inputs) -> DataFrame:
-    return charts.fallback(_dataset(inputs.table("events").drop("event_type", "props")))
+    return charts.fallback(_dataset(inputs.table("events")))
 
 
 @query
@@ -483,9 +506,7 @@ def chart_pie_top8(inputs: Inputs) -> DataFrame:
 
 @query
 def chart_time_series(inputs: Inputs) -> DataFrame:
-    return charts.time_series(
-        inputs.table("events").select("event_id", "ts", "event_type", "value"), "ts", "event_id"
-    )
+    return charts.time_series(inputs.table("events"), "ts", "event_id")
 
 
 @query
@@ -572,10 +593,10 @@ def vector_topk(inputs: Inputs) -> DataFrame:
 
 @query
 def context_assemble(inputs: Inputs) -> DataFrame:
-    """The documents with the ids of the nearest vectors, put together per query."""
+    """The documents with the ids of the nearest vectors, whole, put together per query."""
     vecs = _vectors(inputs)
     texts = inputs.table("documents").select(
-        "doc_id", F.col("source").alias("model_name"), documents.doc_truncate(F.col("text")).alias("text")
+        "doc_id", F.col("source").alias("model_name"), "text"
     )
     return vectors.context_assemble(vectors.vector_topk(vecs, vecs, k=3), texts)
 
@@ -610,4 +631,17 @@ def extract_fenced_sql(inputs: Inputs) -> DataFrame:
 
 @query
 def text_ascii_clean(inputs: Inputs) -> DataFrame:
-    return inputs.table("documents").select("doc_id", ascii_clean("text").alias("text"))
+    """The CSV cleaning job: Latin-1 files found and read, all text columns cleaned, UTF-8 out.
+
+    A line of typographic signs is put before each text.
+    """
+    spark = inputs.spark
+    latin = "".join(chr(code) for code in (*range(0xA0, 0xAD), *range(0xAE, 0x100)))
+    rows = inputs.table("documents").select(
+        "doc_id", "lang", F.concat(F.lit("é "), "source").alias("source"),
+        F.concat(F.lit(latin + " "), "text").alias("text"),
+    )
+    source = files.sink_csv(rows, scratch_path(spark, "latin"), encoding="ISO-8859-1")
+    target = scratch_path(spark, "cleaned")
+    files.clean_csv(spark, source, target, rows.schema)
+    return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(target)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martwright.functions import ascii_clean_columns
+
 
 def files_with_invalid_utf8(spark: SparkSession, path: str) -> list[str]:
     """Files holding bytes that are not UTF-8; only their names reach the driver."""
@@ -58,12 +60,19 @@ def sink_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("encoding", encoding)
         .csv(path)
     )
     return path
 
 
+def clean_csv(spark: SparkSession, source: str, target: str, schema: T.StructType | str) -> str:
+    """CSV files of either encoding to UTF-8 files whose text columns are plain ASCII."""
+    return sink_csv(ascii_clean_columns(read_csv_encoded(spark, source, schema)), target)
+
+
 # A quoted field that closes, or that runs on past the end of the line.
 _QUOTED = r'(^|,)"(?:[^"]|"")*+("|$)'
 _STAND_IN = "\ue001"

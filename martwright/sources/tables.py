@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.plans.catalog import MODELS, Warehouse
@@ -12,24 +13,77 @@ from martwright.schemas import RAW_SCHEMAS
 from martwright.sources.naming import schema_name_for_env
 
 
+# Tables with free text, whose records may run over several lines; the files of all other tables
+# are read in splits.
+MULTI_LINE = {"raw_order_reviews"}
+_CORRUPT = "_corrupt_record"
+
+
 class RawTables:
     """The canonical raw tables of a folder, read on demand with their fixed schema.
 
     ``fmt`` is ``csv`` (one file or folder ``<name>.csv`` per table, with a header) or
-    ``parquet``.
+    ``parquet``. Columns are taken by name, in any order, and others are ignored; a missing one is
+    an error. A CSV record that does not fit its header or a type is an error too, unless
+    ``set_aside`` is given: then it is left out here and listed by :meth:`bad_records`.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, fmt: str = "csv"):
-        self.spark, self.folder, self.fmt = spark, folder, fmt
+    def __init__(
+        self, spark: SparkSession, folder: str, fmt: str = "csv", set_aside: bool = False
+    ):
+        self.spark, self.folder, self.fmt, self.set_aside = spark, folder, fmt, set_aside
 
     def get(self, name: str) -> DataFrame:
-        reader = self.spark.read.schema(RAW_SCHEMAS[name])
-        path = f"{self.folder}/{name}.{self.fmt}"
-        if self.fmt == "csv":
-            return reader.option("header", True).option("multiLine", True).option(
-                "escape", '"'
-            ).csv(path)
-        return reader.format(self.fmt).load(path)
+        if self.fmt != "csv":
+            reader = self.spark.read.schema(RAW_SCHEMAS[name])
+            return reader.format(self.fmt).load(f"{self.folder}/{name}.{self.fmt}")
+        texts, problem = self._records(name)
+        if self.set_aside:
+            texts, guard = texts.where(problem.isNull()), F.lit(True)
+        else:
+            complaint = F.concat(F.lit(f"{name}: "), problem)
+            # The check hangs on every column, so no selection of columns can drop it.
+            guard = problem.isNull() | F.raise_error(complaint).cast("boolean")
+        return texts.select(
+            *[
+                F.when(guard, F.col(f.name).try_cast(f.dataType)).alias(f.name)
+                for f in RAW_SCHEMAS[name]
+            ]
+        )
+
+    def bad_records(self, name: str) -> DataFrame:
+        """``problem`` and the texts of the records that do not fit."""
+        texts, problem = self._records(name)
+        return texts.withColumn("problem", problem).where("problem is not null").drop(_CORRUPT)
+
+    def _records(self, name: str) -> tuple[DataFrame, Column]:
+        """All records as text, by the header's names, and what is wrong with one (or NULL)."""
+        path = f"{self.folder}/{name}.csv"
+        reader = (
+            self.spark.read.option("header", True)
+            .option("escape", '"')
+            .option("multiLine", name in MULTI_LINE)
+        )
+        header = reader.csv(path).columns
+        missing = [f.name for f in RAW_SCHEMAS[name] if f.name not in header]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
+        schema = ", ".join(f"`{c}` string" for c in (*header, _CORRUPT))
+        texts = (
+            reader.schema(schema)
+            .option("enforceSchema", False)
+            .option("columnPruning", False)
+            .option("columnNameOfCorruptRecord", _CORRUPT)
+            .csv(path)
+        )
+        problem = F.when(F.col(_CORRUPT).isNotNull(), "fields do not match the header")
+        for f in RAW_SCHEMAS[name]:
+            value = F.col(f.name)
+            problem = problem.when(
+                value.isNotNull() & value.try_cast(f.dataType).isNull(),
+                F.concat(F.lit(f"{f.name} is not {f.dataType.simpleString()}: "), value),
+            )
+        return texts, problem
 
 
 def with_comments(df: DataFrame, comments: dict[str, str]) -> DataFrame:
@@ -50,11 +104,15 @@ def sink_table(
     bucket_by: str | None = None,
     buckets: int | None = None,
     comments: dict[str, str] | None = None,
+    month_of: str | None = None,
 ) -> DataFrame:
     """Persist a model as a table, or register it as a view, and return it as stored.
 
     Tables joined on one key are bucketed and sorted on it, so that later joins and
-    per-key aggregations need no shuffle. Views live in the session.
+    per-key aggregations need no shuffle; ``buckets`` must then be given, as it follows from the
+    size of the data: a bucket is sorted in one task. Tables with ``month_of`` (a date or time
+    column) are partitioned by its month instead, kept as ``<column>_month``, so that a date filter
+    reads the months it needs. Views live in the session.
     """
     spark = df.sparkSession
     df = with_comments(df, comments or {})
@@ -62,29 +120,32 @@ def sink_table(
         view = f"{database}_{name}"
         df.createOrReplaceTempView(view)
         return spark.table(view)
+    if bucket_by and month_of:
+        raise ValueError("a table is either bucketed or partitioned by month")
     spark.sql(f"create database if not exists `{database}`")
     writer = df.write.mode("overwrite").format("parquet")
     if bucket_by:
-        count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not buckets:
+            raise ValueError("a bucketed table needs its number of buckets")
         # Rows are brought to their bucket first: one file per bucket, not one per task.
         writer = (
-            df.repartition(count, bucket_by)
+            df.repartition(buckets, bucket_by)
             .write.mode("overwrite")
             .format("parquet")
-            .bucketBy(count, bucket_by)
+            .bucketBy(buckets, bucket_by)
             .sortBy(bucket_by)
         )
+    elif month_of:
+        month = f"{month_of}_month"
+        dated = df.withColumn(month, F.date_format(month_of, "yyyy-MM"))
+        # Rebalanced by month: few files in each, and a large month is split.
+        writer = (
+            dated.hint("rebalance", month).write.mode("overwrite").format("parquet").partitionBy(month)
+        )
     writer.saveAsTable(f"`{database}`.`{name}`")
     return spark.table(f"`{database}`.`{name}`")
 
 
-def evenly_spread(df: DataFrame, key: str, buckets: int) -> bool:
-    """Whether no single key outweighs a bucket; two numbers reach the driver."""
-    sizes = df.groupBy(key).count().agg(F.max("count").alias("top"), F.sum("count").alias("all"))
-    top, rows = sizes.first()
-    return top is None or top * buckets <= rows
-
-
 def build_warehouse(
     spark: SparkSession,
     raw: Callable[[str], DataFrame],
@@ -92,44 +153,54 @@ def build_warehouse(
     models: list[str] | None = None,
     as_of: str | None = None,
     comments: dict[str, dict[str, str]] | None = None,
+    buckets: int | None = None,
 ) -> Warehouse:
     """Build models layer by layer, each from the stored copy of the ones before.
 
     Staging and most marts become views, dimensions, facts and segments tables, in one
-    database per layer and environment. Facts joined on the order id are bucketed on it, unless
-    one order outweighs a bucket: then the join has to stay a shuffle, which can be split.
+    database per layer and environment. With ``buckets``, facts joined on the order id are bucketed
+    on it; without, they are partitioned by month where they have a purchase date, and joins stay
+    shuffles that Spark can split (the choice where one order may outweigh a bucket).
     """
     warehouse = Warehouse(raw, as_of=as_of)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in models or list(MODELS):
         model = MODELS[name]
-        key = model.bucket_by
-        if key and not all(
-            evenly_spread(warehouse.get(source), key, buckets) for source in model.keyed_inputs
-        ):
-            key = None
         stored = sink_table(
             warehouse.get(name),
             name,
             schema_name_for_env(model.layer, env),
             model.stored,
-            key,
+            model.bucket_by if buckets else None,
             buckets,
             (comments or {}).get(name),
+            None if buckets and model.bucket_by else model.month_of,
         )
+        if model.month_of and f"{model.month_of}_month" in stored.columns:
+            # The extra column serves the storage only.
+            stored = stored.drop(f"{model.month_of}_month")
         warehouse.put(name, stored)
     return warehouse
 
 
+def _has_own_limit(result: DataFrame) -> bool:
+    """Whether the outermost step of the parsed query is a limit."""
+    plan = result._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "WithCTE":
+        plan = plan.plan()
+    return plan.nodeName() in ("GlobalLimit", "LocalLimit")
+
+
 def run_sql(spark: SparkSession, text: str, default_limit: int = 20) -> DataFrame:
     """Run one SELECT on the registered models; without a limit of its own it is capped.
 
-    One trailing semicolon is dropped. ``limit`` must stand as a word: a column
-    named ``credit_limit`` does not lift the cap.
+    One trailing semicolon is dropped. The text must parse as a subquery, where nothing but a
+    query can stand; anything else is refused before it runs. Only a limit of the whole
+    query lifts the cap, not one in a literal, a comment or a subquery.
     """
     text = text.strip().removesuffix(";").strip()
-    if not text.lower().startswith(("select", "with")):
-        raise ValueError("only SELECT statements are accepted")
-    result = spark.sql(text)
-    words = text.lower().replace("(", " ").replace(")", " ").split()
-    return result if "limit" in words else result.limit(default_limit)
+    try:
+        spark.sql(f"select * from (\n{text}\n) as _query")
+        result = spark.sql(f"(\n{text}\n)")
+    except ParseException as error:
+        raise ValueError("only SELECT statements are accepted") from error
+    return result if _has_own_limit(result) else result.limit(default_limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from martwright.plans import checks
+from oracle import declared
 from oracle.base import PARTS, statement, typed
 from oracle.models import OUTPUT
 
@@ -41,8 +41,8 @@ select order_date, cast(total_order_count as bigint) as total_order_count,
 from agg_daily_sales order by 3 desc, 1 limit 20
 """
 SQL["src_doc_catalog"] = """
-select conv_id || '.' || turn // 32 as model_name, 'conversation' as description,
-  row_number() over (partition by conv_id, turn // 32 order by turn) - 1 as column_pos, role as column_name,
+select cast(conv_id as varchar) as model_name, 'conversation' as description,
+  row_number() over (partition by conv_id order by turn) - 1 as column_pos, role as column_name,
   text as column_description
 from conversations
 """
@@ -99,30 +99,38 @@ def _union(parts: list[str]) -> str:
     return "\nunion all\n".join(parts)
 
 
+def _column(name: str) -> tuple[str, str]:
+    model, column = name.split(".")
+    return model, column
+
+
 SQL["dq_not_null"] = _union(
     [
         f"select '{model}' as model, '{column}' as column_name, cast(null as varchar) as value, "
         f"count(*) - count({column}) as failures from {model}"
-        for model, columns in checks.NOT_NULL.items()
-        for column in columns.split()
+        for model, column in map(_column, declared.NOT_NULL)
     ]
 )
 SQL["dq_unique"] = _union(
     [
         _violations(model, column, column, f"{column} is not null", 2)
-        for model, columns in checks.UNIQUE.items()
-        for column in columns.split()
+        for model, column in map(_column, declared.UNIQUE)
     ]
     + [
         """select 'stg_order_items', 'line_key', concat(l_orderkey, '-', l_linenumber), count(*)
     from lineitem group by l_orderkey, l_linenumber having count(*) > 1"""
     ]
 )
+
+
+def _unrelated(line: str) -> str:
+    (model, column), (parent, key) = map(_column, line.split())
+    known = f"select {key} from {parent} where {key} is not null"
+    return _violations(model, column, column, f"{column} not in ({known})")
+
+
 SQL["dq_relationships"] = _union(
-    [
-        _violations(model, column, column, f"{column} not in (select {key} from {parent} where {key} is not null)")
-        for model, column, parent, key in checks.RELATIONSHIPS
-    ]
+    [_unrelated(line) for line in declared.RELATED]
     + [_violations("documents", "doc_id", "doc_id", "doc_id not in (select doc_id from labels)")]
 )
 SQL["dq_accepted_values"] = _union(
@@ -136,37 +144,55 @@ from fact_closed_deals where mql_link_status <> 'linked' group by mql_link_statu
 """
 
 
-def _outside(column: str, low: object, high: object) -> str:
-    tests = [f"{column} < {low}"] if low is not None else []
-    tests += [f"{column} > {high}"] if high is not None else []
-    return " or ".join(tests)
-
-
+_RANGES = {
+    "{} < 0": declared.NOT_NEGATIVE,
+    "{} < 1": declared.AT_LEAST_ONE,
+    "{} not between 1 and 5": declared.SCORES,
+}
 SQL["dq_between"] = _union(
     [
-        _violations(model, column, column, _outside(column, *limits))
-        for model, columns in checks.BETWEEN.items()
-        for column, limits in columns.items()
+        _violations(model, column, column, test.format(column))
+        for test, names in _RANGES.items()
+        for model, column in map(_column, names)
     ]
     + [
         _violations("lineitem", "l_linenumber", "l_linenumber", "l_linenumber not between 2 and 6"),
         _violations("lineitem", "l_partkey", "l_partkey", "l_partkey < 10"),
     ]
 )
-SQL["dq_schema_contract"] = """
-select 'documents' as model, 'doc_' || coalesce(a.doc_id, b.doc_id) as column_name,
-  if(b.doc_id is null, 'documented, not produced', 'produced, not documented') as problem
-from (select distinct doc_id from labels) a full join (select distinct doc_id from documents) b
-  on a.doc_id = b.doc_id
-where a.doc_id is null or b.doc_id is null
-"""
+# The last column of each staging model is undocumented; each fact lacks a documented column.
+_LAST_STAGED = {
+    "stg_orders": "order_estimated_delivery_datetime",
+    "stg_order_items": "item_freight_value",
+    "stg_order_payments": "payment_value",
+    "stg_reviews": "review_answer_datetime",
+    "stg_customers": "customer_state",
+    "stg_geolocation": "state",
+    "stg_products": "product_width_cm",
+    "stg_product_category_translation": "product_category_name_english",
+    "stg_sellers": "seller_state",
+    "stg_marketing_qualified_leads": "mql_origin_category",
+    "stg_closed_deals": "lead_business_monthly_revenue",
+}
+SQL["dq_schema_contract"] = _union(
+    [
+        f"select '{model}' as model, '{column}' as column_name, "
+        "'produced, not documented' as problem"
+        for model, column in _LAST_STAGED.items()
+    ]
+    + [
+        f"select '{model}', 'dropped_column', 'documented, not produced'"
+        for model in OUTPUT
+        if model.startswith("fact_")
+    ]
+)
 SQL["dq_csv_shape"] = """
 select record, cast(if(source = 'src7', 2, 4) as bigint) as fields, cast(3 as bigint) as expected,
   count(*) over () as total_errors, part
-from (select source, cast(doc_id // 250 as varchar) as part,
-    row_number() over (partition by doc_id // 250 order by doc_id) + 1 as record
+from (select source, cast(doc_id % 64 as varchar) as part,
+    row_number() over (partition by doc_id % 64 order by doc_id) + 1 as record
   from documents)
-where source in ('src7', 'src11') order by part, record limit 20
+where source in ('src7', 'src11') order by cast(part as varchar), record limit 20
 """
 
 # Profiling
@@ -254,9 +280,6 @@ PARTS["lines_roles"] = _roles("lines_profile")
 PARTS["events_profile"] = _profile("events", _EVENTS)
 PARTS["events_roles"] = _roles("events_profile")
 PARTS["events_dataset"] = _dataset("events_roles")
-PARTS["event_numbers_profile"] = _profile("events", [c for c in _EVENTS if c[0] not in ("event_type", "props")])
-PARTS["event_numbers_roles"] = _roles("event_numbers_profile")
-PARTS["event_numbers_dataset"] = _dataset("event_numbers_roles")
 
 SQL["profile_columns"] = """
 select position::bigint as position, column_name, dtype, kind, row_count, unique_count, null_count,
@@ -325,7 +348,7 @@ select cast(1 as bigint) as rank, if(dim = '', 'line', 'bar') as chart_type, if(
   metric as y, cast(null as varchar) as color, if(dim = '', metric || ' Over Time', metric || ' by ' || dim) as title
 from (select string_split(primary_dimensions, ',')[1] as dim, string_split(datetime_columns, ',')[1] as time,
     string_split(primary_metrics, ',')[1] as metric
-  from event_numbers_dataset)
+  from events_dataset)
 """
 SQL["chart_top10"] = """
 select product_id, cast(sum(item_price) as double) as item_price from fact_order_lines
@@ -342,7 +365,7 @@ from (
     unnest([cast(sum(order_total) as double), avg(order_item_count), cast(count(*) as double)]) as y
   from fact_orders where order_status is not null and review_count is not null group by 1, 2)
 """
-SQL["chart_time_series"] = "select event_id, ts, event_type, value from events order by ts, event_id"
+SQL["chart_time_series"] = "select * from events order by ts, event_id"
 SQL["trend_pct_change"] = f"""
 select first_value, last_value, {_d("pct", 4)} as pct_change, if(pct > 0, 'up', 'down') as direction
 from (
@@ -408,9 +431,8 @@ where rank <= 3
 """
 SQL["vector_topk"] = "select * from nearest"
 SQL["context_assemble"] = """
-select query_id, string_agg('Model: ' || source || chr(10)
-  || if(length(text) > 2000, text[1:1990] || '... [truncated]', text),
-  chr(10) || chr(10) order by rank) as context
+select query_id,
+  string_agg('Model: ' || source || chr(10) || text, chr(10) || chr(10) order by rank) as context
 from nearest n join documents d on d.doc_id = n.doc_id group by query_id
 """
 SQL["classify_sql_request"] = """
@@ -445,8 +467,15 @@ from (
 SQL["extract_fenced_sql"] = """
 select conv_id, turn, trim(text, ' ' || chr(10) || chr(9) || chr(13)) as sql_text from conversations
 """
-SQL["text_ascii_clean"] = """
-select doc_id, regexp_replace(strip_accents(replace(text, 'ß', 'ss')), '[^ -~]', '', 'g') as text
+# The signs and letters of Latin-1 in their order, without the soft hyphen. A quote
+# is doubled.
+_LATIN_LINE = (
+    " !C/PS$?Y=|SS\"(c)a<<!(r)-deg+-23''uP*,1o>>1/41/23/4?"
+    "AAAAAAAECEEEEIIIIDNOOOOOxOUUUUYThssaaaaaaaeceeeeiiiidnooooo/ouuuuythy"
+)
+SQL["text_ascii_clean"] = f"""
+select doc_id, lang, 'e ' || source as source, '{_LATIN_LINE} ' ||
+  regexp_replace(strip_accents(replace(text, 'ß', 'ss')), '[^ -~]', '', 'g') as text
 from documents
 """
 

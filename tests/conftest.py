@@ -23,6 +23,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", str(home / "warehouse"))
+        .config("spark.checkpoint.dir", f"file://{home}/shared")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

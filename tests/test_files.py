@@ -127,7 +127,22 @@ def test_run_sql(spark):
     assert tables.run_sql(spark, " select credit_limit from numbers; ").count() == 20
     assert tables.run_sql(spark, "select id from numbers\nLIMIT 30").count() == 30
     assert tables.run_sql(spark, "with n as (select * from numbers) select * from n").count() == 20
-    for text in ("drop view numbers", "insert into numbers values (1)", ""):
+    for text in (
+        "select 'no limit here' as t, id from numbers",
+        "select id from numbers -- limit 5",
+        "select id from numbers where id > (select min(id) from numbers limit 1)",
+    ):
+        assert tables.run_sql(spark, text).count() == 20, text
+    limited = "with n as (select * from numbers) select * from n order by id limit 33"
+    assert tables.run_sql(spark, limited).count() == 33
+    for text in (
+        "drop view numbers",
+        "insert into numbers values (1)",
+        "",
+        "with a as (select 7 as id) insert into numbers select * from a",
+        "select 1) as a; drop view numbers; select * from (select 1",
+        "from numbers insert into numbers select id",
+    ):
         with pytest.raises(ValueError, match="SELECT"):
             tables.run_sql(spark, text)
 
@@ -149,7 +164,7 @@ def built(spark):
         "agg_seller_performance",
     ]
     comments = {"agg_daily_sales": {"order_date": "day of purchase"}}
-    return tables.build_warehouse(spark, raw, "uat", names, comments=comments)
+    return tables.build_warehouse(spark, raw, "uat", names, comments=comments, buckets=4)
 
 
 def test_build_warehouse_stores_by_layer(spark, built):
@@ -171,8 +186,117 @@ def test_bucketed_facts_join_without_a_shuffle(spark, built, capsys):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
-def test_evenly_spread(spark):
-    even = spark.range(1000).select((F.col("id") % 500).alias("k"))
-    hot = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
-    assert tables.evenly_spread(even, "k", 8)
-    assert not tables.evenly_spread(hot, "k", 8)
+def test_tables_by_month_read_the_months_they_need(spark):
+    days = spark.range(400).selectExpr("id", "date_add(date'2018-01-01', cast(id as int)) as day")
+    stored = tables.sink_table(days, "by_month", "months_uat", month_of="day")
+    assert stored.columns == ["id", "day", "day_month"] and stored.count() == 400
+    assert stored.where("day_month = '2018-03'").count() == 31
+    with pytest.raises(ValueError, match="buckets"):
+        tables.sink_table(days, "x", "months_uat", bucket_by="id")
+    with pytest.raises(ValueError, match="either"):
+        tables.sink_table(days, "x", "months_uat", bucket_by="id", buckets=2, month_of="day")
+
+
+def test_facts_without_buckets_are_kept_by_month(spark):
+    raw = SampleTables(spark, SAMPLE).raw
+    built = tables.build_warehouse(spark, raw, "dev", ["stg_order_payments", "fact_payments"])
+    assert "payment_date_month" in spark.table("intermediate_dev.fact_payments").columns
+    assert "payment_date_month" not in built.get("fact_payments").columns
+
+
+def _geolocation(tmp_path, header, *lines):
+    (tmp_path / "raw_geolocation.csv").write_text("\n".join([header, *lines]) + "\n")
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    _geolocation(
+        tmp_path,
+        "geolocation_lat,geolocation_state,geolocation_city,geolocation_zip_code_prefix",
+        "-23.5,sp,são paulo,1037",
+    )
+    row = tables.RawTables(spark, str(tmp_path)).get("raw_geolocation").first()
+    assert tuple(row) == (1037, "são paulo", "sp")
+
+
+def test_a_missing_csv_column_is_an_error(spark, tmp_path):
+    _geolocation(tmp_path, "geolocation_state,geolocation_city", "sp,x")
+    with pytest.raises(ValueError, match="geolocation_zip_code_prefix"):
+        tables.RawTables(spark, str(tmp_path)).get("raw_geolocation")
+
+
+def test_bad_csv_records_fail_or_are_set_aside(spark, tmp_path):
+    header = "geolocation_zip_code_prefix,geolocation_city,geolocation_state"
+    _geolocation(tmp_path, header, "1,a,x", "abc,b,y", "3,c", "4,d,z,w", ",e,v")
+    with pytest.raises(Exception, match="raw_geolocation"):
+        tables.RawTables(spark, str(tmp_path)).get("raw_geolocation").select(
+            "geolocation_city"
+        ).collect()
+    apart = tables.RawTables(spark, str(tmp_path), set_aside=True)
+    assert sorted(map(tuple, apart.get("raw_geolocation").collect()), key=repr) == [
+        (1, "a", "x"), (None, "e", "v"),
+    ]
+    problems = sorted(r["problem"] for r in apart.bad_records("raw_geolocation").collect())
+    assert problems == [
+        "fields do not match the header",
+        "fields do not match the header",
+        "geolocation_zip_code_prefix is not int: abc",
+    ]
+
+
+def test_csv_without_free_text_is_read_in_splits(spark, tmp_path):
+    header = "geolocation_zip_code_prefix,geolocation_city,geolocation_state"
+    _geolocation(tmp_path, header, *(f"{i},city{i},sp" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        zips = tables.RawTables(spark, str(tmp_path)).get("raw_geolocation")
+        assert zips.rdd.getNumPartitions() > 1 and zips.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_free_text_may_run_over_lines(spark, tmp_path):
+    (tmp_path / "raw_order_reviews.csv").write_text(
+        "review_id,order_id,review_score,review_comment_title,review_comment_message,"
+        "review_creation_date,review_answer_timestamp\n"
+        'r,o,5,,"two\nlines, ""quoted""",2018-01-01 00:00:00,2018-01-02 00:00:00\n'
+    )
+    row = tables.RawTables(spark, str(tmp_path)).get("raw_order_reviews").first()
+    assert row.review_comment_message == 'two\nlines, "quoted"' and row.review_score == 5
+
+
+def test_clean_csv_of_either_encoding(spark, tmp_path):
+    for name, encoding in (("a", "utf-8"), ("b", "latin-1")):
+        folder = tmp_path / "in"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{name}.csv").write_bytes(f"n,t,u\n1,né {name},\"º, x\"\n".encode(encoding))
+    schema = "n int, t string, u string"
+    target = files.clean_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"), schema)
+    rows = spark.read.schema(schema).option("header", True).csv(target).collect()
+    assert sorted(map(tuple, rows)) == [(1, "ne a", "o, x"), (1, "ne b", "o, x")]
+
+
+def test_long_conversations_and_many_models_share_few_files(spark, tmp_path):
+    from martwright.plans.queries import all_queries
+
+    rows = [(1, t, "user", f"turn {t}") for t in range(100)]
+    rows += [(c, 0, "user", "x") for c in range(2, 600)]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = all_queries()["src_doc_catalog"](spark, str(tmp_path))
+    assert found.where("model_name = '1'").count() == 100
+    assert found.count() == 698
+
+
+def test_whole_texts_enter_the_context(spark, tmp_path):
+    from martwright.plans.queries import all_queries
+
+    spark.createDataFrame(
+        [(1, "w" * 20_000, "en", "s", 1)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [(1, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label int"
+    ).write.parquet(f"{tmp_path}/embeddings.parquet")
+    row = all_queries()["context_assemble"](spark, str(tmp_path)).first()
+    assert row["context"] == "Model: s\n" + "w" * 20_000

@@ -135,3 +135,32 @@ def test_schema_names(spark):
         assert schema_name_for_env("staging", env) == want
         column = schema_name_column(F.lit("staging"), F.lit(env))
         assert one(spark, column) == want
+
+
+def test_ascii_clean_knows_all_of_latin_1(spark):
+    wanted = dict(
+        zip(
+            map(chr, range(0xA0, 0x100)),
+            """| |!|C/|PS|$?|Y=|PIPE|SS|"|(c)|a|<<|!||(r)|-|deg|+-|2|3|'|u|P|*|,|1|o|>>|1/4|1/2|3/4|?|
+            A|A|A|A|A|A|AE|C|E|E|E|E|I|I|I|I|D|N|O|O|O|O|O|x|O|U|U|U|U|Y|Th|ss|
+            a|a|a|a|a|a|ae|c|e|e|e|e|i|i|i|i|d|n|o|o|o|o|o|/|o|u|u|u|u|y|th|y""".replace(
+                "\n            ", ""
+            )[1:].split("|"),
+        )
+    )
+    wanted["¦"] = "|"
+    assert len(wanted) == 96
+    signs = spark.createDataFrame([(s, f"[{s}]") for s in wanted], "sign string, t string")
+    got = dict(map(tuple, signs.select("sign", fn.ascii_clean("t")).collect()))
+    assert got == {sign: f"[{ascii_form}]" for sign, ascii_form in wanted.items()}
+
+
+def test_ascii_clean_of_typographic_signs(spark):
+    signs = {"€": "EUR", "…": "...", "—": "--", "–": "-", "‘": "'", "’": "'", "“": '"', "”": '"',
+             "•": "*", "™": "(tm)", "‹": "<", "›": ">", "‚": ",", "„": ",,", "−": "-", "ﬁ": "fi"}
+    assert one(spark, fn.ascii_clean("t"), t=("string", "".join(signs))) == "".join(signs.values())
+
+
+def test_ascii_clean_columns(spark):
+    df = spark.createDataFrame([(1, "é", "ñº", None)], "n int, a string, b string, c string")
+    assert tuple(fn.ascii_clean_columns(df).first()) == (1, "e", "no", None)

@@ -229,3 +229,26 @@ def test_fallback(spark):
         (2, "box", None, "a", None),
     ]
     assert kinds(charts.fallback(dataset(spark))) == []
+
+
+def test_nan_is_missing_in_every_chart(spark):
+    nan = float("nan")
+    rows = [("a", 1.0, 2.0), ("a", nan, 1.0), ("b", 5.0, 4.0), ("c", nan, nan), ("b", 2.0, 3.0)]
+    frame = spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(rows)], "t int, k string, value double, rate double"
+    )
+    assert charts.top_n(frame, "k", "value").collect()[0]["k"] == "b"
+    assert [tuple(r) for r in charts.pie_top(frame, "k", "value").collect()] == [
+        ("b", 7.0), ("a", 1.0), ("c", 0.0),
+    ]
+    rates = {r["k"]: r["rate"] for r in charts.group_agg(frame, ["k"], "rate").collect()}
+    assert rates == {"a": 1.5, "b": 3.5, "c": None}
+    box = charts.box_summary(frame, ["value"]).first()
+    assert (box["minimum"], box["median"], box["maximum"]) == (1.0, 2.0, 5.0)
+    backwards = frame.where("t in (0, 1)")
+    trend = charts.trend_pct_change(backwards, "t", "value").first()
+    assert trend["last_value"] is None and trend["direction"] is None
+    cells = charts.correlation_matrix(frame, ["value", "rate"]).collect()
+    known = frame.toPandas()[["value", "rate"]].corr()
+    for r in cells:
+        assert abs(r["correlation"] - known.loc[r["column_x"], r["column_y"]]) < 1e-12

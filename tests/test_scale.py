@@ -107,10 +107,32 @@ def test_order_with_a_third_of_all_lines_is_split(spark):
     assert plan.count("skew=true") >= 1, plan
 
 
-def test_vector_search_does_not_move_the_corpus(spark):
+def test_vector_search_makes_no_pairs(spark):
     vecs = Inputs(spark, SAMPLE).table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
     plan = plan_of(vectors.vector_topk(vecs, vecs))
-    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert "Join" not in plan and "CoGroups" in plan
+
+
+def test_daily_metrics_write_no_row_three_times(spark):
+    plan = plan_of(all_queries()["fact_product_daily_metrics"](spark, SAMPLE))
+    assert "Expand" not in plan
+
+
+def test_zips_are_distinct_before_they_meet_customers(spark):
+    zips = spark.createDataFrame([(1, "a", "x")] * 500, "zip_code int, city string, state string")
+    people = spark.range(100).selectExpr(
+        "id as customer_id", "1 as customer_zip_code", "'c' as customer_city", "'s' as customer_state"
+    )
+    found = core.dim_customers(people, zips)
+    assert found.count() == 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
+
+
+def test_load_time_has_one_type(spark):
+    zips = spark.createDataFrame([(1, "a", "x")], "zip_code int, city string, state string")
+    types = {core.dim_location(zips, at).schema["created_at"].dataType for at in (None, "2018-01-01")}
+    assert len(types) == 1
 
 
 def test_workers_need_no_copy_of_the_package(tmp_path):

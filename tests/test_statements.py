@@ -5,6 +5,8 @@ import pytest
 import check
 from __spark_entry__ import entry, oracle_sql, queries
 from martwright.plans.catalog import MODELS
+from martwright.plans.queries import all_queries
+from oracle.statements import all_statements
 
 from conftest import SAMPLE
 
@@ -22,8 +24,9 @@ classify_sql_request classify_intents extract_fenced_sql text_ascii_clean
 
 
 def test_inventory_is_complete():
-    assert set(queries()) == set(MODELS) | set(OPERATORS)
-    assert set(oracle_sql()) == set(queries())
+    assert set(all_queries()) == set(MODELS) | set(OPERATORS)
+    assert set(all_statements()) == set(all_queries())
+    assert set(all_queries()) <= set(queries()) and set(all_statements()) <= set(oracle_sql())
 
 
 def test_entry(spark):
@@ -36,7 +39,7 @@ def database():
     return check.connect(SAMPLE)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_statement(spark, database, name):
     outcome = check.compare(spark, database, SAMPLE, name)
     assert outcome.startswith("ok"), outcome

@@ -105,20 +105,20 @@ def brute_force(corpus, queries, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-@pytest.mark.parametrize("limit", [vectors.BROADCAST_BYTES, 1])
-def test_vector_topk_equals_brute_force(spark, monkeypatch, metric, limit):
+@pytest.mark.parametrize("rows", [64, 4096])
+def test_vector_topk_equals_brute_force(spark, monkeypatch, metric, rows):
     rng = np.random.default_rng(11)
     corpus, queries = rng.normal(size=(700, 16)), rng.normal(size=(60, 16))
     # Copies of one vector: ties go to the smallest id, and no copy is dropped.
     corpus[100:300] = queries[7]
-    monkeypatch.setattr(vectors, "QUERY_CELL_ROWS", 16)
-    monkeypatch.setattr(vectors, "CORPUS_CELL_ROWS", 128)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", rows // 4)
+    monkeypatch.setattr(vectors, "CORPUS_ROWS", rows)
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", 100)
     found = vectors.vector_topk(
         vector_frame(spark, corpus).repartition(5),
         vector_frame(spark, queries),
         k=4,
         metric=metric,
-        broadcast_bytes=limit,
     )
     got = {}
     for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
@@ -136,6 +136,30 @@ def test_vector_topk_with_little_data(spark):
         vectors.vector_topk(one, one, metric="dot")
 
 
+def test_vectors_that_are_not_whole_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [0.0, 0.0]), (5, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "id long, embedding array<float>")
+    for metric in ("l2", "cosine"):
+        found = vectors.vector_topk(frame, frame, k=5, metric=metric).collect()
+        assert {r.query_id for r in found} == {r.doc_id for r in found} == {1, 4, 5}
+        assert len(found) == 9
+
+
+def test_far_cells_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CORPUS_ROWS", 50)
+    rng = np.random.default_rng(3)
+    centres = 100 * rng.normal(size=(8, 6))
+    matrix = np.concatenate([c + rng.normal(size=(100, 6)) for c in centres])
+    frame = vector_frame(spark, matrix)
+    plan = vectors.vector_topk(frame, frame.where("id < 100"), k=3)
+    sent = plan._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in sent and "NestedLoop" not in sent
+    got = {}
+    for r in sorted(plan.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == brute_force(matrix, matrix[:100], 3, "l2")
+
+
 def test_context(spark):
     hits = spark.createDataFrame([(1, 2, 10), (1, 1, 11), (2, 1, 10)], "query_id long, rank int, doc_id long")
     docs = spark.createDataFrame([(10, "m10", "ten"), (11, "m11", "eleven")], "doc_id long, model_name string, text string")
