@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from martwright.operators.durable import scratch_path
 
@@ -21,6 +22,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def about(df: DataFrame, hashed: str, limit: int, rows: int | None = None) -> DataFrame:
+    """The rows with hashes below a bound that about twice ``limit`` rows are expected to meet.
+
+    ``hashed`` is a 64-bit hash with few equal values; ``rows`` is the number of rows, if known.
+    """
+    total = df.count() if rows is None else rows
+    share = min(1.0, 2 * limit / max(total, 1))
+    return df.where(F.col(hashed) / 2.0**64 + 0.5 <= share)
+
+
+def smallest(
+    df: DataFrame, hashed: str, limit: int, *ties: str, rows: int | None = None
+) -> DataFrame:
+    """The ``limit`` rows with the smallest hashes (or, in rare cases, some fewer).
+
+    However many tasks there are, together they send the driver about twice as many rows.
+    """
+    return about(df, hashed, limit, rows).orderBy(hashed, *ties).limit(limit)
+
+
 def per_worker(key: str, build: Callable):
     """A value built once in each Python worker process.
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from martwright.llm.common import stored
+from martwright.llm.common import smallest, stored
 
 BITS = 64
 COVER = 0.97
@@ -139,10 +139,13 @@ def _classes(plain: DataFrame, k: int) -> DataFrame:
     return classes.select(F.col("ids")[0].alias("name"), "hash", "vector", "ids")
 
 
-def _sample(classes: DataFrame, rows: int) -> np.ndarray:
-    """At most ``rows`` vectors, those with the smallest hashes."""
-    picked = classes.orderBy(F.xxhash64("hash", F.lit(7))).limit(rows)
-    vectors = picked.select(F.col("vector").cast("array<double>").alias("vector")).toPandas()
+def _sample(classes: DataFrame, limit: int, rows: int) -> np.ndarray:
+    """At most ``limit`` vectors, those with the smallest hashes."""
+    hashed = classes.select(
+        F.xxhash64("hash", F.lit(7)).alias("_order"),
+        F.col("vector").cast("array<double>").alias("vector"),
+    )
+    vectors = smallest(hashed, "_order", limit, rows=rows).toPandas()
     return _matrix(vectors["vector"]) if len(vectors) else np.zeros((0, 1))
 
 
@@ -325,7 +328,7 @@ def search(
         F.count("*").alias("rows"), F.sqrt(F.max(square.cast("double"))).alias("largest")
     ).first()
     largest = facts["largest"] * (1 + 1e-12)
-    sample = _sample(classes, TRAINING_ROWS)
+    sample = _sample(classes, TRAINING_ROWS, facts["rows"])
     rotation = learn_rotation(extended(sample, largest))
     radius = _calibrated(classes, sample, rotation, largest, k)
     parts = substrings(facts["rows"])

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martwright.llm.common import about
 from martwright.llm.tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
@@ -182,8 +183,9 @@ def train(
     rows = docs.where(F.col(text).rlike(TRIGGER)).select(
         F.xxhash64(F.col(doc_id)).alias("_hash"), F.col(text).alias("_text")
     )
+    # Nearly every document with a datum gives a window, so twice as many documents are enough.
     labelled = (
-        rows.mapInPandas(label, "hash long, place int, window string, spans array<int>")
+        about(rows, "_hash", windows).mapInPandas(label, "hash long, place int, window string, spans array<int>")
         .orderBy("hash", "place", "window")
         .limit(windows)
         .collect()

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from martwright.llm.common import stored
+from martwright.llm.common import smallest, stored
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}"
 RUN = r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"
@@ -201,13 +201,13 @@ def grow(labelled: DataFrame, features: Sequence[str] = FEATURES) -> list[Node]
     The rows with the smallest hashes are used.
     """
     key = F.xxhash64("value", "before", *features)
-    sample = stored(
+    # Equal findings count once: a frequent one would fill the sample.
+    known = (
         labelled.where(F.col("is_secret").isNotNull())
         .select(key.alias("_key"), F.col("is_secret").cast("int").alias("_y"), *features)
-        .orderBy("_key")
-        .limit(LABELLED_ROWS),
-        "secrets-labelled",
+        .distinct()
     )
+    sample = stored(smallest(known, "_key", LABELLED_ROWS, "_y"), "secrets-labelled")
     if sample.select("_y").distinct().count() < 2:
         return None
     shares = [i / BINS for i in range(1, BINS)]
