@@ -123,13 +123,16 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str =
     doc_type = corpus.schema["id"].dataType.simpleString()
     schema = f"query_id {id_type}, doc_id {doc_type}, distance double"
     corpus, queries = _usable(corpus), _usable(queries)
-    sample = corpus.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
-    asked = queries.count()
+    rows, asked = corpus.count(), queries.count()
+    # Tasks together send about twice the sample: only so many hashes lie below the bound.
+    hashed = corpus.withColumn("_hash", F.xxhash64("id"))
+    share = min(1.0, 2 * SAMPLE_ROWS / max(rows, 1))
+    few = hashed.where(F.col("_hash") / 2.0**64 + 0.5 <= share)
+    sample = few.orderBy("_hash", "id").limit(SAMPLE_ROWS).toPandas()
     if sample.empty or not asked:
         return corpus.sparkSession.createDataFrame([], schema).select(
             "query_id", F.lit(1).alias("rank"), "doc_id"
         )
-    rows = corpus.count()
     cells = min(MOST_CELLS, -(-rows // CORPUS_ROWS), len(sample))
     known = _placed(_matrix(sample["embedding"]), metric, 1)
     sent = corpus.sparkSession.sparkContext.broadcast(known)
