@@ -30,6 +30,7 @@ from martwright.llm.common import smallest, stored
 CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}"
 RUN = r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"
 PART = "[a-z]{4,}"
+REACH = 80  # characters on either side in which neighbouring words are looked for
 WORD_COUNT = 20  # occurrences that make a word of the dictionary
 # Words that announce a credential, paths of test data, issued key formats.
 CREDENTIAL = r"(?i)(password|passwd|pwd|secret|token|api.?key|access.?key|auth|credential|bearer)"
@@ -59,22 +60,22 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
         F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)).alias("_values"),
         F.split(F.col(text), CANDIDATE, -1).alias("_between"),
     )
-    # Only the words next to a value are carried on, with the length of what was between.
+    # Only the words next to a value are carried on, with the length of what was between; they are
+    # looked for within REACH characters, as a pattern that ends a long text takes quadratic time.
+    reach = F.lit(REACH)
     between = F.transform(
         "_between",
         lambda piece: F.struct(
             F.length(piece).alias("size"),
-            F.regexp_extract(piece, r"(\S*\s?\S*\s?\S*)$", 1).alias("tail"),
-            F.regexp_extract(piece, r"^(\S*\s?\S*)", 1).alias("head"),
+            F.regexp_extract(F.right(piece, reach), r"(\S*\s?\S*\s?\S*)$", 1).alias("tail"),
+            F.regexp_extract(F.left(piece, reach), r"^(\S*\s?\S*)", 1).alias("head"),
         ),
     )
-    listed = F.transform(
-        F.arrays_zip("_values", F.slice("_pieces", 1, F.size("_values")).alias("gap")),
-        lambda x, i: F.struct(
-            x["_values"].alias("value"),
-            x["gap"].alias("gap"),
-            F.element_at("_pieces", i + 2)["head"].alias("after"),
-        ),
+    n = F.size("_values")
+    listed = F.arrays_zip(
+        F.col("_values").alias("value"),
+        F.slice("_pieces", 1, n).alias("gap"),
+        F.slice("_pieces", 2, n).alias("next"),
     )
     each = rows.withColumn("_pieces", between).select(
         "_row", "doc_id", "path", F.posexplode(listed).alias("number", "x")
@@ -88,7 +89,7 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
         end.cast("long").alias("end"),
         F.col("x.value").alias("value"),
         F.col("x.gap.tail").alias("before"),
-        F.col("x.after").alias("after"),
+        F.col("x.next.head").alias("after"),
     )
 
 
