@@ -189,21 +189,25 @@ def _shared_keys(nodes: DataFrame) -> DataFrame:
 def _sets_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Full shingle sets of the nodes: ``node``, ``set`` (hashes as bytes)."""
 
-    @F.pandas_udf("set binary, digest binary")
-    def packed(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(whole).tobytes() for whole in texts]
-        digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-        return pd.DataFrame({"set": sets, "digest": digests})
+    def packed(frames):
+        for frame in frames:
+            sets = [shingle_set(whole).tobytes() for whole in frame["_text"]]
+            # An id can stand for several texts; the node's own is the one with its digest.
+            own = [
+                hashlib.blake2b(s, digest_size=16).digest() == bytes(digest)
+                for s, digest in zip(sets, frame["class"])
+            ]
+            yield frame.assign(set=sets).loc[own, ["node", "set"]]
 
     wanted = nodes.select("source", "class", "node")
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     found = rows.join(wanted, F.col("_id").eqNullSafe(F.col("source")))
-    # An id can stand for several texts; the node's own is the one with its digest.
+    # As an expression, Spark would work the sets out before the join, for all documents.
     return (
-        found.select("node", "class", packed("_text").alias("_packed"))
-        .where(F.col("class") == F.col("_packed.digest"))
+        found.select("node", "class", "_text")
+        .mapInPandas(packed, "node long, set binary")
         .groupBy("node")
-        .agg(F.first("_packed.set").alias("set"))
+        .agg(F.first("set").alias("set"))
     )
 
 
@@ -364,18 +368,32 @@ def _cross_links(members: DataFrame, sets: DataFrame, few: DataFrame, percent: i
     """Links (a, b) between different components that share a key."""
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        links = linking_pairs(
-            frame["node"].to_numpy(),
-            frame["component"].to_numpy(),
-            frame["side"].to_numpy(),
-            np.stack(frame["planes"].to_numpy()).astype(np.int64).view(np.uint64),
-            [np.frombuffer(s, np.uint64) for s in frame["set"]],
-            percent,
-        )
+        frame = frame.sort_values(["key", "pair"], ignore_index=True)
+        where = frame["key"].to_numpy(), frame["pair"].to_numpy()
+        new = np.r_[True, np.logical_or(*(x[1:] != x[:-1] for x in where))]
+        columns = [frame[c].to_numpy() for c in ("node", "component", "side")]
+        planes = np.stack(frame["planes"].to_numpy()).astype(np.int64).view(np.uint64)
+        sets = [np.frombuffer(s, np.uint64) for s in frame["set"]]
+        links, edges = [], [*np.flatnonzero(new).tolist(), len(frame)]
+        for start, end in zip(edges, edges[1:]):
+            part = slice(start, end)
+            links += linking_pairs(
+                *(c[part] for c in columns), planes[part], sets[part], percent
+            )
         return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
-    rows = _block_rows(members).join(few.select("node", "planes").join(sets, "node"), "node")
-    return rows.groupBy("key", "pair").applyInPandas(compare, "a long, b long").distinct()
+    rows = stored(_block_rows(members), "neardup-blocks")
+    # Pairs of blocks are put together in groups of about BLOCK_ROWS rows; a large pair adds no more
+    # than its own two blocks.
+    groups = max(1, -(-rows.count() // BLOCK_ROWS))
+    group = F.pmod(F.xxhash64("key", "pair"), F.lit(groups)).alias("group")
+    full = rows.join(few.select("node", "planes").join(sets, "node"), "node")
+    return (
+        full.select(group, "*")
+        .groupBy("group")
+        .applyInPandas(compare, "a long, b long")
+        .distinct()
+    )
 
 
 def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
