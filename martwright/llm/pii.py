@@ -3,9 +3,10 @@
 The patterns find base spans (email, ip, card, phone). A character-level tagger is trained from
 labelled spans: windows round base spans of a bounded sample of documents, half of them with the
 span rewritten in a form that the patterns miss. It then reads every whole text in overlapping
-windows. A personal datum has a digit or an ``@``, and a span without either is refused; a window
-without either can therefore hold no span and is not decoded, which changes no result. Spans that
-reach into a window's edge are left to the neighbouring window. All windows of a document are
+windows. A personal datum has a digit or an ``@``, or is an email with the words ``at`` and ``dot``
+(or a full stop), and all other spans are refused; a window without these can therefore hold no
+span and is not decoded, which changes no result. Spans that reach into a window's edge are left
+to the neighbouring window. All windows of a document are
 reconciled at once: base spans stay, and among the others the non-overlapping set with the highest
 total weight is kept.
 
@@ -30,6 +31,8 @@ from martwright.llm.tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
 TRIGGER = "[0-9@]"
+# Signs of an email that is spelled out.
+AT, DOT = re.compile(r"\bat\b"), re.compile(r"\.|\bdot\b")
 WIDTH, STRIDE = 96, 48
 TRAINING_WINDOWS = 1200
 TRAINING_STEPS, TRAINING_BATCH, TRAINING_RATE = 400, 32, 0.02
@@ -203,10 +206,21 @@ def train(
     return tagger
 
 
-def _plausible(found: str, kind: int) -> bool:
-    """What any datum of a kind must have, however it is written."""
+def may_hold(window: str) -> bool:
+    """True wherever some part of the window is ``_plausible``."""
+    if re.search(TRIGGER, window):
+        return True
+    return "at" in window and bool(AT.search(window)) and bool(DOT.search(window))
+
+
+def _plausible(whole: str, start: int, end: int, kind: int) -> bool:
+    """What any datum of a kind must have, however it is written; words are words of the text."""
+    found = whole[start:end]
     if kind == 0:
-        return bool(re.search(r"@|\bat\b", found)) and bool(re.search(r"\.|\bdot\b", found))
+        # One character more shows whether a word ends with the span.
+        signs = [sign.search(whole, start, end + 1) for sign in (AT, DOT)]
+        at, dot = (sign is not None and sign.end() <= end for sign in signs)
+        return dot and (at or "@" in found)
     if kind == 1:
         parts = re.findall(r"[0-9]+", found)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -270,7 +284,7 @@ def added_spans(
         (i, start)
         for i, whole in enumerate(texts)
         for start in range(0, max(len(whole) - WIDTH + STRIDE, 1), STRIDE)
-        if re.search(TRIGGER, whole[start : start + WIDTH])
+        if may_hold(whole[start : start + WIDTH])
     ]
     found: list[list] = [[] for _ in texts]
     for begin in range(0, len(places), WINDOWS_AT_ONCE):
@@ -281,9 +295,9 @@ def added_spans(
             stop = min(WIDTH, len(whole) - offset)
             for start, end, kind, least in _spans_of(path[:stop], sure[:stop]):
                 cut = (start == 0 and offset > 0) or (end == WIDTH and offset + end < len(whole))
-                value = whole[offset + start : offset + end]
-                if not cut and least >= CONFIDENCE and _plausible(value, kind):
-                    found[i].append((offset + start, offset + end, kind, least))
+                place = offset + start, offset + end
+                if not cut and least >= CONFIDENCE and _plausible(whole, *place, kind):
+                    found[i].append((*place, kind, least))
     return [reconcile(some, base) for some, base in zip(found, bases)]
 
 
@@ -306,8 +320,10 @@ def find(docs: DataFrame, tagger: Tagger | None, text: str = "text") -> DataFram
                 added[i] = spans
         return pd.DataFrame({"base": base, "added": added})
 
-    # Texts without a digit or an @ are not sent to Python: nothing can be found in them.
-    searched = F.when(F.col(text).rlike(TRIGGER), F.col(text))
+    # Other texts are not sent to Python: none of their windows may hold anything.
+    whole = F.col(text)
+    spelled = whole.contains("at") & (whole.contains(".") | whole.contains("dot"))
+    searched = F.when(whole.rlike(TRIGGER) | spelled, whole)
     return docs.select(F.struct("*").alias("row"), scan(searched).alias("_found")).select(
         "row", "_found.base", "_found.added"
     )

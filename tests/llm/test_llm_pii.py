@@ -196,6 +196,55 @@ def test_windows_without_trigger_change_nothing(tagger):
     assert some == [s for s in every if re.search(pattern, text[s[0] : s[1]])]
 
 
+NAMES = ["jane", "bo", "carol", "mina", "paul", "rita", "sven", "tom"]
+SPELLED = [pii._rewritten(f"{name}@mail.org", 0, i % 3) for i, name in enumerate(NAMES)]
+
+
+@pytest.fixture(scope="module")
+def letters_tagger(spark):
+    """Trained on emails without a digit."""
+    rng, rows = random.Random(9), []
+    for i in range(300):
+        name, host = rng.choice(NAMES), rng.choice(["mail", "example", "post"])
+        rows.append((i, f"{FILLER[rng.randint(0, 20) :]}{name}@{host}.org {FILLER * 3}"))
+    return pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_spelled_out_emails_are_found_as_by_full_decoding(letters_tagger, monkeypatch):
+    """Every window is decoded for comparison, and nothing is left out of what that finds."""
+    texts = [f"{FILLER}{lead}{value} {FILLER * 3}" for value in SPELLED for lead in ("", "or 7 ")]
+    texts += [FILLER * 2 + "she sat at home. that cat dots " + FILLER, "at.", "dot at", "that dot"]
+    bases = [pii.base_spans(t) for t in texts]
+    some = pii.added_spans(texts, bases, letters_tagger)
+    assert sum(any(k == 0 for _, _, k in spans) for spans in some) >= 8
+    monkeypatch.setattr(pii, "may_hold", lambda window: True)
+    assert some == pii.added_spans(texts, bases, letters_tagger)
+
+
+def test_windows_left_out_hold_nothing_plausible():
+    rng = random.Random(8)
+    parts = ["at", "dot", ".", " ", "t", "(", "a", "é", "@", "7", "_", "do"]
+    held = 0
+    for _ in range(4000):
+        whole = "".join(rng.choices(parts, weights=[4, 4, 2, 6, 2, 2, 2, 1, 0.1, 0.1, 1, 1], k=12))
+        a, b = sorted((rng.randint(0, len(whole)), rng.randint(0, len(whole))))
+        for start in range(a, b):
+            for end in range(start + 1, b + 1):
+                if any(pii._plausible(whole, start, end, kind) for kind in range(4)):
+                    held += 1
+                    assert pii.may_hold(whole[a:b]), (whole[a:b], whole[start:end])
+    assert held > 1000
+
+
+def test_texts_with_spelled_out_emails_only_are_searched(spark, letters_tagger):
+    rows = [(i, f"{FILLER}{value} {FILLER}") for i, value in enumerate(SPELLED)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.digest_columns(pii.find(docs, letters_tagger)).select("row.doc_id", "n_added").collect()
+    direct = pii.added_spans([t for _, t in rows], [[]] * len(rows), letters_tagger)
+    assert dict(map(tuple, found)) == {i: len(spans) for i, spans in enumerate(direct)}
+    assert sum(n for _, n in found) >= 4
+
+
 def test_empty_tables(spark, documents):
     none = documents.limit(0)
     assert pii.train(none) is None
