@@ -77,7 +77,8 @@ def _emails(text: str) -> list[Span]:
         length = len(before) - len(before.rstrip(LOCAL_CHARACTERS))
         if length:
             spans.append((at - length, found.end(), 0))
-        free = found.end()
+        # Without a local part nothing is matched, so the domain may be part of the next address.
+        free = found.end() if length else at + 1
     return spans
 
 

@@ -56,6 +56,16 @@ def test_base_spans_equal_the_plain_patterns():
         assert pii.base_spans(text) == plain_spans(text), text
 
 
+def test_a_domain_without_local_part_is_left_to_the_next_address():
+    texts = ["@a.b@c.d", "@a.b_x@c.de", "@jane.doe@example.com", " @a.b@c.d @e.f@g.h@i.j", "x@@a.b@c.d"]
+    rng = random.Random(12)
+    texts += ["".join(rng.choices("@@a.b_ ", k=rng.randint(0, 24))) for _ in range(6000)]
+    for text in texts:
+        assert pii.base_spans(text) == plain_spans(text), text
+    assert pii.base_spans(texts[2]) == [(1, 21, 0)]
+    pii.base_spans("@a.b" * 100_000)
+
+
 def test_long_runs_take_linear_time():
     for sign in "0a.+-@(":
         pii.base_spans(sign * 300_000)
