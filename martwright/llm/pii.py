@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a BiLSTM-CRF that adds spans the patterns miss.
 
 The patterns find base spans (email, ip, card, phone). A character-level tagger is trained from
-labelled spans: windows round base spans of a bounded sample of documents, half of them with the
-span rewritten in a form that the patterns miss. It then reads every whole text in overlapping
+labelled spans: windows round base spans, half of them with the span rewritten in a form that the
+patterns miss. All documents are labelled, and a bounded number of windows is drawn of each kind
+of span and of windows without one, however rare a kind is in the table. It then reads every whole text in overlapping
 windows. A personal datum has a digit or an ``@``, or is an email with the words ``at`` and ``dot``
 (or a full stop), and all other spans are refused; a window without these can therefore hold no
 span and is not decoded, which changes no result. Spans that reach into a window's edge are left
@@ -23,10 +24,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from martwright.llm.common import about
+from martwright.llm.common import smallest, stored
 from martwright.llm.tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
@@ -97,6 +98,7 @@ def written(spans: Sequence[Span]) -> str:
 SIGNS = "@.+-()_%,:;/[]\"'= \n"
 N_CLASSES = len(SIGNS) + 8
 N_TAGS = 1 + 2 * len(KINDS)
+GROUPS = len(KINDS) + 2  # of training windows: by kind, and two without a span
 
 
 def _class(point: int) -> int:
@@ -170,30 +172,54 @@ def labelled_windows(text: str, seed: int) -> list[tuple[str, list[Span]]]:
     return made
 
 
-def train(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", windows: int = TRAINING_WINDOWS
-) -> Tagger | None:
-    """Fit the tagger on the ``windows`` labelled windows with the smallest hashes."""
+def group_of(window: str, spans: Sequence[Span]) -> int:
+    """The kind of a training window's first span; without spans, if it is one to be decoded."""
+    return spans[0][2] if spans else len(KINDS) + (not may_hold(window))
+
+
+def sampled_windows(docs: DataFrame, doc_id: str, text: str, windows: int) -> list[Row]:
+    """Of the windows of all documents, those with the smallest hashes of each group.
+
+    There are GROUPS groups of equal size, so that rare kinds are not crowded out by windows
+    without a span.
+    """
 
     def label(frames):
         for frame in frames:
             rows = [
-                (seed, i, window, [x for span in spans for x in span])
+                (seed, i, group_of(window, spans), window, [x for span in spans for x in span])
                 for seed, whole in zip(frame["_hash"], frame["_text"])
                 for i, (window, spans) in enumerate(labelled_windows(whole, seed % (1 << 32)))
             ]
-            yield pd.DataFrame(rows, columns=["hash", "place", "window", "spans"])
+            yield pd.DataFrame(rows, columns=["seed", "place", "group", "window", "spans"])
 
-    rows = docs.where(F.col(text).rlike(TRIGGER)).select(
-        F.xxhash64(F.col(doc_id)).alias("_hash"), F.col(text).alias("_text")
-    )
-    # Nearly every document with a datum gives a window, so twice as many documents are enough.
-    labelled = (
-        about(rows, "_hash", windows).mapInPandas(label, "hash long, place int, window string, spans array<int>")
-        .orderBy("hash", "place", "window")
-        .limit(windows)
-        .collect()
+    rows = docs.where(F.col(text).isNotNull()).select(
+        F.xxhash64(F.col(doc_id), F.col(text)).alias("_hash"), F.col(text).alias("_text")
     )
+    schema = "seed long, place int, group int, window string, spans array<int>"
+    labelled = rows.mapInPandas(label, schema).withColumn("hash", F.xxhash64("seed", "place"))
+    labelled = stored(labelled, "pii-windows")
+    sizes = dict(map(tuple, labelled.groupBy("group").count().collect()))  # one row a group
+    return [
+        row
+        for group, size in sorted(sizes.items())
+        for row in smallest(
+            labelled.where(F.col("group") == group),
+            "hash",
+            windows // GROUPS,
+            "seed",
+            "place",
+            "window",
+            rows=size,
+        ).collect()
+    ]
+
+
+def train(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", windows: int = TRAINING_WINDOWS
+) -> Tagger | None:
+    """Fit the tagger on at most ``windows`` labelled windows, as many of each group."""
+    labelled = sampled_windows(docs, doc_id, text, windows)
     if not any(row["spans"] for row in labelled):
         return None
     ids = np.stack([encoded(row["window"]) for row in labelled])

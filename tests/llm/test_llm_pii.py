@@ -162,6 +162,18 @@ def tagger(documents):
     return pii.train(documents)
 
 
+def test_rare_data_are_in_the_sample(spark):
+    """Twelve documents with an email among 8,000 with a digit are all learned from."""
+    rows = [(i, f"{FILLER}{i} {FILLER * (1 + i % 4)}") for i in range(8000)]
+    rows += [(9000 + i, f"{FILLER}ann{i}@mail.example.com {FILLER}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sample = pii.sampled_windows(docs, "doc_id", "text", pii.TRAINING_WINDOWS)
+    groups = [row["group"] for row in sample]
+    assert groups.count(0) == 12 and set(groups) == {0, len(pii.KINDS), len(pii.KINDS) + 1}
+    assert 12 < len(sample) <= pii.TRAINING_WINDOWS
+    assert max(map(groups.count, groups)) == pii.TRAINING_WINDOWS // pii.GROUPS
+
+
 def test_query_columns(documents, tagger):
     found = pii.digest_columns(pii.find(documents, tagger))
     for row in found.collect():
