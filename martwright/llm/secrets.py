@@ -31,6 +31,7 @@ CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}"
 RUN = r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"
 PART = "[a-z]{4,}"
 REACH = 80  # characters on either side in which neighbouring words are looked for
+NEIGHBOURS = 5  # candidates, of 16 characters or more, that can lie in them
 WORD_COUNT = 20  # occurrences that make a word of the dictionary
 # Words that announce a credential, paths of test data, issued key formats.
 CREDENTIAL = r"(?i)(password|passwd|pwd|secret|token|api.?key|access.?key|auth|credential|bearer)"
@@ -60,15 +61,15 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
         F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)).alias("_values"),
         F.split(F.col(text), CANDIDATE, -1).alias("_between"),
     )
-    # Only the words next to a value are carried on, with the length of what was between; they are
+    # Only the text next to a value is carried on, with the length of what was between; words are
     # looked for within REACH characters, as a pattern that ends a long text takes quadratic time.
     reach = F.lit(REACH)
     between = F.transform(
         "_between",
         lambda piece: F.struct(
             F.length(piece).alias("size"),
-            F.regexp_extract(F.right(piece, reach), r"(\S*\s?\S*\s?\S*)$", 1).alias("tail"),
-            F.regexp_extract(F.left(piece, reach), r"^(\S*\s?\S*)", 1).alias("head"),
+            F.right(piece, reach).alias("tail"),
+            F.left(piece, reach).alias("head"),
         ),
     )
     n = F.size("_values")
@@ -80,16 +81,23 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
     each = rows.withColumn("_pieces", between).select(
         "_row", "doc_id", "path", F.posexplode(listed).alias("number", "x")
     )
-    before = Window.partitionBy("_row", "doc_id").orderBy("number")
-    end = F.sum(F.col("x.gap.size") + F.length("x.value")).over(before)
+    ordered = Window.partitionBy("_row", "doc_id").orderBy("number")
+    end = F.sum(F.col("x.gap.size") + F.length("x.value")).over(ordered)
+    # What surrounds a value includes its neighbours: no more than NEIGHBOURS lie within REACH.
+    earlier = F.collect_list(F.concat("x.gap.tail", F.right("x.value", reach)))
+    later = F.collect_list(F.concat(F.left("x.value", reach), "x.next.head"))
+    left = F.array_join(earlier.over(ordered.rowsBetween(-NEIGHBOURS, -1)), "")
+    right = F.array_join(later.over(ordered.rowsBetween(1, NEIGHBOURS)), "")
+    left = F.right(F.concat(left, "x.gap.tail"), reach)
+    right = F.left(F.concat("x.next.head", right), reach)
     return each.select(
         "doc_id",
         "path",
         (end - F.length("x.value")).cast("long").alias("start"),
         end.cast("long").alias("end"),
         F.col("x.value").alias("value"),
-        F.col("x.gap.tail").alias("before"),
-        F.col("x.next.head").alias("after"),
+        F.regexp_extract(left, r"(\S*\s?\S*\s?\S*)$", 1).alias("before"),
+        F.regexp_extract(right, r"^(\S*\s?\S*)", 1).alias("after"),
     )
 
 

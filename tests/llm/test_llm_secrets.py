@@ -55,6 +55,34 @@ def test_words_around(spark):
     assert found[1]["before"] == "" and found[1]["after"] == "" and found[1]["start"] == 0
 
 
+KEY = "0a1b2c3d4e5f6a7b8c9d"
+
+
+@pytest.mark.parametrize("sign", ["=", " = ", ": ", '="', " = '"])
+@pytest.mark.parametrize("name", ["aws_secret_access_key", "my_service_account_password", "x" * 90 + "_token"])
+def test_long_credential_names_are_words_before(spark, name, sign):
+    docs = documents(spark, [(1, f"é then {name}{sign}{KEY} and", "s")])
+    found = secrets.with_features(secrets.findings(docs, path="source"), docs)
+    (row,) = found.where(F.col("value") == KEY).withColumn("l", secrets.provider_labels()).collect()
+    assert (row["credential_before"], row["assigned"], row["l"]) == (1.0, 1.0, True)
+
+
+def test_neighbouring_words_are_those_of_the_text(spark):
+    """Equal to the words in the text before and after, whatever other candidates are in them."""
+    rng = random.Random(2)
+    parts = ["aws_secret_access_key", "=", " ", "==", "\n", KEY, "é", "-" * 16, "A" * 100, ".", "w "]
+    rows = [(i, "".join(rng.choices(parts, k=30)), "s") for i in range(300)]
+    texts = {doc: text for doc, text, _ in rows}
+    found = secrets.findings(documents(spark, rows)).collect()
+    assert len(found) > 600
+    for r in found:
+        text = texts[r["doc_id"]]
+        left = text[max(0, r["start"] - secrets.REACH) : r["start"]]
+        right = text[r["end"] : r["end"] + secrets.REACH]
+        assert r["before"] == re.search(r"(\S*\s?\S*\s?\S*)$", left)[1], r
+        assert r["after"] == re.search(r"^(\S*\s?\S*)", right)[1], r
+
+
 def test_forest_removes_what_is_no_secret(spark, corpus):
     rows = secrets.scan(documents(spark, corpus), path="source").collect()
     for r in rows:
