@@ -6,8 +6,9 @@ one with the smallest id is a ``response``; the others are ``revisit`` records w
 
 Reading: every file is walked record by record. A record must have a version line, a header block
 with the mandatory fields, a content length that ends at two line breaks, and, where it states a payload digest, a payload
-with that digest. After a failed check the reader searches for the next valid version line (in a
-gzip file: the next valid member), recovers what follows, and logs the bytes between as a gap.
+with that digest. After a failed check the reader searches for the next valid record or the next
+valid gzip member that holds one, whichever comes first and whatever the file starts with,
+recovers what follows, and logs the bytes between as a gap.
 Files are read whole, one at a time in a task, so the writer bounds the records in a file.
 
 Defined results: a null payload is empty; a null url becomes ``urn:page:<id>``; rows with the same
@@ -21,7 +22,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from martwright.llm.common import stored
 
 RECORD_END = "\r\n\r\n"
+GZIP = b"\x1f\x8b\x08"
+MARK = re.compile(rb"WARC/1\.|" + re.escape(GZIP))  # where a record or a gzip member can begin
 HEADER_LIMIT = 1 << 16
 RECORDS_PER_FILE = 2000
 MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
@@ -196,57 +199,51 @@ def _member(data: bytes, start: int) -> tuple[int, bytes] | None:
     return (at - len(walker.unused_data), b"".join(parts)) if walker.eof else None
 
 
-def _unpacked(data: bytes) -> Iterator[tuple[int, int, bytes | str]]:
-    """(start, end, bytes) of each valid gzip member; (start, end, reason) of what is not."""
-    at, bad = 0, None
-    while at < len(data):
+def _found_at(data: bytes, at: int) -> tuple[int, Iterable[dict]] | str:
+    """The end and rows of the valid record or gzip member at ``at``, or why there is none."""
+    if data[at : at + 2] == GZIP[:2]:
         member = _member(data, at)
         if member is None:
-            bad = at if bad is None else bad
-            following = data.find(b"\x1f\x8b\x08", at + 1)
-            at = following if following >= 0 else len(data)
-            continue
-        if bad is not None:
-            yield bad, at, "bad gzip member"
-            bad = None
+            return "bad gzip member"
         end, content = member
-        yield at, end, content
-        at = end
-    if bad is not None:
-        yield bad, at, "bad gzip member"
+        return end, (found | {"start": at, "end": end} for found in _walk(content, _record_at))
+    return _record_at(data, at)
+
+
+def _record_at(data: bytes, at: int) -> tuple[int, Iterable[dict]] | str:
+    parsed = parse_record(data, at)
+    if isinstance(parsed, str):
+        return parsed
+    end, fields = parsed
+    return end, [{"kind": "record", "start": at, "end": end} | fields]
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of one archive file, in file order.
 
-    Offsets are bytes of the file; records of a gzip file carry their member's offsets.
+    Offsets are bytes of the file; records of a gzip member carry the member's offsets.
     """
-    if data[:2] == b"\x1f\x8b":
-        for start, end, member in _unpacked(data):
-            if isinstance(member, str):
-                yield {"kind": "gap", "start": start, "end": end, "reason": member}
-                continue
-            for found in _walk(member):
-                yield found | {"start": start, "end": end}
-        return
-    yield from _walk(data)
-
-
-def _walk(data: bytes) -> Iterator[dict]:
+    return _walk(data, _found_at)
+
+
+def _walk(data: bytes, found_at: Callable) -> Iterator[dict]:
     at, bad, why = 0, None, ""
     while at < len(data):
-        parsed = parse_record(data, at)
-        if isinstance(parsed, str):
-            bad, why = (at, parsed) if bad is None else (bad, why)
-            following = data.find(b"WARC/1.", at + 1)
-            at = following if following >= 0 else len(data)
+        found = found_at(data, at)
+        # A search does not end at a gzip member without a record, which can be part of a payload.
+        if bad is not None and not isinstance(found, str):
+            rows = list(found[1])
+            found = why if all(row["kind"] == "gap" for row in rows) else (found[0], rows)
+        if isinstance(found, str):
+            bad, why = (at, found) if bad is None else (bad, why)
+            following = MARK.search(data, at + 1)
+            at = following.start() if following else len(data)
             continue
         if bad is not None:
             yield {"kind": "gap", "start": bad, "end": at, "reason": why}
             bad = None
-        end, fields = parsed
-        yield {"kind": "record", "start": at, "end": end} | fields
-        at = end
+        at, rows = found
+        yield from rows
     if bad is not None:
         yield {"kind": "gap", "start": bad, "end": at, "reason": why}
 

@@ -120,3 +120,38 @@ def test_gzip_members(written):
     assert [r["page_id"] for r in broken if r["kind"] == "record"] == [
         r["page_id"] for i, r in enumerate(whole) if i != 2
     ]
+
+
+@pytest.mark.parametrize(
+    "damage",
+    [
+        lambda m: [b"\0\0" + m[0][2:], *m[1:]],  # first bytes
+        lambda m: [m[0][:30], *m[1:]],  # bytes lost
+        lambda m: [m[0][4:], *m[1:]],
+        lambda m: [b"junk" * 100, *m],
+        lambda m: [b"WARC/1.1 junk", *m],
+    ],
+)
+def test_gzip_members_after_a_damaged_beginning(written, damage):
+    data = archive(written)
+    starts = [r["start"] for r in warc.salvage(data)] + [len(data)]
+    members = [gzip.compress(data[a:b]) for a, b in zip(starts, starts[1:])]
+    broken = damage(members)
+    found = list(warc.salvage(b"".join(broken)))
+    assert [r["kind"] for r in found] == ["gap"] + ["record"] * (len(found) - 1)
+    whole = [r["page_id"] for r in warc.salvage(data)]
+    assert [r["page_id"] for r in found[1:]] == (whole if len(broken) > len(members) else whole[1:])
+    assert found[0]["start"] == 0 and found[-1]["end"] == len(b"".join(broken))
+    assert all(a["end"] == b["start"] for a, b in zip(found, found[1:]))
+
+
+def test_gzip_members_after_plain_records_and_gzip_payloads(written):
+    data = archive(written)
+    starts = [r["start"] for r in warc.salvage(data)] + [len(data)]
+    parts = [data[a:b] for a, b in zip(starts, starts[1:])]
+    mixed = [parts[0], parts[1][:-9], gzip.compress(b"a page"), gzip.compress(parts[2]), *parts[3:]]
+    found = list(warc.salvage(b"".join(mixed)))
+    whole = [r["page_id"] for r in warc.salvage(data)]
+    kinds = [r["kind"] for r in found]
+    assert kinds == ["record", "gap"] + ["record"] * 4
+    assert [r["page_id"] for r in found if r["kind"] == "record"] == whole[:1] + whole[2:]
