@@ -101,15 +101,20 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _usable(df: DataFrame) -> DataFrame:
-    """Rows with a vector; one that is NULL or holds a NULL has no distance and is left out."""
-    whole = ~F.exists("embedding", lambda x: x.isNull())
+    """Rows with a vector of numbers.
+
+    One that is NULL or holds a NULL, NaN or infinite value has no distance and is left out.
+    """
+    # NaN is larger than any number.
+    whole = ~F.exists("embedding", lambda x: x.isNull() | (F.abs(x) >= F.lit(float("inf"))))
     return df.where(F.col("embedding").isNotNull() & whole).select("id", "embedding")
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2") -> DataFrame:
     """``query_id``, ``rank`` and ``doc_id`` of the k nearest documents; exact, ties by id.
 
-    Both inputs have ``id`` and ``embedding``; rows without a whole vector take no part.
+    Both inputs have ``id`` and ``embedding``; rows without a whole vector, or with a
+    NaN or infinite value in it, take no part on either side.
     ``metric`` is ``l2`` (squared Euclidean) or ``cosine``.
 
     The corpus is cut into cells round pivots, at most MOST_CELLS sampled vectors. The k nearest of

@@ -145,6 +145,26 @@ def test_vectors_that_are_not_whole_take_no_part(spark):
         assert len(found) == 9
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("odd", [np.nan, np.inf, -np.inf])
+def test_vectors_that_are_not_finite_take_no_part(spark, monkeypatch, metric, odd):
+    monkeypatch.setattr(vectors, "CORPUS_ROWS", 50)
+    rng = np.random.default_rng(6)
+    corpus, queries = rng.normal(size=(300, 6)), rng.normal(size=(20, 6))
+    bad = np.ones((1, 6))
+    bad[0, 3] = odd
+    found = vectors.vector_topk(
+        vector_frame(spark, np.concatenate([corpus, bad])),
+        vector_frame(spark, np.concatenate([queries, bad])),
+        k=3,
+        metric=metric,
+    )
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == brute_force(corpus, queries, 3, metric)
+
+
 def test_far_cells_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CORPUS_ROWS", 50)
     rng = np.random.default_rng(3)
