@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.operators.durable import scratch_path
@@ -22,6 +22,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def digest_of(text: str) -> Column:
+    """MD5 of a text; a null text has one that no other text has."""
+    return F.coalesce(F.md5(F.col(text)), F.lit(""))
+
+
 def about(df: DataFrame, hashed: str, limit: int, rows: int | None = None) -> DataFrame:
     """The rows with hashes below a bound that about twice ``limit`` rows are expected to meet.
 

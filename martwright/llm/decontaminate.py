@@ -261,6 +261,7 @@ def find_leaks(
     item_id: str = "item_id",
     question: str = "text",
     answer: str | None = None,
+    id_type: str = "long",
 ) -> DataFrame:
     """One row for each document and benchmark item found in it."""
     spark = docs.sparkSession
@@ -299,11 +300,11 @@ def find_leaks(
             ).mapInPandas(scan, RESULT)
         )
     if not parts:
-        return spark.createDataFrame([], RESULT.replace("doc_id string", "doc_id long"))
+        return spark.createDataFrame([], RESULT.replace("doc_id string", f"doc_id {id_type}"))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
     measures = ["score", "item_overlap", "question_overlap", "answer_overlap"]
-    return found.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "item_id").agg(
+    return found.groupBy(F.col("doc_id").cast(id_type).alias("doc_id"), "item_id").agg(
         *[F.max(m).alias(m) for m in measures]
     )

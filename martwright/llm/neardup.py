@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martwright.llm.common import per_worker, stored
+from martwright.llm.common import digest_of, per_worker, stored
 from martwright.llm.components import components
 
 SHINGLE = 5
@@ -138,7 +138,8 @@ def _in_parts(frame: pd.DataFrame, limit: int = 1 << 22) -> Iterator[pd.DataFram
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``id``, ``n_shingles``, ``class`` (digest of the set; null: no shingles) and signature."""
+    """``id``, ``digest`` (of the text), ``n_shingles``, ``class`` (digest of the set; null: no
+    shingles) and signature."""
 
     def sketch(frames):
         for frame in frames:
@@ -158,6 +159,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "id": part["_id"],
+                        "digest": part["_digest"],
                         "n_shingles": [len(s) for s in sets],
                         "class": classes,
                         "lanes": lanes,
@@ -165,8 +167,12 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     }
                 )
 
-    rows = docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text"))
-    schema = "id string, n_shingles long, class binary, lanes array<short>, planes array<long>"
+    rows = docs.select(
+        F.col(doc_id).cast("string").alias("_id"),
+        F.col(text).alias("_text"),
+        digest_of(text).alias("_digest"),
+    )
+    schema = "id string, digest string, n_shingles long, class binary, lanes array<short>, planes array<long>"
     return (
         rows.mapInPandas(sketch, schema)
         .withColumn("id", F.col("id").cast("long"))
@@ -421,6 +427,18 @@ def link(
 
     ``percent`` must be 85 or more: the signature threshold is chosen for it.
     """
+    rows = link_rows(docs, doc_id, text, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def link_rows(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85
+) -> DataFrame:
+    """The columns of ``link``, ``digest`` of a row's text, and ``least``.
+
+    Of a component of several rows, ``least`` is true for the row with the smallest id (null last)
+    and text digest, and for rows equal to it; for rows alone in their component it is null.
+    """
     sketch = stored(sketched(docs, doc_id, text), "neardup-sketches")
     nodes = stored(
         sketch.where(F.col("node").isNotNull())
@@ -428,6 +446,7 @@ def link(
         .agg(
             F.min("id").alias("source"),
             F.count("*").alias("copies"),
+            F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("least"),
             F.first("n_shingles").alias("size"),
             *[F.first(c).alias(c) for c in ("class", "lanes", "planes")],
         ),
@@ -454,22 +473,29 @@ def link(
 
 def _resolved(sketch: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Name every component by its smallest id."""
-    of = nodes.select("node", "source", "copies").join(labels, "node", "left")
+    of = nodes.select("node", "source", "copies", "least").join(labels, "node", "left")
     of = of.withColumn("component", F.coalesce("component", "node"))
     named = of.groupBy("component").agg(
-        F.min("source").alias("component_id"), F.sum("copies").alias("rows")
+        F.min("source").alias("component_id"),
+        F.sum("copies").alias("rows"),
+        F.min("least").alias("least"),
     )
     # A row alone in its component is named by its own id.
-    several = named.where(F.col("rows") > 1).select("component", "component_id")
+    several = named.where(F.col("rows") > 1).select("component", "component_id", "least")
     name_of = stored(
-        of.join(several, "component").select(F.col("node").alias("_node"), "component_id"),
+        of.drop("least")
+        .join(several, "component")
+        .select(F.col("node").alias("_node"), "component_id", "least"),
         "neardup-names",
     )
     found = sketch.join(name_of, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("_node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    least = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("digest") == F.col("least.digest"))
     return found.select(
         F.col("id").alias("doc_id"),
         "n_shingles",
         component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
+        "digest",
+        F.when(F.col("_node").isNotNull(), least).alias("least"),
     )

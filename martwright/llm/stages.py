@@ -1,7 +1,7 @@
 """Stages of the corpus pipeline; each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 All but the last return the columns of ``docs``, whatever they are beyond doc_id and text. Rows
-without ``doc_id`` are kept or dropped by what holds for their text.
+are kept or dropped by what holds for their own text, whether ``doc_id`` is null or shared.
 """
 
 from __future__ import annotations
@@ -10,18 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.llm import decontaminate, langid, line_dedup, neardup, packing
-from martwright.llm.common import stored, table
+from martwright.llm.common import digest_of, stored, table
 
 LEAST_SCORE = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """The rows of ``docs`` whose id is not in the only column of ``ids``."""
-    # Stored, so that its size is known and a small one spares the texts a shuffle.
-    dropped = stored(ids.toDF("id").distinct(), label)
-    rows = docs.select(F.struct("*").alias("row"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("id"))
-    return rows.join(dropped, same, "left_anti").select("row.*")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``row`` and the digest of its text, by which, with its id, decisions are applied."""
+    return docs.select(F.struct("*").alias("row"), digest_of("text").alias("digest"))
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +45,38 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every component of near copies."""
-    linked = neardup.link(docs.select("doc_id", "text"))
-    return _without(docs, linked.where(~F.col("kept")).select("doc_id"), "pipeline-copies")
+    """Keep one row of every component of near copies: one with the smallest id (null last).
+
+    Of rows with this id the text digest decides, and then the row's other columns.
+    """
+    linked = neardup.link_rows(docs.select("doc_id", "text")).where(F.col("least").isNotNull())
+    # Rows of a key have one text, so they lie in one component. Stored, so that the size is known
+    # and a small table spares the texts a shuffle.
+    decided = stored(
+        linked.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+        .agg(F.max("least").alias("least"), F.count("*").alias("n"))
+        .where(~F.col("least") | (F.col("n") > 1)),
+        "pipeline-copies",
+    )
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    rest = _keyed(docs).join(decided, same, "left_anti").select("row")
+    repeated = decided.where("least")
+    if not repeated.isEmpty():
+        one = F.min_by("row", F.to_json("row")).alias("row")
+        again = _keyed(docs).join(repeated, same, "left_semi")
+        rest = rest.unionByName(again.groupBy("row.doc_id", "digest").agg(one).select("row"))
+    return rest.select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, leaks.select("doc_id"), "pipeline-leaks")
+    """Drop documents whose text holds a benchmark item."""
+    texts = docs.select(digest_of("text").alias("digest"), "text")
+    benchmark = table(spark, sf_dir, "benchmark")
+    leaks = decontaminate.find_leaks(texts, benchmark, doc_id="digest", id_type="string")
+    # Stored, so that its size is known and a small one spares the texts a shuffle.
+    leaking = stored(leaks.select(F.col("doc_id").alias("_digest")).distinct(), "pipeline-leaks")
+    same = F.col("digest") == F.col("_digest")
+    return _keyed(docs).join(leaking, same, "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

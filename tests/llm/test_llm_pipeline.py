@@ -109,3 +109,42 @@ def test_empty_documents(spark, corpus, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, corpus), "test")
         assert docs.count() == 0, name
+
+
+@pytest.fixture(scope="module")
+def shared_ids(spark, corpus):
+    """Rows that share ids, null ones included, and texts."""
+    rng = random.Random(8)
+    item = spark.read.parquet(f"{corpus}/benchmark.parquet").where("item_id = 1").first()["text"]
+
+    def text():
+        return " ".join(f"w{rng.randint(0, 9999)}" for _ in range(40))
+
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    leak = f"{text()} {item} {text()}"
+    rows = [
+        (1, a), (None, a), (None, b), (None, c), (None, c), (None, c.upper()),
+        (2, d), (2, e), (3, d), (4, f), (4, f), (4, f), (5, g), (5, leak), (None, leak),
+        (6, None), (6, None), (None, ""), (7, ""),
+    ]
+    docs = spark.createDataFrame([(*r, "en", "s", i, 1, 2, "x") for i, r in enumerate(rows)], SCHEMA)
+    return docs.repartition(4), rows, leak
+
+
+def test_one_row_of_every_component_stays(spark, corpus, shared_ids):
+    docs, rows, leak = shared_ids
+    kept = stages.keep_one_of_near_copies(spark, docs, corpus)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()]
+    expected = {(1, rows[0][1]), (None, rows[2][1]), (None, rows[3][1]), (2, rows[6][1])}
+    expected |= {(2, rows[7][1]), (4, rows[9][1]), (5, rows[12][1]), (5, leak)}
+    blank = [(6, ""), (6, ""), (None, ""), (7, "")]
+    assert sorted(got, key=repr) == sorted([*((d, t.lower()) for d, t in expected), *blank], key=repr)
+    again = stages.keep_one_of_near_copies(spark, docs.repartition(7), corpus)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, kept.collect()))
+
+
+def test_clean_rows_that_share_an_id_with_a_leak_stay(spark, corpus, shared_ids):
+    docs, rows, leak = shared_ids
+    kept = by_id(stages.drop_leaks(spark, docs, corpus))
+    assert kept == sorted((r for r in rows if r[1] != leak), key=repr)
