@@ -51,7 +51,7 @@ def pieces(
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def cut(frames):
-        encode = encoder(path)
+        encode = encoder(path, special=True)
         for frame in frames:
             rows = []
             for doc, whole in zip(frame["_id"], frame["_text"]):

@@ -127,3 +127,18 @@ def test_windows_use_up_all_lengths():
         t * packing.padding(sum(k * v for k, v in p.items()), 2048) for t, p in windows
     )
     assert padded < 0.001 * total
+
+
+def test_added_tokens_in_a_text_are_those_of_an_unchanged_tokenizer(spark):
+    plain = Tokenizer.from_file(JSON)
+    texts = ["<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>\n\n c", " <|endoftext|> it's"]
+    texts += ["<|endoftext|", "x  <|endoftext|>  y", "<|fim|> <|endoftext|>é", "no token", ""]
+    wanted = [plain.encode(text, add_special_tokens=False).ids for text in texts]
+    assert wanted[0] == [50256]
+    for path in (JSON, public_tokenizers.path("byte_bpe_50k.tiktoken")):
+        assert [encoder(path, special=True)(text).tolist() for text in texts] == wanted
+    rows = [(i, text, "s", "l", 1, 2) for i, text in enumerate(texts)]
+    found = packing.pieces(spark.createDataFrame(rows, SCHEMA)).collect()
+    for row in found:
+        ids = np.array([*wanted[row["doc_id"]], 1], dtype="<u4")
+        assert row["ids_crc32"] == zlib.crc32(ids.tobytes()) and row["doc_tokens"] == len(ids)
