@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.llm import (
     decontaminate,
     langid,
     line_dedup,
+    merkle,
     nearest,
     neardup,
     packing,
@@ -117,6 +118,32 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def leaf(text: Column) -> Column:
+        return merkle.leaf_hash(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+
+    # Unknown for a null id, which is not tampered with.
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = docs.select(
+        "doc_id",
+        "source",
+        leaf(F.col("text")).alias("leaf"),
+        F.when(tampered, leaf(merkle.lower_ascii(F.col("text")))).alias("tampered"),
+    )
+    proven = merkle.manifest(rows, "source", "doc_id")
+    folded = merkle.fold(F.coalesce("row.tampered", "row.leaf"))
+    return proven.select(
+        "row.doc_id",
+        "row.leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest().alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
     "op2_pii": op2_pii,
@@ -128,4 +155,5 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op12_merkle": op12_merkle,
 }
