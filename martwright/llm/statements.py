@@ -134,4 +134,30 @@ from {last}, b{top}
 
 MERKLE = _merkle()
 
-STATEMENTS = {"op9_warc": WARC, "op10_line_dedup": LINE_DEDUP, "op12_merkle": MERKLE}
+# The length of a formatted conversation depends on the template's frames, so it is stated here.
+CONTROL = "[\\[<]\\\\*(INST\\]|/INST\\]|s>|/s>|<SYS>>|</SYS>>|ROLE\\]|SAYS\\]|/ROLE\\])"
+
+CHAT = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -1, t, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) v(t, r)
+),
+sized as (
+  select *,
+         length(text) + len(regexp_extract_all(text, '{CONTROL}'))
+           + case role when 'system' then 17 when 'user' then 15 when 'assistant' then 7
+             else length(role) + len(regexp_extract_all(role, '{CONTROL}')) + 21 end as formatted
+  from turns
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), ''
+                         order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text)
+                       filter (role = 'assistant'), '')) as loss_sha256,
+       sum(formatted)::bigint as formatted_chars
+from sized group by conv_id
+"""
+
+STATEMENTS = {"op9_warc": WARC, "op10_line_dedup": LINE_DEDUP, "op11_chat": CHAT, "op12_merkle": MERKLE}
