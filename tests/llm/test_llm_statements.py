@@ -11,7 +11,7 @@ SAMPLE = "/root/testdata/sf0.001"
 
 
 def test_every_operator_is_registered():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(STATEMENTS) <= set(oracle_sql())
 
