@@ -154,8 +154,18 @@ class Index:
     def retrieve(self, passages: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, ...]:
         """(passage, segment, score) of all pairs at or above the threshold.
 
-        ``passages`` and ``terms`` list the distinct terms of each passage, sorted by passage.
+        ``passages`` and ``terms`` list the distinct terms of each passage, sorted by passage. A
+        passage has at most 2 * SEGMENT of them; about TERMS_AT_ONCE are worked on together.
         """
+        starts = np.flatnonzero(np.r_[True, passages[1:] != passages[:-1]])
+        cuts = starts[np.r_[True, np.diff(starts // TERMS_AT_ONCE) > 0]].tolist()
+        found = [
+            self._retrieve(passages[a:b], terms[a:b])
+            for a, b in zip(cuts, [*cuts[1:], len(terms)])
+        ]
+        return tuple(np.concatenate(column) for column in zip(*found))
+
+    def _retrieve(self, passages: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, ...]:
         n = len(self.items)
         starts = np.flatnonzero(np.r_[True, passages[1:] != passages[:-1]])
         bounds = np.add.reduceat(self.maxima[terms], starts, axis=0)
@@ -249,8 +259,9 @@ RESULT = (
     "doc_id string, item_id long, score double, item_overlap double, question_overlap double, "
     "answer_overlap double"
 )
-#: Words a batch of passages is made of, which bounds the memory of the arithmetic.
-CHARACTERS_AT_ONCE = 1 << 21
+#: Characters of the documents scored at once, and terms whose block maxima are held at once.
+CHARACTERS_AT_ONCE = 1 << 19
+TERMS_AT_ONCE = 1 << 15
 
 
 def find_leaks(

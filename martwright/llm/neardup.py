@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martwright.llm.common import digest_of, per_worker, stored
+from martwright.llm.common import digest_of, stored
 from martwright.llm.components import components
 
 SHINGLE = 5
@@ -42,13 +42,14 @@ MAX_DIFFERENT = 19
 CHUNKS = 10
 PLANES = 8
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1 << 20
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 16
+CHARACTERS_AT_ONCE = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
-    """64-bit hash of each word met so far."""
+    """64-bit hash of each word met so far; lives as long as the task that made it."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
@@ -63,7 +64,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, known: _WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles.
 
     Splitting and lower-casing bytes touches ASCII only, which is what words are defined by.
@@ -71,7 +72,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    known = per_worker("word hashes", _WordHashes)
+    known = _WordHashes() if known is None else known
     h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     width = min(SHINGLE, len(h))
     # A short text is told apart from a shingle by its length.
@@ -131,9 +132,9 @@ def different_lanes(a: str, b: str) -> Column:
     return F.bit_count(differ)
 
 
-def _in_parts(frame: pd.DataFrame, limit: int = 1 << 22) -> Iterator[pd.DataFrame]:
+def _in_parts(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
     sizes = frame["_text"].str.len().fillna(0)
-    for _, part in frame.groupby((sizes.cumsum() // limit).astype(int), sort=False):
+    for _, part in frame.groupby((sizes.cumsum() // CHARACTERS_AT_ONCE).astype(int), sort=False):
         yield part
 
 
@@ -142,9 +143,10 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     shingles) and signature."""
 
     def sketch(frames):
+        known = _WordHashes()
         for frame in frames:
             for part in _in_parts(frame):
-                sets = [shingle_set(whole) for whole in part["_text"]]
+                sets = [shingle_set(whole, known) for whole in part["_text"]]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 lanes: list = [None] * len(sets)
                 planes: list = [None] * len(sets)
@@ -196,14 +198,15 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataF
     """Full shingle sets of the nodes: ``node``, ``set`` (hashes as bytes)."""
 
     def packed(frames):
-        for frame in frames:
-            sets = [shingle_set(whole).tobytes() for whole in frame["_text"]]
+        known = _WordHashes()
+        for part in (part for frame in frames for part in _in_parts(frame)):
+            sets = [shingle_set(whole, known).tobytes() for whole in part["_text"]]
             # An id can stand for several texts; the node's own is the one with its digest.
             own = [
                 hashlib.blake2b(s, digest_size=16).digest() == bytes(digest)
-                for s, digest in zip(sets, frame["class"])
+                for s, digest in zip(sets, part["class"])
             ]
-            yield frame.assign(set=sets).loc[own, ["node", "set"]]
+            yield part.assign(set=sets).loc[own, ["node", "set"]]
 
     wanted = nodes.select("source", "class", "node")
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
