@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,38 +133,127 @@ def box_summary(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     )
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns.
+_MOMENTS = ("n", "mean_x", "mean_y", "co", "xx", "yy", "low_x", "high_x", "low_y", "high_y")
 
-    Rows missing either value are left out for that pair only; a column that is constant over the
-    rows of a pair has no correlation. All pairs are one aggregation with partial sums, so nothing
-    but those sums is shuffled.
+
+def _co_moments(x: np.ndarray) -> np.ndarray:
+    """Moments of all pairs of columns over the rows that have both: (moment, column, column).
+
+    For each pair the count, the means, the sums of products about the means, and the extremes.
+    """
+    known = ~np.isnan(x)
+    centre = np.array([c[k].mean() if k.any() else 0.0 for c, k in zip(x.T, known.T)])
+    centre[~np.isfinite(centre)] = 0.0
+    near, mask = np.where(known, x - centre, 0.0), known.astype(float)
+    n = mask.T @ mask
+    mean = np.divide(near.T @ mask, n, out=np.zeros_like(n), where=n > 0)
+    square = (near**2).T @ mask - n * mean**2
+    low, high = np.empty_like(n), np.empty_like(n)
+    for j, own in enumerate(known.T):
+        rows = x if own.all() else x[own]
+        low[:, j] = np.fmin.reduce(rows, axis=0, initial=np.inf)
+        high[:, j] = np.fmax.reduce(rows, axis=0, initial=-np.inf)
+    means = mean + centre[:, None]
+    co = near.T @ near - n * mean * mean.T
+    return np.stack([n, means, means.T, co, square, square.T, low, high, low.T, high.T])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The moments of two sets of rows together."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    gap_x, gap_y = b[1] - a[1], b[2] - a[2]
+    both = a[0] * share
+    return np.stack(
+        [
+            n,
+            a[1] + gap_x * share,
+            a[2] + gap_y * share,
+            a[3] + b[3] + gap_x * gap_y * both,
+            a[4] + b[4] + gap_x**2 * both,
+            a[5] + b[5] + gap_y**2 * both,
+            np.minimum(a[6], b[6]),
+            np.maximum(a[7], b[7]),
+            np.minimum(a[8], b[8]),
+            np.maximum(a[9], b[9]),
+        ]
+    )
+
+
+def co_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mergeable moments of all pairs of columns, one row for each pair and task.
+
+    Columns: ``x`` and ``y`` (positions in ``columns``, x <= y) and the moments. Rows that lack either
+    value are left out of a pair only. States of several tables, or of the parts of one, are
+    put together by :func:`merge_co_moments`.
     """
     names = list(columns)
     values = _numbers(df.select(*[F.col(c).cast("double").alias(c) for c in names]), *names)
-    cells = []
-    for i, x in enumerate(names):
-        for y in names[i:]:
-            both = F.col(x).isNotNull() & F.col(y).isNotNull()
-            one, other = (F.when(both, F.col(c)) for c in (x, y))
-            # Of a constant column, rounding can leave a correlation that means nothing.
-            varies = (F.min(one) < F.max(one)) & (F.min(other) < F.max(other))
-            spread = F.stddev_pop(one) * F.stddev_pop(other)
-            correlation = F.try_divide(F.covar_pop(x, y), spread)
-            cells.append(F.when(varies, correlation).alias(f"{len(cells)}"))
-    row = values.agg(F.array(*cells).alias("_r"))
-    pairs = [(x, y) for i, x in enumerate(names) for y in names[i:]]
-    listed = []
-    for number, (x, y) in enumerate(pairs):
-        for a, b in {(x, y): 0, (y, x): 0}:
-            listed.append(
-                F.struct(
-                    F.lit(a).alias("column_x"),
-                    F.lit(b).alias("column_y"),
-                    F.get("_r", F.lit(number)).alias("correlation"),
-                )
+    rows, cols = np.triu_indices(len(names))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            own = _co_moments(x.astype(float))
+            state = own if state is None else _merged(state, own)
+        if state is not None:
+            held = {name: values[rows, cols] for name, values in zip(_MOMENTS, state)}
+            yield pa.RecordBatch.from_pydict(
+                {"x": rows.astype(np.int32), "y": cols.astype(np.int32), **held}
             )
-    return row.select(F.explode(F.array(*listed)).alias("_c")).select("_c.*")
+
+    fields = ", ".join(f"{name} double" for name in _MOMENTS)
+    return values.mapInArrow(gather, f"x int, y int, {fields}")
+
+
+def merge_co_moments(states: DataFrame) -> DataFrame:
+    """One state for each pair. A pair has one row a task, so its window is small."""
+    pair = Window.partitionBy("x", "y")
+    states = states.where(F.col("n") > 0)
+    total = F.sum("n").over(pair)
+    gaps = states.withColumns(
+        {side: F.sum(F.col("n") * F.col(side)).over(pair) / total for side in ("mean_x", "mean_y")}
+        | {f"_{side}": F.col(side) for side in ("mean_x", "mean_y")}
+    )
+    gap_x, gap_y = (F.col(f"_{side}") - F.col(side) for side in ("mean_x", "mean_y"))
+    return gaps.groupBy("x", "y").agg(
+        F.sum("n").alias("n"),
+        F.first("mean_x").alias("mean_x"),
+        F.first("mean_y").alias("mean_y"),
+        F.sum(F.col("co") + F.col("n") * gap_x * gap_y).alias("co"),
+        F.sum(F.col("xx") + F.col("n") * gap_x * gap_x).alias("xx"),
+        F.sum(F.col("yy") + F.col("n") * gap_y * gap_y).alias("yy"),
+        *[F.min(c).alias(c) for c in ("low_x", "low_y")],
+        *[F.max(c).alias(c) for c in ("high_x", "high_y")],
+    )
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair of numeric columns.
+
+    Rows missing either value are left out for that pair only; a column that is constant over the
+    rows of a pair has no correlation. The table is read once; each task sends one state.
+    """
+    return correlations(co_moments(df, columns), columns)
+
+
+def correlations(states: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """:func:`correlation_matrix` from the states of :func:`co_moments`."""
+    # Of a constant column, rounding can leave a correlation that means nothing.
+    varies = (F.col("low_x") < F.col("high_x")) & (F.col("low_y") < F.col("high_y"))
+    value = F.when(varies, F.try_divide("co", F.sqrt("xx") * F.sqrt("yy")))
+    found = merge_co_moments(states).select("x", "y", value.alias("correlation"))
+    names, width = F.array(*map(F.lit, columns)), len(columns)
+    i, j = F.expr(f"cast(id div {width} as int)"), (F.col("id") % width).cast("int")
+    pairs = states.sparkSession.range(width * width, numPartitions=1).select(
+        F.get(names, i).alias("column_x"),
+        F.get(names, j).alias("column_y"),
+        F.least(i, j).alias("x"),
+        F.greatest(i, j).alias("y"),
+    )
+    # One row for each pair of columns.
+    return pairs.join(F.broadcast(found), ["x", "y"], "left").drop("x", "y")
 
 
 def scatter(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:

@@ -1,18 +1,43 @@
-"""Exact nearest neighbours of a set of query vectors, and the context they make."""
+"""Exact nearest neighbours of a set of query vectors, and the context they make.
+
+A corpus that fits one task is handed to the tasks of the queries. A larger one is stored as an index:
+
+* ``blocks``: a table bucketed by place. The corpus is cut into cells round pivots, and a cell into
+  places of bounded size; a row holds a block of vectors of one place.
+* ``places``: cell, rows and reach (the largest distance of a vector from the pivot) of each place.
+* ``known``: a bounded sample of vectors, the first of which are the pivots.
+
+The k nearest of the sample bound how far a query has to look, and by the triangle inequality it is
+sent to those places only that reach so near. Queries are dealt out by place and meet the
+bucketed blocks where these lie: a search shuffles queries and hits, never the corpus.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from martwright.operators.durable import durable, scratch_path
+
 # Rows of one block of queries and of one block of the corpus, which bound a task's memory.
-QUERY_ROWS = 1024
-CORPUS_ROWS = 4096
-# Cells the corpus is cut into, and rows of it that bound how far a query must look.
-MOST_CELLS = 256
+QUERY_ROWS = 256
+BLOCK_ROWS = 1024
+# Cells the corpus is cut into, rows of a place, and rows of the sample.
+MOST_CELLS = 1024
+PLACE_ROWS = 1 << 14
+MOST_PLACES = 1 << 16
 SAMPLE_ROWS = 2048
+# A corpus up to this many bytes is sent to every task.
+SHARED_BYTES = 32 << 20
+# Queries of a place that are gathered in one task.
+GATHERED_QUERIES = 1 << 16
+BUCKET_BYTES = 128 << 20
 
 
 def _exact(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -80,6 +105,10 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.array(series.tolist(), dtype=np.float64)
 
 
+def _unpacked(block: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(block, dtype=np.float64).reshape(rows, -1)
+
+
 def _placed(matrix: np.ndarray, metric: str, side: int) -> np.ndarray:
     """Points whose Euclidean distances are in the order of the metric.
 
@@ -110,92 +139,211 @@ def _usable(df: DataFrame) -> DataFrame:
     return df.where(F.col("embedding").isNotNull() & whole).select("id", "embedding")
 
 
-def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2") -> DataFrame:
-    """``query_id``, ``rank`` and ``doc_id`` of the k nearest documents; exact, ties by id.
+def _packed(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Blocks of at most ``rows`` vectors from rows sorted by place."""
+
+    def blocks(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for place, own in frame.groupby("place", sort=False):
+            for begin in range(0, len(own), rows):
+                part = own.iloc[begin : begin + rows]
+                out.append((place, list(part["id"]), _matrix(part["embedding"]).tobytes()))
+        return pd.DataFrame(out, columns=["place", "ids", "block"])
+
+    held: pd.DataFrame | None = None
+    for frame in frames:
+        if held is not None:
+            frame = pd.concat([held, frame], ignore_index=True)
+        # The last place may go on, but a full block of it can be given out.
+        last = frame["place"].iloc[-1] if len(frame) else None
+        tail = int((frame["place"] == last).sum()) % rows
+        cut = len(frame) - tail
+        held = frame.iloc[cut:] if tail else None
+        if cut:
+            yield blocks(frame.iloc[:cut])
+    if held is not None and len(held):
+        yield blocks(held)
+
+
+@dataclass
+class VectorIndex:
+    """A stored corpus; see the module. Built by :meth:`build`, or opened again by its path."""
+
+    spark: SparkSession
+    path: str
+    metric: str
+    table: str
+    id_type: str
+
+    @staticmethod
+    def build(corpus: DataFrame, path: str, metric: str = "l2") -> VectorIndex:
+        """Store ``corpus`` (``id``, ``embedding``) at ``path``, a folder that does not exist yet.
+
+        Every vector is placed once, and moved once, to the bucket of its place.
+        """
+        _check(metric)
+        spark, id_type = corpus.sparkSession, corpus.schema["id"].dataType.simpleString()
+        corpus = _usable(corpus)
+        size = corpus.agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("values")).first()
+        rows = size["n"]
+        if not rows:
+            raise ValueError("there is no vector to index")
+        _sample(corpus, rows).select("id", "embedding").write.parquet(f"{path}/known")
+        points = _known_points(spark, path, metric, 1)
+        cells = min(MOST_CELLS, -(-rows // PLACE_ROWS), len(points))
+        shared = spark.sparkContext.broadcast(points[:cells])
+
+        @F.pandas_udf("cell int, away double")
+        def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
+            away = _distances(_placed(_matrix(vectors), metric, 1), shared.value)
+            return pd.DataFrame({"cell": away.argmin(axis=1), "away": away.min(axis=1)})
+
+        placed = durable(
+            corpus.withColumn("_p", nearest_pivot("embedding")).select("id", "embedding", "_p.*")
+        )
+        # One row a cell. A place's rows grow with the corpus once there are MOST_PLACES.
+        each = max(PLACE_ROWS, -(-rows // MOST_PLACES))
+        counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        slices = [-(-counts.get(c, 0) // each) for c in range(cells)]
+        first = np.r_[0, np.cumsum(slices)].tolist()
+        at = F.col("cell") + 1
+        own = F.element_at(F.array(*map(F.lit, slices)), at)
+        start = F.element_at(F.array(*map(F.lit, first[:-1])), at)
+        placed = placed.withColumn(
+            "place", (start + F.pmod(F.xxhash64("id"), F.greatest(own, F.lit(1)))).cast("int")
+        )
+        facts = placed.groupBy("place").agg(
+            F.first("cell").alias("cell"), F.max("away").alias("reach"), F.count("*").alias("n")
+        )
+        facts.coalesce(1).write.parquet(f"{path}/places")
+        values = 8 * (size["values"] or 0)
+        buckets = max(1, min(first[-1], max(8, -(-values // BUCKET_BYTES))))
+        packed = (
+            placed.select("place", "id", "embedding")
+            .repartition(buckets, "place")
+            .sortWithinPartitions("place")
+            .mapInPandas(
+                lambda frames: _packed(frames, BLOCK_ROWS),
+                f"place int, ids array<{id_type}>, block binary",
+            )
+        )
+        settings = "metric string, buckets int, id_type string"
+        spark.createDataFrame([(metric, buckets, id_type)], settings).coalesce(1).write.parquet(
+            f"{path}/settings"
+        )
+        name = _table_name()
+        (
+            packed.write.format("parquet")
+            .bucketBy(buckets, "place")
+            .sortBy("place")
+            .option("path", f"{path}/blocks")
+            .saveAsTable(name)
+        )
+        return VectorIndex(spark, path, metric, name, id_type)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> VectorIndex:
+        """An index stored before; its blocks are registered in this session's catalog."""
+        row = spark.read.parquet(f"{path}/settings").first()
+        name = _table_name()
+        spark.sql(
+            f"create table {name} (place int, ids array<{row['id_type']}>, block binary) using parquet "
+            f"clustered by (place) sorted by (place) into {row['buckets']} buckets "
+            f"location '{path}/blocks'"
+        )
+        return VectorIndex(spark, path, row["metric"], name, row["id_type"])
+
+    def dealt(self, queries: DataFrame, k: int) -> DataFrame:
+        """Blocks of queries (``place``, ``ids``, ``block``) for every place they can reach."""
+        metric = self.metric
+        facts = self.spark.read.parquet(f"{self.path}/places").orderBy("place").toPandas()
+        shared = self.spark.sparkContext.broadcast(
+            (
+                _known_points(self.spark, self.path, metric, 1),
+                facts["place"].to_numpy(np.int32),
+                facts["cell"].to_numpy(np.int64),
+                facts["reach"].to_numpy(float),
+            )
+        )
 
-    Both inputs have ``id`` and ``embedding``; rows without a whole vector, or with a
-    NaN or infinite value in it, take no part on either side.
-    ``metric`` is ``l2`` (squared Euclidean) or ``cosine``.
+        @F.pandas_udf("array<int>")
+        def places_in_reach(vectors: pd.Series) -> pd.Series:
+            known, places, cells, reach = shared.value
+            away = _distances(_placed(_matrix(vectors), metric, 0), known)
+            enough = min(k, len(known)) == k
+            bound = np.partition(away, k - 1, axis=1)[:, k - 1] if enough else np.full(len(away), np.inf)
+            limit = bound + 1e-6 * (1.0 + away.max(axis=1))
+            return pd.Series(
+                [places[row[cells] - reach <= most] for row, most in zip(away, limit)]
+            )
+
+        asked = queries.count()
+        salt = F.pmod(F.xxhash64("id"), F.lit(-(-asked // GATHERED_QUERIES) or 1))
+        id_type = queries.schema["id"].dataType.simpleString()
+        return (
+            queries.select("id", "embedding", F.explode(places_in_reach("embedding")).alias("place"))
+            .repartition("place", salt)
+            .sortWithinPartitions("place")
+            .mapInPandas(
+                lambda frames: _packed(frames, QUERY_ROWS),
+                f"place int, ids array<{id_type}>, block binary",
+            )
+        )
 
-    The corpus is cut into cells round pivots, at most MOST_CELLS sampled vectors. The k nearest of
-    a bounded sample say how far a query has to look at most, and by the triangle inequality it
-    is sent to those cells only that reach so near. Cells and the queries sent to them are cut into
-    blocks of bounded size; a pair of blocks keeps k hits a query.
-    """
+    def search(self, queries: DataFrame, k: int = 3) -> DataFrame:
+        """``query_id``, ``rank`` and ``doc_id`` of the k nearest documents; exact, ties by id."""
+        id_type, metric = queries.schema["id"].dataType.simpleString(), self.metric
+        left = self.dealt(_usable(queries), k).select(
+            "place", F.col("ids").alias("asked_ids"), F.col("block").alias("asked")
+        )
+
+        def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for asked_ids, asked, ids, block in frame.itertuples(index=False):
+                    yield _nearest(
+                        np.array(asked_ids),
+                        _unpacked(asked, len(asked_ids)),
+                        np.array(ids),
+                        _unpacked(block, len(ids)),
+                        k,
+                        metric,
+                    )
+
+        found = (
+            left.join(self.spark.table(self.table), "place")
+            .select("asked_ids", "asked", "ids", "block")
+            .mapInPandas(meet, f"query_id {id_type}, doc_id {self.id_type}, distance double")
+        )
+        return _best(found, k)
+
+
+def _table_name() -> str:
+    return f"vector_blocks_{uuid.uuid4().hex}"
+
+
+def _check(metric: str) -> None:
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    id_type = queries.schema["id"].dataType.simpleString()
-    doc_type = corpus.schema["id"].dataType.simpleString()
-    schema = f"query_id {id_type}, doc_id {doc_type}, distance double"
-    corpus, queries = _usable(corpus), _usable(queries)
-    rows, asked = corpus.count(), queries.count()
-    # Tasks together send about twice the sample: only so many hashes lie below the bound.
+
+
+def _sample(corpus: DataFrame, rows: int) -> DataFrame:
+    """The SAMPLE_ROWS vectors with the smallest hashes of their ids.
+
+    Tasks together send about twice the sample: only so many hashes lie below the bound.
+    """
     hashed = corpus.withColumn("_hash", F.xxhash64("id"))
     share = min(1.0, 2 * SAMPLE_ROWS / max(rows, 1))
     few = hashed.where(F.col("_hash") / 2.0**64 + 0.5 <= share)
-    sample = few.orderBy("_hash", "id").limit(SAMPLE_ROWS).toPandas()
-    if sample.empty or not asked:
-        return corpus.sparkSession.createDataFrame([], schema).select(
-            "query_id", F.lit(1).alias("rank"), "doc_id"
-        )
-    cells = min(MOST_CELLS, -(-rows // CORPUS_ROWS), len(sample))
-    known = _placed(_matrix(sample["embedding"]), metric, 1)
-    sent = corpus.sparkSession.sparkContext.broadcast(known)
-
-    @F.pandas_udf("cell int, away double")
-    def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
-        away = _distances(_placed(_matrix(vectors), metric, 1), sent.value[:cells])
-        return pd.DataFrame({"cell": away.argmin(axis=1), "away": away.min(axis=1)})
-
-    placed = corpus.withColumn("_p", nearest_pivot("embedding")).select("id", "embedding", "_p.*")
-    facts = placed.groupBy("cell").agg(F.max("away").alias("reach"), F.count("*").alias("n"))
-    reach, blocks = np.full(cells, -np.inf), np.zeros(cells, dtype=int)
-    for row in facts.collect():  # one row a cell
-        reach[row["cell"]] = row["reach"]
-        blocks[row["cell"]] = -(-row["n"] // CORPUS_ROWS)
-    query_blocks = -(-asked // QUERY_ROWS)
-
-    @F.pandas_udf("array<int>")
-    def cells_in_reach(vectors: pd.Series) -> pd.Series:
-        points, known = _placed(_matrix(vectors), metric, 0), sent.value
-        away = _distances(points, known)
-        enough = min(k, len(known)) == k
-        bound = np.partition(away, k - 1, axis=1)[:, k - 1] if enough else np.inf
-        slack = 1e-6 * (1.0 + away.max(axis=1))
-        near = away[:, :cells] - reach[None, :] <= (bound + slack)[:, None]
-        return pd.Series([np.flatnonzero(row) for row in near])
-
-    of_cell = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), F.col("cell") + 1)
-    left = (
-        queries.select(
-            "id",
-            "embedding",
-            F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("part"),
-            F.explode(cells_in_reach("embedding")).alias("cell"),
-        )
-        .where(of_cell > 0)
-        .withColumn("block", F.explode(F.sequence(F.lit(0), of_cell - 1)))
-    )
-    right = placed.select(
-        "id",
-        "embedding",
-        "cell",
-        F.pmod(F.xxhash64("id"), of_cell).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("part"),
-    )
+    return few.orderBy("_hash", "id").limit(SAMPLE_ROWS)
 
-    def search(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(
-            asked["id"].to_numpy(),
-            _matrix(asked["embedding"]),
-            block["id"].to_numpy(),
-            _matrix(block["embedding"]),
-            k,
-            metric,
-        )
 
-    key = ["cell", "block", "part"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, schema)
+def _known_points(spark: SparkSession, path: str, metric: str, side: int) -> np.ndarray:
+    known = spark.read.parquet(f"{path}/known").withColumn("_hash", F.xxhash64("id"))
+    vectors = known.orderBy("_hash", "id").limit(SAMPLE_ROWS).toPandas()["embedding"]
+    return _placed(_matrix(vectors), metric, side)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     return (
         found.withColumn("rank", F.row_number().over(best))
@@ -204,6 +352,53 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str =
     )
 
 
+def _against_shared(corpus: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """Search in a corpus of at most SHARED_BYTES, which every task gets."""
+    rows = corpus.toPandas()
+    ids, matrix = rows["id"].to_numpy(), _matrix(rows["embedding"])
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
+    id_type, doc_type = (d.schema["id"].dataType.simpleString() for d in (queries, corpus))
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix = shared.value
+        for frame in frames:
+            for begin in range(0, len(frame), QUERY_ROWS):
+                part = frame.iloc[begin : begin + QUERY_ROWS]
+                asked = _matrix(part["embedding"])
+                for at in range(0, len(ids), BLOCK_ROWS):
+                    own = slice(at, at + BLOCK_ROWS)
+                    yield _nearest(part["id"].to_numpy(), asked, ids[own], matrix[own], k, metric)
+
+    found = queries.mapInPandas(meet, f"query_id {id_type}, doc_id {doc_type}, distance double")
+    return _best(found, k)
+
+
+def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2") -> DataFrame:
+    """``query_id``, ``rank`` and ``doc_id`` of the k nearest documents; exact, ties by id.
+
+    Both inputs have ``id`` and ``embedding``; rows without a whole vector, or with a
+    NaN or infinite value in it, take no part on either side.
+    ``metric`` is ``l2`` (squared Euclidean) or ``cosine``.
+
+    A corpus of at most SHARED_BYTES is sent to the queries; a larger one is stored as a
+    :class:`VectorIndex` first. Keep the index where the same corpus is asked again.
+    """
+    _check(metric)
+    usable = _usable(corpus)
+    size = usable.agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("values")).first()
+    if not size["n"]:
+        schema = ", ".join(
+            f"{name} {d.schema['id'].dataType.simpleString()}"
+            for name, d in (("query_id", queries), ("doc_id", corpus))
+        )
+        empty = corpus.sparkSession.createDataFrame([], schema)
+        return empty.select("query_id", F.lit(1).alias("rank"), "doc_id")
+    if 8 * size["values"] + 16 * size["n"] <= SHARED_BYTES:
+        return _against_shared(usable, _usable(queries), k, metric)
+    path = scratch_path(corpus.sparkSession, "vector-index")
+    return VectorIndex.build(corpus, path, metric).search(queries, k)
+
+
 def context_assemble(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """The texts found for each query, best first, separated by a blank line.
 

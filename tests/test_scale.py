@@ -107,10 +107,12 @@ def test_order_with_a_third_of_all_lines_is_split(spark):
     assert plan.count("skew=true") >= 1, plan
 
 
-def test_vector_search_makes_no_pairs(spark):
+def test_vector_search_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARED_BYTES", 0)
     vecs = Inputs(spark, SAMPLE).table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
     plan = plan_of(vectors.vector_topk(vecs, vecs))
-    assert "Join" not in plan and "CoGroups" in plan
+    # The one join is that of query blocks with the stored blocks of a place.
+    assert plan.count("Join") == 1 and "CartesianProduct" not in plan
 
 
 def test_daily_metrics_write_no_row_three_times(spark):

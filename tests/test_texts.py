@@ -105,15 +105,17 @@ def brute_force(corpus, queries, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-@pytest.mark.parametrize("rows", [64, 4096])
-def test_vector_topk_equals_brute_force(spark, monkeypatch, metric, rows):
+@pytest.mark.parametrize("rows, shared", [(64, False), (4096, False), (64, True)])
+def test_vector_topk_equals_brute_force(spark, monkeypatch, metric, rows, shared):
     rng = np.random.default_rng(11)
     corpus, queries = rng.normal(size=(700, 16)), rng.normal(size=(60, 16))
     # Copies of one vector: ties go to the smallest id, and no copy is dropped.
     corpus[100:300] = queries[7]
     monkeypatch.setattr(vectors, "QUERY_ROWS", rows // 4)
-    monkeypatch.setattr(vectors, "CORPUS_ROWS", rows)
+    monkeypatch.setattr(vectors, "PLACE_ROWS", rows)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 50)
     monkeypatch.setattr(vectors, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(vectors, "SHARED_BYTES", 1 << 20 if shared else 0)
     found = vectors.vector_topk(
         vector_frame(spark, corpus).repartition(5),
         vector_frame(spark, queries),
@@ -148,7 +150,8 @@ def test_vectors_that_are_not_whole_take_no_part(spark):
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 @pytest.mark.parametrize("odd", [np.nan, np.inf, -np.inf])
 def test_vectors_that_are_not_finite_take_no_part(spark, monkeypatch, metric, odd):
-    monkeypatch.setattr(vectors, "CORPUS_ROWS", 50)
+    monkeypatch.setattr(vectors, "PLACE_ROWS", 50)
+    monkeypatch.setattr(vectors, "SHARED_BYTES", 0)
     rng = np.random.default_rng(6)
     corpus, queries = rng.normal(size=(300, 6)), rng.normal(size=(20, 6))
     bad = np.ones((1, 6))
@@ -165,19 +168,61 @@ def test_vectors_that_are_not_finite_take_no_part(spark, monkeypatch, metric, od
     assert got == brute_force(corpus, queries, 3, metric)
 
 
-def test_far_cells_are_left_out(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CORPUS_ROWS", 50)
+def _answers(found):
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    return got
+
+
+@pytest.fixture
+def clustered(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(vectors, "PLACE_ROWS", 50)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 7)
+    monkeypatch.setattr(vectors, "BUCKET_BYTES", 4096)
     rng = np.random.default_rng(3)
     centres = 100 * rng.normal(size=(8, 6))
     matrix = np.concatenate([c + rng.normal(size=(100, 6)) for c in centres])
+    return matrix, str(tmp_path / "index")
+
+
+def test_queries_are_dealt_to_places_in_reach_only(spark, clustered):
+    matrix, path = clustered
     frame = vector_frame(spark, matrix)
-    plan = vectors.vector_topk(frame, frame.where("id < 100"), k=3)
-    sent = plan._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in sent and "NestedLoop" not in sent
-    got = {}
-    for r in sorted(plan.collect(), key=lambda r: (r.query_id, r["rank"])):
-        got.setdefault(r.query_id, []).append(r.doc_id)
-    assert got == brute_force(matrix, matrix[:100], 3, "l2")
+    index = vectors.VectorIndex.build(frame, path)
+    asked = frame.where("id < 100")
+    places = spark.read.parquet(f"{path}/places")
+    assert places.agg({"n": "sum"}).first()[0] == 800 and places.count() >= 16
+    dealt = index.dealt(asked, 3).selectExpr("sum(size(ids))").first()[0]
+    assert 100 <= dealt < 100 * places.count() / 4
+    assert _answers(index.search(asked, 3)) == brute_force(matrix, matrix[:100], 3, "l2")
+
+
+def test_a_search_leaves_the_stored_corpus_in_place(spark, clustered, monkeypatch):
+    matrix, path = clustered
+    frame = vector_frame(spark, matrix)
+    built = vectors.VectorIndex.build(frame, path, "cosine")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for queries in (frame, frame.where("id % 9 = 0")):
+            # Opened by its path, as another session would.
+            index = vectors.VectorIndex.open(spark, path)
+            found = index.search(queries, 3)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            right = plan[plan.index("SortMergeJoin") :].split("vector_blocks")[0]
+            # One exchange of query rows to pack them, one of their blocks; none over the corpus.
+            assert right.count("Exchange") == 2 and "Bucketed: true" in plan
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+            wanted = brute_force(matrix, matrix, 3, "cosine")
+            ids = [r.id for r in queries.collect()]
+            assert _answers(found) == {i: wanted[i] for i in ids}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert built.metric == index.metric == "cosine"
+    with pytest.raises(ValueError, match="no vector"):
+        vectors.VectorIndex.build(frame.limit(0), path + "2")
 
 
 def test_context(spark):
