@@ -18,7 +18,7 @@ from martwright.functions import (
 )
 from martwright.operators import charts, documents, profiling, quality, questions, vectors
 from martwright.operators.durable import scratch_path
-from martwright.plans import checks
+from martwright.plans import checks, maintain
 from martwright.plans.catalog import MODELS, Warehouse
 from martwright.schemas import RAW_SCHEMAS
 from martwright.session import configure
@@ -164,6 +164,99 @@ def sink_table(inputs: Inputs) -> DataFrame:
     )
 
 
+@query
+def sink_table_incremental(inputs: Inputs) -> DataFrame:
+    """The order fact stored by month, then stored again with one order changed.
+
+    ``rewritten`` tells which months the second run wrote; the others still lie where the first
+    run put them.
+    """
+    path = scratch_path(inputs.spark, "orders-by-month")
+    orders = inputs.with_stored("fact_orders").get("fact_orders")
+    tables.sink_months(orders, path, "order_purchase_datetime")
+    last = orders.agg(F.max("order_id")).first()[0]
+    total = F.when(F.col("order_id") == last, F.col("order_total") + 1).otherwise(F.col("order_total"))
+    changed = orders.withColumn("order_total", total.cast(orders.schema["order_total"].dataType))
+    tables.sink_months(changed, path, "order_purchase_datetime")
+    months = F.date_format("order_purchase_datetime", "yyyy-MM").alias("month")
+    by_month = tables.read_months(inputs.spark, path, with_folder=True).groupBy(months).agg(
+        F.count("*").alias("row_count"),
+        F.sum("order_total").alias("order_total"),
+        F.first("_folder").alias("_folder"),
+        F.count_distinct("_folder").alias("folders"),
+    )
+    first = tables.read_months(inputs.spark, path, 1, with_folder=True).select("_folder").distinct()
+    known = first.withColumnRenamed("_folder", "_first")
+    return by_month.join(known, F.col("_folder") == F.col("_first"), "left").select(
+        "month", "row_count", "order_total", "folders", F.col("_first").isNull().alias("rewritten")
+    )
+
+
+def _earlier(inputs: Inputs) -> Warehouse:
+    """A past state of the warehouse: some orders were not there, some are gone since, and some had
+    other prices or dates."""
+
+    def raw(name: str) -> DataFrame:
+        table = inputs.sample.raw(name)
+        if name not in ("raw_orders", "raw_order_items"):
+            return table
+        key = F.col("order_id")
+        gone = table.where(key % 29 == 0).withColumn("order_id", -key - 1)
+        was = table.where(key % 31 != 0)
+        if name == "raw_orders":
+            moved = F.when(key % 37 == 0, "2017-02-03 04:05:06").otherwise(
+                F.col("order_purchase_timestamp")
+            )
+            was = was.withColumn("order_purchase_timestamp", moved)
+        else:
+            was = was.withColumn("price", F.when(key % 41 == 0, F.col("price") + 1).otherwise(F.col("price")))
+        return was.unionByName(gone).to(table.schema)
+
+    return Warehouse(raw, as_of=AS_OF)
+
+
+def _both_states(inputs: Inputs, *names: str) -> tuple[dict, dict]:
+    """Stored models of the past and the present state."""
+    out = []
+    for label, house in (("old", _earlier(inputs)), ("new", inputs.warehouse)):
+        frames = {}
+        for name in names:
+            df = house.get(name)
+            path = scratch_path(inputs.spark, f"{label}-{name}")
+            df.write.parquet(path)
+            frames[name] = inputs.spark.read.schema(df.schema).parquet(path)
+            house.put(name, frames[name])
+        out.append({**frames, "house": house})
+    return tuple(out)
+
+
+@query
+def maintain_product_daily(inputs: Inputs) -> DataFrame:
+    """Product metrics of a past state, brought to the present by the keys that changed."""
+    old, new = _both_states(inputs, "fact_orders", "fact_order_lines")
+    path = scratch_path(inputs.spark, "old-product-daily")
+    old["house"].get("fact_product_daily_metrics").write.parquet(path)
+    return maintain.product_daily_metrics(
+        inputs.spark.read.parquet(path),
+        old["fact_order_lines"],
+        old["fact_orders"],
+        new["fact_order_lines"],
+        new["fact_orders"],
+        as_of=AS_OF,
+    )
+
+
+@query
+def maintain_daily_sales(inputs: Inputs) -> DataFrame:
+    """Daily sales of a past state, brought to the present by the days that changed."""
+    old, new = _both_states(inputs, "fact_orders")
+    path = scratch_path(inputs.spark, "old-daily-sales")
+    old["house"].get("agg_daily_sales").write.parquet(path)
+    return maintain.daily_sales(
+        inputs.spark.read.parquet(path), old["fact_orders"], new["fact_orders"]
+    )
+
+
 @query
 def src_sql_adhoc(inputs: Inputs) -> DataFrame:
     """A SELECT without a limit on a registered mart: the first twenty rows."""

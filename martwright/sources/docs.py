@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from martwright.operators.documents import incremental_dedupe
+from martwright.sources.commits import CommitLog
 
 DOC_SCHEMA = (
     "file_path string, model_name string, description string, column_pos int, "
@@ -80,18 +81,62 @@ def column_comments(catalog: DataFrame) -> dict[str, dict[str, str]]:
     return comments
 
 
+def _log(spark: SparkSession, store: str) -> CommitLog:
+    return CommitLog(spark, f"{store}/_log")
+
+
+def read_store(spark: SparkSession, store: str, version: int | None = None) -> DataFrame | None:
+    """The documents of a store as of a version (the latest by default), None before the first."""
+    return _read_parts(spark, store, _log(spark, store).read(version)[1])
+
+
+def _read_parts(spark: SparkSession, store: str, state: dict) -> DataFrame | None:
+    if not state.get("parts"):
+        return None
+    return spark.read.parquet(*[f"{store}/{part}" for part in state["parts"]])
+
+
 def vector_upsert(docs: DataFrame, store: str, key: str = "doc_id") -> DataFrame:
-    """Append the documents whose id the store lacks, and return the store.
+    """Add the documents whose id the store lacks, and return the store.
 
-    The store is a parquet folder. Appending is one atomic job commit, so a lost
-    executor leaves no half-written document.
+    The store is a folder of parquet parts and a log of versions. The new documents become visible by
+    one commit. If another writer commits first, they are compared with the store again, so no
+    writer, failed or overtaken, leaves half a batch or an id twice.
     """
     spark = docs.sparkSession
-    try:
-        stored = spark.read.parquet(store).select(key)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = docs.select(key).limit(0)
-    incremental_dedupe(docs, stored, key).write.mode("append").parquet(store)
-    return spark.read.parquet(store)
+
+    def add(state: dict) -> dict | None:
+        stored = _read_parts(spark, store, state)
+        known = docs.select(key).limit(0) if stored is None else stored.select(key)
+        part = f"parts/{uuid.uuid4().hex}"
+        incremental_dedupe(docs, known, key).write.parquet(f"{store}/{part}")
+        # The first part is kept even if it is empty: it holds the columns.
+        if stored is not None and spark.read.parquet(f"{store}/{part}").isEmpty():
+            return None
+        return {"parts": [*state.get("parts", []), part]}
+
+    version = _log(spark, store).update(add)
+    return read_store(spark, store, version)
+
+
+def compact(spark: SparkSession, store: str, files: int | None = None) -> DataFrame | None:
+    """Bring the parts of the latest version together in one, of so many files if given.
+
+    Parts that others add meanwhile stay; older versions stay readable.
+    """
+    log = _log(spark, store)
+    _, state = log.read()
+    old = state.get("parts", [])
+    whole = _read_parts(spark, store, state)
+    if len(old) < 2:
+        return whole
+    part = f"parts/{uuid.uuid4().hex}"
+    (whole.repartition(files) if files else whole).write.parquet(f"{store}/{part}")
+
+    def swap(state: dict) -> dict | None:
+        now = state["parts"]
+        if now[: len(old)] != old:  # compacted by another writer
+            return None
+        return {"parts": [part, *now[len(old) :]]}
+
+    return read_store(spark, store, log.update(swap))

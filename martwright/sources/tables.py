@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martwright.plans.catalog import MODELS, Warehouse
 from martwright.schemas import RAW_SCHEMAS
+from martwright.sources.commits import CommitLog
 from martwright.sources.naming import schema_name_for_env
 
 
@@ -17,6 +21,7 @@ from martwright.sources.naming import schema_name_for_env
 # are read in splits.
 MULTI_LINE = {"raw_order_reviews"}
 _CORRUPT = "_corrupt_record"
+_MONTH = "_month"
 
 
 class RawTables:
@@ -146,6 +151,80 @@ def sink_table(
     return spark.table(f"`{database}`.`{name}`")
 
 
+def _month(time: str) -> Column:
+    return F.coalesce(F.date_format(time, "yyyy-MM"), F.lit("none"))
+
+
+def month_fingerprints(df: DataFrame, month_of: str) -> DataFrame:
+    """``month``, ``rows`` and ``digest`` of each month, whatever the order of the rows.
+
+    The digest is the sum of 64-bit hashes of whole rows, so only sums are shuffled. Rows without
+    a time have the month ``none``.
+    """
+    values = [
+        F.to_json(F.col(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+        for f in df.schema
+    ]
+    return df.groupBy(_month(month_of).alias("month")).agg(
+        F.count("*").alias("rows"),
+        F.sum(F.xxhash64(*values).cast("decimal(38,0)")).cast("string").alias("digest"),
+    )
+
+
+def sink_months(df: DataFrame, path: str, month_of: str) -> DataFrame:
+    """Materialize ``df`` by month of a time column; months that did not change are not rewritten.
+
+    The log beside the data keeps rows, digest and folder of each month. Months whose fingerprint
+    differs from the stored one are written, those that are gone are left out, and one commit makes
+    all of it visible: a reader never sees some months new and others old. A change of the columns
+    rewrites all months. Returned is the table as committed, see :func:`read_months`.
+
+    A month is a few bytes of the log; a table of a hundred years has 1,200.
+    """
+    spark = df.sparkSession
+    shape = df.schema.json()
+    found = {r["month"]: [r["rows"], r["digest"]] for r in month_fingerprints(df, month_of).collect()}
+
+    def write(state: dict) -> dict | None:
+        known = state.get("months", {}) if state.get("schema") == shape else {}
+        kept = {m: e for m, e in known.items() if e["fingerprint"] == found.get(m)}
+        changed = sorted(set(found) - set(kept))
+        if state and not changed and kept.keys() == known.keys():
+            return None
+        folder = f"data/{uuid.uuid4().hex}"
+        if changed:
+            dated = df.withColumn(_MONTH, _month(month_of)).where(F.col(_MONTH).isin(changed))
+            # Rebalanced by month: few files in each, and a large month is split.
+            spread = dated.hint("rebalance", _MONTH).write.partitionBy(_MONTH)
+            spread.parquet(f"{path}/{folder}")
+        new = {m: {"fingerprint": found[m], "folder": folder} for m in changed}
+        return {"schema": shape, "months": {**kept, **new}}
+
+    version = CommitLog(spark, f"{path}/_log").update(write)
+    return read_months(spark, path, version)
+
+
+def read_months(
+    spark: SparkSession, path: str, version: int | None = None, with_folder: bool = False
+) -> DataFrame:
+    """The table that :func:`sink_months` stored, as of a version (the latest by default).
+
+    ``with_folder`` adds ``_folder``, which tells the runs apart that wrote a row.
+    """
+    _, state = CommitLog(spark, f"{path}/_log").read(version)
+    if not state:
+        raise ValueError(f"{path} holds no committed table")
+    schema = T.StructType.fromJson(json.loads(state["schema"]))
+    paths = [f"{path}/{e['folder']}/{_MONTH}={month}" for month, e in sorted(state["months"].items())]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    table = spark.read.schema(schema).parquet(*paths)
+    if with_folder:
+        folder = F.regexp_extract(F.input_file_name(), rf"/data/([0-9a-f]+)/{_MONTH}=", 1)
+        table = table.withColumn("_folder", folder)
+    return table
+
+
 def build_warehouse(
     spark: SparkSession,
     raw: Callable[[str], DataFrame],

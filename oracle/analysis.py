@@ -46,6 +46,12 @@ select cast(conv_id as varchar) as model_name, 'conversation' as description,
   text as column_description
 from conversations
 """
+SQL["sink_table_incremental"] = """
+select strftime(order_purchase_datetime, '%Y-%m') as month, count(*) as row_count,
+  cast(sum(order_total + if(order_id = last, 1, 0)) as double) as order_total,
+  1 as folders, bool_or(order_id = last) as rewritten
+from fact_orders, (select max(order_id) as last from fact_orders) group by 1
+"""
 SQL["sink_vector_upsert"] = """
 select vec_id as doc_id, cast(label as bigint) as label,
   cast(if(label % 2 = 0, 1, 2) as bigint) as run, cast(len(embedding) as bigint) as dimensions
@@ -483,6 +489,10 @@ from documents
 def analysis_statements() -> dict[str, str]:
     built = {name: statement(sql.strip()) for name, sql in SQL.items()}
     built["sink_csv"] = typed("agg_daily_sales", *OUTPUT["agg_daily_sales"])
+    built["maintain_product_daily"] = typed(
+        "fact_product_daily_metrics", *OUTPUT["fact_product_daily_metrics"]
+    )
+    built["maintain_daily_sales"] = typed("agg_daily_sales", *OUTPUT["agg_daily_sales"])
     built["sink_table"] = typed("agg_customer_performance", *OUTPUT["agg_customer_performance"])
     return built
 
