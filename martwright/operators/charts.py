@@ -80,6 +80,46 @@ def daily_series(df: DataFrame, time: str, metric: str) -> DataFrame:
     )
 
 
+def downsampled_series(
+    df: DataFrame, time: str, metric: str, *ties: str, width: int = 800
+) -> DataFrame:
+    """The points a line of ``width`` pixels can show, at most four for each pixel column.
+
+    The time span is cut into equal columns, and of each the first, last, least and largest point
+    stay: drawn, the line covers the same pixels as all points would. One aggregation with partial
+    states; nothing is sorted but the result. Points without time or value are left out. Columns:
+    ``pixel``, the time, the metric and the ties.
+    """
+    columns = list(dict.fromkeys([time, metric, *ties]))
+    points = _present(_numbers(df.select(*columns), metric), [time, metric])
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    span = points.agg(F.struct(F.min(at).alias("low"), F.max(at).alias("high"))).scalar()
+    placed = (
+        points.withColumn("_offset", (at - span["low"]).cast("decimal(38,0)"))
+        .withColumn("_span", F.greatest(span["high"] - span["low"] + 1, F.lit(1)).cast("decimal(20,0)"))
+        .withColumn("_width", F.lit(width).cast("decimal(10,0)"))
+        .withColumn("pixel", F.expr("cast(_offset * _width div _span as int)"))
+    )
+    point = F.struct(*columns)
+    order = F.struct(*dict.fromkeys([time, *ties, metric]))
+    height = F.struct(*dict.fromkeys([metric, time, *ties]))
+    # Of equal values the earliest stays, so the largest value needs its own order.
+    earliest = F.struct(metric, (-at).alias("_t"), *ties)
+    kept = placed.groupBy("pixel").agg(
+        F.array(
+            F.min_by(point, order),
+            F.max_by(point, order),
+            F.min_by(point, height),
+            F.max_by(point, earliest),
+        ).alias("_points")
+    )
+    return (
+        kept.select("pixel", F.explode(F.array_distinct("_points")).alias("_p"))
+        .select("pixel", "_p.*")
+        .orderBy(time, *ties)
+    )
+
+
 def trend_pct_change(df: DataFrame, time: str, metric: str, *ties: str) -> DataFrame:
     """Change from the first to the last row in time, in percent; needs two rows."""
     df = _numbers(df, metric)
@@ -261,6 +301,28 @@ def scatter(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFram
     return df.select(*[c for c in (x, y, color) if c])
 
 
+def sampled_scatter(
+    df: DataFrame, x: str, y: str, color: str | None = None, key: Sequence[str] = (), n: int = 1000
+) -> DataFrame:
+    """At most ``n`` points a colour: those with the smallest hash of their key.
+
+    The hash is the md5 of the key columns (or of the drawn ones), so every run, on any
+    partitioning, picks the same rows, and the picks of parts of a table can be picked from
+    again. Tasks keep ``n`` rows a colour before anything is shuffled.
+    """
+    columns = list(dict.fromkeys(c for c in (x, y, color) if c))
+    keys = list(key) or columns
+    hashed = F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys]))
+    group = [F.col(color)] if color else [F.lit(1)]
+    first = Window.partitionBy(*group).orderBy("_hash", *columns)
+    return (
+        df.select(*columns, hashed.alias("_hash"))
+        .withColumn("_number", F.row_number().over(first))
+        .where(F.col("_number") <= n)
+        .select(*columns)
+    )
+
+
 def _chart(kind: str, title: Column, x: Column, y: Column, color: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(

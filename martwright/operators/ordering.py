@@ -9,7 +9,10 @@ lies before it in the same group is added as an offset.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,16 +65,30 @@ def running_total(
     )
 
 
-def _tile(row_number: Column, rows: Column, tiles: int) -> Column:
-    """Tile of a row when the first ``rows % tiles`` tiles take one row more."""
-    size, longer = F.floor(rows / tiles), rows % tiles
-    zero_based = row_number - 1
-    head = longer * (size + 1)
-    return (
-        F.when(zero_based < head, F.floor(zero_based / (size + 1)) + 1)
-        .otherwise(F.floor((zero_based - head) / F.greatest(size, F.lit(1))) + longer + 1)
-        .cast("int")
-    )
+def _edges(rows: int, tiles: int) -> list[int]:
+    """Rows in the first 1, 2, ... tiles, when the first ``rows % tiles`` tiles take one more."""
+    size, longer = divmod(rows, tiles)
+    return [c * size + min(c, longer) for c in range(1, tiles)]
+
+
+@dataclass(frozen=True)
+class _Block:
+    """Rows of one measure with one value, at positions ``first`` up to but not with ``upto``."""
+
+    rank: int  # 0 or 1: whether NULL or a value, in the order of the measure
+    value: Decimal | None
+    first: int
+    upto: int
+
+    def before(self, rank: Column, value: Column) -> Column:
+        later = rank > self.rank
+        if self.value is None:
+            return later
+        return later | ((rank == self.rank) & (value > F.lit(self.value)))
+
+    def holds(self, rank: Column, value: Column) -> Column:
+        same = value.isNull() if self.value is None else value == F.lit(self.value)
+        return (rank == self.rank) & same
 
 
 def ntile_scores(
@@ -80,41 +97,76 @@ def ntile_scores(
     """Global NTILE for several measures at once: ``key`` plus one column per score.
 
     ``scores`` maps the output column to (measure, ascending). NULL measures sort as the
-    largest value in either direction. Ties are broken by the md5 of the key, then the key, so
-    equal measures are spread evenly over the slices.
+    largest value in either direction. Ties are broken by the md5 of the key, then the key.
+
+    Distinct values are counted, and their cumulative counts say in which value each tile ends. A
+    row's tile follows from comparing its values with these, which are ``tiles - 1`` for each measure.
+    Only rows whose value is cut by the end of a tile are ranked.
     """
-    entries = []
-    for position, (measure, ascending) in enumerate(scores.values()):
+    columns = [F.col(key), F.coalesce(F.md5(F.col(key).cast("string")), F.lit("")).alias("_tie")]
+    for i, (measure, ascending) in enumerate(scores.values()):
         value = F.col(measure).cast("decimal(28,6)")
-        entries.append(
-            F.struct(
-                F.lit(position).alias("_score"),
-                (value.isNull() if ascending else value.isNotNull()).cast("int").alias("_rank"),
-                (value if ascending else -value).alias("_value"),
-            )
-        )
-    long = df.select(
-        F.col(key),
-        F.coalesce(F.md5(F.col(key).cast("string")), F.lit("")).alias("_tie"),
-        F.explode(F.array(*entries)).alias("_e"),
-    ).select(key, "_tie", "_e.*")
+        columns += [
+            (value.isNull() if ascending else value.isNotNull()).cast("int").alias(f"_rank{i}"),
+            (value if ascending else -value).alias(f"_value{i}"),
+        ]
+    base = durable(df.select(*columns))
+    of = [(F.col(f"_rank{i}"), F.col(f"_value{i}")) for i in range(len(scores))]
+    entries = [
+        F.struct(F.lit(i).alias("_score"), r.alias("_rank"), v.alias("_value"))
+        for i, (r, v) in enumerate(of)
+    ]
+    values = (
+        base.select(F.explode(F.array(*entries)).alias("_e"))
+        .groupBy("_e._score", "_e._rank", "_e._value")
+        .agg(F.count("*").alias("_n"))
+    )
+    edges = _edges(base.count(), tiles)
+    upto = running_total(
+        values, ["_score"], [F.col("_rank"), F.col("_value")], "_upto", F.col("_n")
+    ).withColumn("_first", F.col("_upto") - F.col("_n"))
+    ends = reduce(or_, [(F.col("_first") < e) & (F.col("_upto") >= e) for e in edges], F.lit(False))
+    blocks: list[list[_Block]] = [[] for _ in scores]
+    for r in upto.where(ends).collect():  # at most tiles - 1 a score
+        blocks[r["_score"]].append(_Block(r["_rank"], r["_value"], r["_first"], r["_upto"]))
+
+    plain, tied, parts = [], [], []
+    for i, (rank, value) in enumerate(of):
+        tile = F.lit(1)
+        cut: dict[_Block, list[int]] = {}
+        for edge in edges:
+            own = next((b for b in blocks[i] if b.first < edge <= b.upto), None)
+            if own is None:  # fewer rows than tiles: an edge at the start is behind every row
+                tile = tile + (1 if edge == 0 else 0)
+                continue
+            tile = tile + own.before(rank, value).cast("int")
+            if edge < own.upto:
+                cut.setdefault(own, []).append(edge - own.first)
+        plain.append(tile)
+        for b, (block, inner) in enumerate(cut.items()):
+            name = F.struct(F.lit(i).alias("_score"), F.lit(b).alias("_block"))
+            tied.append(F.when(block.holds(rank, value), name))
+            here = (F.col("_score") == i) & (F.col("_block") == b)
+            parts += [(here & (F.col("_number") > n)).cast("int") for n in inner]
+    if not tied:
+        return base.select(key, *[t.cast("int").alias(n) for t, n in zip(plain, scores)])
     ranked = running_total(
-        long,
-        ["_score"],
-        [F.col("_rank"), F.col("_value"), F.col("_tie"), F.col(key)],
-        "_row_number",
+        base.select(key, "_tie", F.explode(F.array_compact(F.array(*tied))).alias("_t")).select(
+            key, "_tie", "_t.*"
+        ),
+        ["_score", "_block"],
+        [F.col("_tie"), F.col(key)],
+        "_number",
+    ).withColumn("_more", reduce(add, parts))
+    more = ranked.groupBy(F.col(key).alias("_key")).agg(
+        *[F.max(F.when(F.col("_score") == i, F.col("_more"))).alias(f"_more{i}") for i in range(len(scores))]
     )
-    rows = ranked.where(F.col("_score") == 0).agg(F.count("*")).scalar()
-    tile = _tile(F.col("_row_number"), rows, tiles)
-    return (
-        ranked.withColumn("_tile", tile)
-        .groupBy(key)
-        .agg(
-            *[
-                F.max(F.when(F.col("_score") == position, F.col("_tile"))).alias(name)
-                for position, name in enumerate(scores)
-            ]
-        )
+    return base.join(more, F.col(key).eqNullSafe(F.col("_key")), "left").select(
+        key,
+        *[
+            (tile + F.coalesce(f"_more{i}", F.lit(0))).cast("int").alias(name)
+            for i, (tile, name) in enumerate(zip(plain, scores))
+        ],
     )
 
 

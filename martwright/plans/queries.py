@@ -281,14 +281,8 @@ def _doc_rows(inputs: Inputs) -> DataFrame:
     )
 
 
-@query
-def src_doc_catalog(inputs: Inputs) -> DataFrame:
-    """Conversations written as description files, one model each, then read back as column rows.
-
-    A file describes some hundred models.
-    """
-    path = scratch_path(inputs.spark, "docs")
-    described_rows = _doc_rows(inputs)
+def _write_descriptions(described_rows: DataFrame, path: str) -> None:
+    """Description files of some hundred models each."""
     models = described_rows.agg(F.count_distinct("model_name")).first()[0]
     part = F.pmod(F.xxhash64("model_name"), F.lit(max(1, -(-models // 200)))).alias("part")
     column = F.struct(
@@ -308,6 +302,13 @@ def src_doc_catalog(inputs: Inputs) -> DataFrame:
         .select("part", F.to_json(F.struct("models")).alias("value"))
     )
     described.write.partitionBy("part").text(path)
+
+
+@query
+def src_doc_catalog(inputs: Inputs) -> DataFrame:
+    """Conversations written as description files, one model each, then read back as column rows."""
+    path = scratch_path(inputs.spark, "docs")
+    _write_descriptions(_doc_rows(inputs), path)
     return docs.read_doc_catalog(inputs.spark, path, "*.txt").drop("file_path")
 
 
@@ -442,21 +443,25 @@ def dq_between(inputs: Inputs) -> DataFrame:
 
 @query
 def dq_schema_contract(inputs: Inputs) -> DataFrame:
-    """Documented columns of all models against the models, with some drift on purpose.
+    """Columns documented in description files against the columns that tables have.
 
-    The documentation is made from the models: one column of each staging model is left out of it,
-    and each fact is said to have a column that it lacks.
+    Every conversation stands for a table, with a column for each turn. The files, written by
+    Spark and read back as a catalogue, lack the turns numbered 3 and still hold a dropped column for
+    conversations that have a turn 2.
     """
-    documented, actual = [], []
-    for name, model in MODELS.items():
-        columns = inputs.model(name).columns
-        known = columns[:-1] if model.layer == "staging" else list(columns)
-        if name.startswith("fact_"):
-            known.append("Dropped_Column")
-        documented += [(name, c) for c in known]
-        actual.append(quality.columns_as_rows(name, inputs.model(name)))
-    listed = inputs.spark.createDataFrame(documented, "model string, column_name string")
-    return quality.schema_contract(listed, _union(actual))
+    turns = _doc_rows(inputs).withColumn(
+        "column_name", F.concat(F.initcap("column_name"), F.lit("_"), F.col("column_pos"))
+    )
+    dropped = turns.where("column_pos = 2").withColumn("column_name", F.lit("Dropped_Column"))
+    documented = turns.where("column_pos <> 3").unionByName(dropped.withColumn("column_pos", F.lit(99)))
+    path = scratch_path(inputs.spark, "contract")
+    _write_descriptions(documented, path)
+    catalog = docs.read_doc_catalog(inputs.spark, path, "*.txt")
+    known = catalog.where("column_name is not null").select(
+        F.col("model_name").alias("model"), "column_name"
+    )
+    actual = turns.select(F.col("model_name").alias("model"), F.lower("column_name").alias("column_name"))
+    return quality.schema_contract(known, actual)
 
 
 @query
@@ -602,6 +607,11 @@ def chart_time_series(inputs: Inputs) -> DataFrame:
     return charts.time_series(inputs.table("events"), "ts", "event_id")
 
 
+@query
+def chart_time_series_bounded(inputs: Inputs) -> DataFrame:
+    return charts.downsampled_series(inputs.table("events"), "ts", "value", "event_id", width=200)
+
+
 @query
 def trend_pct_change(inputs: Inputs) -> DataFrame:
     trend = charts.trend_pct_change(inputs.table("events"), "ts", "value", "event_id")
@@ -636,6 +646,19 @@ def chart_scatter(inputs: Inputs) -> DataFrame:
     )
 
 
+@query
+def chart_scatter_sample(inputs: Inputs) -> DataFrame:
+    """A hundred lines for each return flag, picked by the hash of the line's key."""
+    return charts.sampled_scatter(
+        inputs.table("lineitem"),
+        "l_quantity",
+        "l_extendedprice",
+        "l_returnflag",
+        key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+        n=100,
+    )
+
+
 # Texts and vectors
 
 

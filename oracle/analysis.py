@@ -166,32 +166,14 @@ SQL["dq_between"] = _union(
         _violations("lineitem", "l_partkey", "l_partkey", "l_partkey < 10"),
     ]
 )
-# The last column of each staging model is undocumented; each fact lacks a documented column.
-_LAST_STAGED = {
-    "stg_orders": "order_estimated_delivery_datetime",
-    "stg_order_items": "item_freight_value",
-    "stg_order_payments": "payment_value",
-    "stg_reviews": "review_answer_datetime",
-    "stg_customers": "customer_state",
-    "stg_geolocation": "state",
-    "stg_products": "product_width_cm",
-    "stg_product_category_translation": "product_category_name_english",
-    "stg_sellers": "seller_state",
-    "stg_marketing_qualified_leads": "mql_origin_category",
-    "stg_closed_deals": "lead_business_monthly_revenue",
-}
-SQL["dq_schema_contract"] = _union(
-    [
-        f"select '{model}' as model, '{column}' as column_name, "
-        "'produced, not documented' as problem"
-        for model, column in _LAST_STAGED.items()
-    ]
-    + [
-        f"select '{model}', 'dropped_column', 'documented, not produced'"
-        for model in OUTPUT
-        if model.startswith("fact_")
-    ]
-)
+SQL["dq_schema_contract"] = """
+select cast(conv_id as varchar) as model, lower(role) || '_' || turn as column_name,
+  'produced, not documented' as problem
+from conversations where turn = 3
+union all
+select distinct cast(conv_id as varchar), 'dropped_column', 'documented, not produced'
+from conversations where turn = 2
+"""
 SQL["dq_csv_shape"] = """
 select record, cast(if(source = 'src7', 2, 4) as bigint) as fields, cast(3 as bigint) as expected,
   count(*) over () as total_errors, part
@@ -406,6 +388,31 @@ SQL["correlation_matrix"] = _union(
         for b in _LINE_NUMBERS
     ]
 )
+SQL["chart_time_series_bounded"] = """
+with points as (
+  select event_id, ts, value, epoch_us(ts)::hugeint as t from events
+  where ts is not null and value is not null and not isnan(value)
+),
+placed as (
+  select *, ((t - (select min(t) from points)) * 200
+    // (select max(t) - min(t) + 1 from points))::bigint as pixel from points
+),
+ranked as (
+  select *,
+    row_number() over (partition by pixel order by ts, event_id, value) as a,
+    row_number() over (partition by pixel order by ts desc, event_id desc, value desc) as b,
+    row_number() over (partition by pixel order by value, ts, event_id) as c,
+    row_number() over (partition by pixel order by value desc, ts, event_id desc) as d
+  from placed
+)
+select pixel, ts, value, event_id from ranked where 1 in (a, b, c, d)
+"""
+SQL["chart_scatter_sample"] = """
+select l_quantity, l_extendedprice, l_returnflag from lineitem
+qualify row_number() over (partition by l_returnflag order by
+  md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+  l_quantity, l_extendedprice) <= 100
+"""
 SQL["chart_scatter"] = "select l_quantity, l_extendedprice, l_returnflag from lineitem"
 
 # Texts and vectors

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from martwright.operators import ordering
 from martwright.operators.ordering import exact_quantiles, ntile_scores, running_total
 
 
@@ -60,6 +61,25 @@ def test_ntile_puts_null_first_when_descending(spark):
     assert got == {"a": (1, 3), "b": (3, 1), "c": (2, 2)}
 
 
+def test_ntile_ranks_only_ties_at_an_end(spark, monkeypatch):
+    """Distinct values are numbered, and of the rows only those with a value that a tile ends in."""
+    numbered = []
+
+    def watched(df, *args):
+        numbered.append(df.count())
+        return running_total(df, *args)
+
+    monkeypatch.setattr(ordering, "running_total", watched)
+    df = spark.range(3000).select(
+        F.col("id").cast("string").alias("key"),
+        F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("a"),
+    )
+    got = ordering.ntile_scores(df, "key", {"x": ("a", True)})
+    want = df.select("key", F.ntile(5).over(Window.orderBy("a", F.md5("key"))).alias("x"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+    assert numbered == [2001, 1000]
+
+
 def test_exact_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(7)
     values = np.round(rng.exponential(50, 2000), 1)
