@@ -16,7 +16,15 @@ from martwright.functions import (
     lead_tier,
     standardize_to_datetime,
 )
-from martwright.operators import charts, documents, profiling, quality, questions, vectors
+from martwright.operators import (
+    charts,
+    documents,
+    profiling,
+    quality,
+    questions,
+    sketches,
+    vectors,
+)
 from martwright.operators.durable import scratch_path
 from martwright.plans import checks, maintain
 from martwright.plans.catalog import MODELS, Warehouse
@@ -529,6 +537,55 @@ def profile_top_values(inputs: Inputs) -> DataFrame:
     return profiling.profile_top_values(inputs.table("lineitem"))
 
 
+@query
+def profile_sketches(inputs: Inputs) -> DataFrame:
+    """Lines profiled from the sketches of four parts, added in two runs, against the exact profile.
+
+    ``new_parts`` are those the second run read; the ``_ok`` columns say whether the estimates
+    lie within the errors that the sketches promise.
+    """
+    lines = inputs.table("lineitem")
+    store = sketches.SketchStore(inputs.spark, scratch_path(inputs.spark, "sketches"))
+    parts = {f"part-{i}": lines.where(F.pmod("l_orderkey", F.lit(4)) == i) for i in range(4)}
+    store.update({p: parts[p] for p in ("part-0", "part-1", "part-2")})
+    new = store.update(parts)
+    estimated = store.profile()
+    exact = profiling.profile_columns(lines, samples=0).select("column_name", "unique_count")
+    numbers = profiling.numeric_columns(lines)
+    halves = lines.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column_name"),
+                    F.percentile(F.col(c).cast("double"), 0.47).alias("below"),
+                    F.percentile(F.col(c).cast("double"), 0.53).alias("above"),
+                )
+                for c in numbers
+            ]
+        ).alias("_h")
+    ).select(F.inline("_h"))
+    distinct_gap = F.abs(F.col("unique_estimate") - F.col("unique_count")) / F.col("unique_count")
+    median = F.col("median_estimate").between(F.col("below"), F.col("above"))
+    found = estimated.join(exact, "column_name").join(halves, "column_name", "left")
+    return _rounded(
+        found.select(
+            "column_name",
+            "row_count",
+            "null_count",
+            "mean",
+            "std",
+            "min_val",
+            "max_val",
+            (distinct_gap < 0.08).alias("distinct_ok"),
+            F.coalesce(median, F.lit(True)).alias("median_ok"),
+            F.lit(len(new)).alias("new_parts"),
+        ),
+        4,
+        "mean",
+        "std",
+    )
+
+
 def _roles(df: DataFrame) -> DataFrame:
     return profiling.profile_roles(profiling.profile_columns(df, samples=0))
 

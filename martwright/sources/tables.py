@@ -225,6 +225,17 @@ def read_months(
     return table
 
 
+def month_parts(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The months of a table of :func:`sink_months`, named by folder and month.
+
+    A name stands for the same rows for ever, as a changed month gets a new folder.
+    """
+    _, state = CommitLog(spark, f"{path}/_log").read(version)
+    schema = T.StructType.fromJson(json.loads(state["schema"]))
+    places = [f"{e['folder']}/{_MONTH}={m}" for m, e in sorted(state.get("months", {}).items())]
+    return {p: spark.read.schema(schema).parquet(f"{path}/{p}") for p in places}
+
+
 def build_warehouse(
     spark: SparkSession,
     raw: Callable[[str], DataFrame],

@@ -284,6 +284,20 @@ SQL["profile_numeric"] = _union(
         for c in _LINE_NUMBERS
     ]
 )
+_LINE_NUMBERS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax"
+SQL["profile_sketches"] = _union(
+    [
+        f"select '{c}' as column_name, count(*) as row_count, count(*) - count({c}) as null_count, "
+        + (
+            f"{_d(f'avg({c})', 4)} as mean, {_d(f'stddev_samp({c})', 4)} as std, "
+            f"cast(min({c}) as double) as min_val, cast(max({c}) as double) as max_val, "
+            if c in _LINE_NUMBERS.split()
+            else "null as mean, null as std, null as min_val, null as max_val, "
+        )
+        + "true as distinct_ok, true as median_ok, 1 as new_parts from lineitem"
+        for c in f"{_LINE_NUMBERS} l_returnflag l_linestatus l_shipdate".split()
+    ]
+)
 SQL["profile_top_values"] = _union(
     [
         f"""select '{c}' as column_name, rank, value, occurrences from (
