@@ -6,6 +6,8 @@ depend on the session time zone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,12 +17,19 @@ _LOOSE = (
     r"(?:\s+(\d{1,2}):(?:(\d{1,2})(?::(\d{1,2}))?)?)?$"
 )
 _BETWEEN = "\u0001"
+_YEAR_FIRST = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+_MONTH_FIRST = r"^(\d{2})-(\d{2})-(\d{4}) (\d{2}:\d{2}:\d{2})$"
 
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` takes it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _is_blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "")
 
@@ -40,24 +49,27 @@ def clean_datetime_string(text: Column | str) -> Column:
     """
     text = _col(text)
     found = F.regexp_replace(text, _LOOSE, _BETWEEN.join(f"${i}" for i in range(1, 7)))
-    parts = F.split(found, _BETWEEN, -1)
-    first, second, third, hour, minute, second_of = (parts[i] for i in range(6))
-    date = F.concat_ws("-", _two_digits(first), _two_digits(second), third)
-    time = F.concat_ws(":", *map(_two_digits, (hour, minute, second_of)))
-    clean = F.when(F.size(parts) == 6, F.concat_ws(" ", date, time)).otherwise(
-        F.concat(text, F.lit(" 00:00:00"))
+
+    def padded(parts: Column) -> Column:
+        first, second, third, hour, minute, second_of = (parts[i] for i in range(6))
+        date = F.concat_ws("-", _two_digits(first), _two_digits(second), third)
+        time = F.concat_ws(":", *map(_two_digits, (hour, minute, second_of)))
+        return F.when(F.size(parts) == 6, F.concat_ws(" ", date, time))
+
+    clean = F.coalesce(
+        _once(F.split(found, _BETWEEN, -1), padded), F.concat(text, F.lit(" 00:00:00"))
     )
     return F.when(_is_blank(text), F.lit(None).cast("string")).otherwise(clean)
 
 
 def standardize_to_datetime(text: Column | str) -> Column:
     """Timestamp from loose date text; year-first or month-first, anything else NULL."""
-    clean = clean_datetime_string(text)
-    iso = F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), clean).when(
-        clean.rlike(r"^\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2}$"),
-        F.regexp_replace(clean, r"^(\d{2})-(\d{2})-(\d{4}) ", "$3-$1-$2 "),
-    )
-    return iso.try_cast("timestamp_ntz")
+
+    def iso(clean: Column) -> Column:
+        turned = F.regexp_replace(clean, _MONTH_FIRST, "$3-$1-$2 $4")
+        return F.when(turned.rlike(_YEAR_FIRST), turned)
+
+    return _once(clean_datetime_string(text), iso).try_cast("timestamp_ntz")
 
 
 def day_of(ts: Column | str) -> Column:

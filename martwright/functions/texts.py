@@ -138,10 +138,14 @@ def ascii_clean_columns(df: DataFrame) -> DataFrame:
 
 
 def ascii_clean(text: Column | str) -> Column:
-    """Transliterate to ASCII, then keep code points 32 to 126 only. NULL stays NULL."""
-    out = _col(text)
+    """Transliterate to ASCII, then keep code points 32 to 126 only. NULL stays NULL.
+
+    A text of such code points alone is taken as it is.
+    """
+    text = out = _col(text)
     for source, target in MULTI_CHAR_ASCII.items():
         out = F.replace(out, F.lit(source), F.lit(target))
     singles = _single_char_map()
     out = F.translate(out, "".join(singles), "".join(singles.values()))
-    return F.regexp_replace(out, r"[^\x20-\x7E]", "")
+    cleaned = F.regexp_replace(out, r"[^\x20-\x7E]", "")
+    return F.when(text.rlike(r"[^\x20-\x7E]"), cleaned).otherwise(text)

@@ -74,15 +74,36 @@ def in_set(df: DataFrame, column: str, values: Sequence[object]) -> DataFrame:
 
 def between(df: DataFrame, limits: dict[str, tuple[object | None, object | None]]) -> DataFrame:
     """Values outside their inclusive limits; an open end is None and NULL passes."""
-    outside = {}
-    for column, (low, high) in limits.items():
-        condition = F.lit(False)
-        if low is not None:
-            condition = condition | (F.col(column) < low)
-        if high is not None:
-            condition = condition | (F.col(column) > high)
-        outside[column] = condition
-    return _values(df, outside)
+    return _values(df, {c: outside(c, low, high) for c, (low, high) in limits.items()})
+
+
+def outside(column: str, low: object | None, high: object | None) -> Column:
+    """Whether a value lies outside inclusive limits; an open end is None and NULL passes."""
+    below = F.lit(False) if low is None else F.col(column) < low
+    above = F.lit(False) if high is None else F.col(column) > high
+    return F.coalesce(below | above, F.lit(False))
+
+
+def counted(df: DataFrame, rules: Sequence[tuple[str, str, Column]]) -> DataFrame:
+    """Rows that break each rule (check, column, condition of failing): one aggregation for all.
+
+    Columns: ``check``, ``column_name``, ``row_count`` and ``failures``, with the zeros. Only sums are
+    shuffled, and the table is read once, in the columns that have rules.
+    """
+    sums = df.agg(
+        F.count("*").alias("_rows"),
+        *[F.count_if(failing).alias(f"_f{i}") for i, (_, _, failing) in enumerate(rules)],
+    )
+    listed = [
+        F.struct(
+            F.lit(check).alias("check"),
+            F.lit(column).alias("column_name"),
+            F.col("_rows").alias("row_count"),
+            F.col(f"_f{i}").alias("failures"),
+        )
+        for i, (check, column, _) in enumerate(rules)
+    ]
+    return sums.select(F.inline(F.array(*listed)))
 
 
 def schema_contract(documented: DataFrame, actual: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martwright.operators import quality
@@ -173,6 +173,32 @@ def check_between(wh: Warehouse) -> DataFrame:
     return _all([_named(m, quality.between(wh.get(m), limits)) for m, limits in BETWEEN.items()])
 
 
+def counting_rules() -> dict[str, list[tuple[str, str, Column]]]:
+    """Of each model, the checks that a count of its rows decides: (check, column, failing)."""
+    rules: dict[str, list[tuple[str, str, Column]]] = {}
+    for model, columns in NOT_NULL.items():
+        for c in columns.split():
+            rules.setdefault(model, []).append(("not_null", c, F.col(c).isNull()))
+    for model, limits in BETWEEN.items():
+        for c, (low, high) in limits.items():
+            rules.setdefault(model, []).append(("between", c, quality.outside(c, low, high)))
+    for check, declared in (("accepted_values", ACCEPTED_VALUES), ("in_set", IN_SET)):
+        for model, c, values in declared:
+            failing = F.coalesce(~F.col(c).isin(values), F.lit(False))
+            rules.setdefault(model, []).append((check, c, failing))
+    return rules
+
+
+def check_counts(wh: Warehouse) -> DataFrame:
+    """All counting checks with their numbers of rows and failures: one aggregation a model."""
+    return _all(
+        [
+            quality.counted(wh.get(model), rules).select(F.lit(model).alias("model"), "*")
+            for model, rules in counting_rules().items()
+        ]
+    )
+
+
 def run_all(wh: Warehouse) -> DataFrame:
     """All declared checks in one table, only what fails."""
     parts = {

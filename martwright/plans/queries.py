@@ -402,6 +402,12 @@ def dq_not_null(inputs: Inputs) -> DataFrame:
     return checks.check_not_null(inputs.with_stored(*STORED))
 
 
+@query
+def dq_suite(inputs: Inputs) -> DataFrame:
+    """All declared checks that counting decides, one aggregation for each model."""
+    return checks.check_counts(inputs.with_stored(*STORED))
+
+
 @query
 def dq_unique(inputs: Inputs) -> DataFrame:
     """All declared uniqueness checks, and the line key that is known to repeat."""

@@ -117,6 +117,24 @@ SQL["dq_not_null"] = _union(
         for model, column in map(_column, declared.NOT_NULL)
     ]
 )
+
+
+def _counted(check: str, name: str, failing: str) -> str:
+    model, column = _column(name)
+    return (
+        f"select '{model}' as model, '{check}' as \"check\", '{column}' as column_name, "
+        f"count(*) as row_count, count(*) filter ({failing.format(column)}) as failures from {model}"
+    )
+
+
+SQL["dq_suite"] = _union(
+    [_counted("not_null", name, "{} is null") for name in declared.NOT_NULL]
+    + [_counted("between", name, "{} < 0") for name in declared.NOT_NEGATIVE]
+    + [_counted("between", name, "{} < 1") for name in declared.AT_LEAST_ONE]
+    + [_counted("between", name, "{} not between 1 and 5") for name in declared.SCORES]
+    + [_counted("accepted_values", "fact_orders.on_time_delivery_flag", "{} not in (0, 1)")]
+    + [_counted("in_set", "fact_closed_deals.mql_link_status", "{} not in ('linked', 'orphaned')")]
+)
 SQL["dq_unique"] = _union(
     [
         _violations(model, column, column, f"{column} is not null", 2)
