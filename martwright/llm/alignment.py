@@ -40,8 +40,10 @@ from martwright.llm.common import per_worker, stored
 #: Pairs whose counts every task holds: 17 bytes each.
 HEAD = 1 << 18
 #: Distinct pairs a task holds before it gives their partial counts out.
-HELD_PAIRS = 1 << 20
-CHARACTERS_AT_ONCE = 1 << 20
+HELD_PAIRS = 1 << 19
+#: Bytes of texts, and links, that are worked on at once; a longer text is worked on alone.
+BYTES_AT_ONCE = 1 << 18
+LINKS_AT_ONCE = 1 << 17
 _SIDE = np.int64(1 << 32)
 
 
@@ -112,11 +114,10 @@ class Side:
         docs = pc.list_parent_indices(nested).to_numpy()
         upto = np.r_[0, np.cumsum(vocabulary.lengths[ids])]
         start = upto[bounds[:-1]]
-        data = memoryview(b"".join(vocabulary.pieces.take(pa.array(ids)).to_pylist()))
-        sound = [
-            data[a:b] == text for a, b, text in zip(start, upto[bounds[1:]], wanted)
-        ]
-        return Side(ids, docs, upto[1:] - start[docs], np.array(sound))
+        joined = vocabulary.pieces.take(pa.array(ids)).buffers()[2].to_pybytes()
+        spans = zip(start.tolist(), upto[bounds[1:]].tolist(), wanted)
+        sound = np.array([joined[a:b] == text for a, b, text in spans])
+        return Side(ids, docs, upto[1:] - start[docs], sound)
 
     def of(self, good: np.ndarray) -> Side:
         keep = good[self.docs]
@@ -150,7 +151,9 @@ def links_of(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
 
 def groups_of(a: Side, b: Side, n: int) -> tuple[np.ndarray, pa.Array]:
     """The number of groups of each of ``n`` documents, and their text ``a1,a2|b1;a3|b2``."""
-    cuts = np.intersect1d(a.keys(), b.keys())
+    ours, theirs = a.keys(), np.r_[b.keys(), -1]
+    cuts = ours[theirs[np.searchsorted(theirs[:-1], ours)] == ours]
+    cuts = cuts[np.diff(cuts, prepend=-1) > 0]
     sides = []
     for side in (a, b):
         group = np.searchsorted(cuts, side.keys())
@@ -199,25 +202,35 @@ def align_texts(texts: list[str | None], first: Vocabulary, second: Vocabulary)
     )
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy().astype(np.int64)
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // CHARACTERS_AT_ONCE)) + 1
-    for begin, end in zip(np.r_[0, cuts].tolist(), [*cuts.tolist(), len(batch)]):
+def _pieces(batch: pa.RecordBatch, sizes: pa.Array, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``limit`` in ``sizes`` each."""
+    upto = np.cumsum(pc.fill_null(sizes, 0).to_numpy().astype(np.int64))
+    cuts = (np.flatnonzero(np.diff(upto // limit)) + 1).tolist()
+    for begin, end in zip([0, *cuts], [*cuts, len(batch)]):
         if end > begin:
             yield batch.slice(begin, end - begin)
 
 
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _pieces(batch, pc.binary_length(batch.column("_text")), BYTES_AT_ONCE)
+
+
+def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _pieces(batch, pc.list_value_length(batch.column("pairs")), LINKS_AT_ONCE)
+
+
 def align(docs: DataFrame, byte_path: str, piece_path: str, doc_id: str = "doc_id") -> DataFrame:
     """``doc_id``, ``row_number`` (unique) and :data:`COLUMNS`, stored."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = byte_level(byte_path), sentence_pieces(piece_path)
-        for batch in batches:
-            for piece in _pieces(batch):
-                found = align_texts(piece.column("_text").to_pylist(), first, second)
-                found = found.add_column(0, "doc_id", piece.column("_doc"))
-                yield from found.combine_chunks().to_batches()
+        for piece in _texts(batches):
+            found = align_texts(piece.column("_text").to_pylist(), first, second)
+            found = found.add_column(0, "doc_id", piece.column("_doc"))
+            yield from found.combine_chunks().to_batches()
 
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col("text").alias("_text"))
     aligned = rows.mapInArrow(read, f"doc_id {kind}, {COLUMNS}")
@@ -237,13 +250,17 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        for batch in batches:
+        fresh: list[pa.Table] = []
+        for batch in _linked(batches):
             pairs = pc.list_flatten(batch.column("pairs"))
-            ones = pa.array(np.ones(len(pairs), dtype=np.int64))
-            held = _counted(pa.concat_tables([held, pa.table({"pair": pairs, "n": ones})]))
+            own = pc.value_counts(pairs)
+            fresh.append(pa.table({"pair": own.field("values"), "n": own.field("counts")}))
+            if sum(map(len, fresh)) > HELD_PAIRS // 4:
+                held, fresh = _counted(pa.concat_tables([held, *fresh])), []
             if len(held) > HELD_PAIRS:
                 yield from held.combine_chunks().to_batches()
                 held = held.slice(0, 0)
+        held = _counted(pa.concat_tables([held, *fresh]))
         yield from held.combine_chunks().to_batches()
 
     merged = (
@@ -275,7 +292,7 @@ def score(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
     def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.table({**shared.value, "known": np.ones(len(shared.value["pair"]), dtype=bool)})
-        for batch in batches:
+        for batch in _linked(batches):
             lists = batch.column("pairs")
             links = pa.table(
                 {"doc": pc.cast(pc.list_parent_indices(lists), pa.int64()), "pair": pc.list_flatten(lists)}

@@ -102,7 +102,8 @@ def test_odd_texts_equal_brute_force(spark, rows, brute):
 def test_pairs_beyond_the_broadcast_ones(spark, rows, brute, monkeypatch, head):
     monkeypatch.setattr(alignment, "HEAD", head)
     monkeypatch.setattr(alignment, "HELD_PAIRS", 5)
-    monkeypatch.setattr(alignment, "CHARACTERS_AT_ONCE", 60)
+    monkeypatch.setattr(alignment, "BYTES_AT_ONCE", 60)
+    monkeypatch.setattr(alignment, "LINKS_AT_ONCE", 7)
     data = list(enumerate(TEXTS))
     assert rows(_align(spark, [(*r, "x", 1) for r in data])) == brute(data)
 
