@@ -6,8 +6,9 @@ patterns miss. All documents are labelled, and a bounded number of windows is dr
 of span and of windows without one, however rare a kind is in the table. It then reads every whole text in overlapping
 windows. A personal datum has a digit or an ``@``, or is an email with the words ``at`` and ``dot``
 (or a full stop), and all other spans are refused; a window without these can therefore hold no
-span and is not decoded, which changes no result. Spans that reach into a window's edge are left
-to the neighbouring window. All windows of a document are
+span and is not decoded, unless a span runs on into it. A span that a window's edge cuts lies whole
+in a neighbouring window if it is shorter than the overlap; of a longer one, the pieces of
+the windows in a row are stitched together. All windows of a document are
 reconciled at once: base spans stay, and among the others the non-overlapping set with the highest
 total weight is kept.
 
@@ -19,8 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from martwright.llm.tagger import Tagger
 KINDS = ("email", "ip", "card", "phone")
 TRIGGER = "[0-9@]"
 # Signs of an email that is spelled out.
-AT, DOT = re.compile(r"\bat\b"), re.compile(r"\.|\bdot\b")
+AT, DOT = re.compile(r"\bat\b", re.I), re.compile(r"\.|\bdot\b", re.I)
 WIDTH, STRIDE = 96, 48
 TRAINING_WINDOWS = 1200
 TRAINING_STEPS, TRAINING_BATCH, TRAINING_RATE = 400, 32, 0.02
@@ -144,10 +146,11 @@ def _rewritten(value: str, kind: int, choice: int) -> str:
 
 
 def labelled_windows(text: str, seed: int) -> list[tuple[str, list[Span]]]:
-    """Training windows of a text: one round each of some spans, and one without any."""
+    """Training windows of a text: one round each of its spans, and one without any."""
     rng = np.random.default_rng(seed)
     spans, made = base_spans(text), []
-    for start, end, kind in spans[:4]:
+    starts = [span[0] for span in spans]
+    for start, end, kind in spans:
         value = text[start:end]
         if rng.random() < 0.5:
             value = _rewritten(value, kind, int(rng.integers(4)))
@@ -157,7 +160,8 @@ def labelled_windows(text: str, seed: int) -> list[tuple[str, list[Span]]]:
         window = (before + value + after)[:WIDTH]
         inside = [(len(before), len(before) + len(value), kind)]
         shift = len(before) + len(value) - end
-        for other in spans:
+        near = slice(bisect_left(starts, start - lead), bisect_right(starts, end + WIDTH))
+        for other in spans[near]:
             moved = (other[0] + shift, other[1] + shift, other[2])
             if other[0] >= end and moved[1] <= WIDTH:
                 inside.append(moved)
@@ -237,7 +241,7 @@ def may_hold(window: str) -> bool:
     """True wherever some part of the window is ``_plausible``."""
     if re.search(TRIGGER, window):
         return True
-    return "at" in window and bool(AT.search(window)) and bool(DOT.search(window))
+    return bool(AT.search(window)) and bool(DOT.search(window))
 
 
 def _plausible(whole: str, start: int, end: int, kind: int) -> bool:
@@ -303,29 +307,86 @@ def reconcile(
     return chosen[::-1]
 
 
+Piece = tuple[int, int, int, float]  # start, end, kind, least marginal
+
+
+@dataclass
+class _Cut:
+    """Stretches that a window's edge cuts, by the window's offset."""
+
+    at_start: dict[int, Piece]
+    at_end: dict[int, Piece]
+    through: dict[int, Piece]
+
+    def stitched(self) -> list[Piece]:
+        """Spans longer than the overlap, put together from the pieces of windows in a row.
+
+        Shorter ones lie whole in some window. Each piece must go on in the next window, which
+        sees the same stretch again in the overlap.
+        """
+        found = []
+        for offset, (start, end, kind, sure) in self.at_end.items():
+            while True:
+                offset += STRIDE
+                last = self.at_start.get(offset)
+                piece = last or self.through.get(offset)
+                if piece is None or piece[2] != kind or piece[0] >= end:
+                    break
+                end, sure = piece[1], min(sure, piece[3])
+                if last:
+                    if end - start >= STRIDE:
+                        found.append((start, end, kind, sure))
+                    break
+        return found
+
+
 def added_spans(
     texts: Sequence[str], bases: Sequence[Sequence[Span]], tagger: Tagger
 ) -> list[list[Span]]:
-    """Spans of each text that the tagger adds to its base spans."""
+    """Spans of each text that the tagger adds to its base spans.
+
+    Windows that may hold a datum are decoded, and then the neighbours into which a stretch runs on.
+    """
+    found: list[list[Piece]] = [[] for _ in texts]
+    cuts = [_Cut({}, {}, {}) for _ in texts]
+    seen: set[tuple[int, int]] = set()
     places = [
         (i, start)
         for i, whole in enumerate(texts)
         for start in range(0, max(len(whole) - WIDTH + STRIDE, 1), STRIDE)
         if may_hold(whole[start : start + WIDTH])
     ]
-    found: list[list] = [[] for _ in texts]
-    for begin in range(0, len(places), WINDOWS_AT_ONCE):
-        part = places[begin : begin + WINDOWS_AT_ONCE]
-        ids = np.stack([encoded(texts[i][start : start + WIDTH]) for i, start in part])
-        for (i, offset), path, sure in zip(part, *tagger.decode(ids)):
-            whole = texts[i]
-            stop = min(WIDTH, len(whole) - offset)
-            for start, end, kind, least in _spans_of(path[:stop], sure[:stop]):
-                cut = (start == 0 and offset > 0) or (end == WIDTH and offset + end < len(whole))
-                place = offset + start, offset + end
-                if not cut and least >= CONFIDENCE and _plausible(whole, *place, kind):
-                    found[i].append((*place, kind, least))
-    return [reconcile(some, base) for some, base in zip(found, bases)]
+    while places:
+        seen.update(places)
+        beyond: set[tuple[int, int]] = set()
+        for begin in range(0, len(places), WINDOWS_AT_ONCE):
+            part = places[begin : begin + WINDOWS_AT_ONCE]
+            ids = np.stack([encoded(texts[i][start : start + WIDTH]) for i, start in part])
+            for (i, offset), path, sure in zip(part, *tagger.decode(ids)):
+                stop = min(WIDTH, len(texts[i]) - offset)
+                for start, end, kind, least in _spans_of(path[:stop], sure[:stop]):
+                    if least < CONFIDENCE:
+                        continue
+                    before = start == 0 and offset > 0
+                    after = end == WIDTH and offset + end < len(texts[i])
+                    piece = (offset + start, offset + end, kind, least)
+                    if before and after:
+                        cuts[i].through[offset] = piece
+                    elif before:
+                        cuts[i].at_start[offset] = piece
+                    elif after:
+                        cuts[i].at_end[offset] = piece
+                    else:
+                        found[i].append(piece)
+                    if before:
+                        beyond.add((i, offset - STRIDE))
+                    if after:
+                        beyond.add((i, offset + STRIDE))
+        places = sorted(beyond - seen)
+    return [
+        reconcile([p for p in (*some, *cut.stitched()) if _plausible(whole, *p[:3])], base)
+        for whole, some, cut, base in zip(texts, found, cuts, bases)
+    ]
 
 
 def find(docs: DataFrame, tagger: Tagger | None, text: str = "text") -> DataFrame:
@@ -349,7 +410,7 @@ def find(docs: DataFrame, tagger: Tagger | None, text: str = "text") -> DataFram
 
     # Other texts are not sent to Python: none of their windows may hold anything.
     whole = F.col(text)
-    spelled = whole.contains("at") & (whole.contains(".") | whole.contains("dot"))
+    spelled = whole.rlike(r"(?i)\bat\b") & (whole.contains(".") | whole.rlike("(?i)dot"))
     searched = F.when(whole.rlike(TRIGGER) | spelled, whole)
     return docs.select(F.struct("*").alias("row"), scan(searched).alias("_found")).select(
         "row", "_found.base", "_found.added"

@@ -65,8 +65,18 @@ def _lstm_gradients(x, wx, wh, states, cells, gates, d_states):
     return d_pre @ wx.transpose(0, 2, 1), summed(x), summed(h_before), d_pre.sum(axis=(0, 2))
 
 
+def _marginals(emissions: np.ndarray, p: Parameters) -> np.ndarray:
+    return _sums(emissions, p)[0]
+
+
 def _lattice(emissions: np.ndarray, p: Parameters):
-    """Tag probabilities, transition weights of neighbours and log sums over all tag paths.
+    """Tag probabilities, transition weights of neighbours and log sums over all tag paths."""
+    marginal, forward, ahead, move, total = _sums(emissions, p)
+    return marginal, move * np.einsum("tbi,tbj->ij", forward[:-1], ahead), total
+
+
+def _sums(emissions: np.ndarray, p: Parameters):
+    """Tag probabilities, and what the weights of transitions are made of.
 
     Forward and backward sums are scaled to one at every step, so they need no logarithms.
     """
@@ -86,8 +96,7 @@ def _lattice(emissions: np.ndarray, p: Parameters):
         backward[t] = ((weight[t + 1] * backward[t + 1]) @ turned) / scales[t + 1][:, None]
     total = np.log(scales).sum(axis=0) + tops[..., 0].sum(axis=0)
     ahead = weight[1:] * backward[1:] / scales[1:][..., None]
-    moves = move * np.einsum("tbi,tbj->ij", forward[:-1], ahead)
-    return forward * backward, moves, total
+    return forward * backward, forward, ahead, move, total
 
 
 @dataclass
@@ -170,21 +179,32 @@ class Tagger:
         return float(np.mean(losses[-max(1, steps // 10) :]))
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tag path (batch, time) and the marginal probability of each of its tags."""
+        """Best tag path (batch, time) and the marginal probability of each of its tags.
+
+        Probabilities of a path of zeros alone are not worked out and given as one.
+        """
         p = self.parameters
         emissions, _ = self._emissions(ids)
         steps, batch, n_tags = emissions.shape
         score = emissions[0] + p["start"]
         came_from = np.zeros((steps, batch, n_tags), dtype=np.int8)
+        # A running best over the tags before: few and short steps, each over the whole batch.
         for t in range(1, steps):
-            options = score[:, :, None] + p["move"]
-            came_from[t] = options.argmax(axis=1)
-            score = emissions[t] + options.max(axis=1)
+            best, origin = score[:, :1] + p["move"][0], came_from[t]
+            for tag in range(1, n_tags):
+                option = score[:, tag : tag + 1] + p["move"][tag]
+                origin[option > best] = tag
+                np.maximum(best, option, out=best)
+            score = emissions[t] + best
         path = np.empty((steps, batch), dtype=np.int8)
         path[-1] = score.argmax(axis=1)
         rows = np.arange(batch)
         for t in reversed(range(1, steps)):
             path[t - 1] = came_from[t][rows, path[t]]
-        marginal, _, _ = _lattice(emissions, p)
-        at = marginal[np.arange(steps)[:, None], rows, path]
-        return path.T, at.T
+        # Where no tag but the first is on the path, nobody asks how sure it is.
+        sure = np.ones((steps, batch))
+        held = np.flatnonzero(path.any(axis=0))
+        if len(held):
+            marginal = _marginals(emissions[:, held], p)
+            sure[:, held] = marginal[np.arange(steps)[:, None], np.arange(len(held)), path[:, held]]
+        return path.T, sure.T

@@ -274,3 +274,43 @@ def test_empty_tables(spark, documents):
     plain = spark.createDataFrame([(1, "no data 12")], "doc_id long, text string")
     row = pii.digest_columns(pii.find(plain, pii.train(plain))).first()
     assert row["spans"] == "" and row["n_card"] == 0
+
+
+class RunTagger:
+    """Tags every run of ``=`` and ``@`` as an email, wherever a window begins."""
+
+    def decode(self, ids):
+        wanted = [int(pii.encoded("=")[0]), int(pii.encoded("@")[0])]
+        inside = np.isin(ids, wanted)
+        first = inside & ~np.pad(inside, ((0, 0), (1, 0)))[:, :-1]
+        return np.where(first, 1, np.where(inside, 2, 0)), np.ones(ids.shape)
+
+
+@pytest.mark.parametrize("length", [1, 10, 47, 48, 49, 84, 96, 97, 150, 400])
+@pytest.mark.parametrize("sign", [0, 0.5, 1])
+def test_spans_of_any_length_are_found_at_every_offset(monkeypatch, length, sign):
+    """Also those longer than the overlap or a window, and where only one window has a sign."""
+    monkeypatch.setattr(pii, "may_hold", lambda window: "@" in window)
+    monkeypatch.setattr(pii, "_plausible", lambda *_: True)
+    at = int(sign * (length - 1))
+    span = "=" * at + "@" + "=" * (length - 1 - at)
+    for offset in range(0, 2 * pii.WIDTH):
+        text = "x" * offset + span + "y" * 130 + "@"
+        found = pii.added_spans([text, ""], [[], []], RunTagger())
+        assert found == [[(offset, offset + length, 0), (len(text) - 1, len(text), 0)], []]
+
+
+def test_signs_in_any_case():
+    for window in ("JOHN AT EXAMPLE DOT COM", "john At example.com", "a Dot b at c"):
+        assert pii.may_hold(window)
+        start, end = 0, len(window)
+        assert pii._plausible(window, start, end, 0)
+    assert not pii.may_hold("what dots")
+
+
+def test_every_span_of_a_text_can_be_a_training_window():
+    text = " ".join(f"mail{i}@host{i}.org and some words" for i in range(40))
+    made = pii.labelled_windows(text, 5)
+    assert sum(bool(spans) for _, spans in made) > 30
+    for window, spans in made:
+        assert len(window) <= pii.WIDTH and all(0 <= s < e <= pii.WIDTH for s, e, _ in spans)
