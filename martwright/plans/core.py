@@ -397,16 +397,23 @@ def fact_product_daily_metrics(
         "customer_id", "seller_id"
     )
     per_order = per_order.withColumn("is_first", F.row_number().over(same_order) == 1)
-    # Distinct counts of two columns in one aggregation would write every row three times.
-    buyers = _distinct_per_day(per_order, "customer_id", "distinct_buyers")
-    sellers = _distinct_per_day(per_order, "seller_id", "distinct_sellers")
+    # Distinct counts of two columns in one aggregation would write every row three times, and apart
+    # they would join everything anew. Dealt out by (product, day) once, the first row of each buyer
+    # and of each seller stands for it, and the last aggregation needs no further shuffle.
+    dealt = per_order.repartition("product_id", "order_date")
+    for column, other in (("customer_id", "seller_id"), ("seller_id", "customer_id")):
+        same = Window.partitionBy("product_id", "order_date", column).orderBy("order_id", other)
+        first = F.col(column).isNotNull() & (F.row_number().over(same) == 1)
+        dealt = dealt.withColumn(f"first_{column}", first)
     total_price, total_freight = F.sum("price"), F.sum("freight")
-    measured = per_order.groupBy("product_id", "order_date").agg(
+    measured = dealt.groupBy("product_id", "order_date").agg(
         count_when(F.col("is_first")).alias("units_sold"),
         F.sum("refunded").alias("units_refunded"),
         money(total_price).alias("gross_revenue"),
         money(total_freight).alias("freight_revenue"),
         money(total_price + total_freight).alias("total_revenue"),
+        count_when(F.col("first_customer_id")).alias("distinct_buyers"),
+        count_when(F.col("first_seller_id")).alias("distinct_sellers"),
         money(r2(quotient(F.sum("score"), F.sum("scored")))).alias("avg_review_score"),
         count_when(F.col("is_first") & (F.col("scored") > 0)).alias("review_count"),
         money(F.min("lowest")).alias("price_min"),
@@ -416,11 +423,6 @@ def fact_product_daily_metrics(
             "freight_cost_pct_of_revenue"
         ),
     )
-    for counted in (buyers, sellers):
-        same = F.col("product_id").eqNullSafe(F.col("_product")) & F.col("order_date").eqNullSafe(
-            F.col("_day")
-        )
-        measured = measured.join(counted, same).drop("_product", "_day")
     return measured.select(
         "product_id",
         "order_date",
@@ -441,14 +443,6 @@ def fact_product_daily_metrics(
     )
 
 
-def _distinct_per_day(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Different values of a column per product and day: ``_product``, ``_day`` and the count."""
-    day = [F.col("product_id").alias("_product"), F.col("order_date").alias("_day")]
-    return (
-        rows.select(*day, column).distinct().groupBy("_product", "_day").agg(F.count(column).alias(name))
-    )
-
-
 def last_order_day(orders: DataFrame) -> Column:
     """The largest order date of all orders: the data's own "today".
 

@@ -13,11 +13,13 @@ from conftest import SAMPLE
 # The other keys of the operator inventory.
 OPERATORS = """
 src_raw_tables src_csv_encoded src_doc_catalog sink_table sink_csv sink_vector_upsert src_sql_adhoc
+sink_table_incremental maintain_product_daily maintain_daily_sales
 standardize_to_datetime clean_datetime_string classify_lead_type schema_name_for_env
 dq_not_null dq_unique dq_relationships dq_accepted_values dq_between dq_in_set dq_schema_contract
-dq_csv_shape profile_columns profile_numeric profile_top_values profile_roles profile_dataset
+dq_csv_shape dq_suite profile_sketches profile_columns profile_numeric profile_top_values profile_roles profile_dataset
 insight_summary chart_top10 chart_group_agg chart_pie_top8 chart_time_series trend_pct_change
-chart_histogram chart_box correlation_matrix chart_scatter chart_recommend chart_fallback
+chart_histogram chart_box correlation_matrix chart_scatter chart_time_series_bounded
+chart_scatter_sample chart_recommend chart_fallback
 doc_build doc_truncate doc_id_md5 doc_incremental_dedupe embed_stats vector_topk context_assemble
 classify_sql_request classify_intents extract_fenced_sql text_ascii_clean
 """.split()
