@@ -53,10 +53,16 @@ def _files(spark: SparkSession, path: str) -> Iterable[str]:
     return [row[0] for row in names.distinct().collect()]
 
 
-def sink_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
-    """Header, no index column, UTF-8; one file per partition."""
+def sink_csv(
+    df: DataFrame, path: str, encoding: str = "UTF-8", max_records: int = 100_000
+) -> str:
+    """Header, no index column, UTF-8; files of at most ``max_records`` records.
+
+    A file whose records may run over several lines is read by one task, so the writer bounds it.
+    """
     (
         df.write.mode("overwrite")
+        .option("maxRecordsPerFile", max_records)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')

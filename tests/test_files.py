@@ -112,6 +112,14 @@ def test_doc_catalog(spark, tmp_path):
     assert comments == {"m1": {"c1": "one", "c2": ""}, "m3": {"x": "é"}}
 
 
+def test_sink_csv_bounds_its_files(spark, tmp_path):
+    df = spark.range(25, numPartitions=1).withColumn("text", F.lit('two\nlines, "quoted"'))
+    path = files.sink_csv(df, str(tmp_path / "out"), max_records=10)
+    assert len(list((tmp_path / "out").glob("*.csv"))) == 3
+    back = files.read_csv_encoded(spark, path, "id bigint, text string")
+    assert back.exceptAll(df).count() == 0 and back.count() == 25
+
+
 def test_vector_upsert_keeps_what_is_stored(spark, tmp_path):
     store, schema = str(tmp_path / "store"), "doc_id string, text string, embedding array<float>"
     first = spark.createDataFrame([("a", "old", [1.0]), ("b", "b", [2.0]), ("b", "b2", [3.0])], schema)
