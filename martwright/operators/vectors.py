@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from martwright.operators.durable import durable, scratch_path
+from martwright.sources.commits import CommitLog
 
 # Rows of one block of queries and of one block of the corpus, which bound a task's memory.
 QUERY_ROWS = 256
@@ -172,26 +173,63 @@ class VectorIndex:
     spark: SparkSession
     path: str
     metric: str
-    table: str
     id_type: str
+    cells: int
+    buckets: int
+    table: str
 
     @staticmethod
-    def build(corpus: DataFrame, path: str, metric: str = "l2") -> VectorIndex:
+    def build(
+        corpus: DataFrame, path: str, metric: str = "l2", buckets: int | None = None
+    ) -> VectorIndex:
         """Store ``corpus`` (``id``, ``embedding``) at ``path``, a folder that does not exist yet.
 
-        Every vector is placed once, and moved once, to the bucket of its place.
+        ``buckets`` follow from the size of the corpus; give more if it is going to grow.
         """
         _check(metric)
-        spark, id_type = corpus.sparkSession, corpus.schema["id"].dataType.simpleString()
-        corpus = _usable(corpus)
-        size = corpus.agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("values")).first()
+        spark = corpus.sparkSession
+        usable = _usable(corpus)
+        size = usable.agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("values")).first()
         rows = size["n"]
         if not rows:
             raise ValueError("there is no vector to index")
-        _sample(corpus, rows).select("id", "embedding").write.parquet(f"{path}/known")
-        points = _known_points(spark, path, metric, 1)
-        cells = min(MOST_CELLS, -(-rows // PLACE_ROWS), len(points))
-        shared = spark.sparkContext.broadcast(points[:cells])
+        _sample(usable, rows).select("id", "embedding").write.parquet(f"{path}/known")
+        known = spark.read.parquet(f"{path}/known").count()
+        cells = min(MOST_CELLS, -(-rows // PLACE_ROWS), known)
+        if buckets is None:
+            buckets = max(1, min(-(-rows // PLACE_ROWS), max(8, -(-8 * size["values"] // BUCKET_BYTES))))
+        settings = (metric, corpus.schema["id"].dataType.simpleString(), cells, buckets)
+        schema = "metric string, id_type string, cells int, buckets int"
+        frame = spark.createDataFrame([settings], schema)
+        frame.coalesce(1).write.parquet(f"{path}/settings")
+        index = VectorIndex.open(spark, path)
+        index.add(corpus)
+        return index
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> VectorIndex:
+        """An index stored before; its blocks are registered in this session's catalog."""
+        row = spark.read.parquet(f"{path}/settings").first()
+        name = f"vector_blocks_{uuid.uuid4().hex}"
+        spark.sql(
+            f"create table {name} (place int, ids array<{row['id_type']}>, block binary) using parquet "
+            f"clustered by (place) sorted by (place) into {row['buckets']} buckets "
+            f"location '{path}/blocks'"
+        )
+        return VectorIndex(spark, path, **row.asDict(), table=name)
+
+    def add(self, corpus: DataFrame) -> None:
+        """Put more vectors into the index; those that are stored stay where they are.
+
+        Every new vector is placed once and moved once, to the bucket of its place. The pivots stay,
+        and new vectors get places of their own, whose numbers are reserved first. A search looks at
+        listed places only, and these are listed last: a writer that fails leaves nothing that
+        is seen, and several may add at the same time. Ids are not compared with stored ones.
+        Many small additions leave many small places; building anew brings them together.
+        """
+        corpus, metric, cells = _usable(corpus), self.metric, self.cells
+        pivots = _known_points(self.spark, self.path, metric, 1)[:cells]
+        shared = self.spark.sparkContext.broadcast(pivots)
 
         @F.pandas_udf("cell int, away double")
         def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
@@ -202,56 +240,44 @@ class VectorIndex:
             corpus.withColumn("_p", nearest_pivot("embedding")).select("id", "embedding", "_p.*")
         )
         # One row a cell. A place's rows grow with the corpus once there are MOST_PLACES.
-        each = max(PLACE_ROWS, -(-rows // MOST_PLACES))
         counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        if not counts:
+            return
+        each = max(PLACE_ROWS, -(-sum(counts.values()) // MOST_PLACES))
         slices = [-(-counts.get(c, 0) // each) for c in range(cells)]
-        first = np.r_[0, np.cumsum(slices)].tolist()
+        first = (self._reserved(sum(slices)) + np.r_[0, np.cumsum(slices)]).tolist()
         at = F.col("cell") + 1
         own = F.element_at(F.array(*map(F.lit, slices)), at)
         start = F.element_at(F.array(*map(F.lit, first[:-1])), at)
         placed = placed.withColumn(
             "place", (start + F.pmod(F.xxhash64("id"), F.greatest(own, F.lit(1)))).cast("int")
         )
-        facts = placed.groupBy("place").agg(
-            F.first("cell").alias("cell"), F.max("away").alias("reach"), F.count("*").alias("n")
-        )
-        facts.coalesce(1).write.parquet(f"{path}/places")
-        values = 8 * (size["values"] or 0)
-        buckets = max(1, min(first[-1], max(8, -(-values // BUCKET_BYTES))))
         packed = (
             placed.select("place", "id", "embedding")
-            .repartition(buckets, "place")
+            .repartition(self.buckets, "place")
             .sortWithinPartitions("place")
             .mapInPandas(
                 lambda frames: _packed(frames, BLOCK_ROWS),
-                f"place int, ids array<{id_type}>, block binary",
+                f"place int, ids array<{self.id_type}>, block binary",
             )
         )
-        settings = "metric string, buckets int, id_type string"
-        spark.createDataFrame([(metric, buckets, id_type)], settings).coalesce(1).write.parquet(
-            f"{path}/settings"
-        )
-        name = _table_name()
-        (
-            packed.write.format("parquet")
-            .bucketBy(buckets, "place")
-            .sortBy("place")
-            .option("path", f"{path}/blocks")
-            .saveAsTable(name)
+        packed.write.insertInto(self.table)
+        facts = placed.groupBy("place").agg(
+            F.first("cell").alias("cell"), F.max("away").alias("reach"), F.count("*").alias("n")
         )
-        return VectorIndex(spark, path, metric, name, id_type)
+        facts.coalesce(1).write.mode("append").parquet(f"{self.path}/places")
 
-    @staticmethod
-    def open(spark: SparkSession, path: str) -> VectorIndex:
-        """An index stored before; its blocks are registered in this session's catalog."""
-        row = spark.read.parquet(f"{path}/settings").first()
-        name = _table_name()
-        spark.sql(
-            f"create table {name} (place int, ids array<{row['id_type']}>, block binary) using parquet "
-            f"clustered by (place) sorted by (place) into {row['buckets']} buckets "
-            f"location '{path}/blocks'"
-        )
-        return VectorIndex(spark, path, row["metric"], name, row["id_type"])
+    def _reserved(self, places: int) -> int:
+        """The first of so many numbers that no other writer gets."""
+        start = 0
+
+        def take(state: dict) -> dict:
+            nonlocal start
+            start = state.get("next", 0)
+            return {"next": start + places}
+
+        CommitLog(self.spark, f"{self.path}/_log").update(take)
+        return start
 
     def dealt(self, queries: DataFrame, k: int) -> DataFrame:
         """Blocks of queries (``place``, ``ids``, ``block``) for every place they can reach."""
@@ -296,6 +322,8 @@ class VectorIndex:
         left = self.dealt(_usable(queries), k).select(
             "place", F.col("ids").alias("asked_ids"), F.col("block").alias("asked")
         )
+        # Files that others have added since: all blocks of the places just read are among them.
+        self.spark.catalog.refreshTable(self.table)
 
         def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -317,10 +345,6 @@ class VectorIndex:
         return _best(found, k)
 
 
-def _table_name() -> str:
-    return f"vector_blocks_{uuid.uuid4().hex}"
-
-
 def _check(metric: str) -> None:
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")

@@ -770,6 +770,15 @@ def vector_topk(inputs: Inputs) -> DataFrame:
     return vectors.vector_topk(vecs, vecs, k=3)
 
 
+@query
+def vector_topk_indexed(inputs: Inputs) -> DataFrame:
+    """The same search in a stored index, to which the vectors of odd ids were added later."""
+    vecs = _vectors(inputs).select("id", "embedding")
+    path = scratch_path(inputs.spark, "vector-index")
+    vectors.VectorIndex.build(vecs.where("id % 2 = 0"), path).add(vecs.where("id % 2 <> 0"))
+    return vectors.VectorIndex.open(inputs.spark, path).search(vecs, k=3)
+
+
 @query
 def context_assemble(inputs: Inputs) -> DataFrame:
     """The documents with the ids of the nearest vectors, whole, put together per query."""

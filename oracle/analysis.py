@@ -475,6 +475,7 @@ select query_id, rank, doc_id from (
 where rank <= 3
 """
 SQL["vector_topk"] = "select * from nearest"
+SQL["vector_topk_indexed"] = SQL["vector_topk"]
 SQL["context_assemble"] = """
 select query_id,
   string_agg('Model: ' || source || chr(10) || text, chr(10) || chr(10) order by rank) as context

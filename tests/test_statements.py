@@ -20,7 +20,8 @@ dq_csv_shape dq_suite profile_sketches profile_columns profile_numeric profile_t
 insight_summary chart_top10 chart_group_agg chart_pie_top8 chart_time_series trend_pct_change
 chart_histogram chart_box correlation_matrix chart_scatter chart_time_series_bounded
 chart_scatter_sample chart_recommend chart_fallback
-doc_build doc_truncate doc_id_md5 doc_incremental_dedupe embed_stats vector_topk context_assemble
+doc_build doc_truncate doc_id_md5 doc_incremental_dedupe embed_stats vector_topk vector_topk_indexed
+context_assemble
 classify_sql_request classify_intents extract_fenced_sql text_ascii_clean
 """.split()
 

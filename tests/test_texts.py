@@ -225,6 +225,32 @@ def test_a_search_leaves_the_stored_corpus_in_place(spark, clustered, monkeypatc
         vectors.VectorIndex.build(frame.limit(0), path + "2")
 
 
+def test_vectors_are_added_to_a_stored_index(spark, clustered, monkeypatch):
+    matrix, path = clustered
+    frame = vector_frame(spark, matrix)
+    index = vectors.VectorIndex.build(frame.where("id % 3 = 0"), path, buckets=5)
+    index.add(frame.where("id % 3 = 1"))
+    index.add(frame.limit(0))
+    asked = frame.where("id % 7 = 0")
+
+    def wanted(ids):
+        # Far off, the vectors that are not stored yet are found by no query.
+        known = np.where(np.isin(np.arange(len(matrix)), ids)[:, None], matrix, 1e6)
+        answers = brute_force(known, matrix, 3, "l2")
+        return {r.id: answers[r.id] for r in asked.collect()}
+
+    two_thirds = [i for i in range(len(matrix)) if i % 3 < 2]
+    assert _answers(index.search(asked, 3)) == wanted(two_thirds)
+    # A writer that fails before its places are listed leaves nothing that is seen.
+    with monkeypatch.context() as patch:
+        patch.setattr(vectors.F, "max", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.add(frame.where("id % 3 = 2"))
+    assert _answers(index.search(asked, 3)) == wanted(two_thirds)
+    vectors.VectorIndex.open(spark, path).add(frame.where("id % 3 = 2"))
+    assert _answers(index.search(asked, 3)) == wanted(range(len(matrix)))
+
+
 def test_context(spark):
     hits = spark.createDataFrame([(1, 2, 10), (1, 1, 11), (2, 1, 10)], "query_id long, rank int, doc_id long")
     docs = spark.createDataFrame([(10, "m10", "ten"), (11, "m11", "eleven")], "doc_id long, model_name string, text string")
