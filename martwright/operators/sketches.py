@@ -13,12 +13,14 @@ column has no more than about three quarters of ``TRACKED`` values, and beyond t
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martwright.operators.profiling import _kind, _present
 from martwright.sources.commits import CommitLog
@@ -167,23 +169,27 @@ class SketchStore:
             written.update(new)
             if not new and kept.keys() == stored.keys():
                 return None
-            folder = f"sketches/{uuid.uuid4().hex}"
+            folder, schema = f"sketches/{uuid.uuid4().hex}", state.get("schema")
             if new:
                 rows = [parts[p].withColumn(_PART, F.lit(p)) for p in new]
                 found = sketch(reduce(DataFrame.unionByName, rows), _PART)
                 found.write.parquet(f"{self.path}/{folder}")
-            return {"parts": {**kept, **{p: folder for p in new}}}
+                schema = found.schema.json()  # the same for every table
+            return {"schema": schema, "parts": {**kept, **{p: folder for p in new}}}
 
         self._log.update(change)
         return written
 
     def sketches(self) -> DataFrame:
         """Sketches of all stored parts; a part without rows has none."""
-        parts = self._log.read()[1].get("parts", {})
+        state = self._log.read()[1]
+        parts = state.get("parts", {})
         if not parts:
             raise ValueError(f"{self.path} holds no sketches")
+        schema = T.StructType.fromJson(json.loads(state["schema"]))
         folders = sorted({f"{self.path}/{f}" for f in parts.values()})
-        return self.spark.read.parquet(*folders).where(F.col("part").isin(sorted(parts)))
+        stored = self.spark.read.schema(schema).parquet(*folders)
+        return stored.where(F.col("part").isin(sorted(parts)))
 
     def profile(self, top: int = 10) -> DataFrame:
         return profile(merge(self.sketches()), top)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from martwright.operators.documents import incremental_dedupe
 from martwright.sources.commits import CommitLog
@@ -93,13 +95,22 @@ def read_store(spark: SparkSession, store: str, version: int | None = None) -> D
 def _read_parts(spark: SparkSession, store: str, state: dict) -> DataFrame | None:
     if not state.get("parts"):
         return None
-    return spark.read.parquet(*[f"{store}/{part}" for part in state["parts"]])
+    schema = T.StructType.fromJson(json.loads(state["schema"]))
+    return spark.read.schema(schema).parquet(*[f"{store}/{part}" for part in state["parts"]])
+
+
+def _with_columns_of(state: dict, docs: DataFrame) -> str:
+    """The store's columns, followed by those that the documents bring along."""
+    fields = T.StructType.fromJson(json.loads(state["schema"])).fields if state else []
+    known = {f.name for f in fields}
+    return T.StructType(fields + [f for f in docs.schema if f.name not in known]).json()
 
 
 def vector_upsert(docs: DataFrame, store: str, key: str = "doc_id") -> DataFrame:
     """Add the documents whose id the store lacks, and return the store.
 
-    The store is a folder of parquet parts and a log of versions. The new documents become visible by
+    The store is a folder of parquet parts and a log of versions; :func:`read_store` reads a version,
+    where a plain read of the folder also sees parts that no version names. The new documents become visible by
     one commit. If another writer commits first, they are compared with the store again, so no
     writer, failed or overtaken, leaves half a batch or an id twice.
     """
@@ -108,12 +119,12 @@ def vector_upsert(docs: DataFrame, store: str, key: str = "doc_id") -> DataFrame
     def add(state: dict) -> dict | None:
         stored = _read_parts(spark, store, state)
         known = docs.select(key).limit(0) if stored is None else stored.select(key)
-        part = f"parts/{uuid.uuid4().hex}"
+        part = f"part={uuid.uuid4().hex}"
         incremental_dedupe(docs, known, key).write.parquet(f"{store}/{part}")
-        # The first part is kept even if it is empty: it holds the columns.
-        if stored is not None and spark.read.parquet(f"{store}/{part}").isEmpty():
+        written = spark.read.schema(docs.schema).parquet(f"{store}/{part}")
+        if stored is not None and written.isEmpty():
             return None
-        return {"parts": [*state.get("parts", []), part]}
+        return {"schema": _with_columns_of(state, docs), "parts": [*state.get("parts", []), part]}
 
     version = _log(spark, store).update(add)
     return read_store(spark, store, version)
@@ -130,13 +141,13 @@ def compact(spark: SparkSession, store: str, files: int | None = None) -> DataFr
     whole = _read_parts(spark, store, state)
     if len(old) < 2:
         return whole
-    part = f"parts/{uuid.uuid4().hex}"
+    part = f"part={uuid.uuid4().hex}"
     (whole.repartition(files) if files else whole).write.parquet(f"{store}/{part}")
 
     def swap(state: dict) -> dict | None:
         now = state["parts"]
         if now[: len(old)] != old:  # compacted by another writer
             return None
-        return {"parts": [part, *now[len(old) :]]}
+        return {**state, "parts": [part, *now[len(old) :]]}
 
     return read_store(spark, store, log.update(swap))

@@ -111,6 +111,14 @@ def test_versions_stay_readable_and_parts_are_compacted(spark, tmp_path):
     assert _texts(docs.vector_upsert(_documents(spark, [9], "late"), store))[9] == "late"
 
 
+def test_documents_with_another_column(spark, tmp_path):
+    store = str(tmp_path / "store")
+    docs.vector_upsert(_documents(spark, [1], "a"), store)
+    wider = _documents(spark, [1, 2], "b").withColumn("lang", F.lit("en"))
+    found = docs.vector_upsert(wider, store)
+    assert sorted(map(tuple, found.collect())) == [(1, "a", None), (2, "b", "en")]
+
+
 def test_an_empty_first_batch_keeps_its_columns(spark, tmp_path):
     store = str(tmp_path / "store")
     assert docs.vector_upsert(_documents(spark, [], ""), store).columns == ["doc_id", "text"]

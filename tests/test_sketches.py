@@ -105,6 +105,7 @@ def test_parts_without_rows_or_values(spark, tmp_path):
     with pytest.raises(ValueError, match="no sketches"):
         store.profile()
     df = spark.range(3).select("id", F.lit(None).cast("double").alias("x"))
+    assert store.update({"none": df.limit(0)}) == {"none"} and store.profile().count() == 0
     store.update({"a": df, "b": df.limit(0)})
     row = {r.column_name: r for r in store.profile().collect()}["x"]
     assert (row.row_count, row.null_count, row.median_estimate, row.mean) == (3, 3, None, None)
