@@ -292,28 +292,27 @@ select position::bigint as position, column_name, dtype, kind, row_count, unique
   round(100.0 * null_count / row_count, 4)::double as null_percentage, sample_values
 from orders_profile
 """
-_PROFILED_NUMBERS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
+_LINE_NUMBERS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
 SQL["profile_numeric"] = _union(
     [
         f"select '{c}' as column_name, {_d(f'avg({c})', 4)} as mean, "
         f"{_d(f'quantile_cont(cast({c} as double), 0.5)', 4)} as median, "
         f"{_d(f'stddev_samp({c})', 4)} as std, cast(min({c}) as double) as min_val, "
         f"cast(max({c}) as double) as max_val from lineitem"
-        for c in _PROFILED_NUMBERS
+        for c in _LINE_NUMBERS
     ]
 )
-_PROFILED_NUMBERS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax"
 SQL["profile_sketches"] = _union(
     [
         f"select '{c}' as column_name, count(*) as row_count, count(*) - count({c}) as null_count, "
         + (
             f"{_d(f'avg({c})', 4)} as mean, {_d(f'stddev_samp({c})', 4)} as std, "
             f"cast(min({c}) as double) as min_val, cast(max({c}) as double) as max_val, "
-            if c in _PROFILED_NUMBERS.split()
+            if c in _LINE_NUMBERS
             else "null as mean, null as std, null as min_val, null as max_val, "
         )
         + "true as distinct_ok, true as median_ok, 1 as new_parts from lineitem"
-        for c in f"{_PROFILED_NUMBERS} l_returnflag l_linestatus l_shipdate".split()
+        for c in [*_LINE_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
     ]
 )
 SQL["profile_top_values"] = _union(
