@@ -3,8 +3,9 @@
 Method: every line is reduced to the md5 of its key. The (hash, document, position) rows are
 range-partitioned on (hash, document) and sorted by (hash, document, position). The document is
 part of the range key, so a line that a third of all documents share is spread over many
-partitions. Each sorted run of a (hash, document) yields its first occurrence and further
-positions without another shuffle; counting first occurrences gives the documents of a hash.
+partitions (slices). First occurrences are streamed from the sorted runs without another shuffle:
+a row is one if no row of the same hash and document stands before it. Counting them gives the
+documents of a hash, and the counts go back to the slices in which the hash lies.
 Only DataFrame functions are used.
 
 Defined results: a null or empty text is one empty line; rows with the same ``doc_id`` are one
@@ -17,7 +18,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martwright.llm.common import stored
@@ -67,25 +68,30 @@ def keep_bitmaps(
     hashes = lines.select(
         "_doc", "_version", "_position", line_key(F.col("_line")).alias("_key")
     ).where(F.length("_key") >= min_chars)
-    ranged = (
-        hashes.select(F.unhex(F.md5("_key")).alias("_hash"), "_doc", "_version", "_position")
-        .repartitionByRange("_hash", "_doc")
-        .sortWithinPartitions("_hash", "_doc", "_version", "_position")
+    hashes = hashes.select(F.unhex(F.md5("_key")).alias("_hash"), "_doc", "_version", "_position")
+    # Stored, as range bounds are taken from a sample before the rows are dealt: texts are split once.
+    hashes = stored(hashes, "line-hashes")
+    order = ["_version", "_position"]
+    before = F.lag("_position").over(Window.partitionBy("_hash", "_doc").orderBy(*order))
+    runs = (
+        hashes.repartitionByRange("_hash", "_doc")
+        .sortWithinPartitions("_hash", "_doc", *order)
+        .select("*", before.isNull().alias("_first"), F.spark_partition_id().alias("_slice"))
     )
-    # One row for each first occurrence, with all positions of the hash in that document.
-    first = ranged.groupBy("_hash", "_doc").agg(
-        F.collect_list(F.struct("_version", "_position")).alias("_places")
+    runs = stored(runs, "line-runs")
+    # A hash lies in neighbouring slices. Places meet its count slice by slice, so that a line that
+    # many documents share is no hot key of the join.
+    slices = F.sequence(F.min("_slice"), F.max("_slice"))
+    frequent = (
+        runs.groupBy("_hash")
+        .agg(F.count_if("_first").alias("_docs"), slices.alias("_slices"))
+        .where(F.col("_docs") >= min_docs)
+        .select("_hash", F.explode("_slices").alias("_slice"))
     )
-    # Stored, as it is counted first and then joined with the counts: the texts are split once.
-    first = stored(first, "line-hashes")
-    frequent = first.groupBy("_hash").agg(F.count("*").alias("_docs"))
-    frequent = frequent.where(F.col("_docs") >= min_docs).select("_hash")
-    places = first.join(frequent, "_hash").select("_doc", F.explode("_places").alias("_place"))
-    position = F.col("_place._position")
+    places = runs.join(frequent, ["_hash", "_slice"])
+    position = F.col("_position")
     words = places.groupBy(
-        "_doc",
-        F.col("_place._version").alias("_version"),
-        F.floor(position / WORD).cast("int").alias("word"),
+        "_doc", "_version", F.floor(position / WORD).cast("int").alias("word")
     ).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), position % WORD)).alias("lost"))
     listed = words.groupBy("_doc", "_version").agg(
         F.sum(F.bit_count("lost")).alias("n_dropped"),

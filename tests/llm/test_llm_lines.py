@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -53,6 +54,18 @@ def test_a_line_of_all_documents(spark, rows):
     assert rows(applied(spark, texts)) == brute_force(texts)
 
 
+def test_a_line_over_many_slices(spark, rows):
+    texts = [(i % 390, f"shared\nown {i % 70}\nshared") for i in range(400)]
+    texts += [(1000, "\n".join(["shared", "rare"] * 5000)), (1001, "rare"), (None, "shared")]
+    option = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "false")
+    try:
+        assert rows(applied(spark, texts)) == brute_force(texts)
+    finally:
+        spark.conf.set(option, before)
+
+
 def test_empty_table_and_nothing_repeated(spark, rows):
     assert rows(applied(spark, [])) == []
     assert rows(applied(spark, [(1, "a\nb")])) == brute_force([(1, "a\nb")])
@@ -77,6 +90,8 @@ def test_no_python_in_the_plan(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert "rangepartitioning(_hash" in plan
+    # The sorted runs are read as they lie.
+    assert not re.search(r"hashpartitioning\(_hash#\d+, _doc", plan)
 
 
 def test_keys_lower_a_to_z_only(spark):
