@@ -2,19 +2,21 @@
 
 Text is lower-cased and every run of characters that are not letters becomes one blank; character
 2-grams and 3-grams are hashed into ``BUCKETS`` buckets. Training counts the buckets of a bounded
-sample: in each language the ``per_language`` documents with the smallest hashes. Counts are summed
-by Spark; the log-probability matrix (buckets x languages, 64 KB a language) is broadcast. Scoring
-adds matrix rows for all n-grams of a whole text, in blocks of bounded size.
+sample: in each of the ``most_languages`` most frequent languages the ``per_language`` documents
+with the smallest hashes. Counts are summed by Spark; the log-probability matrix (buckets x
+languages, 128 KB a language) is broadcast. Scoring takes texts in batches of at most ``BLOCK``
+code points: their n-gram counts form a sparse matrix (texts x buckets that occur), which is
+multiplied with the log-probabilities at once. Longer texts are rows of several batches that add up.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or if there was
-nothing to learn from; a tie goes to the first language in sorted order. Rows are judged one by
-one, so repeated rows get equal results. Other columns are ignored.
+nothing to learn from; a tie goes to the first language in sorted order. Repeated rows get equal
+languages; their scores can differ in the last digits. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,7 @@ from martwright.llm.common import per_worker
 
 BUCKETS = 1 << 14
 PER_LANGUAGE = 1000
+MOST_LANGUAGES = 256
 BLOCK = 1 << 19
 BLANK = 32
 
@@ -46,25 +49,70 @@ def normalized(text: str) -> np.ndarray:
     return padded[~(blank & np.r_[False, blank[:-1]])]
 
 
-def buckets(points: np.ndarray) -> np.ndarray:
-    """Hashed 2-grams and 3-grams of normalized code points; blocks must overlap by two points."""
+def buckets(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed 2-grams and 3-grams of normalized code points, in the order of their first points."""
     a = points.astype(np.uint32)
     two = a[:-1] * np.uint32(0x9E3779B1) + a[1:] * np.uint32(0x85EBCA6B)
     three = two[:-1] * np.uint32(0xC2B2AE35) + a[2:] * np.uint32(0x27D4EB2F) + np.uint32(0x165667B1)
-    grams = np.concatenate([two, three])
+    return _bucket(two), _bucket(three)
+
+
+def _bucket(grams: np.ndarray) -> np.ndarray:
     grams ^= grams >> np.uint32(15)
     grams *= np.uint32(0x2C1B3C6D)
     return (grams >> np.uint32(32 - 14)).astype(np.intp)
 
 
-def _blocks(points: np.ndarray) -> Iterable[np.ndarray]:
-    """Buckets of a text, in blocks; every n-gram lies in exactly one of them."""
-    for start in range(0, max(len(points) - 1, 1), BLOCK):
-        piece = points[start : start + BLOCK + 2]
-        found = buckets(piece)
-        if len(piece) == BLOCK + 2:  # the last 2-gram belongs to the next block
-            found = np.delete(found, BLOCK)
-        yield found
+@dataclass
+class Counts:
+    """Rows of a sparse matrix: how often a bucket occurs in a text, by text and bucket."""
+
+    row: np.ndarray
+    bucket: np.ndarray
+    n: np.ndarray
+
+
+def _batches(texts: Iterable[str | None]) -> Iterable[tuple[list[int], list[np.ndarray]]]:
+    """Numbers of texts and their code points, cut at BLOCK; neighbours share two points."""
+    numbers: list[int] = []
+    pieces: list[np.ndarray] = []
+    size = 0
+    for number, text in enumerate(texts):
+        points = normalized(text or "")
+        for start in range(0, len(points) - 1, BLOCK):
+            piece = points[start : start + BLOCK + 2]
+            if size and size + len(piece) > BLOCK:
+                yield numbers, pieces
+                numbers, pieces, size = [], [], 0
+            numbers.append(number)
+            pieces.append(piece)
+            size += len(piece)
+    if size:
+        yield numbers, pieces
+
+
+def gram_counts(texts: Iterable[str | None]) -> Iterable[Counts]:
+    """The n-grams of all texts, counted by text number and bucket, in batches of bounded size."""
+    for numbers, pieces in _batches(texts):
+        lengths = np.array([len(piece) for piece in pieces])
+        two, three = buckets(np.concatenate(pieces))
+        owner = np.repeat(numbers, lengths)
+        # No n-gram goes on into the next piece; the last 2-gram of a cut piece is that of its next.
+        within = np.ones(len(owner) + 1, dtype=bool)
+        last = np.cumsum(lengths) - 1
+        within[last] = False
+        in_three = within.copy()
+        in_three[last - 1] = False
+        within[last[lengths == BLOCK + 2] - 1] = False
+        in_two, in_three = within[: len(two)], in_three[: len(three)]
+        keys = np.concatenate(
+            [
+                owner[: len(two)][in_two] * BUCKETS + two[in_two],
+                owner[: len(three)][in_three] * BUCKETS + three[in_three],
+            ]
+        )
+        found, n = np.unique(keys, return_counts=True)
+        yield Counts(found // BUCKETS, found % BUCKETS, n)
 
 
 @dataclass
@@ -72,21 +120,23 @@ class Model:
     languages: list[str]
     log_probability: np.ndarray  # buckets x languages
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        points = normalized(text or "")
-        if not self.languages or len(points) < 2:
-            return "und", 0.0
-        total = np.zeros(len(self.languages))
-        for found in _blocks(points):
-            total += self._sum(found)
-        best = int(np.argmax(total))
+    def predict(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
+        """Languages and scores of a batch of texts."""
+        totals = np.zeros((len(texts), len(self.languages)))
+        known = np.zeros(len(texts), dtype=bool)
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        for counts in gram_counts(texts):
+            rows, starts = np.unique(counts.row, return_index=True)
+            known[rows] = True
+            for i in range(len(self.languages)):
+                weighted = self.log_probability[counts.bucket, i] * counts.n
+                totals[rows, i] += np.add.reduceat(weighted, starts)
+        best = totals.argmax(axis=1)
         # 2-grams and 3-grams state the same text twice.
-        return self.languages[best], float(1.0 / np.exp((total - total[best]) / 2).sum())
-
-    def _sum(self, found: np.ndarray) -> np.ndarray:
-        if len(found) < BUCKETS // 4:
-            return self.log_probability[found].sum(axis=0)
-        return np.bincount(found, minlength=BUCKETS) @ self.log_probability
+        away = (totals - totals[np.arange(len(totals)), best][:, None]) / 2
+        score = np.where(known, 1.0 / np.exp(away).sum(axis=1), 0.0)
+        return [self.languages[b] if k else "und" for b, k in zip(best, known)], score
 
 
 def train(
@@ -96,8 +146,12 @@ def train(
     text: str = "text",
     lang: str = "lang",
     per_language: int = PER_LANGUAGE,
+    most_languages: int = MOST_LANGUAGES,
 ) -> Model:
-    """Learn from the rows where ``allowed`` holds and text and language are not null."""
+    """Learn from the rows where ``allowed`` holds and text and language are not null.
+
+    A column with more values than ``most_languages`` teaches the most frequent ones.
+    """
     usable = F.col(lang).isNotNull() & F.col(text).isNotNull()
     rows = docs.where(usable if allowed is None else usable & F.coalesce(allowed, F.lit(False)))
     rows = rows.select(
@@ -107,12 +161,13 @@ def train(
     )
     # Of a frequent language, only hashes that can be among the smallest are ranked: twice as many
     # as wanted are expected to pass.
-    sizes = rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()
+    counted = rows.groupBy("_lang").agg(F.count("*").alias("n"))
+    sizes = counted.orderBy(F.desc("n"), "_lang").limit(most_languages).collect()
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)))
     shares = {r["_lang"]: min(1.0, 2 * per_language / r["n"]) for r in sizes}
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("_lang")]
-    near = F.col("_hash") / 2.0**64 + 0.5 <= share
+    near = F.col("_hash") / 2.0**64 + 0.5 <= share  # null for the other languages
     order = Window.partitionBy("_lang").orderBy("_hash")
     cuts = (
         rows.select("_lang", "_hash")
@@ -129,10 +184,10 @@ def train(
     def count(frames):
         totals: dict[str, np.ndarray] = {}
         for frame in frames:
-            for language, whole in zip(frame["_lang"], frame["_text"]):
+            for language, texts in frame.groupby("_lang")["_text"]:
                 counts = totals.setdefault(language, np.zeros(BUCKETS, dtype=np.int64))
-                for found in _blocks(normalized(whole)):
-                    counts += np.bincount(found, minlength=BUCKETS)
+                for found in gram_counts(texts):
+                    np.add.at(counts, found.bucket, found.n)
         for language, counts in totals.items():
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": language, "bucket": at, "n": counts[at]})
@@ -156,9 +211,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        broadcast = Model(*shared.value)
-        judged = [broadcast.predict(whole) for whole in texts]
-        return pd.DataFrame(judged, columns=["lang_pred", "score"])
+        languages, scores = Model(*shared.value).predict(texts.tolist())
+        return pd.DataFrame({"lang_pred": languages, "score": scores})
 
     return docs.select(F.struct("*").alias("row"), judge(F.col(text)).alias("_judged")).select(
         "row", "_judged.lang_pred", "_judged.score"

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -22,22 +24,45 @@ def grams(text):
         for i in range(len(words) - n + 1):
             piece = np.array([ord(c) for c in words[i : i + n]], dtype=np.uint32)
             found = langid.buckets(piece)
-            counts[found[-1] if n == 3 else found[0]] += 1
+            counts[found[n - 2][0]] += 1
     return counts
 
 
 def test_buckets_equal_the_slow_way(monkeypatch):
-    text = "Ab, c!! dé  ÇA 123 zz\nß"
-    expected = grams(text)
-    for block in (2, 3, 5, 1 << 19):
+    texts = ["Ab, c!! dé  ÇA 123 zz\nß", None, "", "x", "12 %", "aa aa aa", "İ i"]
+    expected = np.array([grams(text or "") for text in texts])
+    for block in (2, 3, 5, 13, 1 << 19):
         monkeypatch.setattr(langid, "BLOCK", block)
-        got = sum(
-            np.bincount(f, minlength=langid.BUCKETS)
-            for f in langid._blocks(langid.normalized(text))
-        )
+        got = np.zeros_like(expected)
+        for counts in langid.gram_counts(texts):
+            np.add.at(got, (counts.row, counts.bucket), counts.n)
         assert (got == expected).all()
 
 
+def test_query_equals_brute_force(spark):
+    from martwright.llm.queries import op7_langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r for r in docs.select("doc_id", "text", "lang").collect()}
+    learned = {}
+    for doc_id, row in texts.items():
+        if zlib.crc32(str(doc_id).encode()) % 4 != 2 and None not in (row["text"], row["lang"]):
+            learned[row["lang"]] = learned.get(row["lang"], 0) + grams(row["text"]) + 0.0
+    names = sorted(learned)
+    log = np.log([(learned[x] + 0.5) / (learned[x].sum() + 0.5 * langid.BUCKETS) for x in names])
+    judged = op7_langid(spark, "/root/testdata/sf0.001").collect()
+    assert len(judged) == docs.count()
+    for row in judged:
+        text = texts[row["doc_id"]]["text"] or ""
+        assert row["held_out"] == (zlib.crc32(str(row["doc_id"]).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in text):
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        total = log @ grams(text)
+        assert row["lang_pred"] == names[int(total.argmax())]
+        assert np.isclose(row["score"], 1 / np.exp((total - total.max()) / 2).sum())
+
+
 def test_learns_and_predicts(spark):
     rows = [(i, EN if i % 2 else DE, "en" if i % 2 else "de") for i in range(40)]
     odd = [(100, None, "en"), (101, "", None), (102, "12 %% ..", "de"), (103, EN * 9000, None)]
@@ -72,6 +97,7 @@ def test_sample_is_bounded_by_language(spark):
     docs = documents(spark, rows).withColumn("text", F.concat_ws(" ", "text", "doc_id"))
     few = langid.train(docs, per_language=20)
     assert few.languages == ["de", "en"]
+    assert langid.train(docs, most_languages=1).languages == ["en"]
 
 
 def test_held_out_accuracy(spark):
