@@ -300,7 +300,9 @@ def scan(
     labels: Column | None = None,
 ) -> DataFrame:
     """All findings with ``score`` and ``is_secret``; ``labels`` labels findings for training."""
-    found = stored(with_features(findings(docs, doc_id, text, path), docs, text), "secrets-found")
+    # Stored first, as two features read the findings once more.
+    found = stored(findings(docs, doc_id, text, path), "secrets-candidates")
+    found = stored(with_features(found, docs, text), "secrets-found")
     labels = provider_labels() if labels is None else labels
     forest = grow(found.withColumn("is_secret", labels))
     return found.withColumn("score", score(forest)).withColumn(
