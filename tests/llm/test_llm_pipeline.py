@@ -57,7 +57,8 @@ def test_each_stage_against_brute_force(spark, corpus):
     model = langid.train(docs)
 
     def known(rows):
-        return [r for r in rows if model.predict(r[1])[0] != "und" and model.predict(r[1])[1] >= 0.5]
+        languages, scores = model.predict([r[1] for r in rows])
+        return [r for r, x, p in zip(rows, languages, scores) if x != "und" and p >= 0.5]
 
     def without_lines(rows):
         docs_of = {}
