@@ -9,7 +9,8 @@ A corpus that fits one task is handed to the tasks of the queries. A larger one
 
 The k nearest of the sample bound how far a query has to look, and by the triangle inequality it is
 sent to those places only that reach so near. Queries are dealt out by place and meet the
-bucketed blocks where these lie: a search shuffles queries and hits, never the corpus.
+bucketed blocks where these lie: a search shuffles queries and hits, never the corpus. A block of queries
+meets all blocks of a place in turn and keeps its k nearest, so only these leave the place.
 """
 
 from __future__ import annotations
@@ -26,9 +27,16 @@ from pyspark.sql import functions as F
 from martwright.operators.durable import durable, scratch_path
 from martwright.sources.commits import CommitLog
 
-# Rows of one block of queries and of one block of the corpus, which bound a task's memory.
-QUERY_ROWS = 256
-BLOCK_ROWS = 1024
+# Rows of one block of queries and of one block of the corpus, which bound a task's memory. A pair of
+# blocks is worked out in tiles that stay in a core's cache.
+QUERY_ROWS = 2048
+BLOCK_ROWS = 4096
+TILE_QUERIES = 256
+TILE_ROWS = 1024
+# Pairs whose exact distances are worked out at once.
+EXACT_PAIRS = 1 << 15
+# Pairs of vectors that one task compares, where the number of tasks is free.
+TASK_PAIRS = 1 << 27
 # Cells the corpus is cut into, rows of a place, and rows of the sample.
 MOST_CELLS = 1024
 PLACE_ROWS = 1 << 14
@@ -38,76 +46,113 @@ SAMPLE_ROWS = 2048
 SHARED_BYTES = 32 << 20
 # Queries of a place that are gathered in one task.
 GATHERED_QUERIES = 1 << 16
+# A bucket is one task of a search. Many queries keep it busy for long, so a place of its own is enough
+# for one until there are LEAST_BUCKETS.
 BUCKET_BYTES = 128 << 20
+LEAST_BUCKETS = 96
 
 
-def _exact(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
-    """Distances worked out row by row, so that they do not depend on the block."""
+def _exact(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    """Distances worked out pair by pair, so that they do not depend on the block."""
     if metric == "l2":
-        gaps = rows - query
+        gaps = rows - queries
         return np.einsum("ij,ij->i", gaps, gaps)
-    scale = np.sqrt(np.einsum("ij,ij->i", rows, rows)) * np.sqrt(np.dot(query, query))
-    return 1.0 - np.einsum("ij,j->i", rows, query) / np.where(scale == 0, 1.0, scale)
+    scale = np.sqrt(np.einsum("ij,ij->i", rows, rows)) * np.sqrt(np.einsum("ij,ij->i", queries, queries))
+    return 1.0 - np.einsum("ij,ij->i", rows, queries) / np.where(scale == 0, 1.0, scale)
 
 
-def _rough(queries: np.ndarray, rows: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """All distances by one matrix product, and by how much each query's may be off."""
-    products = queries @ rows.T
-    q_norms, r_norms = (np.einsum("ij,ij->i", m, m) for m in (queries, rows))
-    if metric == "l2":
-        products *= -2.0
-        products += q_norms[:, None]
-        products += r_norms[None, :]
-        return products, 1e-9 * (q_norms + r_norms.max())
-    for norms, side in ((q_norms[:, None], 0), (r_norms[None, :], 1)):
-        products /= np.sqrt(np.where(norms == 0, 1.0, norms))
-    return np.subtract(1.0, products, out=products), np.full(len(queries), 1e-9)
-
-
-def _nearest(
-    query_ids: np.ndarray,
-    queries: np.ndarray,
-    ids: np.ndarray,
-    matrix: np.ndarray,
-    k: int,
-    metric: str,
-) -> pd.DataFrame:
-    """The k nearest rows of the block for each query, ties by id.
-
-    Candidates come from the rough distances with room for their error; the exact ones decide.
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    return matrix / np.where(norms == 0, 1.0, norms)[:, None]
+
+
+class _Nearest:
+    """The k nearest rows of each query among the blocks met so far, ties by id.
+
+    Candidates come from one product in single precision of each tile, with room for its error; exact
+    distances decide. A tile is held against the k-th distance found before, so that few
+    candidates are left after the first one.
     """
-    if len(query_ids) == 0 or len(ids) == 0:
-        return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
-    order = np.argsort(ids, kind="stable")
-    ids, matrix = ids[order], matrix[order]
-    rough, error = _rough(queries, matrix, metric)
-    picked_q, picked_d, distances = [], [], []
-    for i, query in enumerate(queries):
-        if len(ids) > k:
-            bound = np.partition(rough[i], k - 1)[k - 1] + 2 * error[i]
-            near = np.flatnonzero(rough[i] <= bound)
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str):
+        self.ids, self.queries, self.k, self.metric = query_ids, queries, k, metric
+        self.found = [None] * -(-len(queries) // TILE_QUERIES)
+        self.bound = np.full(len(queries), np.inf)
+
+    def meet(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, matrix = ids[order], matrix[order]
+        for at in range(0, len(ids), TILE_ROWS):
+            rows = matrix[at : at + TILE_ROWS]
+            for tile in range(len(self.found)):
+                self._meet_tile(tile, ids[at : at + TILE_ROWS], rows)
+
+    def _rough(self, queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distances but for a shift of each query, how far they may be off, shift and scale.
+
+        Numbers are scaled to at most 1, so no square leaves single precision.
+        """
+        scale = max(np.abs(queries).max(initial=0.0), np.abs(rows).max(initial=0.0)) or 1.0
+        if self.metric == "l2":
+            left, right, factor = queries / scale, rows / scale, -2.0
+            q_norms, r_norms = (np.einsum("ij,ij->i", m, m) for m in (left, right))
+            shift, unit = q_norms, scale
         else:
-            near = np.arange(len(ids))
-        distance = _exact(query, matrix[near], metric)
-        best = np.argsort(distance, kind="stable")[:k]
-        picked_q.append(np.repeat(query_ids[i], len(best)))
-        picked_d.append(ids[near[best]])
-        distances.append(distance[best])
-    return pd.DataFrame(
-        {
-            "query_id": np.concatenate(picked_q),
-            "doc_id": np.concatenate(picked_d),
-            "distance": np.concatenate(distances),
-        }
-    )
+            left, right, factor = _unit(queries / scale), _unit(rows / scale), -1.0
+            q_norms, r_norms = np.ones(len(left)), np.ones(len(right))
+            shift, unit = np.zeros(len(left)), 1.0
+        left = np.hstack([factor * left, np.ones((len(left), 1))]).astype(np.float32)
+        right = np.hstack([right, r_norms[:, None]]).astype(np.float32)
+        reach = (np.sqrt(q_norms) + np.sqrt(r_norms.max())) ** 2
+        error = (left.shape[1] + 16) * 2.0**-23 * reach + 1e-30
+        return left @ right.T, error, shift, unit
+
+    def _meet_tile(self, tile: int, ids: np.ndarray, rows: np.ndarray) -> None:
+        own = slice(tile * TILE_QUERIES, (tile + 1) * TILE_QUERIES)
+        queries, k = self.queries[own], self.k
+        rough, error, shift, unit = self._rough(queries, rows)
+        limit = self.bound[own] / unit / unit - shift + error
+        if len(ids) > k and np.isinf(limit).any():
+            kth = np.partition(rough, k - 1, axis=1)[:, k - 1].astype(np.float64)
+            limit = np.minimum(limit, kth + 2 * error)
+        # Rounded upwards, so that no candidate is lost by it.
+        most = np.nextafter(limit.astype(np.float32), np.float32(np.inf))
+        at = np.flatnonzero(rough <= most[:, None])
+        if not len(at):
+            return
+        for begin in range(0, len(at), EXACT_PAIRS):
+            q, r = np.divmod(at[begin : begin + EXACT_PAIRS], len(ids))
+            self._keep(tile, q, ids[r], _exact(queries[q], rows[r], self.metric))
+        q, _, distances = self.found[tile]
+        last = np.flatnonzero(np.bincount(q, minlength=len(queries)) == k)
+        ends = np.searchsorted(q, last, side="right") - 1
+        self.bound[own.start + last] = distances[ends]
+
+    def _keep(self, tile: int, q: np.ndarray, ids: np.ndarray, distances: np.ndarray) -> None:
+        """The best of those kept and of new ones, sorted by query, distance and id."""
+        new = (q, ids, distances)
+        if self.found[tile] is not None:
+            new = tuple(np.concatenate(both) for both in zip(self.found[tile], new))
+        q, ids, distances = new
+        order = np.lexsort((ids, distances, q))
+        q = q[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        self.found[tile] = (q[kept], ids[order][kept], distances[order][kept])
+
+    def frame(self) -> pd.DataFrame:
+        parts = [(t * TILE_QUERIES + f[0], *f[1:]) for t, f in enumerate(self.found) if f is not None]
+        if not parts:
+            return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
+        q, ids, distances = (np.concatenate(own) for own in zip(*parts))
+        return pd.DataFrame({"query_id": self.ids[q], "doc_id": ids, "distance": distances})
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
     return np.array(series.tolist(), dtype=np.float64)
 
 
-def _unpacked(block: bytes, rows: int) -> np.ndarray:
-    return np.frombuffer(block, dtype=np.float64).reshape(rows, -1)
+def _unpacked(block: bytes, rows: int, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(block, dtype=kind).reshape(rows, -1).astype(np.float64)
 
 
 def _placed(matrix: np.ndarray, metric: str, side: int) -> np.ndarray:
@@ -197,7 +242,8 @@ class VectorIndex:
         known = spark.read.parquet(f"{path}/known").count()
         cells = min(MOST_CELLS, -(-rows // PLACE_ROWS), known)
         if buckets is None:
-            buckets = max(1, min(-(-rows // PLACE_ROWS), max(8, -(-8 * size["values"] // BUCKET_BYTES))))
+            wanted = max(LEAST_BUCKETS, -(-8 * size["values"] // BUCKET_BYTES))
+            buckets = max(1, min(-(-rows // PLACE_ROWS), wanted))
         settings = (metric, corpus.schema["id"].dataType.simpleString(), cells, buckets)
         schema = "metric string, id_type string, cells int, buckets int"
         frame = spark.createDataFrame([settings], schema)
@@ -280,8 +326,11 @@ class VectorIndex:
         return start
 
     def dealt(self, queries: DataFrame, k: int) -> DataFrame:
-        """Blocks of queries (``place``, ``ids``, ``block``) for every place they can reach."""
-        metric = self.metric
+        """Blocks of queries (``place``, ``ids``, ``block``) for every place they can reach.
+
+        A query moves once, to those of its own cell, and a block of them is copied for each place.
+        """
+        metric, kind = self.metric, _kind(queries)
         facts = self.spark.read.parquet(f"{self.path}/places").orderBy("place").toPandas()
         shared = self.spark.sparkContext.broadcast(
             (
@@ -291,34 +340,44 @@ class VectorIndex:
                 facts["reach"].to_numpy(float),
             )
         )
+        pivots = self.cells
+
+        @F.pandas_udf("int")
+        def nearest_pivot(vectors: pd.Series) -> pd.Series:
+            points = _placed(_matrix(vectors), metric, 0)
+            return pd.Series(_distances(points, shared.value[0][:pivots]).argmin(axis=1))
 
-        @F.pandas_udf("array<int>")
-        def places_in_reach(vectors: pd.Series) -> pd.Series:
+        def copied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known, places, cells, reach = shared.value
-            away = _distances(_placed(_matrix(vectors), metric, 0), known)
-            enough = min(k, len(known)) == k
-            bound = np.partition(away, k - 1, axis=1)[:, k - 1] if enough else np.full(len(away), np.inf)
-            limit = bound + 1e-6 * (1.0 + away.max(axis=1))
-            return pd.Series(
-                [places[row[cells] - reach <= most] for row, most in zip(away, limit)]
-            )
+            for frame in frames:
+                for begin in range(0, len(frame), QUERY_ROWS):
+                    part = frame.iloc[begin : begin + QUERY_ROWS]
+                    ids, vectors = part["id"].to_numpy(), _matrix(part["embedding"])
+                    away = _distances(_placed(vectors, metric, 0), known)
+                    enough = min(k, len(known)) == k
+                    bound = np.partition(away, k - 1, axis=1)[:, k - 1] if enough else np.inf
+                    limit = bound + 1e-6 * (1.0 + away.max(axis=1))
+                    packed = vectors.astype(kind)
+                    for place, cell, far in zip(places, cells, reach):
+                        own = np.flatnonzero(away[:, cell] - far <= limit)
+                        if len(own):
+                            row = (place, list(ids[own]), packed[own].tobytes())
+                            yield pd.DataFrame([row], columns=["place", "ids", "block"])
 
         asked = queries.count()
         salt = F.pmod(F.xxhash64("id"), F.lit(-(-asked // GATHERED_QUERIES) or 1))
         id_type = queries.schema["id"].dataType.simpleString()
         return (
-            queries.select("id", "embedding", F.explode(places_in_reach("embedding")).alias("place"))
-            .repartition("place", salt)
-            .sortWithinPartitions("place")
-            .mapInPandas(
-                lambda frames: _packed(frames, QUERY_ROWS),
-                f"place int, ids array<{id_type}>, block binary",
-            )
+            queries.select("id", "embedding", nearest_pivot("embedding").alias("cell"))
+            .repartition("cell", salt)
+            .sortWithinPartitions("cell")
+            .select("id", "embedding")
+            .mapInPandas(copied, f"place int, ids array<{id_type}>, block binary")
         )
 
     def search(self, queries: DataFrame, k: int = 3) -> DataFrame:
         """``query_id``, ``rank`` and ``doc_id`` of the k nearest documents; exact, ties by id."""
-        id_type, metric = queries.schema["id"].dataType.simpleString(), self.metric
+        id_type, metric, kind = queries.schema["id"].dataType.simpleString(), self.metric, _kind(queries)
         left = self.dealt(_usable(queries), k).select(
             "place", F.col("ids").alias("asked_ids"), F.col("block").alias("asked")
         )
@@ -326,16 +385,19 @@ class VectorIndex:
         self.spark.catalog.refreshTable(self.table)
 
         def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # Rows of one block of queries follow each other.
+            last, nearest = None, None
             for frame in frames:
                 for asked_ids, asked, ids, block in frame.itertuples(index=False):
-                    yield _nearest(
-                        np.array(asked_ids),
-                        _unpacked(asked, len(asked_ids)),
-                        np.array(ids),
-                        _unpacked(block, len(ids)),
-                        k,
-                        metric,
-                    )
+                    if last is None or asked != last[1] or not np.array_equal(asked_ids, last[0]):
+                        if nearest is not None:
+                            yield nearest.frame()
+                        last = (asked_ids, asked)
+                        points = _unpacked(asked, len(asked_ids), kind)
+                        nearest = _Nearest(np.array(asked_ids), points, k, metric)
+                    nearest.meet(np.array(ids), _unpacked(block, len(ids)))
+            if nearest is not None:
+                yield nearest.frame()
 
         found = (
             left.join(self.spark.table(self.table), "place")
@@ -345,6 +407,12 @@ class VectorIndex:
         return _best(found, k)
 
 
+def _kind(queries: DataFrame) -> type:
+    """The numbers that blocks of queries are made of: single precision stays that."""
+    double = queries.schema["embedding"].dataType.elementType.simpleString() != "float"
+    return np.float64 if double else np.float32
+
+
 def _check(metric: str) -> None:
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -388,12 +456,14 @@ def _against_shared(corpus: DataFrame, queries: DataFrame, k: int, metric: str)
         for frame in frames:
             for begin in range(0, len(frame), QUERY_ROWS):
                 part = frame.iloc[begin : begin + QUERY_ROWS]
-                asked = _matrix(part["embedding"])
-                for at in range(0, len(ids), BLOCK_ROWS):
-                    own = slice(at, at + BLOCK_ROWS)
-                    yield _nearest(part["id"].to_numpy(), asked, ids[own], matrix[own], k, metric)
-
-    found = queries.mapInPandas(meet, f"query_id {id_type}, doc_id {doc_type}, distance double")
+                nearest = _Nearest(part["id"].to_numpy(), _matrix(part["embedding"]), k, metric)
+                nearest.meet(ids, matrix)
+                yield nearest.frame()
+
+    # A small table lies in one file, but asks for much work.
+    parts = -(-queries.count() * len(ids) // TASK_PAIRS)
+    schema = f"query_id {id_type}, doc_id {doc_type}, distance double"
+    found = queries.repartition(max(1, parts)).mapInPandas(meet, schema)
     return _best(found, k)
 
 

@@ -251,6 +251,38 @@ def test_vectors_are_added_to_a_stored_index(spark, clustered, monkeypatch):
     assert _answers(index.search(asked, 3)) == wanted(range(len(matrix)))
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("size", [1e-25, 1.0, 1e25])
+def test_nearest_of_many_blocks(metric, size):
+    rng = np.random.default_rng(4)
+    corpus, queries = rng.normal(size=(5000, 12)), rng.normal(size=(300, 12))
+    corpus[::7] = queries[3]
+    corpus[5], queries[9] = 0.0, 0.0
+    ids = rng.permutation(5000)
+    nearest = vectors._Nearest(np.arange(300), queries * size, 4, metric)
+    for begin in range(0, 5000, 1300):
+        own = slice(begin, begin + 1300)
+        nearest.meet(ids[own], corpus[own] * size)
+    got = nearest.frame()
+    # Only the k nearest of all blocks are left.
+    assert len(got) == 1200
+    for i in range(300):
+        distances = vectors._exact(np.repeat(queries[i : i + 1] * size, 5000, axis=0), corpus * size, metric)
+        wanted = ids[np.lexsort((ids, distances))[:4]]
+        assert got.doc_id[got.query_id == i].tolist() == wanted.tolist()
+
+
+def test_a_search_is_dealt_to_many_tasks(spark, clustered, monkeypatch):
+    matrix, path = clustered
+    frame = vector_frame(spark, matrix).coalesce(1)
+    # As many buckets as places of full size, though the corpus is small.
+    assert vectors.VectorIndex.build(frame, path).buckets == 16
+    monkeypatch.setattr(vectors, "TASK_PAIRS", 800 * 100)
+    found = vectors.vector_topk(frame, frame, k=2)
+    assert "RoundRobinPartitioning(8)" in found._jdf.queryExecution().executedPlan().toString()
+    assert _answers(found) == brute_force(matrix, matrix, 2, "l2")
+
+
 def test_context(spark):
     hits = spark.createDataFrame([(1, 2, 10), (1, 1, 11), (2, 1, 10)], "query_id long, rank int, doc_id long")
     docs = spark.createDataFrame([(10, "m10", "ten"), (11, "m11", "eleven")], "doc_id long, model_name string, text string")
