@@ -19,6 +19,7 @@ from martwright.functions import (
 from martwright.operators import (
     charts,
     documents,
+    ordering,
     profiling,
     quality,
     questions,
@@ -558,18 +559,12 @@ def profile_sketches(inputs: Inputs) -> DataFrame:
     estimated = store.profile()
     exact = profiling.profile_columns(lines, samples=0).select("column_name", "unique_count")
     numbers = profiling.numeric_columns(lines)
-    halves = lines.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column_name"),
-                    F.percentile(F.col(c).cast("double"), 0.47).alias("below"),
-                    F.percentile(F.col(c).cast("double"), 0.53).alias("above"),
-                )
-                for c in numbers
-            ]
-        ).alias("_h")
-    ).select(F.inline("_h"))
+    # F.percentile would gather all values of a column in one task.
+    halves = ordering.exact_quantiles(lines, numbers, [0.47, 0.53]).select(
+        "column_name",
+        F.get("quantiles", F.lit(0)).alias("below"),
+        F.get("quantiles", F.lit(1)).alias("above"),
+    )
     distinct_gap = F.abs(F.col("unique_estimate") - F.col("unique_count")) / F.col("unique_count")
     median = F.col("median_estimate").between(F.col("below"), F.col("above"))
     found = estimated.join(exact, "column_name").join(halves, "column_name", "left")
