@@ -46,8 +46,8 @@ SAMPLE_ROWS = 2048
 SHARED_BYTES = 32 << 20
 # Queries of a place that are gathered in one task.
 GATHERED_QUERIES = 1 << 16
-# A bucket is one task of a search. Many queries keep it busy for long, so a place of its own is enough
-# for one until there are LEAST_BUCKETS.
+# A bucket is one task of a search. Many queries keep it busy for long, so there are several for each
+# place, which seldom share one then, until there are LEAST_BUCKETS.
 BUCKET_BYTES = 128 << 20
 LEAST_BUCKETS = 96
 
@@ -243,7 +243,7 @@ class VectorIndex:
         cells = min(MOST_CELLS, -(-rows // PLACE_ROWS), known)
         if buckets is None:
             wanted = max(LEAST_BUCKETS, -(-8 * size["values"] // BUCKET_BYTES))
-            buckets = max(1, min(-(-rows // PLACE_ROWS), wanted))
+            buckets = max(1, min(-(-4 * rows // PLACE_ROWS), wanted))
         settings = (metric, corpus.schema["id"].dataType.simpleString(), cells, buckets)
         schema = "metric string, id_type string, cells int, buckets int"
         frame = spark.createDataFrame([settings], schema)
@@ -500,11 +500,15 @@ def context_assemble(hits: DataFrame, documents: DataFrame) -> DataFrame:
     ``model_name`` and ``text``. At most k texts meet per query.
     """
     part = F.concat(F.lit("Model: "), F.col("model_name"), F.lit("\n"), F.col("text"))
+    # A window holds the texts of one query at a time; an aggregation would hold those of a whole task,
+    # before they are shuffled and after.
+    ordered = Window.partitionBy("query_id").orderBy("rank", "part")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         hits.join(documents, "doc_id")
-        .groupBy("query_id")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", part.alias("part")))).alias("_parts"))
-        .select(
-            "query_id", F.array_join(F.transform("_parts", lambda e: e["part"]), "\n\n").alias("context")
-        )
+        .select("query_id", "rank", part.alias("part"))
+        .withColumn("_parts", F.collect_list("part").over(whole))
+        .withColumn("_n", F.row_number().over(ordered))
+        .where("_n = 1")
+        .select("query_id", F.array_join("_parts", "\n\n").alias("context"))
     )

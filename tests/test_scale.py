@@ -10,6 +10,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from martwright import session
 from martwright.operators import profiling, vectors
 from martwright.plans import core
 from martwright.plans.queries import Inputs, all_queries
@@ -115,6 +116,27 @@ def test_vector_search_makes_no_pairs(spark, monkeypatch):
     assert plan.count("Join") == 1 and "CartesianProduct" not in plan
 
 
+def test_no_quantile_gathers_a_column_in_one_task(spark):
+    assert "percentile(" not in plan_of(all_queries()["profile_sketches"](spark, SAMPLE))
+
+
+def test_texts_of_a_task_are_not_held_at_once(spark):
+    hits = spark.createDataFrame([], "query_id long, rank int, doc_id long")
+    docs = spark.createDataFrame([], "doc_id long, model_name string, text string")
+    assert "ObjectHashAggregate" not in plan_of(vectors.context_assemble(hits, docs))
+
+
+def test_a_task_is_given_little_shuffled_data(spark):
+    before = spark.conf.get(session.TASK_INPUT)
+    try:
+        for given, wanted in (("64MB", 16 << 20), ("1g", 16 << 20), ("67108864b", 16 << 20), ("8m", 8 << 20)):
+            spark.conf.set(session.TASK_INPUT, given)
+            session.configure(spark)
+            assert session._bytes(spark.conf.get(session.TASK_INPUT)) == wanted
+    finally:
+        spark.conf.set(session.TASK_INPUT, before)
+
+
 def test_daily_metrics_write_no_row_three_times(spark):
     plan = plan_of(all_queries()["fact_product_daily_metrics"](spark, SAMPLE))
     assert "Expand" not in plan

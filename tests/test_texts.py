@@ -275,8 +275,8 @@ def test_nearest_of_many_blocks(metric, size):
 def test_a_search_is_dealt_to_many_tasks(spark, clustered, monkeypatch):
     matrix, path = clustered
     frame = vector_frame(spark, matrix).coalesce(1)
-    # As many buckets as places of full size, though the corpus is small.
-    assert vectors.VectorIndex.build(frame, path).buckets == 16
+    # More buckets than places of full size, though the corpus is small.
+    assert vectors.VectorIndex.build(frame, path).buckets == 64
     monkeypatch.setattr(vectors, "TASK_PAIRS", 800 * 100)
     found = vectors.vector_topk(frame, frame, k=2)
     assert "RoundRobinPartitioning(8)" in found._jdf.queryExecution().executedPlan().toString()
