@@ -14,26 +14,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martwright.functions import day_of
+from martwright.operators.durable import durable
 from martwright.plans import core
 
 
 def changed_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The keys whose rows differ between two states of a table.
 
-    Rows count with their hash, negative on the old side; a key without change sums to nothing. One
-    aggregation with partial sums; neither table is sorted or joined.
+    Rows count with their hashes, negative on the old side; a key without change sums to nothing. One
+    aggregation with partial sums; neither table is sorted or joined. Halves of the hashes are
+    summed, which no number of rows lets overflow.
     """
 
     def signed(rows: DataFrame, sign: int) -> DataFrame:
         values = [F.col(c) for c in sorted(rows.columns)]
-        return rows.select(
-            key,
-            F.lit(sign).alias("_rows"),
-            (F.xxhash64(*values).cast("decimal(38,0)") * sign).alias("_sum"),
-            (F.xxhash64(F.lit(7), *values).cast("decimal(38,0)") * sign).alias("_other"),
-        )
-
-    sums = ["_rows", "_sum", "_other"]
+        halves = []
+        for i, whole in enumerate((F.xxhash64(*values), F.xxhash64(F.lit(7), *values))):
+            halves += [
+                (F.shiftright(whole, 32) * sign).alias(f"_high{i}"),
+                (whole.bitwiseAND(F.lit(0xFFFFFFFF)) * sign).alias(f"_low{i}"),
+            ]
+        return rows.select(key, F.lit(sign).alias("_rows"), *halves)
+
+    sums = ["_rows", "_high0", "_low0", "_high1", "_low1"]
     both = signed(old, -1).unionByName(signed(new, 1))
     return (
         both.groupBy(key)
@@ -77,10 +80,10 @@ def daily_sales(
     comparison. All orders of a touched day are aggregated again.
     """
     if changed is None:
-        changed = changed_keys(old_orders, new_orders, "order_id")
+        changed = durable(changed_keys(old_orders, new_orders, "order_id"))
     day = day_of("order_purchase_datetime").alias("order_date")
     sides = [_touched(o, changed, ["order_id"], "left_semi").select(day) for o in (old_orders, new_orders)]
-    keys = reduce(DataFrame.unionByName, sides).distinct()
+    keys = durable(reduce(DataFrame.unionByName, sides).distinct())
     dated = new_orders.withColumn("order_date", day)
     fresh = core.agg_daily_sales(_touched(dated, keys, ["order_date"], "left_semi"))
     return _replaced(stored, fresh, keys, ["order_date"])
@@ -100,8 +103,9 @@ def product_daily_metrics(
     A touched (product, day) is aggregated again from the lines of its product in orders of its day.
     Rows that are kept keep their ``created_at``.
     """
+    # Changes and keys are used several times, but the states are compared once.
     if changed is None:
-        changed = changed_orders(old_lines, old_orders, new_lines, new_orders)
+        changed = durable(changed_orders(old_lines, old_orders, new_lines, new_orders))
     names = ["product_id", "order_date"]
     day = day_of("order_purchase_datetime").alias("order_date")
 
@@ -109,7 +113,9 @@ def product_daily_metrics(
         own = _touched(lines.select("order_id", "product_id"), changed, ["order_id"], "left_semi")
         return own.join(orders.select("order_id", day), "order_id").select(*names)
 
-    keys = keys_of(old_lines, old_orders).unionByName(keys_of(new_lines, new_orders)).distinct()
+    keys = durable(
+        keys_of(old_lines, old_orders).unionByName(keys_of(new_lines, new_orders)).distinct()
+    )
     dated = new_orders.withColumn("order_date", day)
     fresh = core.fact_product_daily_metrics(
         _touched(new_lines, keys, ["product_id"], "left_semi"),
