@@ -36,6 +36,9 @@ from martwright.sources.naming import schema_name_column
 from martwright.sources.sample import SampleTables
 
 AS_OF = "2018-12-31 00:00:00"
+# Lines of one bucket of the stored facts, which is joined and reduced in one task.
+BUCKET_LINES = 1 << 18
+LEAST_BUCKETS = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -76,14 +79,29 @@ class Inputs:
         return self.warehouse.get(name)
 
     def with_stored(self, *names: str) -> Warehouse:
-        """The warehouse with some models written once as parquet, for queries over many models."""
+        """The warehouse with some models written once, for queries over many models."""
         for name in names:
-            path = scratch_path(self.spark, name)
-            df = self.warehouse.get(name)
-            df.write.parquet(path)
-            self.warehouse.put(name, self.spark.read.schema(df.schema).parquet(path))
+            self.store(self.warehouse, name)
         return self.warehouse
 
+    def store(self, house: Warehouse, name: str) -> DataFrame:
+        """Write a model and use the copy for everything built on it.
+
+        It is bucketed on the key it is joined on, so the models built on it join and reduce it where it
+        lies. The last shuffle before it is written has the same number of parts.
+        """
+        buckets = max(LEAST_BUCKETS, -(-self.table("lineitem").count() // BUCKET_LINES))
+        key, table = MODELS[name].bucket_by, f"{name}_{uuid.uuid4().hex}"
+        before = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(buckets))
+        try:
+            writer = house.get(name).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+            writer.option("path", scratch_path(self.spark, name)).saveAsTable(table)
+        finally:
+            self.spark.conf.set("spark.sql.shuffle.partitions", before)
+        house.put(name, self.spark.table(table))
+        return house.get(name)
+
 
 def query(run: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
     """Register under the function's name; a trailing underscore avoids a name already taken."""
@@ -227,15 +245,8 @@ def _earlier(inputs: Inputs) -> Warehouse:
 def _both_states(inputs: Inputs, *names: str) -> tuple[dict, dict]:
     """Stored models of the past and the present state."""
     out = []
-    for label, house in (("old", _earlier(inputs)), ("new", inputs.warehouse)):
-        frames = {}
-        for name in names:
-            df = house.get(name)
-            path = scratch_path(inputs.spark, f"{label}-{name}")
-            df.write.parquet(path)
-            frames[name] = inputs.spark.read.schema(df.schema).parquet(path)
-            house.put(name, frames[name])
-        out.append({**frames, "house": house})
+    for house in (_earlier(inputs), inputs.warehouse):
+        out.append({**{name: inputs.store(house, name) for name in names}, "house": house})
     return tuple(out)
 
 

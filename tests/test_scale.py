@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from martwright import session
 from martwright.operators import profiling, vectors
-from martwright.plans import core
+from martwright.plans import core, maintain
 from martwright.plans.queries import Inputs, all_queries
 
 from conftest import SAMPLE
@@ -175,3 +175,23 @@ print("all ran")
         [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300
     )
     assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
+def test_stored_facts_are_joined_where_they_lie(spark):
+    house = Inputs(spark, SAMPLE).with_stored("fact_orders", "fact_order_lines")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(house.get("agg_product_quality_metrics"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The one shuffle is that of the reduced rows to their products.
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Bucketed: true") == 2
+
+
+def test_changes_are_found_by_whole_numbers(spark):
+    old = spark.createDataFrame([(1, "2018-01-01"), (2, "2018-01-02")], "order_id long, day string")
+    new = spark.createDataFrame([(2, "2018-01-02"), (2, "2018-01-02"), (3, None)], old.schema)
+    found = maintain.changed_keys(old, new, "order_id")
+    assert sorted(r.order_id for r in found.collect()) == [1, 2, 3]
+    assert "decimal" not in plan_of(found)
