@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martwright.llm.common import digest_of, stored
+from martwright.llm.common import digest_of, perhaps_in, stored
 from martwright.llm.components import components
 
 SHINGLE = 5
@@ -210,7 +210,9 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataF
 
     wanted = nodes.select("source", "class", "node")
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    found = rows.join(wanted, F.col("_id").eqNullSafe(F.col("source")))
+    # Most texts belong to no such node; they are left out before the shuffle of the join.
+    rows = perhaps_in(rows, [F.col("_id").cast("long")], nodes, [F.col("source")])
+    found = rows.where("_perhaps").join(wanted, F.col("_id").eqNullSafe(F.col("source")))
     # As an expression, Spark would work the sets out before the join, for all documents.
     return (
         found.select("node", "class", "_text")
@@ -457,10 +459,11 @@ def link_rows(
     )
     members = stored(_shared_keys(nodes), "neardup-members")
     involved = members.select("node").distinct()
-    sets = stored(
-        _sets_of(docs, nodes.join(involved, "node"), doc_id, text), "neardup-sets"
+    few = stored(
+        nodes.join(involved, "node").select("node", "planes", "size", "source", "class"),
+        "neardup-planes",
     )
-    few = stored(nodes.join(involved, "node").select("node", "planes", "size"), "neardup-planes")
+    sets = stored(_sets_of(docs, few, doc_id, text), "neardup-sets")
     labels = stored(involved.select("node", F.col("node").alias("component")), "neardup-labels")
 
     def join_along(edges: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
+import contextlib
+import io
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from martwright.llm import decontaminate, langid, line_dedup, stages
+from martwright.llm import common, decontaminate, langid, line_dedup, neardup, stages
 
 from .test_llm_lines import key_of
 from .test_llm_neardup import brute_force as components_of
@@ -149,3 +151,55 @@ def test_clean_rows_that_share_an_id_with_a_leak_stay(spark, corpus, shared_ids)
     docs, rows, leak = shared_ids
     kept = by_id(stages.drop_leaks(spark, docs, corpus))
     assert kept == sorted((r for r in rows if r[1] != leak), key=repr)
+
+
+def unmarked_shuffles(df):
+    """The shuffles in a plan that texts go into without a test of the bitmap."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    lines = [(len(x) - len(x.lstrip(" :+-")), x) for x in out.getvalue().splitlines()]
+    found = []
+    for i, (depth, line) in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            end = next((j for j in range(i + 1, len(lines)) if lines[j][0] <= depth), len(lines))
+            below = [x for _, x in lines[i + 1 : end]]
+            if any("FileScan" in x and "text#" in x for x in below) and "getbit" not in str(below):
+                found.append(line)
+    return found
+
+
+def test_texts_that_cannot_match_are_not_shuffled(spark, corpus, monkeypatch):
+    steps = []
+
+    def stored(df, label):
+        steps.append(df)
+        return common.stored(df, label)
+
+    monkeypatch.setattr(neardup, "stored", stored)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.read.parquet(f"{corpus}/documents.parquet")
+        steps.append(stages.keep_one_of_near_copies(spark, docs, corpus))
+        steps.append(stages.drop_leaks(spark, docs, corpus))
+        assert [x for df in steps for x in unmarked_shuffles(df)] == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 10, 7])
+def test_rows_with_a_match_are_marked(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    key = "IF(id % 500 = 0, NULL, id) AS id", "IF(id % 7 = 0, NULL, md5(string(id))) AS text"
+    rows = spark.range(40_000).selectExpr("id AS n", *key)
+    few = spark.range(0, 40_000, 20).selectExpr("id AS n", *key)
+    columns = [F.col("id"), F.col("text")]
+    marked = common.perhaps_in(rows, columns, few, columns)
+    assert marked.columns == ["n", "id", "text", "_perhaps"] and marked.count() == 40_000
+    assert marked.where("n % 20 = 0 AND NOT _perhaps").count() == 0
+    # 2,000 keys in 32,000 bits; smaller bitmaps fill up.
+    others = marked.where("n % 20 > 0 AND _perhaps").count()
+    assert others < 0.1 * 38_000 if most > 1 << 20 else others > 0.5 * 38_000
+    none = common.perhaps_in(rows, columns, few.where("id < 0"), columns)
+    assert none.where("_perhaps").count() == 0
