@@ -22,6 +22,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that broadcasts neither side, whatever Spark takes their sizes for.
+
+    Spark counts an exploded table as large as the one it comes from and an array as one element, so
+    tables many times the broadcast threshold pass for small ones and fill the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def digest_of(text: str) -> Column:
     """MD5 of a text; a null text has one that no other text has."""
     return F.coalesce(F.md5(F.col(text)), F.lit(""))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martwright.llm.common import digest_of, perhaps_in, stored
+from martwright.llm.common import digest_of, merged, perhaps_in, stored
 from martwright.llm.components import components
 
 SHINGLE = 5
@@ -191,7 +191,7 @@ def _shared_keys(nodes: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("node", F.lit(2))).alias("mix"),
     )
     chosen = keys.where(F.col("n") > 1).groupBy("n", "sum", "mix").agg(F.min("key").alias("key"))
-    return keyed.join(chosen.select("key"), "key")
+    return keyed.join(merged(chosen.select("key")), "key")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -212,7 +212,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataF
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     # Most texts belong to no such node; they are left out before the shuffle of the join.
     rows = perhaps_in(rows, [F.col("_id").cast("long")], nodes, [F.col("source")])
-    found = rows.where("_perhaps").join(wanted, F.col("_id").eqNullSafe(F.col("source")))
+    found = rows.where("_perhaps").join(merged(wanted), F.col("_id").eqNullSafe(F.col("source")))
     # As an expression, Spark would work the sets out before the join, for all documents.
     return (
         found.select("node", "class", "_text")
@@ -254,7 +254,7 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) within the signature distance."""
     left = nodes.select(F.col("node").alias("a"), F.col("planes").alias("_pa"))
     right = nodes.select(F.col("node").alias("b"), F.col("planes").alias("_pb"))
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = pairs.join(merged(left), "a").join(merged(right), "b")
     return joined.where(different_lanes("_pa", "_pb") <= MAX_DIFFERENT).select("a", "b")
 
 
@@ -327,7 +327,7 @@ def _block_rows(members: DataFrame) -> DataFrame:
         & F.col("own").eqNullSafe(F.col("_own"))
         & (F.col("part") == F.col("_part"))
     )
-    return placed.join(dealt, here).select("key", "pair", "node", "component", "side")
+    return placed.join(merged(dealt), here).select("key", "pair", "node", "component", "side")
 
 
 def linking_pairs(
@@ -398,7 +398,7 @@ def _cross_links(members: DataFrame, sets: DataFrame, few: DataFrame, percent: i
     # than its own two blocks.
     groups = max(1, -(-rows.count() // BLOCK_ROWS))
     group = F.pmod(F.xxhash64("key", "pair"), F.lit(groups)).alias("group")
-    full = rows.join(few.select("node", "planes").join(sets, "node"), "node")
+    full = rows.join(merged(few.select("node", "planes").join(merged(sets), "node")), "node")
     return (
         full.select(group, "*")
         .groupBy("group")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from martwright.llm import neardup
+from martwright.llm.common import stored
 from martwright.llm.components import components
 
 SCHEMA = "doc_id long, text string, id int, node string, class int, kept int"
@@ -126,6 +127,36 @@ def test_lane_differences(spark):
     assert row.select(neardup.different_lanes("a", "b")).first()[0] == neardup.LANES - 30
 
 
+def plan_after(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_are_not_broadcast_however_small_spark_takes_them(spark):
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")[:-1]) > 0
+    texts = [" ".join(f"w{i}x{j % (40 + i % 2)}" for j in range(42)) for i in range(30)]
+    docs = spark.createDataFrame(
+        [(100 * k + i, t + " end" * k) for i, t in enumerate(texts) for k in range(3)], "doc_id long, text string"
+    )
+    sketch = stored(neardup.sketched(docs, "doc_id", "text"), "test-sketches")
+    nodes = stored(sketch.where("node is not null").withColumnRenamed("id", "source"), "test-nodes")
+    members = neardup._shared_keys(nodes)
+    assert members.count() > 0 and "Broadcast" not in plan_after(members)
+    few = nodes.withColumnRenamed("n_shingles", "size")
+    pairs = nodes.select(nodes.node.alias("a"), nodes.node.alias("b"))
+    assert "Broadcast" not in plan_after(neardup._close(pairs, few))
+
+
+def test_pairs_of_blocks_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 2)
+    members = spark.range(40).selectExpr("id % 2 as key", "id as node", "id as component", "3 as size")
+    dealt = neardup._block_rows(members)
+    plan = plan_after(dealt)
+    # Ten blocks a key: a member meets those of all ten.
+    assert dealt.count() == 40 * 10
+    assert re.search(r"\w+Join", plan).group() == "SortMergeJoin", plan
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
