@@ -8,6 +8,7 @@ import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martwright.operators import marking
 from martwright.operators.durable import scratch_path
 
 
@@ -36,33 +37,12 @@ def digest_of(text: str) -> Column:
     return F.coalesce(F.md5(F.col(text)), F.lit(""))
 
 
-BITS_A_ROW, MOST_BITS = 16, 1 << 26
+MOST_BITS = marking.MOST_BITS
 
 
 def perhaps_in(df: DataFrame, key: list[Column], few: DataFrame, few_key: list[Column]) -> DataFrame:
-    """``df`` with ``_perhaps``, which is false only for rows whose key no row of ``few`` has.
-
-    For tables of texts: rows that are not marked need no join with ``few``, and so no shuffle. Keys
-    are hashed to the bits of a bitmap of at most MOST_BITS, which all tasks are sent; the more
-    ``few`` outgrows it, the more rows are marked without a match. Both keys must have the same
-    types, and ``few`` should be stored, as it is read twice.
-    """
-    bits = F.lit(min(MOST_BITS, BITS_A_ROW * max(1, few.count())))
-    place = few.select(F.pmod(F.xxhash64(*few_key), bits).alias("_place"))
-    bitmap = place.groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bitmap")
-    )
-    at = F.bitmap_bit_position("_place")
-    # The byte that holds the bit; null where the bucket is empty.
-    byte = F.substring("_bitmap", F.shiftright(at, 3).cast("int") + 1, 1)
-    number = F.conv(F.hex(byte), 16, 10).cast("int")
-    is_set = F.call_function("getbit", number, at.bitwiseAND(7).cast("int")) == 1
-    placed = df.withColumn("_place", F.pmod(F.xxhash64(*key), bits))
-    return (
-        placed.join(F.broadcast(bitmap), F.bitmap_bucket_number("_place") == F.col("_bucket"), "left")
-        .withColumn("_perhaps", F.coalesce(is_set, F.lit(False)))
-        .drop("_place", "_bucket", "_bitmap")
-    )
+    """``marking.perhaps_in`` with at most MOST_BITS: texts that are not marked need no shuffle."""
+    return marking.perhaps_in(df, key, few, few_key, MOST_BITS)
 
 
 def about(df: DataFrame, hashed: str, limit: int, rows: int | None = None) -> DataFrame:

@@ -10,38 +10,48 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martwright.functions import day_of
 from martwright.operators.durable import durable
+from martwright.operators.marking import perhaps_in
 from martwright.plans import core
 
 
 def changed_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The keys whose rows differ between two states of a table.
 
-    Rows count with their hashes, negative on the old side; a key without change sums to nothing. One
-    aggregation with partial sums; neither table is sorted or joined. Halves of the hashes are
-    summed, which no number of rows lets overflow.
+    Rows count with their hashes; a key whose sums are equal on both sides has not changed. Rows are
+    reduced to their keys before the sides meet, which takes no shuffle where both are bucketed on the
+    key; only what differs is shuffled after. Halves of the hashes are summed, which no number of
+    rows lets overflow.
     """
+    sums = ["_rows", "_high0", "_low0", "_high1", "_low1"]
 
-    def signed(rows: DataFrame, sign: int) -> DataFrame:
+    def summed(rows: DataFrame, side: str) -> DataFrame:
         values = [F.col(c) for c in sorted(rows.columns)]
         halves = []
         for i, whole in enumerate((F.xxhash64(*values), F.xxhash64(F.lit(7), *values))):
             halves += [
-                (F.shiftright(whole, 32) * sign).alias(f"_high{i}"),
-                (whole.bitwiseAND(F.lit(0xFFFFFFFF)) * sign).alias(f"_low{i}"),
+                F.shiftright(whole, 32).alias(f"_high{i}"),
+                whole.bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"_low{i}"),
             ]
-        return rows.select(key, F.lit(sign).alias("_rows"), *halves)
+        counted = rows.select(F.col(key).alias(side), F.lit(1).alias("_rows"), *halves)
+        return counted.groupBy(side).agg(*[F.sum(c).alias(side + c) for c in sums])
 
-    sums = ["_rows", "_high0", "_low0", "_high1", "_low1"]
-    both = signed(old, -1).unionByName(signed(new, 1))
+    both = summed(old, "_old").join(summed(new, "_new"), F.col("_old") == F.col("_new"), "full")
+    differences = [
+        (F.coalesce("_new" + c, F.lit(0)) - F.coalesce("_old" + c, F.lit(0))).alias(c) for c in sums
+    ]
+    differ = reduce(lambda a, b: a | b, [F.col(c) != 0 for c in sums])
+    # A null key meets no other in the join, so its two sides are added here.
     return (
-        both.groupBy(key)
+        both.select(F.coalesce("_old", "_new").alias(key), *differences)
+        .where(differ)
+        .groupBy(key)
         .agg(*[F.sum(c).alias(c) for c in sums])
-        .where(reduce(lambda a, b: a | b, [F.col(c) != 0 for c in sums]))
+        .where(differ)
         .select(key)
     )
 
@@ -57,18 +67,37 @@ def changed_orders(
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def _touched(df: DataFrame, keys: DataFrame, names: list[str], how: str) -> DataFrame:
-    """Rows of ``df`` with (``left_semi``) or without (``left_anti``) a key; nulls are equal."""
-    renamed = keys.select(*[F.col(n).alias(f"_k_{n}") for n in names]).distinct()
+def _named(df: DataFrame, keys: DataFrame, names: list[str]) -> tuple[DataFrame, Column]:
+    """The distinct keys under other names, and the condition that a row of ``df`` has one."""
+    own = [F.col(n).cast(df.schema[n].dataType).alias(f"_k_{n}") for n in names]
     same = [F.col(n).eqNullSafe(F.col(f"_k_{n}")) for n in names]
-    return df.join(renamed, reduce(lambda a, b: a & b, same), how)
+    return keys.select(*own).distinct(), reduce(lambda a, b: a & b, same)
+
+
+def _marked(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with ``_perhaps``, which is false only for rows without a key."""
+    few = [F.col(n).cast(df.schema[n].dataType) for n in names]
+    return perhaps_in(df, [F.col(n) for n in names], keys, few)
+
+
+def _touched(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of ``df`` with a key; nulls are equal. Only rows that a bitmap marks are shuffled."""
+    renamed, same = _named(df, keys, names)
+    marked = _marked(df, keys, names).where("_perhaps").drop("_perhaps")
+    return marked.join(renamed, same, "left_semi")
 
 
 def _replaced(
     stored: DataFrame, fresh: DataFrame, keys: DataFrame, names: list[str]
 ) -> DataFrame:
-    kept = _touched(stored, keys, names, "left_anti")
-    return kept.unionByName(_touched(fresh, keys, names, "left_semi").select(*stored.columns))
+    """The stored rows without a key and the fresh ones with one. ``stored`` is read twice."""
+    renamed, same = _named(stored, keys, names)
+    marked = _marked(stored, keys, names)
+    far = marked.where(~F.col("_perhaps")).drop("_perhaps")
+    kept = marked.where("_perhaps").drop("_perhaps").join(renamed, same, "left_anti")
+    renamed, same = _named(fresh, keys, names)
+    again = fresh.join(renamed, same, "left_semi")
+    return far.unionByName(kept).unionByName(again.select(*stored.columns))
 
 
 def daily_sales(
@@ -82,10 +111,10 @@ def daily_sales(
     if changed is None:
         changed = durable(changed_keys(old_orders, new_orders, "order_id"))
     day = day_of("order_purchase_datetime").alias("order_date")
-    sides = [_touched(o, changed, ["order_id"], "left_semi").select(day) for o in (old_orders, new_orders)]
+    sides = [_touched(o, changed, ["order_id"]).select(day) for o in (old_orders, new_orders)]
     keys = durable(reduce(DataFrame.unionByName, sides).distinct())
     dated = new_orders.withColumn("order_date", day)
-    fresh = core.agg_daily_sales(_touched(dated, keys, ["order_date"], "left_semi"))
+    fresh = core.agg_daily_sales(_touched(dated, keys, ["order_date"]))
     return _replaced(stored, fresh, keys, ["order_date"])
 
 
@@ -110,16 +139,31 @@ def product_daily_metrics(
     day = day_of("order_purchase_datetime").alias("order_date")
 
     def keys_of(lines: DataFrame, orders: DataFrame) -> DataFrame:
-        own = _touched(lines.select("order_id", "product_id"), changed, ["order_id"], "left_semi")
-        return own.join(orders.select("order_id", day), "order_id").select(*names)
+        own = _touched(lines.select("order_id", "product_id"), changed, ["order_id"])
+        dated = _touched(orders.select("order_id", day), changed, ["order_id"])
+        return own.join(dated, "order_id").select(*names)
 
     keys = durable(
         keys_of(old_lines, old_orders).unionByName(keys_of(new_lines, new_orders)).distinct()
     )
-    dated = new_orders.withColumn("order_date", day)
     fresh = core.fact_product_daily_metrics(
-        _touched(new_lines, keys, ["product_id"], "left_semi"),
-        _touched(dated, keys, ["order_date"], "left_semi").drop("order_date"),
-        as_of=as_of,
+        _lines_of(new_lines, new_orders, keys, names), new_orders, as_of=as_of
     )
     return _replaced(stored, fresh, keys, names)
+
+
+def _lines_of(lines: DataFrame, orders: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """The lines of each touched (product, day), and few others.
+
+    Lines meet the day of their order, which takes no shuffle where both are bucketed on the order, and
+    are then marked where they lie. An id of orders with several days keeps all its lines.
+    """
+    columns = lines.columns
+    product, day = names
+    when = day_of("order_purchase_datetime")
+    one = F.min(when).eqNullSafe(F.max(when)) & F.count(when).isin(F.lit(0), F.count(F.lit(1)))
+    days = orders.groupBy(F.col("order_id").alias("_order")).agg(
+        F.min(when).alias(day), one.alias("_one")
+    )
+    marked = _marked(lines.join(days, F.col("order_id") == F.col("_order")), keys, [product, day])
+    return marked.where(F.col("_perhaps") | ~F.col("_one")).select(*columns)

@@ -30,7 +30,7 @@ from martwright.operators.durable import scratch_path
 from martwright.plans import checks, maintain
 from martwright.plans.catalog import MODELS, Warehouse
 from martwright.schemas import RAW_SCHEMAS
-from martwright.session import configure
+from martwright.session import configure, setting, shuffles_removed
 from martwright.sources import docs, files, tables
 from martwright.sources.naming import schema_name_column
 from martwright.sources.sample import SampleTables
@@ -92,13 +92,10 @@ class Inputs:
         """
         buckets = max(LEAST_BUCKETS, -(-self.table("lineitem").count() // BUCKET_LINES))
         key, table = MODELS[name].bucket_by, f"{name}_{uuid.uuid4().hex}"
-        before = self.spark.conf.get("spark.sql.shuffle.partitions")
-        self.spark.conf.set("spark.sql.shuffle.partitions", str(buckets))
-        try:
+        parts = setting(self.spark, "spark.sql.shuffle.partitions", str(buckets))
+        with parts, shuffles_removed(self.spark):
             writer = house.get(name).write.format("parquet").bucketBy(buckets, key).sortBy(key)
             writer.option("path", scratch_path(self.spark, name)).saveAsTable(table)
-        finally:
-            self.spark.conf.set("spark.sql.shuffle.partitions", before)
         house.put(name, self.spark.table(table))
         return house.get(name)
 
@@ -255,7 +252,8 @@ def maintain_product_daily(inputs: Inputs) -> DataFrame:
     """Product metrics of a past state, brought to the present by the keys that changed."""
     old, new = _both_states(inputs, "fact_orders", "fact_order_lines")
     path = scratch_path(inputs.spark, "old-product-daily")
-    old["house"].get("fact_product_daily_metrics").write.parquet(path)
+    with shuffles_removed(inputs.spark):
+        old["house"].get("fact_product_daily_metrics").write.parquet(path)
     return maintain.product_daily_metrics(
         inputs.spark.read.parquet(path),
         old["fact_order_lines"],
@@ -271,7 +269,8 @@ def maintain_daily_sales(inputs: Inputs) -> DataFrame:
     """Daily sales of a past state, brought to the present by the days that changed."""
     old, new = _both_states(inputs, "fact_orders")
     path = scratch_path(inputs.spark, "old-daily-sales")
-    old["house"].get("agg_daily_sales").write.parquet(path)
+    with shuffles_removed(inputs.spark):
+        old["house"].get("agg_daily_sales").write.parquet(path)
     return maintain.daily_sales(
         inputs.spark.read.parquet(path), old["fact_orders"], new["fact_orders"]
     )

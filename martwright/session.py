@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +35,26 @@ def configure(spark: SparkSession) -> SparkSession:
     if _bytes(spark.conf.get(TASK_INPUT)) > TASK_INPUT_BYTES:
         spark.conf.set(TASK_INPUT, str(TASK_INPUT_BYTES))
     return spark
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting for the jobs started inside; the one before comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def shuffles_removed(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Shuffle files of a write started inside are removed at its end.
+
+    Otherwise they stay until the driver's garbage collector meets their owners, so the disk holds those
+    of all writes before.
+    """
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

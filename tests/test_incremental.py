@@ -243,3 +243,51 @@ def test_untouched_rows_are_kept_as_stored(spark, facts):
     )
     times = {str(r[0]): r[1] for r in got.groupBy("created_at").count().collect()}
     assert sum(times.values()) == stored.count() and times[at] > times["2019-01-01 00:00:00"] > 0
+
+
+def test_odd_facts_are_maintained_like_rebuilt_ones(spark, facts, rows):
+    """Orders with one id on several days, facts without an id, a product or a date, repeated rows."""
+    orders, lines = facts
+    key, at = F.col("order_id"), "2018-12-31 00:00:00"
+    later = F.col("order_purchase_datetime") + F.expr("interval 3 days")
+    orders = (
+        orders.unionByName(orders.where(key % 7 == 0).withColumn("order_purchase_datetime", later))
+        .unionByName(orders.where(key % 11 == 0).withColumn("order_purchase_datetime", F.lit(None).cast("timestamp_ntz")))
+        .unionByName(orders.where(key % 13 == 0).withColumn("order_id", F.lit(None).cast("long")))
+        .unionByName(orders.where(key % 17 == 0))
+    )
+    none = F.when(key % 5 != 0, F.col("product_id"))
+    lines = (
+        lines.withColumn("product_id", none)
+        .unionByName(lines.where(key % 13 == 0).withColumn("order_id", F.lit(None).cast("long")))
+        .unionByName(lines.where(key % 17 == 0))
+    ).checkpoint()
+    orders = orders.checkpoint()
+    priced = F.when(key % 35 == 0, F.col("item_price") + 1).otherwise(F.col("item_price"))
+    after_lines = lines.withColumn("item_price", priced).where("order_id is null or order_id % 19 > 0")
+    moved = F.when(key.isNull() | (key % 23 == 0), later).otherwise(F.col("order_purchase_datetime"))
+    after_orders = orders.withColumn("order_purchase_datetime", moved)
+    found = {r[0] for r in maintain.changed_keys(orders, after_orders, "order_id").collect()}
+    assert None in found and not {r[0] for r in maintain.changed_keys(orders, orders, "order_id").collect()}
+    stored = core.fact_product_daily_metrics(lines, orders, as_of=at).checkpoint()
+    got = maintain.product_daily_metrics(stored, lines, orders, after_lines, after_orders, as_of=at)
+    wanted = core.fact_product_daily_metrics(after_lines, after_orders, as_of=at)
+    assert rows(got) == rows(wanted.select(*got.columns))
+    sales = maintain.daily_sales(core.agg_daily_sales(orders).checkpoint(), orders, after_orders)
+    assert rows(sales) == rows(core.agg_daily_sales(after_orders).select(*sales.columns))
+
+
+def test_only_lines_of_touched_products_and_days_are_aggregated(spark, facts, monkeypatch):
+    """Most products and most days are touched, but few pairs of them."""
+    orders, lines = facts
+    seen = []
+    build = core.fact_product_daily_metrics
+    monkeypatch.setattr(
+        core, "fact_product_daily_metrics", lambda ls, os, **k: seen.append((ls.count(), os)) or build(ls, os, **k)
+    )
+    stored = build(lines, orders, as_of="2018-12-31").checkpoint()
+    some = orders.select("order_id").where("order_id % 10 = 0")
+    maintain.product_daily_metrics(stored, lines, orders, lines, orders, changed=some, as_of="2018-12-31")
+    (n, _), changed = seen[0], lines.join(some, "order_id", "left_semi").count()
+    # A bitmap of 16 bits a key marks one in sixteen others.
+    assert changed <= n < changed + lines.count() / 10

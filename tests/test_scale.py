@@ -195,3 +195,22 @@ def test_changes_are_found_by_whole_numbers(spark):
     found = maintain.changed_keys(old, new, "order_id")
     assert sorted(r.order_id for r in found.collect()) == [1, 2, 3]
     assert "decimal" not in plan_of(found)
+
+
+def test_states_bucketed_on_the_key_are_compared_where_they_lie(spark):
+    old, new = (Inputs(spark, SAMPLE).with_stored("fact_order_lines") for _ in range(2))
+    lines = [house.get("fact_order_lines") for house in (old, new)]
+    plan = plan_of(maintain.changed_keys(*lines, "order_id"))
+    below = plan[plan.index("SortMergeJoin") :]
+    assert "Exchange" not in below and below.count("Bucketed: true") == 2
+
+
+def test_shuffles_of_a_stored_model_are_removed(spark):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before, before = spark.conf.get(key), tracker.shuffleStatuses().size()
+    house = Inputs(spark, SAMPLE).with_stored("fact_orders")
+    assert house.get("fact_orders").count() > 0
+    # The count is one of ours; the write made many.
+    assert tracker.shuffleStatuses().size() <= before + 1
+    assert spark.conf.get(key) == set_before
